@@ -1,0 +1,9 @@
+"""Streaming.
+
+The workload this library covers is batch only: it reads a finished table,
+profiles it, fits parameters and scores it. There is no event time, no late
+data and no state across micro-batches in it, so nothing here builds a
+streaming query. Every operator is a plain DataFrame function and therefore
+also runs unchanged inside ``foreachBatch`` of a Structured Streaming query
+when a caller wants to profile or score arriving batches.
+"""
