@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio, ratio_or_zero
-from ..plans.cumulative import running_totals
+from ..plans.cumulative import quantile_bounds, running_totals
 from ..plans.histogram import equal_width_histogram
 
 
@@ -53,7 +53,10 @@ def _totals(counts: DataFrame) -> tuple[Column, Column]:
 def _cumulative(scored: DataFrame) -> tuple[DataFrame, Column, Column]:
     counts = score_counts(scored)
     p, n = _totals(counts)
-    return running_totals(counts, "score", ["pos", "neg"], descending=True), p, n
+    # bucket bounds from one sketch pass over the raw score column
+    bounds = quantile_bounds(scored.select("score"), "score")
+    return running_totals(counts, "score", ["pos", "neg"], descending=True,
+                          bounds=bounds), p, n
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:

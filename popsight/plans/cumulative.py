@@ -4,7 +4,7 @@ A window ``orderBy`` with no ``partitionBy`` moves every row to one task.
 Curves over distinct scores (ROC, PR, average precision) need running totals
 over a table that can itself be data-sized (continuous scores), so the order
 range is cut into quantile buckets: bucket bounds come from one
-``percentile_approx`` scalar subquery (bounded: ``buckets`` values), per-bucket
+``approxQuantile`` sketch pass (a bounded list of ``buckets`` values), per-bucket
 totals (<= buckets rows) give every bucket its offset, and a window
 partitioned by bucket finishes the sums in parallel. Bucket edges only decide
 which task does the work; the sums are exact whatever the bounds are.
@@ -12,28 +12,50 @@ which task does the work; the sums are exact whatever the bounds are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_COL = "_bucket"
 
 
+def quantile_bounds(df: DataFrame, column: str, buckets: int = 200,
+                    rel_error: float = 0.001) -> list[float]:
+    """Sorted distinct finite cut points that split ``column`` into about
+    ``buckets`` equal-count ranges (one sketch pass, bounded result)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = df.approxQuantile(column, probs, rel_error)
+    return sorted({float(q) for q in qs if q is not None and math.isfinite(q)})
+
+
+def bucket_of(value: Column, bounds: list[float]) -> Column:
+    """Number of bounds strictly below ``value`` as a balanced CASE tree:
+    log2(len(bounds)) comparisons per row, all inside codegen."""
+    def build(lo: int, hi: int) -> Column:
+        # answer lies in [lo, hi]; bounds[lo:hi] decide it
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value <= F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    return build(0, len(bounds)) if bounds else F.lit(0)
+
+
 def running_totals(df: DataFrame, order_col: str, value_cols: list[str],
-                   descending: bool = True, buckets: int = 200,
-                   accuracy: int = 10000, prefix: str = "cum_") -> DataFrame:
+                   descending: bool = True, bounds: list[float] | None = None,
+                   buckets: int = 200, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows whose ``order_col`` comes at
     or before this row's in the given direction (inclusive). ``order_col``
-    should be unique per row (group first)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(order_col, probs, accuracy).alias("b")).scalar()
-    key = F.col(order_col)
-    bucket = F.size(F.filter(bounds, lambda b: b < key))
-    g = df.withColumn(BUCKET_COL, bucket)
+    should be unique per row (group first). ``bounds`` may come from a
+    cheaper source (e.g. a sketch over the ungrouped column)."""
+    if bounds is None:
+        bounds = quantile_bounds(df, order_col, buckets)
+    g = df.withColumn(BUCKET_COL, bucket_of(F.col(order_col), bounds))
 
     totals = g.groupBy(BUCKET_COL).agg(*[F.sum(c).alias(c) for c in value_cols])
     border = F.desc(BUCKET_COL) if descending else F.asc(BUCKET_COL)
     before = Window.orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    # <= `buckets` rows: a bounded table, safe to order in one task and broadcast.
+    # <= len(bounds)+1 rows: bounded, safe to order in one task and to broadcast.
     offsets = totals.select(
         BUCKET_COL, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}")
                       for c in value_cols])
