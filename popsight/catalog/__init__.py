@@ -33,6 +33,15 @@ def sql_with(*ctes: tuple[str, str], select: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
+def sql_chain(query: str) -> str:
+    """Put ``persons`` in front of a query: a leading ``WITH`` is merged into
+    the same CTE list."""
+    body = query.strip()
+    if body.upper().startswith("WITH "):
+        return f"WITH persons AS ({persons_sql()}),\n" + body[5:]
+    return sql_with(select=body)
+
+
 def _load():
     # Import for side effects (registration), in inventory order.
     from . import (threshold, missing, project, profile, correlate,  # noqa: F401

@@ -109,3 +109,14 @@ def row_key(cols: list[str]) -> Column:
     parts = [F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n"))
              for c in cols]
     return F.md5(F.concat_ws("\u0001", *parts))
+
+
+def weeks_band_segment(weeks: str | Column = "weeks_worked") -> Column:
+    """Deterministic stand-in segment for checking segment operators without a
+    fitted model: weeks worked 0 -> 0, 1-39 -> 1, 40+ -> 2."""
+    w = col(weeks)
+    return F.when(w == 0, F.lit(0)).when(w <= 39, F.lit(1)).otherwise(F.lit(2))
+
+
+WEEKS_BAND_SQL = ("CASE WHEN weeks_worked = 0 THEN 0 WHEN weeks_worked <= 39 THEN 1 "
+                  "ELSE 2 END")
