@@ -1 +1,114 @@
-"""Registered queries (io)."""
+"""S1, S2, S4-S8, K13 round trips: each query writes what Spark derived from
+the tables into a fresh folder under the shared checkpoint location and
+returns what it reads back."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.sql import functions as F
+
+from ..operators import correlate as co
+from ..operators import encode as en
+from ..schema import PERSONS_ROLES
+from ..sources import io
+from ..sources.tables import PERSONS_COLUMNS, persons
+from . import register, sql_with
+from .correlate import NUM
+from .encode import COLS, _e5_ctes, processed, raw
+
+TYPES = dict(PERSONS_COLUMNS)
+OUT_TYPES = {c: ("double" if c in PERSONS_ROLES.continuous else
+                 "int" if c not in ("person_id", "weight", "year") else TYPES[c]) for c in COLS}
+
+
+@register("s1_read_headerless_csv", sql_with(select=f"SELECT {', '.join(COLS)} FROM persons"))
+def q_s1(spark, sf_dir):
+    base = io.scratch_path(spark, "raw")
+    df = raw(spark, sf_dir)
+    io.write_headerless(df, f"{base}/data")
+    io.write_names(df, f"{base}/columns")
+    names = io.read_column_names(spark, f"{base}/columns")
+    return io.read_headerless_csv(spark, f"{base}/data", names, TYPES)
+
+
+@register("s2_read_column_names")
+def q_s2(spark, sf_dir):
+    base = io.scratch_path(spark, "names")
+    io.write_names(raw(spark, sf_dir), base)
+    names = io.read_column_names(spark, base)
+    return spark.read.text(base).select(F.trim("value").alias("column_name")).select(
+        F.array_position(F.array(*[F.lit(n) for n in names]), F.col("column_name"))
+        .cast("int").alias("position"), "column_name")
+
+
+@register("s4_read_table", sql_with(*_e5_ctes(), select="SELECT * FROM e5"))
+def q_s4(spark, sf_dir):
+    path = io.scratch_path(spark, "processed")
+    io.write_table(processed(spark, sf_dir), path, "csv")
+    ddl = ", ".join(f"`{c}` {OUT_TYPES[c]}" for c in COLS)
+    return io.read_table(spark, path, "csv", ddl)
+
+
+@register("s5_write_csv")
+def q_s5(spark, sf_dir):
+    sp = en.stratified_split(processed(spark, sf_dir), "label", "person_id")
+    train, _ = en.train_test(sp)
+    feats = [c for c in COLS if c not in ("label", "weight")]
+    path = io.scratch_path(spark, "train")
+    io.write_table(train, path, "csv", feats + ["label", "weight"])
+    return io.read_table(spark, path, "csv")
+
+
+@register("s6_write_matrix_csv")
+def q_s6(spark, sf_dir):
+    corr = co.correlation_matrix(persons(spark, sf_dir), NUM)
+    path = io.scratch_path(spark, "corr")
+    io.write_matrix_csv(co.correlation_wide(corr, NUM), path)
+    return io.read_table(spark, path, "csv")
+
+
+@register("s7_write_report_json")
+def q_s7(spark, sf_dir):
+    from ..operators import profile as pf
+    p = persons(spark, sf_dir)
+    summary = pf.dataset_summary(p)
+    dist = pf.target_distribution(p, "label").agg(
+        F.collect_list(F.struct("value", "count", "percentage")).alias("target_distribution"))
+    report = summary.select(F.struct("*").alias("dataset_info"),
+                            dist.select("target_distribution").scalar().alias("target_distribution"))
+    path = io.scratch_path(spark, "report")
+    io.write_report_json(report, path)
+    return spark.read.json(path)
+
+
+@register("s8_save_load_pipeline", sql_with(*_e5_ctes(), select="SELECT * FROM e5"))
+def q_s8(spark, sf_dir):
+    fitted, _ = en.preprocess_fit(raw(spark, sf_dir), PERSONS_ROLES)
+    path = io.scratch_path(spark, "pipeline")
+    io.save_preprocessor(fitted, path, spark)
+    loaded = io.load_preprocessor(spark, path)
+    from ..operators.missing import drop_duplicates
+    out = en.preprocess_transform(drop_duplicates(raw(spark, sf_dir)), loaded)
+    return out.select(*[F.round(c, 9).alias(c) if c in PERSONS_ROLES.continuous else F.col(c)
+                        for c in out.columns])
+
+
+@register("s8_save_load_model")
+def q_s8_model(spark, sf_dir):
+    from .model import _split, default_model
+    bm = default_model(spark, sf_dir)
+    path = io.scratch_path(spark, "gbt")
+    io.save_model(bm.model, path)
+    loaded = GBTClassificationModel.load(path)
+    from ..operators import model as mo
+    _, test = en.train_test(_split(spark, sf_dir))
+    bm2 = mo.BoostedModel(loaded, bm.feature_names, bm.scale_pos_weight, bm.params)
+    return mo.score(bm2, test, ["person_id", "label"])
+
+
+@register("k13_write_assignments")
+def q_k13_write(spark, sf_dir):
+    from .model import assignments
+    path = io.scratch_path(spark, "segments")
+    io.write_table(assignments(spark, sf_dir), path, "csv")
+    return io.read_table(spark, path, "csv", "person_id bigint, segment int")
