@@ -10,11 +10,13 @@ subqueries, not joins.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio, ratio_or_zero
-from ..plans.cumulative import quantile_bounds, running_totals
+from ..plans.cumulative import running_totals
 from ..plans.histogram import equal_width_histogram
 
 
@@ -45,38 +47,61 @@ def score_counts(scored: DataFrame) -> DataFrame:
                                        F.count_if(~y).cast("bigint").alias("neg"))
 
 
-def _totals(counts: DataFrame) -> tuple[Column, Column]:
-    t = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
-    return t.getField("p"), t.getField("n")
-
+def _cumulative(scored: DataFrame, buckets: int = 64) -> tuple[DataFrame, Column, Column]:
+    """Running totals over distinct scores (highest first) plus P and N.
 
-def _cumulative(scored: DataFrame) -> tuple[DataFrame, Column, Column]:
+    One small action first -- cut points of the distinct scores and the two
+    class totals, all from a single aggregation -- so the main plan carries
+    them as literals: no subquery is re-evaluated, no window runs in one
+    task over the data."""
     counts = score_counts(scored)
-    p, n = _totals(counts)
-    # bucket bounds from one sketch pass over the raw score column
-    bounds = quantile_bounds(scored.select("score"), "score")
-    return running_totals(counts, "score", ["pos", "neg"], descending=True,
-                          bounds=bounds), p, n
+    probs = [i / buckets for i in range(1, buckets)]
+    st = counts.agg(F.percentile_approx("score", probs, 10000).alias("b"),
+                    F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    bounds = sorted({float(v) for v in (st["b"] or []) if v is not None and math.isfinite(v)})
+    p, n = F.lit(int(st["p"] or 0)), F.lit(int(st["n"] or 0))
+    return running_totals(counts, "score", ["pos", "neg"], descending=True, bounds=bounds), p, n
+
+
+def _auc_term() -> Column:
+    # AUC numerator = sum_s pos(s) * (2 * (N - cum_neg(s)) + neg(s))   (ties count half)
+    #               = 2 N P - sum_s pos(s) * (2 cum_neg(s) - neg(s)); the sum stays exact
+    return (F.col("pos").cast("decimal(38,0)")
+            * (F.lit(2) * F.col("cum_neg") - F.col("neg")).cast("decimal(38,0)"))
+
+
+def _auc(sum_term: Column, p: Column, n: Column) -> Column:
+    num = (F.lit(2) * p.cast("decimal(38,0)") * n.cast("decimal(38,0)")
+           - sum_term).cast("double")
+    return F.try_divide(num, F.lit(2.0) * p.cast("double") * n.cast("double"))
+
+
+def _ap_term() -> Column:
+    return F.col("pos").cast("double") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+
+
+def rank_metrics(scored: DataFrame) -> DataFrame:
+    """V5 and V6 from ONE pass over the running totals: roc_auc, average_precision."""
+    cum, p, n = _cumulative(scored)
+    sums = cum.agg(F.sum(_auc_term()).alias("t"), F.sum(_ap_term()).alias("s"))
+    return sums.select(_auc(F.col("t"), p, n).alias("roc_auc"),
+                       F.round(F.try_divide(F.col("s"), p.cast("double")), 12)
+                       .alias("average_precision"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
     """V5: area under ROC = P(score+ > score-) + 1/2 P(tie); null with one class.
     The numerator is summed as an exact integer, then divided once."""
     cum, p, n = _cumulative(scored)
-    # neg strictly below s = N - cum_neg; ties count half -> times 2 stays integral
-    term = (F.col("pos").cast("decimal(38,0)")
-            * (F.lit(2) * (n - F.col("cum_neg")) + F.col("neg")).cast("decimal(38,0)"))
-    num = cum.agg(F.sum(term).alias("num"))
-    den = F.lit(2.0) * p.cast("double") * n.cast("double")
-    return num.select(F.try_divide(F.col("num").cast("double"), den).alias("roc_auc"))
+    t = cum.agg(F.sum(_auc_term()).alias("t"))
+    return t.select(_auc(F.col("t"), p, n).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """V6: step-wise average precision, sum over distinct scores (descending)
     of (recall gain) x (precision there); null without positives."""
     cum, p, _ = _cumulative(scored)
-    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    ap = cum.agg(F.sum(F.col("pos").cast("double") * prec).alias("s"))
+    ap = cum.agg(F.sum(_ap_term()).alias("s"))
     return ap.select(F.round(F.try_divide(F.col("s"), p.cast("double")), 12)
                      .alias("average_precision"))
 
@@ -116,8 +141,8 @@ def _f1(p: Column, r: Column) -> Column:
 def overall_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """V2: accuracy, f1 (positive class), roc_auc, pr_auc (= V6) in one row."""
     c = _counts(scored, threshold)
-    auc = roc_auc(scored).scalar()
-    ap = average_precision(scored).scalar()
+    rm = rank_metrics(scored).select(F.struct("roc_auc", "average_precision")).scalar()
+    auc, ap = rm.getField("roc_auc"), rm.getField("average_precision")
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     p1 = ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fp"))
     r1 = ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fn"))

@@ -29,6 +29,25 @@ def quantile_bounds(df: DataFrame, column: str, buckets: int = 200,
     return sorted({float(q) for q in qs if q is not None and math.isfinite(q)})
 
 
+def lazy_bounds(df: DataFrame, column: str, buckets: int = 64, accuracy: int = 10000) -> Column:
+    """Cut points as a scalar subquery (evaluated once, inside the same
+    query, so the exchange that feeds ``df`` is shared with the main plan)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    return df.agg(F.percentile_approx(F.col(column), probs, accuracy).alias("b")).scalar()
+
+
+def bucket_of_lazy(value: Column, bounds: Column, n: int) -> Column:
+    """:func:`bucket_of` against an array-valued column of ``n`` sorted cut
+    points (e.g. a scalar subquery); a balanced CASE tree, no lambda."""
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value <= F.element_at(bounds, mid + 1), build(lo, mid)) \
+            .otherwise(build(mid + 1, hi))
+    return build(0, n)
+
+
 def bucket_of(value: Column, bounds: list[float]) -> Column:
     """Number of bounds strictly below ``value`` as a balanced CASE tree:
     log2(len(bounds)) comparisons per row, all inside codegen."""
@@ -43,14 +62,18 @@ def bucket_of(value: Column, bounds: list[float]) -> Column:
 
 def running_totals(df: DataFrame, order_col: str, value_cols: list[str],
                    descending: bool = True, bounds: list[float] | None = None,
-                   buckets: int = 200, prefix: str = "cum_") -> DataFrame:
+                   buckets: int = 64, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows whose ``order_col`` comes at
     or before this row's in the given direction (inclusive). ``order_col``
-    should be unique per row (group first). ``bounds`` may come from a
-    cheaper source (e.g. a sketch over the ungrouped column)."""
+    should be unique per row (group first). Without ``bounds`` the cut points
+    are a lazy sketch over ``df`` itself (no extra job)."""
     if bounds is None:
-        bounds = quantile_bounds(df, order_col, buckets)
-    g = df.withColumn(BUCKET_COL, bucket_of(F.col(order_col), bounds))
+        # bind the subquery once as a column; the CASE tree reads the column
+        g = df.withColumn("_bounds", lazy_bounds(df, order_col, buckets))
+        g = g.withColumn(BUCKET_COL, bucket_of_lazy(F.col(order_col), F.col("_bounds"),
+                                                    buckets - 1)).drop("_bounds")
+    else:
+        g = df.withColumn(BUCKET_COL, bucket_of(F.col(order_col), bounds))
 
     totals = g.groupBy(BUCKET_COL).agg(*[F.sum(c).alias(c) for c in value_cols])
     border = F.desc(BUCKET_COL) if descending else F.asc(BUCKET_COL)
