@@ -86,7 +86,8 @@ def _codes(src: str) -> str:
 
 
 def _encode_scale(p: str, fit_src: str, target_src: str, digits: int = 9) -> list:
-    sc = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in CONT)
+    sc = ", ".join(f"ROUND(AVG({c}), 10) AS m_{c}, ROUND(STDDEV_POP({c}), 10) AS s_{c}"
+                   for c in CONT)
     ctes = [(f"{p}_codes", _codes(fit_src)),
             (f"{p}_cls", f"SELECT v, CAST(ROW_NUMBER() OVER (ORDER BY v) - 1 AS INTEGER) AS code "
                          f"FROM (SELECT DISTINCT CAST(label AS VARCHAR) AS v FROM {fit_src})"),
@@ -179,8 +180,9 @@ def q_e3(spark, sf_dir):
 
 
 @register("e4_standard_scale", sql_with(
-    ("sc", "SELECT " + ", ".join(f"AVG(CAST({c} AS DOUBLE)) AS m_{c}, "
-                                 f"STDDEV_POP(CAST({c} AS DOUBLE)) AS s_{c}" for c in CONT)
+    ("sc", "SELECT " + ", ".join(f"ROUND(AVG({c}), 10) AS m_{c}, "
+                                 f"ROUND(STDDEV_POP(CAST({c} AS DOUBLE)), 10) AS s_{c}"
+                                 for c in CONT)
      + " FROM persons"),
     select="SELECT person_id, " + ", ".join(
         f"ROUND((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1 "

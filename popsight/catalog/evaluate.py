@@ -143,3 +143,55 @@ _V8_CTES, _V8_SELECT = histogram_sql("s", "score", "label")
 @register("v8_score_histogram", sql_with(SCORED_CTE, *_V8_CTES, select=_V8_SELECT))
 def q_v8(spark, sf_dir):
     return ev.score_histogram(scored(spark, sf_dir), 50)
+
+
+# ------------------------------------------------------------- second input:
+# documents with a quality label, scored by a monotone function of length.
+
+def documents_scored(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..sources.tables import table
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    j = lab.join(docs, "doc_id")
+    score = F.col("n_chars").cast("double") / (F.col("n_chars").cast("double") + F.lit(1000.0))
+    return j.select(F.col("quality").cast("int").alias("label"), score.alias("score"))
+
+
+DOC_SCORED_CTE = ("s", "SELECT CAST(l.quality AS INTEGER) AS label, "
+                       "CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 1000.0) AS score "
+                       "FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+
+
+def _doc_sql(*ctes, select):
+    body = ",\n".join(f"{n} AS ({q})" for n, q in ctes)
+    return f"WITH {body}\n{select}"
+
+
+@register("v2_overall_metrics_documents", _doc_sql(
+    DOC_SCORED_CTE, CNT_CTE, TOT_CTE, CUM_CTE, CONF_CTE, ("auc", AUC_SQL), ("ap", AP_SQL), select="""
+  SELECT (tn + tp) / (tn + fp + fn + tp) AS accuracy,
+    CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE CAST(0 AS DOUBLE) END AS f1_score,
+    roc_auc, average_precision AS pr_auc
+  FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE CAST(0 AS DOUBLE) END AS pr,
+               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE CAST(0 AS DOUBLE) END AS rc
+        FROM conf), auc, ap"""))
+def q_v2_docs(spark, sf_dir):
+    return ev.overall_metrics(documents_scored(spark, sf_dir), 0.5)
+
+
+@register("v4_roc_curve_documents", _doc_sql(DOC_SCORED_CTE, CNT_CTE, TOT_CTE, CUM_CTE, select="""
+  SELECT CAST(NULL AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr
+  UNION ALL
+  SELECT score, CASE WHEN n > 0 THEN cum_neg / n END, CASE WHEN p > 0 THEN cum_pos / p END
+  FROM cum, tot"""))
+def q_v4_docs(spark, sf_dir):
+    return ev.roc_curve(documents_scored(spark, sf_dir))
+
+
+@register("t1_threshold_sweep_documents", _doc_sql(
+    DOC_SCORED_CTE, *__import__("popsight.catalog.threshold", fromlist=["x"]).SWEEP_CTES[1:],
+    select="SELECT * FROM sweep"))
+def q_t1_docs(spark, sf_dir):
+    from ..operators import threshold as th
+    return th.threshold_sweep(documents_scored(spark, sf_dir))

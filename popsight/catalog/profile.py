@@ -260,3 +260,20 @@ def q_a16_li(spark, sf_dir):
 def q_a17(spark, sf_dir):
     p = persons(spark, sf_dir).withColumn("segment", weeks_band_segment("weeks_worked"))
     return pf.segment_sizes(p, "segment")
+
+
+_A14E_CTES, _A14E_SELECT = histogram_sql("hl", "value", "feature")
+
+
+@register("a14_numeric_histogram_events", "WITH " + ",\n".join(
+    f"{n} AS ({q})" for n, q in
+    [("hl", "SELECT 'value' AS feature, CAST(value AS DOUBLE) AS value FROM events "
+            "WHERE value IS NOT NULL")] + list(_A14E_CTES)
+    + [("h", _A14E_SELECT),
+       ("st", "SELECT feature, ROUND(AVG(value), 9) AS mean, ROUND(MEDIAN(value), 9) AS median "
+              "FROM hl GROUP BY feature")])
+    + "\nSELECT h.feature, bin, bin_lower, bin_upper, count, mean, median "
+      "FROM h JOIN st ON h.feature = st.feature")
+def q_a14_events(spark, sf_dir):
+    from ..sources.tables import table
+    return pf.numeric_histogram(table(spark, sf_dir, "events"), rules=(("value", None, None),))

@@ -110,13 +110,13 @@ def seg_persons(spark, sf_dir):
 SEGP = ("sp", f"SELECT * REPLACE (CASE WHEN label = '50000+.' THEN 1 ELSE 0 END AS label), "
               f"{WEEKS_BAND_SQL} AS segment FROM persons")
 SCALED = ("sz", """SELECT * REPLACE (
-    (age - (SELECT AVG(age) FROM sp)) / COALESCE(NULLIF((SELECT STDDEV_POP(age) FROM sp), 0), 1) AS age,
-    (weeks_worked - (SELECT AVG(weeks_worked) FROM sp))
-      / COALESCE(NULLIF((SELECT STDDEV_POP(weeks_worked) FROM sp), 0), 1) AS weeks_worked,
-    (capital_gains - (SELECT AVG(capital_gains) FROM sp))
-      / COALESCE(NULLIF((SELECT STDDEV_POP(capital_gains) FROM sp), 0), 1) AS capital_gains,
-    (dividends - (SELECT AVG(dividends) FROM sp))
-      / COALESCE(NULLIF((SELECT STDDEV_POP(dividends) FROM sp), 0), 1) AS dividends)
+    (age - (SELECT ROUND(AVG(age), 10) FROM sp)) / COALESCE(NULLIF((SELECT ROUND(STDDEV_POP(age), 10) FROM sp), 0), 1) AS age,
+    (weeks_worked - (SELECT ROUND(AVG(weeks_worked), 10) FROM sp))
+      / COALESCE(NULLIF((SELECT ROUND(STDDEV_POP(weeks_worked), 10) FROM sp), 0), 1) AS weeks_worked,
+    (capital_gains - (SELECT ROUND(AVG(capital_gains), 10) FROM sp))
+      / COALESCE(NULLIF((SELECT ROUND(STDDEV_POP(capital_gains), 10) FROM sp), 0), 1) AS capital_gains,
+    (dividends - (SELECT ROUND(AVG(dividends), 10) FROM sp))
+      / COALESCE(NULLIF((SELECT ROUND(STDDEV_POP(dividends), 10) FROM sp), 0), 1) AS dividends)
   FROM sp""")
 
 

@@ -113,13 +113,26 @@ def encode_target(df: DataFrame, classes: list[str], label: str = "label") -> Da
 # ---------------------------------------------------------------- E4
 
 
+# Fitted means and standard deviations are rounded to this many decimals: a
+# float sum's last bits depend on the order partitions are merged in, and the
+# rounding makes every transform see the same parameters on every run.
+PARAM_DIGITS = 10
+
+
+def _moments(c: str, df: DataFrame) -> tuple[Column, Column]:
+    x = F.col(q(c))
+    if not is_numeric(df, c) or df.schema[c].dataType.typeName() in ("double", "float"):
+        x = x.cast("double")
+    return (F.round(F.avg(x), PARAM_DIGITS),
+            F.round(F.stddev_pop(x.cast("double")), PARAM_DIGITS))
+
+
 def standard_scale_fit(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """E4 fit: (mean, population std) per column; std 0 (or none) -> 1."""
     if not cols:
         return {}
     row = df.agg(*[e for c in cols for e in (
-        F.avg(F.col(q(c)).cast("double")).alias(f"m_{c}"),
-        F.stddev_pop(F.col(q(c)).cast("double")).alias(f"s_{c}"))]).first()
+        _moments(c, df)[0].alias(f"m_{c}"), _moments(c, df)[1].alias(f"s_{c}"))]).first()
     out = {}
     for c in cols:
         s = row[f"s_{c}"]
@@ -138,8 +151,8 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """E4 lazily: parameters as one scalar subquery (no action)."""
     fields = []
     for i, c in enumerate(cols):
-        x = F.col(q(c)).cast("double")
-        fields += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+        m, sd = _moments(c, df)
+        fields += [m.alias(f"m{i}"), sd.alias(f"s{i}")]
     p = df.agg(F.struct(*fields).alias("p")).scalar()
     out = []
     for c in df.columns:
