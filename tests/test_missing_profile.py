@@ -65,10 +65,8 @@ def test_top_values_match_pandas(spark):
     vals = [f"k{int(v)}" for v in rng.zipf(1.5, 2000) if v < 200]
     df = spark.createDataFrame([(v,) for v in vals], "x string")
     got = pf.value_distribution(df, "x", 10).orderBy("rank").toPandas()
-    vc = pd.Series(vals).value_counts()
-    vc = vc.reset_index().sort_values(["count", "x"], ascending=[False, True]) \
-        if "count" in vc.reset_index().columns else None
-    top = vc.head(10)
+    vc = pd.Series(vals).value_counts().rename_axis("x").reset_index(name="count")
+    top = vc.sort_values(["count", "x"], ascending=[False, True]).head(10)
     assert list(got["value"][:10]) == list(top["x"])
     assert got["count"].iloc[10] == len(vals) - top["count"].sum()
     assert got["unique_count"].iloc[0] == len(set(vals))
