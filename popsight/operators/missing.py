@@ -63,20 +63,30 @@ def missing_profile(df: DataFrame, top_n: int = 10,
     missing indicators: for numeric columns which of -1, 99, 999 occur; for
     string columns those of the ``top_n`` most frequent values (ties: smaller
     value first) whose stripped text is ``?``, ``Unknown`` or
-    ``Not in universe``, in frequency order, joined with ', '."""
+    ``Not in universe``, in frequency order, joined with ', '.
+    Null counts and numeric sentinel flags come from one aggregation."""
     cols = list(columns or df.columns)
     nums = [c for c in cols if is_numeric(df, c)]
     strs = [c for c in cols if is_string(df, c)]
-    base = null_counts(df, cols)
-
-    flags = df.agg(*[F.bool_or(F.col(q(c)) == F.lit(v)).alias(f"_f{i}_{j}")
-                     for i, c in enumerate(cols) if c in nums
-                     for j, v in enumerate(NUMERIC_SENTINELS)], F.lit(1).alias("_one"))
-    num_rows = [[str(i), "concat_ws(', ', " + ", ".join(
-        f"CASE WHEN _f{i}_{j} THEN '{v}' END" for j, v in enumerate(NUMERIC_SENTINELS)) + ")"]
-        for i, c in enumerate(cols) if c in nums]
-    num_ind = (_stack(flags, num_rows, ["position", "indicators"]) if num_rows else None)
-
+    aggs = [F.count("*").alias("_n")]
+    for i, c in enumerate(cols):
+        aggs.append(F.count_if(F.col(q(c)).isNull()).alias(f"_m{i}"))
+        if c in nums:
+            aggs += [F.bool_or(F.col(q(c)) == F.lit(v)).alias(f"_f{i}_{j}")
+                     for j, v in enumerate(NUMERIC_SENTINELS)]
+    rows = []
+    for i, c in enumerate(cols):
+        ind = ("concat_ws(', ', " + ", ".join(
+            f"CASE WHEN _f{i}_{j} THEN '{v}' END" for j, v in enumerate(NUMERIC_SENTINELS)) + ")"
+            if c in nums else "CAST(NULL AS STRING)")
+        rows.append([str(i), _lit(c), f"_m{i}", "_n", ind])
+    long = _stack(df.agg(*aggs), rows, ["position", "column_name", "missing_count", "n",
+                                         "indicators"])
+    base = long.select(F.col("position").cast("int").alias("position"), "column_name",
+                       F.col("missing_count").cast("bigint").alias("missing_count"),
+                       (F.col("missing_count") / F.col("n") * F.lit(100.0))
+                       .alias("missing_percentage"), "indicators")
+    num_ind = None
     ind = num_ind
     if strs:
         counts = unpivot_values(df, strs).groupBy("column_name", "value").agg(
@@ -104,12 +114,14 @@ def missing_profile(df: DataFrame, top_n: int = 10,
         ind = str_ind if ind is None else ind.unionByName(str_ind)
     out = base
     if ind is not None:
-        out = base.join(ind.select(F.col("position").cast("int").alias("position"),
-                                   "indicators"), "position", "left")
+        # one row per string column: a bounded side
+        out = base.join(F.broadcast(ind.select(F.col("position").cast("int").alias("position"),
+                                               F.col("indicators").alias("_s"))),
+                        "position", "left")
     else:
-        out = base.withColumn("indicators", F.lit(None).cast("string"))
+        out = base.withColumn("_s", F.lit(None).cast("string"))
     return out.select("position", "column_name", "missing_count", "missing_percentage",
-                      F.coalesce("indicators", F.lit("")).alias("potential_missing_indicators"))
+                      F.coalesce("indicators", "_s", F.lit("")).alias("potential_missing_indicators"))
 
 
 def implicit_missing_patterns(df: DataFrame, roles: Roles = PERSONS_ROLES,

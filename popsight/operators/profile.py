@@ -25,28 +25,42 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
             .groupBy("column_name").agg(F.count("*").alias("n_distinct")))
 
 
+def column_value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(column_name, value, count) with nulls kept as a value: one unpivot
+    and one map-side-combined grouped count for every column at once."""
+    cols = list(cols or df.columns)
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(q(c)).cast("string").alias("value"))
+        for c in cols])).alias("kv")).select("kv.*")
+    return long.groupBy("column_name", "value").agg(F.count("*").alias("count"))
+
+
 def infer_column_types(df: DataFrame, ratio_limit: float = 0.05, distinct_limit: int = 50
                        ) -> DataFrame:
     """A1: numeric with distinct/rows < 0.05 and distinct < 50 ->
     categorical_numeric; other numeric -> continuous_numeric; otherwise
-    categorical_string. Nulls count in rows, not in distinct."""
+    categorical_string. Nulls count in rows, not in distinct. Rows and
+    distinct values come from the same grouped count (one pass)."""
     cols = df.columns
-    info = _stack(df.agg(F.count("*").alias("_n")),
-                  [[str(i), _lit(c), _lit(df.schema[c].dataType.simpleString()),
-                    "true" if is_numeric(df, c) else "false", "_n"] for i, c in enumerate(cols)],
-                  ["position", "column_name", "dtype", "numeric", "n_rows"])
-    d = distinct_counts(df, cols)
-    out = info.join(d, "column_name", "left").select(
-        F.col("position").cast("int").alias("position"), "column_name", "dtype",
-        F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"),
-        F.col("n_rows").cast("bigint").alias("n_rows"), "numeric")
+    per_col = column_value_counts(df, cols).groupBy("column_name").agg(
+        F.sum("count").cast("bigint").alias("n_rows"),
+        F.count("value").cast("bigint").alias("n_distinct"))
+
+    def lookup(values):
+        return F.element_at(F.create_map(*[x for c, v in zip(cols, values)
+                                           for x in (F.lit(c), F.lit(v))]), F.col("column_name"))
+
+    numeric = lookup([is_numeric(df, c) for c in cols])
     r = F.coalesce(ratio(F.col("n_distinct"), F.col("n_rows")), F.lit(0.0))
-    kind = (F.when(~F.col("numeric"), F.lit("categorical_string"))
+    kind = (F.when(~numeric, F.lit("categorical_string"))
             .when((r < F.lit(ratio_limit)) & (F.col("n_distinct") < F.lit(distinct_limit)),
                   F.lit("categorical_numeric"))
             .otherwise(F.lit("continuous_numeric")))
-    return out.select("position", "column_name", "dtype", "n_distinct", "n_rows",
-                      kind.alias("inferred_type"))
+    return per_col.select(lookup(list(range(len(cols)))).cast("int").alias("position"),
+                          "column_name",
+                          lookup([df.schema[c].dataType.simpleString() for c in cols])
+                          .alias("dtype"),
+                          "n_distinct", "n_rows", kind.alias("inferred_type"))
 
 
 def _num_stats(df: DataFrame, cols: list[str], names: dict[str, str]) -> DataFrame:
@@ -128,13 +142,23 @@ def categorical_top(df: DataFrame, cols: list[str], top_n: int = 10) -> DataFram
 
 
 def low_cardinality_distributions(df: DataFrame, top_n: int = 10,
-                                  distinct_limit: int = 50) -> DataFrame:
+                                  distinct_limit: int = 50, ratio_limit: float = 0.05
+                                  ) -> DataFrame:
     """A4 for every column that A1 calls categorical or that has fewer
-    than 50 distinct values -- one unpivot and one grouped count for all."""
-    counts = value_counts_long(df, df.columns)
-    types = infer_column_types(df, distinct_limit=distinct_limit)
-    chosen = types.where((F.col("inferred_type") != "continuous_numeric")
-                         | (F.col("n_distinct") < distinct_limit)).select("column_name")
+    than 50 distinct values. One unpivot (nulls kept, so row counts come out
+    of the same table) and one grouped count feed both the type decision and
+    the top values."""
+    cols = df.columns
+    numeric = [c for c in cols if is_numeric(df, c)]
+    all_counts = column_value_counts(df, cols)
+    per_col = all_counts.groupBy("column_name").agg(
+        F.sum("count").alias("n_rows"), F.count("value").alias("n_distinct"))
+    is_num = F.col("column_name").isin(numeric) if numeric else F.lit(False)
+    r = F.col("n_distinct") / F.col("n_rows")
+    categorical = ~is_num | ((r < F.lit(ratio_limit)) & (F.col("n_distinct") < distinct_limit))
+    chosen = per_col.where(categorical | (F.col("n_distinct") < distinct_limit)) \
+        .select("column_name")
+    counts = all_counts.where(F.col("value").isNotNull())
     # one row per column of the table: a bounded side, safe to broadcast
     counts = counts.join(F.broadcast(chosen), "column_name", "left_semi")
     return top_values(counts, top_n, "other")

@@ -120,27 +120,20 @@ def optimize_threshold(sweep: DataFrame, objective: str = "balanced") -> DataFra
     raise ValueError(f"unknown objective {objective!r}: use balanced, precision or recall")
 
 
-def business_impact(sweep: DataFrame, marketing_cost: float = 15,
-                    high_earner_purchase: float = 200, low_earner_purchase: float = 60,
-                    high_earner_conversion: float = 0.20,
-                    low_earner_conversion: float = 0.05) -> DataFrame:
-    """T5: campaign money per threshold. Defaults give net = 25*tp - 12*fp."""
-    high_value = float(high_earner_purchase * high_earner_conversion)
-    low_value = float(low_earner_purchase * low_earner_conversion)
+def _with_campaign(df: DataFrame, marketing_cost: float, high_value: float,
+                   low_value: float) -> DataFrame:
+    """Add the campaign-money columns to any table with tp, fp, fn."""
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     targeted = F.col("tp") + F.col("fp")
-    revenue = tp * F.lit(high_value) + fp * F.lit(low_value)
-    cost = targeted.cast("double") * F.lit(float(marketing_cost))
-    out = sweep.select(
-        "threshold", "precision", "recall",
+    out = df.select(
+        "*",
         targeted.cast("bigint").alias("total_targeted"),
         F.col("tp").cast("bigint").alias("high_earners_reached"),
         F.col("fp").cast("bigint").alias("low_earners_reached"),
         F.col("fn").cast("bigint").alias("high_earners_missed"),
-        revenue.alias("total_revenue"),
-        cost.alias("total_cost"))
-    net = F.col("total_revenue") - F.col("total_cost")
-    out = out.withColumn("net_profit", net)
+        (tp * F.lit(high_value) + fp * F.lit(low_value)).alias("total_revenue"),
+        (targeted.cast("double") * F.lit(float(marketing_cost))).alias("total_cost"))
+    out = out.withColumn("net_profit", F.col("total_revenue") - F.col("total_cost"))
     return out.select(
         "*",
         F.when(F.col("total_cost") > 0,
@@ -154,6 +147,21 @@ def business_impact(sweep: DataFrame, marketing_cost: float = 15,
         .otherwise(F.lit(0.0)).alias("profit_per_target"))
 
 
+IMPACT_COLUMNS = ("threshold", "precision", "recall", "total_targeted", "high_earners_reached",
+                  "low_earners_reached", "high_earners_missed", "total_revenue", "total_cost",
+                  "net_profit", "roi", "cpa_high_earner", "profit_per_target")
+
+
+def business_impact(sweep: DataFrame, marketing_cost: float = 15,
+                    high_earner_purchase: float = 200, low_earner_purchase: float = 60,
+                    high_earner_conversion: float = 0.20,
+                    low_earner_conversion: float = 0.05) -> DataFrame:
+    """T5: campaign money per threshold. Defaults give net = 25*tp - 12*fp."""
+    high_value = float(high_earner_purchase * high_earner_conversion)
+    low_value = float(low_earner_purchase * low_earner_conversion)
+    return _with_campaign(sweep, marketing_cost, high_value, low_value).select(*IMPACT_COLUMNS)
+
+
 def optimal_business_threshold(impact: DataFrame) -> DataFrame:
     """The row with the highest net profit; lowest threshold on ties."""
     return _top1(impact, F.desc("net_profit"), F.asc("threshold"))
@@ -189,34 +197,40 @@ COMPARISON_METRICS = (
 )
 
 
-def strategy_comparison(sweep: DataFrame, impact: DataFrame,
-                        default_threshold: float = 0.5) -> DataFrame:
+def strategy_comparison(sweep: DataFrame, impact: DataFrame | None = None,
+                        default_threshold: float = 0.5, **costs) -> DataFrame:
     """The 9 comparison metrics for the default threshold, the best-F1
     threshold and the best-profit threshold, every cell filled from the
-    sweep/campaign rows of that threshold. Output: metric_order, metric,
+    sweep/campaign row of that threshold. The three rows are picked in ONE
+    aggregation over the (81-row) sweep. Output: metric_order, metric,
     default_threshold, optimal_f1, optimal_business."""
-    wide = sweep.join(impact.drop("precision", "recall"), "threshold")
-    picks = (nearest_threshold(wide, default_threshold)
-             .withColumn("threshold", F.lit(float(default_threshold)))
-             .withColumn("strategy", F.lit("default_threshold"))
-             .unionByName(optimal_threshold_f1(wide).withColumn("strategy", F.lit("optimal_f1")))
-             .unionByName(optimal_business_threshold(wide)
-                          .withColumn("strategy", F.lit("optimal_business"))))
-    values = picks.select(
-        "strategy",
+    high_value = float(costs.get("high_earner_purchase", 200)
+                       * costs.get("high_earner_conversion", 0.20))
+    low_value = float(costs.get("low_earner_purchase", 60)
+                      * costs.get("low_earner_conversion", 0.05))
+    wide = _with_campaign(sweep, costs.get("marketing_cost", 15), high_value, low_value)
+    row = F.struct(
         F.col("threshold").alias("threshold"),
         (F.col("precision") * F.lit(100.0)).alias("precision_pct"),
         (F.col("recall") * F.lit(100.0)).alias("recall_pct"),
-        "f1",
+        F.col("f1").alias("f1"),
         F.col("total_targeted").cast("double").alias("total_targeted"),
         F.col("high_earners_reached").cast("double").alias("high_earners_reached"),
         F.col("low_earners_reached").cast("double").alias("low_earners_reached"),
-        "net_profit", "roi")
-    stack = ", ".join(f"{n}, '{label}', `{c}`"
-                      for n, (label, c) in enumerate(COMPARISON_METRICS, start=1))
-    long = values.selectExpr(
-        "strategy",
-        f"stack({len(COMPARISON_METRICS)}, {stack}) AS (metric_order, metric, value)")
-    return (long.groupBy("metric_order", "metric")
-            .pivot("strategy", ["default_threshold", "optimal_f1", "optimal_business"])
-            .agg(F.first("value")))
+        F.col("net_profit").alias("net_profit"), F.col("roi").alias("roi"))
+    t = F.col("threshold")
+    picks = wide.agg(
+        # nearest to the default (lower threshold on ties), best F1 and best
+        # profit (lowest threshold on ties)
+        F.min_by(row, F.struct(F.abs(t - F.lit(float(default_threshold))), t))
+        .alias("default_threshold"),
+        F.max_by(row, F.struct(F.col("f1"), -t)).alias("optimal_f1"),
+        F.max_by(row, F.struct(F.col("net_profit"), -t)).alias("optimal_business"))
+    picks = picks.withColumn("default_threshold", F.col("default_threshold").withField(
+        "threshold", F.lit(float(default_threshold))))
+    stack = ", ".join(
+        f"{n}, '{label}', default_threshold.{c}, optimal_f1.{c}, optimal_business.{c}"
+        for n, (label, c) in enumerate(COMPARISON_METRICS, start=1))
+    return picks.selectExpr(
+        f"stack({len(COMPARISON_METRICS)}, {stack}) AS (metric_order, metric, "
+        "default_threshold, optimal_f1, optimal_business)")
