@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
+from ..sources.tables import persons as _persons
 from ..sources.tables import persons_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +17,21 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
+_INPUTS: dict = {}
+
+
+def persons_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``persons`` as the queries' stored input: derived from the driver
+    tables once per session and written (reliable checkpoint) into the
+    session's shared checkpoint folder, the way the survey's raw table sits
+    on disk. Every registered query still reads all of it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INPUTS:
+        ensure_checkpoint_dir(spark)
+        _INPUTS[key] = _persons(spark, sf_dir).checkpoint(eager=True)
+    return _INPUTS[key]
+
+
 def register(name: str, sql: str | None = None):
     """Decorator: register a query under ``name`` with an optional oracle."""
     def deco(fn: Query) -> Query:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..operators import correlate as co
-from ..sources.tables import PERSONS_COLUMNS, persons, table
-from . import register, sql_with
+from ..sources.tables import PERSONS_COLUMNS, table
+from . import persons_input, register, sql_with
 
 NUM = [c for c, t in PERSONS_COLUMNS if t != "string" and c not in ("weight", "year")]
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -28,7 +28,7 @@ def corr_sql(source: str, cols: list[str]) -> str:
 
 @register("c1_correlation_matrix", sql_with(select=corr_sql("persons", NUM)))
 def q_c1(spark, sf_dir):
-    return co.correlation_matrix(persons(spark, sf_dir), NUM)
+    return co.correlation_matrix(persons_input(spark, sf_dir), NUM)
 
 
 @register("c1_correlation_matrix_lineitem", corr_sql("lineitem", LI_NUM))
@@ -39,11 +39,11 @@ def q_c1_li(spark, sf_dir):
 @register("c2_correlation_lower_triangle", sql_with(
     select=f"SELECT * FROM ({corr_sql('persons', NUM)}) WHERE j <= i"))
 def q_c2(spark, sf_dir):
-    return co.correlation_lower_triangle(co.correlation_matrix(persons(spark, sf_dir), NUM))
+    return co.correlation_lower_triangle(co.correlation_matrix(persons_input(spark, sf_dir), NUM))
 
 
 @register("c3_high_correlation_pairs", sql_with(
     select=f"SELECT feature1, feature2, r AS correlation FROM ({corr_sql('persons', NUM)}) "
            "WHERE i < j AND ABS(r) > 0.7"))
 def q_c3(spark, sf_dir):
-    return co.high_correlation_pairs(co.correlation_matrix(persons(spark, sf_dir), NUM), 0.7)
+    return co.high_correlation_pairs(co.correlation_matrix(persons_input(spark, sf_dir), NUM), 0.7)

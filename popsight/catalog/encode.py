@@ -9,8 +9,8 @@ from ..operators import encode as en
 from ..operators.missing import drop_duplicates, sentinels_to_null
 from ..operators.project import feature_group_lists
 from ..schema import PERSONS_ROLES
-from ..sources.tables import PERSONS_COLUMNS, persons
-from . import register, sql_with
+from ..sources.tables import PERSONS_COLUMNS
+from . import persons_input, register, sql_with
 
 COLS = [c for c, _ in PERSONS_COLUMNS if c != "score"]
 TYPES = dict(PERSONS_COLUMNS)
@@ -21,7 +21,7 @@ SEL = ", ".join(COLS)
 
 
 def raw(spark, sf_dir):
-    return persons(spark, sf_dir).drop("score")
+    return persons_input(spark, sf_dir).drop("score")
 
 
 def _round_numeric(df):
@@ -175,7 +175,7 @@ def q_e2(spark, sf_dir):
 @register("e3_encode_target", sql_with(select="""
   SELECT person_id, CAST(DENSE_RANK() OVER (ORDER BY label) - 1 AS INTEGER) AS label FROM persons"""))
 def q_e3(spark, sf_dir):
-    p = persons(spark, sf_dir)
+    p = persons_input(spark, sf_dir)
     return en.encode_target(p.select("person_id", "label"), en.target_classes(p, "label"))
 
 
@@ -188,7 +188,7 @@ def q_e3(spark, sf_dir):
         f"ROUND((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1 "
         f"ELSE s_{c} END, 9) AS {c}" for c in CONT) + " FROM persons, sc"))
 def q_e4(spark, sf_dir):
-    p = persons(spark, sf_dir).select("person_id", *CONT)
+    p = persons_input(spark, sf_dir).select("person_id", *CONT)
     return _round_numeric(en.standard_scale(p, CONT))
 
 

@@ -11,8 +11,8 @@ from ..operators import correlate as co
 from ..operators import encode as en
 from ..schema import PERSONS_ROLES
 from ..sources import io
-from ..sources.tables import PERSONS_COLUMNS, persons
-from . import register, sql_with
+from ..sources.tables import PERSONS_COLUMNS
+from . import persons_input, register, sql_with
 from .correlate import NUM
 from .encode import COLS, _e5_ctes, processed, raw
 
@@ -61,7 +61,7 @@ def q_s5(spark, sf_dir):
 
 @register("s6_write_matrix_csv")
 def q_s6(spark, sf_dir):
-    corr = co.correlation_matrix(persons(spark, sf_dir), NUM)
+    corr = co.correlation_matrix(persons_input(spark, sf_dir), NUM)
     path = io.scratch_path(spark, "corr")
     io.write_matrix_csv(co.correlation_wide(corr, NUM), path)
     return io.read_table(spark, path, "csv")
@@ -70,7 +70,7 @@ def q_s6(spark, sf_dir):
 @register("s7_write_report_json")
 def q_s7(spark, sf_dir):
     from ..operators import profile as pf
-    p = persons(spark, sf_dir)
+    p = persons_input(spark, sf_dir)
     summary = pf.dataset_summary(p)
     dist = pf.target_distribution(p, "label").agg(
         F.collect_list(F.struct("value", "count", "percentage")).alias("target_distribution"))

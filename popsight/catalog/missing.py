@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import null_tokens
 from ..operators import missing as mi
 from ..schema import PERSONS_ROLES
-from ..sources.tables import PERSONS_COLUMNS, persons, table
-from . import register, sql_with
+from ..sources.tables import PERSONS_COLUMNS, table
+from . import persons_input, register, sql_with
 
 COLS = [c for c, _ in PERSONS_COLUMNS]
 NUM = [c for c, t in PERSONS_COLUMNS if t != "string"]
@@ -30,7 +30,7 @@ NULLED_CTE = ("nulled", f"SELECT {NULLED_SELECT} FROM persons")
 
 
 def nulled(spark, sf_dir):
-    return mi.sentinels_to_null(persons(spark, sf_dir), PERSONS_ROLES)
+    return mi.sentinels_to_null(persons_input(spark, sf_dir), PERSONS_ROLES)
 
 
 def _union(template: str, cols: list[str]) -> str:
@@ -68,7 +68,7 @@ _M1_VALS = _union("SELECT {i} AS position, CAST({c} AS VARCHAR) AS value FROM pe
   FROM nc LEFT JOIN (SELECT * FROM num_ind UNION ALL SELECT * FROM str_ind) i
     ON nc.position = i.position"""))
 def q_m1(spark, sf_dir):
-    return mi.missing_profile(persons(spark, sf_dir), top_n=10)
+    return mi.missing_profile(persons_input(spark, sf_dir), top_n=10)
 
 
 _M2_ROWS = "\nUNION ALL ".join(
@@ -93,7 +93,7 @@ _M2_ROWS = "\nUNION ALL ".join(
          total, total / n * 100 AS percentage
   FROM t WHERE total > 0 ORDER BY percentage DESC, position LIMIT 15"""))
 def q_m2(spark, sf_dir):
-    return mi.implicit_missing_patterns(persons(spark, sf_dir), PERSONS_ROLES, top=15)
+    return mi.implicit_missing_patterns(persons_input(spark, sf_dir), PERSONS_ROLES, top=15)
 
 
 _M3_ROWS = "\nUNION ALL ".join(
@@ -111,7 +111,7 @@ _M3_ROWS = "\nUNION ALL ".join(
     select="SELECT CAST(position AS INTEGER) AS position, CAST(k AS INTEGER) AS k, column_name, "
            "indicator FROM r"))
 def q_m3(spark, sf_dir):
-    return mi.missing_indicator_map(persons(spark, sf_dir), PERSONS_ROLES)
+    return mi.missing_indicator_map(persons_input(spark, sf_dir), PERSONS_ROLES)
 
 
 @register("m4_sentinels_to_null", sql_with(NULLED_CTE, select="SELECT * FROM nulled"))
@@ -121,7 +121,7 @@ def q_m4(spark, sf_dir):
 
 @register("m5_drop_duplicates", sql_with(select="SELECT DISTINCT * FROM persons"))
 def q_m5(spark, sf_dir):
-    return mi.drop_duplicates(persons(spark, sf_dir))
+    return mi.drop_duplicates(persons_input(spark, sf_dir))
 
 
 @register("m5_duplicate_report", sql_with(select="""
@@ -131,14 +131,14 @@ def q_m5(spark, sf_dir):
   FROM (SELECT (SELECT COUNT(*) FROM persons) AS rows,
                (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM persons)) AS distinct_rows)"""))
 def q_m5_report(spark, sf_dir):
-    return mi.duplicate_report(persons(spark, sf_dir))
+    return mi.duplicate_report(persons_input(spark, sf_dir))
 
 
 @register("m6_count_duplicates", sql_with(select="""
   SELECT CAST((SELECT COUNT(*) FROM persons)
               - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM persons)) AS BIGINT) AS duplicate_rows"""))
 def q_m6(spark, sf_dir):
-    return mi.count_duplicates(persons(spark, sf_dir))
+    return mi.count_duplicates(persons_input(spark, sf_dir))
 
 
 @register("m7_columns_with_missing", sql_with(

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import WEEKS_BAND_SQL, age_bucket, weeks_band_segment
 from ..operators import profile as pf
-from ..sources.tables import PERSONS_COLUMNS, persons
-from . import register, sql_chain, sql_with
+from ..sources.tables import PERSONS_COLUMNS
+from . import persons_input, register, sql_chain, sql_with
 from .evaluate import histogram_sql
 from .missing import NULLED_CTE, nulled
 
@@ -33,7 +33,7 @@ def _types_sql(source: str) -> str:
 
 @register("a1_infer_column_types", sql_with(select=_types_sql("persons")))
 def q_a1(spark, sf_dir):
-    return pf.infer_column_types(persons(spark, sf_dir))
+    return pf.infer_column_types(persons_input(spark, sf_dir))
 
 
 def _stats_sql(source: str, cols: list[str], names=("column_name", "q25", "q75")) -> str:
@@ -56,7 +56,7 @@ def q_a2(spark, sf_dir):
 @register("a3_describe_numeric", sql_with(select=_stats_sql(
     "persons", list(pf.SUMMARY_COLUMNS), ("feature", "q1", "q3"))))
 def q_a3(spark, sf_dir):
-    return pf.describe_numeric(persons(spark, sf_dir))
+    return pf.describe_numeric(persons_input(spark, sf_dir))
 
 
 def top_values_sql(counts_sql: str, top_n: int = 10, other: str = "other",
@@ -84,7 +84,7 @@ def counts_sql(source: str, cols: list[str]) -> str:
 
 @register("a4_value_distribution", sql_chain(top_values_sql(counts_sql("persons", ["birth_country"]))))
 def q_a4(spark, sf_dir):
-    return pf.value_distribution(persons(spark, sf_dir), "birth_country", 10)
+    return pf.value_distribution(persons_input(spark, sf_dir), "birth_country", 10)
 
 
 @register("a4_value_distribution_lineitem", top_values_sql(counts_sql("lineitem", ["l_suppkey"])))
@@ -99,7 +99,7 @@ _A5_COLS = ["education", "marital_stat", "race", "sex"]
 @register("a5_categorical_top", sql_chain(
     top_values_sql(counts_sql("persons", _A5_COLS), 10, "Other", True)))
 def q_a5(spark, sf_dir):
-    return pf.categorical_top(persons(spark, sf_dir), _A5_COLS, 10)
+    return pf.categorical_top(persons_input(spark, sf_dir), _A5_COLS, 10)
 
 
 @register("a6_low_cardinality_distributions", sql_chain(
@@ -108,14 +108,14 @@ def q_a5(spark, sf_dir):
         f"(SELECT column_name FROM ({_types_sql('persons')}) "
         "WHERE inferred_type <> 'continuous_numeric' OR n_distinct < 50)")))
 def q_a6(spark, sf_dir):
-    return pf.low_cardinality_distributions(persons(spark, sf_dir))
+    return pf.low_cardinality_distributions(persons_input(spark, sf_dir))
 
 
 @register("a7_target_distribution", sql_with(select="""
   SELECT label AS value, COUNT(*) AS count, COUNT(*) / SUM(COUNT(*)) OVER () * 100 AS percentage
   FROM persons GROUP BY label"""))
 def q_a7(spark, sf_dir):
-    return pf.target_distribution(persons(spark, sf_dir), "label")
+    return pf.target_distribution(persons_input(spark, sf_dir), "label")
 
 
 @register("a7_target_distribution_lineitem", """
@@ -129,7 +129,7 @@ def q_a7_li(spark, sf_dir):
 @register("a8_imbalance_ratio", sql_with(select="""
   SELECT MAX(c) / MIN(c) AS imbalance_ratio FROM (SELECT COUNT(*) AS c FROM persons GROUP BY label)"""))
 def q_a8(spark, sf_dir):
-    return pf.imbalance_ratio(persons(spark, sf_dir), "label")
+    return pf.imbalance_ratio(persons_input(spark, sf_dir), "label")
 
 
 @register("a9_weight_summary", sql_with(select="""
@@ -139,7 +139,7 @@ def q_a8(spark, sf_dir):
          COUNT(*) FILTER (WHERE weight < 0) AS negative_weights
   FROM persons WHERE weight IS NOT NULL"""))
 def q_a9(spark, sf_dir):
-    return pf.weight_summary(persons(spark, sf_dir), "weight")
+    return pf.weight_summary(persons_input(spark, sf_dir), "weight")
 
 
 @register("a10_dataset_summary", sql_with(NULLED_CTE, select=f"""
@@ -159,7 +159,7 @@ def q_a10(spark, sf_dir):
            AS scale_pos_weight
   FROM persons"""))
 def q_a12(spark, sf_dir):
-    return pf.scale_pos_weight(persons(spark, sf_dir), "label", "50000+.")
+    return pf.scale_pos_weight(persons_input(spark, sf_dir), "label", "50000+.")
 
 
 _A14_LONG = "\nUNION ALL ".join(
@@ -176,7 +176,7 @@ _A14_CTES, _A14_SELECT = histogram_sql("hl", "value", "feature")
     select="SELECT h.feature, bin, bin_lower, bin_upper, count, mean, median "
            "FROM h JOIN st ON h.feature = st.feature"))
 def q_a14(spark, sf_dir):
-    return pf.numeric_histogram(persons(spark, sf_dir))
+    return pf.numeric_histogram(persons_input(spark, sf_dir))
 
 
 def _crosstab_sql(group_expr: str, order: bool = False, top: int | None = None) -> str:
@@ -200,22 +200,22 @@ _AGE_SQL = ("CASE WHEN age > 0 AND age <= 25 THEN '0-25' WHEN age > 25 AND age <
 
 @register("a15_income_crosstab_education", sql_with(select=_crosstab_sql("education", True, 10)))
 def q_a15_edu(spark, sf_dir):
-    return pf.income_crosstab(persons(spark, sf_dir), "education", sort_by_positive=True, top=10)
+    return pf.income_crosstab(persons_input(spark, sf_dir), "education", sort_by_positive=True, top=10)
 
 
 @register("a15_income_crosstab_age", sql_with(select=_crosstab_sql(_AGE_SQL)))
 def q_a15_age(spark, sf_dir):
-    return pf.income_crosstab(persons(spark, sf_dir), age_bucket("age"))
+    return pf.income_crosstab(persons_input(spark, sf_dir), age_bucket("age"))
 
 
 @register("a15_income_crosstab_marital", sql_with(select=_crosstab_sql("marital_stat", True)))
 def q_a15_marital(spark, sf_dir):
-    return pf.income_crosstab(persons(spark, sf_dir), "marital_stat", sort_by_positive=True)
+    return pf.income_crosstab(persons_input(spark, sf_dir), "marital_stat", sort_by_positive=True)
 
 
 @register("a15_income_crosstab_sex", sql_with(select=_crosstab_sql("sex")))
 def q_a15_sex(spark, sf_dir):
-    return pf.income_crosstab(persons(spark, sf_dir), "sex")
+    return pf.income_crosstab(persons_input(spark, sf_dir), "sex")
 
 
 def _box_sql(value: str) -> str:
@@ -234,13 +234,13 @@ def _box_sql(value: str) -> str:
 
 @register("a16_boxplot_stats_age", sql_chain(_box_sql("age")))
 def q_a16_age(spark, sf_dir):
-    p = persons(spark, sf_dir).withColumn("segment", weeks_band_segment("weeks_worked"))
+    p = persons_input(spark, sf_dir).withColumn("segment", weeks_band_segment("weeks_worked"))
     return pf.boxplot_stats(p, "age", "segment")
 
 
 @register("a16_boxplot_stats_weeks", sql_chain(_box_sql("weeks_worked")))
 def q_a16_weeks(spark, sf_dir):
-    p = persons(spark, sf_dir).withColumn("segment", weeks_band_segment("weeks_worked"))
+    p = persons_input(spark, sf_dir).withColumn("segment", weeks_band_segment("weeks_worked"))
     return pf.boxplot_stats(p, "weeks_worked", "segment")
 
 
@@ -258,7 +258,7 @@ def q_a16_li(spark, sf_dir):
          COUNT(*) / SUM(COUNT(*)) OVER () * 100 AS percentage
   FROM persons GROUP BY 1"""))
 def q_a17(spark, sf_dir):
-    p = persons(spark, sf_dir).withColumn("segment", weeks_band_segment("weeks_worked"))
+    p = persons_input(spark, sf_dir).withColumn("segment", weeks_band_segment("weeks_worked"))
     return pf.segment_sizes(p, "segment")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import project as pr
 from ..schema import PERSONS_ROLES
-from ..sources.tables import PERSONS_COLUMNS, persons
-from . import register, sql_with
+from ..sources.tables import PERSONS_COLUMNS
+from . import persons_input, register, sql_with
 
 COLS = [c for c, _ in PERSONS_COLUMNS]
 NUM = [c for c, t in PERSONS_COLUMNS if t != "string"]
@@ -20,20 +20,20 @@ def _cols(cols) -> str:
 @register("p1_split_features_target", sql_with(
     select=f"SELECT {_cols(c for c in COLS if c not in ('label', 'weight'))} FROM persons"))
 def q_p1(spark, sf_dir):
-    x, _, _ = pr.split_features_target(persons(spark, sf_dir), PERSONS_ROLES)
+    x, _, _ = pr.split_features_target(persons_input(spark, sf_dir), PERSONS_ROLES)
     return x
 
 
 @register("p2_select_available", sql_with(
     select=f"SELECT {_cols(c for c in pr.SEGMENTATION_FEATURES if c in COLS)} FROM persons"))
 def q_p2(spark, sf_dir):
-    return pr.select_available(persons(spark, sf_dir), list(pr.SEGMENTATION_FEATURES))
+    return pr.select_available(persons_input(spark, sf_dir), list(pr.SEGMENTATION_FEATURES))
 
 
 @register("p3_numeric_columns", sql_with(
     select=f"SELECT {_cols(c for c in NUM if c not in ('label', 'weight', 'year'))} FROM persons"))
 def q_p3(spark, sf_dir):
-    return pr.numeric_columns(persons(spark, sf_dir), exclude=("label", "weight", "year"))
+    return pr.numeric_columns(persons_input(spark, sf_dir), exclude=("label", "weight", "year"))
 
 
 def _values(rows) -> str:
@@ -51,7 +51,7 @@ _P4_ROWS = [(i, c, "numeric" if c in _P4_NUM else "categorical") for i, c in enu
   FROM ({_values(_P4_ROWS)}) v(position, feature, feature_group)
   WHERE (SELECT COUNT(*) FROM persons) >= 0"""))
 def q_p4(spark, sf_dir):
-    return pr.feature_groups(persons(spark, sf_dir), PERSONS_ROLES)
+    return pr.feature_groups(persons_input(spark, sf_dir), PERSONS_ROLES)
 
 
 @register("p5_detect_roles", sql_with(select=f"""
@@ -60,14 +60,14 @@ def q_p4(spark, sf_dir):
   WHERE (SELECT COUNT(*) FROM persons) >= 0"""))
 def q_p5(spark, sf_dir):
     # the survey layout ends with the label: drop the fixture's extra score column
-    return pr.detect_roles(persons(spark, sf_dir).drop("score"))
+    return pr.detect_roles(persons_input(spark, sf_dir).drop("score"))
 
 
 @register("p6_positive_subset", sql_with(
     select="SELECT person_id, wage_per_hour FROM persons WHERE wage_per_hour > 0 "
            "AND wage_per_hour < 2000"))
 def q_p6(spark, sf_dir):
-    return pr.positive_subset(persons(spark, sf_dir), "wage_per_hour", 2000).select(
+    return pr.positive_subset(persons_input(spark, sf_dir), "wage_per_hour", 2000).select(
         "person_id", "wage_per_hour")
 
 
@@ -81,7 +81,7 @@ def q_p6(spark, sf_dir):
          WHEN age > 55 AND age <= 65 THEN 5 WHEN age > 65 AND age <= 100 THEN 6 END AS age_group_order
   FROM persons"""))
 def q_p7(spark, sf_dir):
-    return pr.with_age_bucket(persons(spark, sf_dir).select("person_id", "age"))
+    return pr.with_age_bucket(persons_input(spark, sf_dir).select("person_id", "age"))
 
 
 PERSONA_CASE = """CASE WHEN {a} < 25 THEN 'Young Adults (18-24)' WHEN {a} < 35 THEN 'Early Career (25-34)'
@@ -93,13 +93,13 @@ PERSONA_CASE = """CASE WHEN {a} < 25 THEN 'Young Adults (18-24)' WHEN {a} < 35 T
     select=f"SELECT person_id, age, {PERSONA_CASE.format(a='CAST(age AS DOUBLE)')} AS age_group "
            "FROM persons"))
 def q_p8(spark, sf_dir):
-    return pr.with_persona_age_group(persons(spark, sf_dir).select("person_id", "age"))
+    return pr.with_persona_age_group(persons_input(spark, sf_dir).select("person_id", "age"))
 
 
 @register("p9_truncate_label", sql_with(select="""
   SELECT migration, substring(migration, 1, 30) AS migration_label, COUNT(*) AS n
   FROM persons GROUP BY migration"""))
 def q_p9(spark, sf_dir):
-    counts = persons(spark, sf_dir).groupBy("migration").agg(F.count("*").alias("n"))
+    counts = persons_input(spark, sf_dir).groupBy("migration").agg(F.count("*").alias("n"))
     return pr.with_truncated_label(counts, "migration", 30).select(
         "migration", "migration_label", "n")

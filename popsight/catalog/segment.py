@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import WEEKS_BAND_SQL, weeks_band_segment
 from ..operators import segment as sg
-from ..sources.tables import persons, table
-from . import register, sql_with
+from ..sources.tables import table
+from . import persons_input, register, sql_with
 from .project import PERSONA_CASE
 
 
@@ -102,7 +102,7 @@ def q_k6(spark, sf_dir):
 
 
 def seg_persons(spark, sf_dir):
-    p = persons(spark, sf_dir)
+    p = persons_input(spark, sf_dir)
     return p.withColumn("segment", weeks_band_segment("weeks_worked")).withColumn(
         "label", F.when(F.col("label") == "50000+.", 1).otherwise(0))
 

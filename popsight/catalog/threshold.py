@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import predict_with_threshold
 from ..operators import evaluate as ev
 from ..operators import threshold as th
-from ..sources.tables import persons
-from . import register, sql_with
+from . import persons_input, register, sql_with
 
 
 def scored(spark, sf_dir):
-    return ev.scored_table(persons(spark, sf_dir), label="label", positive="50000+.",
+    return ev.scored_table(persons_input(spark, sf_dir), label="label", positive="50000+.",
                            score="score")
 
 
@@ -168,7 +167,7 @@ def q_t10(spark, sf_dir):
          CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction
   FROM persons"""))
 def q_p10(spark, sf_dir):
-    p = persons(spark, sf_dir)
+    p = persons_input(spark, sf_dir)
     return p.select("person_id",
                     F.when(F.col("label") == "50000+.", 1).otherwise(0).alias("label"),
                     "score", predict_with_threshold("score", 0.5).alias("prediction"))

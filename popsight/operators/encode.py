@@ -54,9 +54,11 @@ def fit_label_codes(df: DataFrame, cols: list[str], max_map_entries: int = 10_00
     codes = label_encode_fit(df, cols)
     if not cols:
         return LabelCodes(cols, maps={})
-    if codes.count() <= max_map_entries:
+    # size check and fetch in one job: at most max_map_entries + 1 rows move
+    head = codes.limit(max_map_entries + 1).collect()
+    if len(head) <= max_map_entries:
         maps: dict[str, dict[str, int]] = {c: {} for c in cols}
-        for r in codes.collect():
+        for r in head:
             maps[r["column_name"]][r["value"]] = r["code"]
         return LabelCodes(cols, maps=maps)
     return LabelCodes(cols, table=codes)
@@ -226,8 +228,16 @@ def preprocess_fit(df: DataFrame, roles: Roles = PERSONS_ROLES, dedup: bool = Tr
     numeric, categorical = feature_group_lists(base, roles)
     meds, mo = _fit_fill(base, numeric, categorical)
     imputed = _fill(base, meds, mo, numeric, categorical)
-    classes = target_classes(imputed, roles.label)
-    codes = fit_label_codes(imputed, categorical, max_map_entries)
+    # target classes are the label's codes: fitted in the same job as the rest
+    both = fit_label_codes(imputed, categorical + [roles.label], max_map_entries)
+    if both.maps is not None:
+        label_codes = both.maps.pop(roles.label)
+        classes = [v for v, _ in sorted(label_codes.items(), key=lambda kv: kv[1])]
+        codes = LabelCodes(categorical, maps=both.maps)
+    else:
+        classes = target_classes(imputed, roles.label)
+        codes = LabelCodes(categorical, table=both.table.where(
+            F.col("column_name") != roles.label))
     scaler = standard_scale_fit(imputed, numeric)
     fitted = Preprocessor(roles, numeric, categorical, meds, mo, classes, codes, scaler)
     return fitted, _encode_scale(imputed, fitted)
