@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..schema import PERSONS_ROLES, Roles, is_numeric, q
-from .missing import drop_duplicates, modes, sentinels_to_null
+from .missing import drop_duplicates, medians, modes, sentinels_to_null
 from .project import feature_group_lists
 
 # ---------------------------------------------------------------- E1 / E2
@@ -187,8 +187,7 @@ class Preprocessor:
 def _fit_fill(df: DataFrame, numeric: list[str], categorical: list[str]):
     meds: dict[str, float | None] = {}
     if numeric:
-        row = df.agg(*[F.median(F.col(q(c)).cast("double")).alias(c) for c in numeric]).first()
-        meds = {c: row[c] for c in numeric}
+        meds = medians(df, numeric)
     mo: dict[str, tuple[str | None, float | None]] = {}
     if categorical:
         for r in modes(df, categorical).collect():   # one row per column

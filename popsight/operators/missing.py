@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.quantiles import exact_percentile_columns
 from ..schema import PERSONS_ROLES, Roles, is_numeric, is_string, q
 
 # Sentinel spellings.
@@ -232,22 +233,26 @@ def columns_with_missing(df: DataFrame) -> DataFrame:
             .where(F.col("missing_count") > 0))
 
 
-def medians(df: DataFrame, cols: list[str], approx: bool = False) -> Column:
-    """One scalar subquery: struct of each column's median (exact by default;
-    ``approx`` switches to the percentile sketch for huge distinct counts)."""
-    agg = [(F.percentile_approx(F.col(q(c)).cast("double"), 0.5, 10000) if approx
-            else F.median(F.col(q(c)).cast("double"))).alias(c) for c in cols]
-    return df.agg(F.struct(*agg).alias("m")).scalar()
+def medians(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, float | None]:
+    """Each column's median: exact by default (distributed order-statistic
+    search, see :mod:`popsight.plans.quantiles`), or the percentile sketch
+    with ``approx=True``."""
+    if approx:
+        row = df.agg(*[F.percentile_approx(F.col(q(c)).cast("double"), 0.5, 10000).alias(c)
+                       for c in cols]).first()
+        return {c: row[c] for c in cols}
+    return {c: v[0] for c, v in exact_percentile_columns(df, cols, [0.5]).items()}
 
 
 def impute_median(df: DataFrame, cols: list[str], approx: bool = False,
-                  fitted: Column | None = None) -> DataFrame:
+                  fitted: dict[str, float | None] | None = None) -> DataFrame:
     """M8: numeric nulls -> the column's exact (interpolated) median. Columns
     without nulls are unchanged in value (the fill is a ``coalesce``)."""
     if not cols:
         return df
     m = fitted if fitted is not None else medians(df, cols, approx)
-    fill = {c: F.coalesce(F.col(q(c)).cast("double"), m.getField(c)).alias(c) for c in cols}
+    fill = {c: F.coalesce(F.col(q(c)).cast("double"), F.lit(m.get(c)).cast("double")).alias(c)
+            for c in cols}
     return df.select(*[fill.get(c, F.col(q(c))) for c in df.columns])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..plans.histogram import equal_width_histogram
+from ..plans.quantiles import exact_percentile_columns, exact_percentiles
 from ..plans.topk import top_k_per_group
 from ..schema import is_numeric, q
 from .missing import _lit, _stack, duplicate_report, unpivot_values
@@ -63,15 +64,21 @@ def infer_column_types(df: DataFrame, ratio_limit: float = 0.05, distinct_limit:
                           "n_distinct", "n_rows", kind.alias("inferred_type"))
 
 
+def _dlit(v) -> str:
+    return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
+
+
 def _num_stats(df: DataFrame, cols: list[str], names: dict[str, str]) -> DataFrame:
+    # quartiles: exact, distributed order statistics (no value map in one task)
+    qs = exact_percentile_columns(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(q(c)).cast("double")
         aggs += [F.min(x).alias(f"_mn{i}"), F.max(x).alias(f"_mx{i}"),
                  F.avg(x).alias(f"_av{i}"), F.stddev_samp(x).alias(f"_sd{i}"),
-                 F.percentile(x, [0.25, 0.5, 0.75]).alias(f"_p{i}"), F.count(x).alias(f"_c{i}")]
-    rows = [[str(i), _lit(c), f"_mn{i}", f"_mx{i}", f"_av{i}", f"_sd{i}", f"_p{i}[0]",
-             f"_p{i}[1]", f"_p{i}[2]", f"_c{i}"] for i, c in enumerate(cols)]
+                 F.count(x).alias(f"_c{i}")]
+    rows = [[str(i), _lit(c), f"_mn{i}", f"_mx{i}", f"_av{i}", f"_sd{i}", _dlit(qs[c][0]),
+             _dlit(qs[c][1]), _dlit(qs[c][2]), f"_c{i}"] for i, c in enumerate(cols)]
     long = _stack(df.agg(*aggs), rows, ["position", "column_name", "min", "max", "mean", "std",
                                         "q25", "median", "q75", "n"])
     r9 = lambda c: F.round(F.col(c), 9)  # noqa: E731  float sums: order-independent digits
@@ -181,9 +188,11 @@ def weight_summary(df: DataFrame, weight: str = "weight") -> DataFrame:
     """Min, max, mean, median, sample std, zero and negative counts over
     non-null weights."""
     w = F.col(q(weight)).cast("double")
+    med = exact_percentile_columns(df, [weight], [0.5])[weight][0]
     return df.where(w.isNotNull()).agg(
         F.min(w).alias("min"), F.max(w).alias("max"), F.round(F.avg(w), 9).alias("mean"),
-        F.round(F.median(w), 9).alias("median"), F.round(F.stddev_samp(w), 9).alias("std"),
+        F.round(F.lit(med).cast("double"), 9).alias("median"),
+        F.round(F.stddev_samp(w), 9).alias("std"),
         F.count_if(w == 0).alias("zero_weights"), F.count_if(w < 0).alias("negative_weights"))
 
 
@@ -232,8 +241,10 @@ def numeric_histogram(df: DataFrame, rules=HISTOGRAM_RULES, bins: int = 50) -> D
     long = df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("kv")
                      ).select("kv.feature", "kv.value")
     hist = equal_width_histogram(long, "value", bins, by=["feature"], small_groups=True)
-    stats = long.groupBy("feature").agg(F.round(F.avg("value"), 9).alias("mean"),
-                                        F.round(F.median("value"), 9).alias("median"))
+    med = exact_percentiles(long, ["feature"], "value", [0.5]).select(
+        "feature", F.round("value", 9).alias("median"))              # one row per feature
+    stats = long.groupBy("feature").agg(F.round(F.avg("value"), 9).alias("mean")) \
+        .join(F.broadcast(med), "feature")
     return hist.join(F.broadcast(stats), "feature").select(
         "feature", "bin", "bin_lower", "bin_upper", "count", "mean", "median")
 
@@ -266,9 +277,10 @@ def boxplot_stats(df: DataFrame, value: str, by: str, whis: float = 1.5,
     points within 1.5 IQR of the box, and the count of points outside."""
     x = F.col(q(value)).cast("double")
     data = df.select(F.col(q(by)).alias("group"), x.alias("x")).where(F.col("x").isNotNull())
-    qs = data.groupBy("group").agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("p")).select(
-        "group", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"),
-        F.col("p")[2].alias("q3"))
+    qs = (exact_percentiles(data, ["group"], "x", [0.25, 0.5, 0.75])
+          .groupBy("group").pivot("p_index", [0, 1, 2]).agg(F.first("value"))
+          .select("group", F.col("0").alias("q1"), F.col("1").alias("median"),
+                  F.col("2").alias("q3")))
     qs = qs.withColumn("lo_fence", F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))) \
            .withColumn("hi_fence", F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1")))
     side = F.broadcast(qs) if small_groups else qs

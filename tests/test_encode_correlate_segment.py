@@ -134,3 +134,19 @@ def test_top_k_per_group_exact(spark):
     for g, grp in pdf.groupby("g"):
         exp = grp.sort_values(["count", "value"], ascending=[False, True]).head(7)
         assert list(got[got.g == g].sort_values("rank").value) == list(exp.value)
+
+
+def test_exact_percentiles_multilevel_match_spark(spark):
+    from popsight.plans.quantiles import exact_percentiles
+    rng = np.random.default_rng(0)
+    vals = np.concatenate([rng.normal(size=3000), np.full(2000, 1.5), rng.uniform(-1e3, 1e3, 1000)])
+    df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(vals)], "g int, v double")
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0, 0.333]
+    # tiny bins / final size force several refinement levels
+    got = exact_percentiles(df, ["g"], "v", probs, bins=8, final_rows=50).toPandas()
+    for g in range(3):
+        exp = df.where(F.col("g") == g).agg(F.percentile("v", probs)).first()[0]
+        mine = got[got.g == g].sort_values("p_index").value.tolist()
+        assert np.allclose(mine, exp, rtol=0, atol=1e-12)
+    one = exact_percentiles(df, [], "v", probs, bins=8, final_rows=50).sort("p_index").toPandas()
+    assert np.allclose(one.value, df.agg(F.percentile("v", probs)).first()[0], atol=1e-12)
