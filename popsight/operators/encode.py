@@ -27,16 +27,36 @@ from .project import feature_group_lists
 # ---------------------------------------------------------------- E1 / E2
 
 
-def label_encode_fit(df: DataFrame, cols: list[str]) -> DataFrame:
+def label_encode_fit(df: DataFrame, cols: list[str], partitions: int | None = None
+                     ) -> DataFrame:
     """(column_name, value, code) with codes 0..n-1 in ascending string
-    order of the column's distinct values (cast to string)."""
+    order of the column's distinct values (cast to string).
+
+    No task holds a whole column: the distinct (column, value) pairs are
+    range-partitioned on (column, value), their partition ids pinned by a
+    reliable checkpoint, ranked inside each partition, and shifted by the
+    number of the column's values in earlier partitions (a bounded table of
+    counts per partition and column)."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(q(c)).cast("string").alias("value"))
         for c in cols])).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
     distinct = long.groupBy("column_name", "value").agg(F.lit(1).alias("_one")).drop("_one")
-    w = Window.partitionBy("column_name").orderBy("value")
-    return distinct.select("column_name", "value",
-                           (F.row_number().over(w) - 1).cast("int").alias("code"))
+    spark = df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    ensure_checkpoint_dir(spark)
+    ranged = (distinct.repartitionByRange(n_parts, "column_name", "value")
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    per = ranged.groupBy("_pid", "column_name").agg(F.count("*").alias("_n"))
+    before = (Window.partitionBy("column_name").orderBy("_pid")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    # <= partitions x columns rows: bounded, broadcast
+    offs = per.select("_pid", "column_name",
+                      F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_pid", "column_name").orderBy("value")
+    return (ranged.join(F.broadcast(offs), ["_pid", "column_name"])
+            .select("column_name", "value",
+                    (F.row_number().over(local) - 1 + F.col("_off")).cast("int").alias("code")))
 
 
 @dataclass

@@ -31,6 +31,8 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 50,
     broadcast."""
     keys = list(by or [])
     x = F.col(value).cast("double")
+    if not keys:
+        return _single_histogram(df, x, bins)
     data = df.select(*keys, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     stats = data.groupBy(*keys).agg(F.min("x").alias("mn"), F.max("x").alias("mx"),
                                     F.count("*").alias("n"))
@@ -48,7 +50,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 50,
     below = F.col("x") < _edge(lo, hi, step, c, bins)
     above = (c != F.lit(bins - 1)) & (F.col("x") >= _edge(lo, hi, step, c + 1, bins))
     b = F.when(below, c - 1).when(above, c + 1).otherwise(c).cast("int")
-    joined = data.join(params, keys) if keys else data.crossJoin(params)
+    joined = data.join(params, keys)
     counts = joined.select(*keys, b.alias("bin")).groupBy(*keys, "bin").agg(
         F.count("*").alias("count"))
 
@@ -64,3 +66,31 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 50,
                / F.col("n").cast("double"))
     return out.select(*keys, "bin", "bin_lower", "bin_upper", "count",
                       density.alias("density"), "n")
+
+
+def _single_histogram(df: DataFrame, x: Column, bins: int) -> DataFrame:
+    """One group: its min/max/count (one row) become literals, so binning is
+    a projection and no join is needed."""
+    data = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    st = data.agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count("*").alias("n")).first()
+    schema = "bin int, bin_lower double, bin_upper double, count bigint, density double, n bigint"
+    if not st["n"]:
+        return df.sparkSession.createDataFrame([], schema)
+    lo_v, hi_v = (st["mn"] - 0.5, st["mx"] + 0.5) if st["mn"] == st["mx"] else (st["mn"], st["mx"])
+    lo, hi = F.lit(float(lo_v)), F.lit(float(hi_v))
+    step = F.lit((hi_v - lo_v) / float(bins))
+    guess = F.floor((F.col("x") - lo) / (hi - lo) * F.lit(float(bins)))
+    c = F.least(F.greatest(guess, F.lit(0)), F.lit(bins - 1))
+    below = F.col("x") < _edge(lo, hi, step, c, bins)
+    above = (c != F.lit(bins - 1)) & (F.col("x") >= _edge(lo, hi, step, c + 1, bins))
+    b = F.when(below, c - 1).when(above, c + 1).otherwise(c).cast("int")
+    counts = data.select(b.alias("bin")).groupBy("bin").agg(F.count("*").alias("count"))
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    i = F.col("bin")
+    out = grid.join(counts, "bin", "left").select(
+        "bin", _edge(lo, hi, step, i, bins).alias("bin_lower"),
+        _edge(lo, hi, step, i + 1, bins).alias("bin_upper"),
+        F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
+    n = F.lit(int(st["n"]))
+    return out.select("*", (F.col("count").cast("double") / (F.col("bin_upper") - F.col("bin_lower"))
+                            / n.cast("double")).alias("density"), n.alias("n"))
