@@ -42,8 +42,12 @@ def test_plans_have_no_cartesian_or_python(spark, name):
 
 
 def test_sweep_scan_is_pruned(spark):
-    plan = _plan(entry.queries()["t1_threshold_sweep"](spark, SF_SMALL))
+    from popsight.operators import evaluate as ev
+    from popsight.operators import threshold as th
+    scored = ev.scored_table(persons(spark, SF_SMALL), "label", "50000+.", "score")
+    plan = _plan(th.threshold_sweep(scored))
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+    assert plan.count("FileScan parquet") == 3        # lineitem, orders, customer once each
 
 
 def test_headerless_round_trip(spark):
