@@ -65,64 +65,79 @@ def exact_percentiles(long: DataFrame, group_cols: list[str], value: str, probs:
                 ids.append(by_rank[(g, r)])
             wanted.append((g, pi, pos, ids[0], ids[1]))
 
-    def frame(tids):
-        rows = [(*targets[t]["g"], t, int(targets[t]["r"]), float(targets[t]["lo"]),
-                 float(targets[t]["hi"]), int(targets[t]["below"])) for t in tids]
-        schema = ", ".join([f"`{k}` {dict(data.dtypes)[k]}" for k in keys]
-                           + ["_tid int", "_r long", "_lo double", "_hi double", "_below long"])
-        return spark.createDataFrame(rows, schema)
-
-    def within(tids):
+    # value counts per group: every later pass reads this map-side-combined
+    # table (one row per distinct value), not the rows themselves
+    counts = data.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
+    dtypes = dict(data.dtypes)
+
+    def ranges(tids):
+        """Open targets grouped by identical search range: one row per range."""
+        rng: dict[tuple, int] = {}
+        members: list[tuple[int, int, int]] = []          # (range id, tid, rank)
+        for t in tids:
+            s_ = targets[t]
+            k = (s_["g"], s_["lo"], s_["hi"], s_["below"])
+            rid = rng.setdefault(k, len(rng))
+            members.append((rid, t, int(s_["r"])))
+        rows = [(*k[0], rid, float(k[1]), float(k[2]), int(k[3])) for k, rid in rng.items()]
+        return rows, members
+
+    def within(rows):
         if keys:
-            # bounded side (one row per open target): broadcast hash join on the group
-            j = data.join(F.broadcast(frame(tids)), keys)
+            schema = ", ".join([f"`{k}` {dtypes[k]}" for k in keys]
+                               + ["_rid int", "_lo double", "_hi double", "_below long"])
+            # bounded side (one row per open range): broadcast hash join on the group
+            j = counts.join(F.broadcast(spark.createDataFrame(rows, schema)), keys)
             return j.where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-        # one group: the few open targets travel as literals; each row keeps
-        # the targets whose range holds it (no join)
-        lits = F.array(*[F.struct(F.lit(t).alias("_tid"), F.lit(int(targets[t]["r"])).alias("_r"),
-                                  F.lit(float(targets[t]["lo"])).alias("_lo"),
-                                  F.lit(float(targets[t]["hi"])).alias("_hi"),
-                                  F.lit(int(targets[t]["below"])).alias("_below"))
-                         for t in tids])
+        # one group: the few open ranges travel as literals; each value keeps
+        # the ranges that hold it (no join)
+        lits = F.array(*[F.struct(F.lit(rid).alias("_rid"), F.lit(lo).alias("_lo"),
+                                  F.lit(hi).alias("_hi"), F.lit(below).alias("_below"))
+                         for rid, lo, hi, below in rows])
         x = F.col("_x")
         hit = F.filter(lits, lambda t: (x >= t.getField("_lo")) & (x <= t.getField("_hi")))
-        return data.select("_x", F.explode(hit).alias("_t")).select("_x", "_t.*")
+        return counts.select("_x", "_c", F.explode(hit).alias("_t")).select("_x", "_c", "_t.*")
+
+    def members_frame(members):
+        return F.broadcast(spark.createDataFrame(members, "_rid int, _tid int, _r long"))
 
     for _ in range(max_levels):
-        open_ = [t for t, s in targets.items() if s["value"] is None and s["count"] > final_rows]
+        open_ = [t for t, s_ in targets.items() if s_["value"] is None and s_["count"] > final_rows]
         if not open_:
             break
-        j = within(open_)
+        rows, members = ranges(open_)
+        j = within(rows)
         width = F.col("_hi") - F.col("_lo")
         b = F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(bins))),
                     F.lit(bins - 1)).cast("int")
-        agg = j.groupBy("_tid", "_r", "_below", b.alias("_bin")).agg(
-            F.count("*").alias("_c"), F.min("_x").alias("_bmin"), F.max("_x").alias("_bmax"))
-        w = Window.partitionBy("_tid").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-        cum = agg.withColumn("_cum", F.sum("_c").over(w))    # <= bins rows per target
+        agg = j.groupBy("_rid", "_below", b.alias("_bin")).agg(
+            F.sum("_c").alias("_c"), F.min("_x").alias("_bmin"), F.max("_x").alias("_bmax"))
+        w = Window.partitionBy("_rid").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        cum = agg.withColumn("_cum", F.sum("_c").over(w))    # <= bins rows per range
         start = F.col("_below") + F.col("_cum") - F.col("_c")
-        chosen = cum.where((start <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_cum")))
+        chosen = cum.join(members_frame(members), "_rid").where(
+            (start <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_cum")))
         for row in chosen.select("_tid", "_c", "_bmin", "_bmax", start.alias("_start")).collect():
-            s = targets[row["_tid"]]
-            s.update(lo=row["_bmin"], hi=row["_bmax"], below=row["_start"], count=row["_c"])
+            s_ = targets[row["_tid"]]
+            s_.update(lo=row["_bmin"], hi=row["_bmax"], below=row["_start"], count=row["_c"])
             if row["_bmin"] == row["_bmax"]:
-                s["value"] = row["_bmin"]
+                s_["value"] = row["_bmin"]
 
-    rest = [t for t, s in targets.items() if s["value"] is None]
+    rest = [t for t, s_ in targets.items() if s_["value"] is None]
     if rest:
-        j = within(rest)
-        cnt = j.groupBy("_tid", "_r", "_below", "_x").agg(F.count("*").alias("_c"))
-        w = Window.partitionBy("_tid").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-        cum = cnt.withColumn("_cum", F.sum("_c").over(w))    # <= final_rows values per target
+        rows, members = ranges(rest)
+        j = within(rows)
+        w = Window.partitionBy("_rid").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+        cum = j.withColumn("_cum", F.sum("_c").over(w))    # <= final_rows values per range
         start = F.col("_below") + F.col("_cum") - F.col("_c")
-        pick = cum.where((start <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_cum")))
+        pick = cum.join(members_frame(members), "_rid").where(
+            (start <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_cum")))
         for row in pick.select("_tid", "_x").collect():
             targets[row["_tid"]]["value"] = row["_x"]
 
     out = [(*g, pi, float(_interpolate(pos, targets[a]["value"], targets[b_]["value"])))
            for g, pi, pos, a, b_ in wanted]
-    schema = ", ".join([f"`{k}` {dict(data.dtypes)[k]}" for k in keys]
-                       + ["p_index int", "value double"])
+    schema = ", ".join([f"`{k}` {dtypes[k]}" for k in keys] + ["p_index int", "value double"])
     return spark.createDataFrame(out, schema)
 
 
