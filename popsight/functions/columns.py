@@ -120,3 +120,9 @@ def weeks_band_segment(weeks: str | Column = "weeks_worked") -> Column:
 
 WEEKS_BAND_SQL = ("CASE WHEN weeks_worked = 0 THEN 0 WHEN weeks_worked <= 39 THEN 1 "
                   "ELSE 2 END")
+
+
+def f1_score(precision: Column, recall: Column) -> Column:
+    """2PR / (P + R), 0 when both are 0 (the sweep's and report's F1)."""
+    return F.when(precision + recall > 0,
+                  F.lit(2.0) * precision * recall / (precision + recall)).otherwise(F.lit(0.0))

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, ratio, ratio_or_zero
+from ..functions.columns import col, f1_score, ratio, ratio_or_zero
 from ..plans.cumulative import running_totals
 from ..plans.histogram import equal_width_histogram
 
@@ -135,7 +135,7 @@ def pr_curve(scored: DataFrame) -> DataFrame:
 
 
 def _f1(p: Column, r: Column) -> Column:
-    return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
+    return f1_score(p, r)
 
 
 def overall_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, ratio_or_zero
+from ..functions.columns import col, f1_score, ratio_or_zero
 
 # The sweep grid 0.10, 0.11, ..., 0.90 (81 points).
 GRID_START = 0.1
@@ -76,9 +76,7 @@ def threshold_sweep(scored: DataFrame, label: str = "label", score: str = "score
     p = ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fp"))
     r = ratio_or_zero(F.col("tp"), F.col("tp") + F.col("fn"))
     out = out.withColumn("precision", p).withColumn("recall", r)
-    f1 = F.when(F.col("precision") + F.col("recall") > 0,
-                F.lit(2.0) * F.col("precision") * F.col("recall")
-                / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
+    f1 = f1_score(F.col("precision"), F.col("recall"))
     return out.select("threshold", "precision", "recall", f1.alias("f1"),
                       "tp", "fp", "tn", "fn")
 

@@ -138,3 +138,26 @@ def test_classification_report_rows(spark):
     rep = {r["class"]: r for r in ev.classification_report(df, 0.5).collect()}
     assert rep["1"].precision == 0.5 and rep["1"].recall == 0.5
     assert rep["accuracy"].f1_score == 0.5 and rep["accuracy"].support == 4
+
+
+def test_metrics_do_not_depend_on_row_order(spark):
+    rng = np.random.default_rng(21)
+    rows = [(int(a), float(b)) for a, b in zip(rng.integers(0, 2, 2000),
+                                                np.round(rng.uniform(0, 1, 2000), 2))]
+    a = ev.rank_metrics(scored(spark, rows)).first()
+    b = ev.rank_metrics(scored(spark, rows[::-1]).repartition(7)).first()
+    assert a.roc_auc == b.roc_auc and a.average_precision == b.average_precision
+    s1 = th.threshold_sweep(scored(spark, rows)).orderBy("threshold").collect()
+    s2 = th.threshold_sweep(scored(spark, rows[::-1]).repartition(5)).orderBy("threshold").collect()
+    assert s1 == s2
+
+
+def test_published_f1_arithmetic(spark):
+    from popsight.functions.columns import f1_score
+    # (threshold, precision, recall, published F1) from the baseline report
+    published = [(0.50, 0.478, 0.675, 0.560), (0.71, 0.580, 0.583, 0.582),
+                 (0.81, 0.649, 0.518, 0.576), (0.87, 0.701, 0.464, 0.558)]
+    df = spark.createDataFrame([(t, p, r) for t, p, r, _ in published], "t double, p double, r double")
+    got = [row[0] for row in df.orderBy("t").select(f1_score(F.col("p"), F.col("r"))).collect()]
+    for g, (_, _, _, f1) in zip(got, published):
+        assert abs(g - f1) < 0.0015
