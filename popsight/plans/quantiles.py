@@ -34,17 +34,25 @@ def _interpolate(pos: float, lo_v: float, hi_v: float) -> float:
 
 
 def exact_percentiles(long: DataFrame, group_cols: list[str], value: str, probs: list[float],
-                      bins: int = 1024, final_rows: int = 1_000_000, max_levels: int = 12
-                      ) -> DataFrame:
+                      bins: int = 1024, final_rows: int = 1_000_000, max_levels: int = 12,
+                      max_groups: int = 10_000) -> DataFrame:
     """Rows (*group_cols, p_index, value): the exact percentile ``probs[p_index]``
-    of ``value`` within each group (nulls and NaN ignored). Meant for a
-    bounded number of groups (columns, segments, classes)."""
+    of ``value`` within each group (nulls and NaN ignored). The search runs
+    for a bounded number of groups (columns, segments, classes); with more
+    than ``max_groups`` groups (checked before anything is collected) every
+    group is small by construction and a per-group ``percentile`` aggregate
+    is used instead."""
     spark = long.sparkSession
     keys = list(group_cols)
     data = long.select(*[F.col(g) for g in keys], F.col(value).cast("double").alias("_x")) \
         .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    stats = data.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_x").alias("mn"),
-                                    F.max("_x").alias("mx")).collect()   # one row per group
+    grouped = data.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_x").alias("mn"),
+                                      F.max("_x").alias("mx"))
+    stats = grouped.limit(max_groups + 1).collect()        # one row per group, size checked
+    if len(stats) > max_groups:
+        per = data.groupBy(*keys).agg(F.percentile("_x", list(probs)).alias("_p"))
+        return per.select(*keys, F.posexplode("_p").alias("p_index", "value")).select(
+            *keys, F.col("p_index").cast("int").alias("p_index"), "value")
 
     # targets: one per (group, needed order statistic)
     targets: dict[int, dict] = {}
