@@ -19,11 +19,6 @@ from ..schema import is_numeric, q
 from .missing import _lit, _stack, duplicate_report, unpivot_values
 
 
-def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column_name, n_distinct) -- non-null distinct values, via one
-    unpivot and a two-level grouped count."""
-    return (unpivot_values(df, cols).groupBy("column_name", "value").agg(F.lit(1).alias("_"))
-            .groupBy("column_name").agg(F.count("*").alias("n_distinct")))
 
 
 def column_value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

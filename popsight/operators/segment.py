@@ -75,15 +75,6 @@ def cluster_stats(points: DataFrame, features: str = "features", segment: str =
     return ClusterStats(sorted(n), n, mean, sq)
 
 
-def centroids_table(points: DataFrame, features: str = "features", segment: str = "segment"
-                    ) -> DataFrame:
-    """Per-segment mean vectors as a table (segment, centroid array<double>)."""
-    x = _x(features)
-    per_dim = (points.select(F.col(q(segment)).alias("segment"), F.posexplode(x).alias("pos", "v"))
-               .groupBy("segment", "pos").agg(F.avg("v").alias("mu")))
-    return per_dim.groupBy("segment").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "mu"))),
-                    lambda s: s.getField("mu")).alias("centroid"))
 
 
 def assign_nearest(points: DataFrame, centroids: dict[int, list[float]],

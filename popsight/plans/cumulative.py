@@ -4,7 +4,7 @@ A window ``orderBy`` with no ``partitionBy`` moves every row to one task.
 Curves over distinct scores (ROC, PR, average precision) need running totals
 over a table that can itself be data-sized (continuous scores), so the order
 range is cut into quantile buckets: bucket bounds come from one
-``approxQuantile`` sketch pass (a bounded list of ``buckets`` values), per-bucket
+``percentile_approx`` sketch (a bounded list of ``buckets`` values), per-bucket
 totals (<= buckets rows) give every bucket its offset, and a window
 partitioned by bucket finishes the sums in parallel. Bucket edges only decide
 which task does the work; the sums are exact whatever the bounds are.
@@ -20,32 +20,10 @@ from pyspark.sql import functions as F
 BUCKET_COL = "_bucket"
 
 
-def quantile_bounds(df: DataFrame, column: str, buckets: int = 200,
-                    rel_error: float = 0.001) -> list[float]:
-    """Sorted distinct finite cut points that split ``column`` into about
-    ``buckets`` equal-count ranges (one sketch pass, bounded result)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = df.approxQuantile(column, probs, rel_error)
-    return sorted({float(q) for q in qs if q is not None and math.isfinite(q)})
 
 
-def lazy_bounds(df: DataFrame, column: str, buckets: int = 64, accuracy: int = 10000) -> Column:
-    """Cut points as a scalar subquery (evaluated once, inside the same
-    query, so the exchange that feeds ``df`` is shared with the main plan)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(F.col(column), probs, accuracy).alias("b")).scalar()
 
 
-def bucket_of_lazy(value: Column, bounds: Column, n: int) -> Column:
-    """:func:`bucket_of` against an array-valued column of ``n`` sorted cut
-    points (e.g. a scalar subquery); a balanced CASE tree, no lambda."""
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= F.element_at(bounds, mid + 1), build(lo, mid)) \
-            .otherwise(build(mid + 1, hi))
-    return build(0, n)
 
 
 def bucket_of(value: Column, bounds: list[float]) -> Column:
@@ -66,14 +44,12 @@ def running_totals(df: DataFrame, order_col: str, value_cols: list[str],
     """Add ``cum_<c>`` = sum of ``c`` over all rows whose ``order_col`` comes at
     or before this row's in the given direction (inclusive). ``order_col``
     should be unique per row (group first). Without ``bounds`` the cut points
-    are a lazy sketch over ``df`` itself (no extra job)."""
+    come from one sketch pass over ``df``."""
     if bounds is None:
-        # bind the subquery once as a column; the CASE tree reads the column
-        g = df.withColumn("_bounds", lazy_bounds(df, order_col, buckets))
-        g = g.withColumn(BUCKET_COL, bucket_of_lazy(F.col(order_col), F.col("_bounds"),
-                                                    buckets - 1)).drop("_bounds")
-    else:
-        g = df.withColumn(BUCKET_COL, bucket_of(F.col(order_col), bounds))
+        probs = [i / buckets for i in range(1, buckets)]
+        qs = df.agg(F.percentile_approx(order_col, probs, 10000)).first()[0] or []
+        bounds = sorted({float(v) for v in qs if v is not None and math.isfinite(v)})
+    g = df.withColumn(BUCKET_COL, bucket_of(F.col(order_col), bounds))
 
     totals = g.groupBy(BUCKET_COL).agg(*[F.sum(c).alias(c) for c in value_cols])
     border = F.desc(BUCKET_COL) if descending else F.asc(BUCKET_COL)
