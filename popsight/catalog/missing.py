@@ -192,3 +192,42 @@ def q_s3(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber",
                      null_tokens("l_returnflag", ("N",)).alias("l_returnflag"))
+
+
+def _m1_sql(source: str, columns) -> str:
+    cols = [c for c, _ in columns]
+    pos = {c: i for i, c in enumerate(cols)}
+    num = [c for c, t in columns if t in ("bigint", "int", "double", "float")]
+    strs = [c for c, t in columns if t == "string"]
+    nc = "\nUNION ALL ".join(
+        f"SELECT {pos[c]} AS position, '{c}' AS column_name, "
+        f"COUNT(*) FILTER (WHERE {c} IS NULL) AS missing_count, COUNT(*) AS n FROM {source}"
+        for c in cols)
+    ni = "\nUNION ALL ".join(
+        f"SELECT {pos[c]} AS position, concat_ws(', ', CASE WHEN bool_or({c} = -1) THEN '-1' END, "
+        f"CASE WHEN bool_or({c} = 99) THEN '99' END, CASE WHEN bool_or({c} = 999) THEN '999' END) "
+        f"AS indicators FROM {source}" for c in num)
+    vals = "\nUNION ALL ".join(
+        f"SELECT {pos[c]} AS position, CAST({c} AS VARCHAR) AS value FROM {source}" for c in strs)
+    return f"""
+  WITH nc AS ({nc}), num_ind AS ({ni}), vals AS ({vals}),
+  cnt AS (SELECT position, value, COUNT(*) AS cnt FROM vals WHERE value IS NOT NULL
+          GROUP BY position, value),
+  rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY position ORDER BY cnt DESC, value) AS rn FROM cnt),
+  str_ind AS (SELECT position, string_agg(value, ', ' ORDER BY rn) AS indicators FROM rk
+              WHERE rn <= 10 AND trim(value) IN ('?', 'Unknown', 'Not in universe') GROUP BY position)
+  SELECT CAST(nc.position AS INTEGER) AS position, column_name,
+         CAST(missing_count AS BIGINT) AS missing_count, missing_count / n * 100 AS missing_percentage,
+         COALESCE(i.indicators, '') AS potential_missing_indicators
+  FROM nc LEFT JOIN (SELECT * FROM num_ind UNION ALL SELECT * FROM str_ind) i
+    ON nc.position = i.position"""
+
+
+def _lineitem_columns():
+    from .profile import LINEITEM_COLUMNS
+    return LINEITEM_COLUMNS
+
+
+@register("m1_missing_profile_lineitem", _m1_sql("lineitem", _lineitem_columns()))
+def q_m1_li(spark, sf_dir):
+    return mi.missing_profile(table(spark, sf_dir, "lineitem"), top_n=10)

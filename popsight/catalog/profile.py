@@ -17,11 +17,14 @@ NUM = [c for c, t in PERSONS_COLUMNS if t != "string"]
 STR = [c for c, t in PERSONS_COLUMNS if t == "string"]
 
 
-def _types_sql(source: str) -> str:
+def _types_sql(source: str, columns=None) -> str:
+    columns = list(columns or PERSONS_COLUMNS)
+    numeric = ("bigint", "int", "double", "float", "smallint", "tinyint")
     rows = "\nUNION ALL ".join(
-        f"SELECT {i} AS position, '{c}' AS column_name, '{TYPES[c]}' AS dtype, "
+        f"SELECT {i} AS position, '{c}' AS column_name, '{t}' AS dtype, "
         f"COUNT(DISTINCT {c}) AS n_distinct, COUNT(*) AS n_rows, "
-        f"{'true' if c in NUM else 'false'} AS numeric FROM {source}" for i, c in enumerate(COLS))
+        f"{'true' if t in numeric else 'false'} AS numeric FROM {source}"
+        for i, (c, t) in enumerate(columns))
     return f"""
   SELECT CAST(position AS INTEGER) AS position, column_name, dtype,
     CAST(n_distinct AS BIGINT) AS n_distinct, CAST(n_rows AS BIGINT) AS n_rows,
@@ -277,3 +280,18 @@ _A14E_CTES, _A14E_SELECT = histogram_sql("hl", "value", "feature")
 def q_a14_events(spark, sf_dir):
     from ..sources.tables import table
     return pf.numeric_histogram(table(spark, sf_dir, "events"), rules=(("value", None, None),))
+
+
+# lineitem's columns and Spark types (second input).
+LINEITEM_COLUMNS = (
+    ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+    ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+    ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
+    ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz"),
+)
+
+
+@register("a1_infer_column_types_lineitem", _types_sql("lineitem", LINEITEM_COLUMNS))
+def q_a1_li(spark, sf_dir):
+    from ..sources.tables import table
+    return pf.infer_column_types(table(spark, sf_dir, "lineitem"))
