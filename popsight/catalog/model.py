@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import weeks_band_segment  # noqa: F401  (oracle-mode twin)
 from ..operators import encode as en
 from ..operators import model as mo
 from ..operators import segment as sg
