@@ -13,8 +13,8 @@ from ..schema import PERSONS_ROLES
 from ..sources import io
 from ..sources.tables import PERSONS_COLUMNS
 from . import persons_input, register, sql_with
-from .correlate import NUM
-from .encode import COLS, _e5_ctes, processed, raw
+from .correlate import NUM, corr_sql
+from .encode import _E7_CTES, COLS, _e5_ctes, processed, raw
 
 TYPES = dict(PERSONS_COLUMNS)
 OUT_TYPES = {c: ("double" if c in PERSONS_ROLES.continuous else
@@ -31,7 +31,9 @@ def q_s1(spark, sf_dir):
     return io.read_headerless_csv(spark, f"{base}/data", names, TYPES)
 
 
-@register("s2_read_column_names")
+@register("s2_read_column_names", sql_with(select="SELECT * FROM (VALUES " + ", ".join(
+    f"({i + 1}, '{c}')" for i, c in enumerate(COLS)) + ") v(position, column_name) "
+    "WHERE (SELECT COUNT(*) FROM persons) >= 0"))
 def q_s2(spark, sf_dir):
     base = io.scratch_path(spark, "names")
     io.write_names(raw(spark, sf_dir), base)
@@ -41,6 +43,9 @@ def q_s2(spark, sf_dir):
         .cast("int").alias("position"), "column_name")
 
 
+_S5_ORDER = [c for c in COLS if c not in ("label", "weight")] + ["label", "weight"]
+
+
 @register("s4_read_table", sql_with(*_e5_ctes(), select="SELECT * FROM e5"))
 def q_s4(spark, sf_dir):
     path = io.scratch_path(spark, "processed")
@@ -49,22 +54,28 @@ def q_s4(spark, sf_dir):
     return io.read_table(spark, path, "csv", ddl)
 
 
-@register("s5_write_csv")
+@register("s5_write_csv", sql_with(*_E7_CTES, select=f"SELECT {', '.join(_S5_ORDER)} "
+                                                         "FROM e7 WHERE split = 'train'"))
 def q_s5(spark, sf_dir):
     sp = en.stratified_split(processed(spark, sf_dir), "label", "person_id")
     train, _ = en.train_test(sp)
-    feats = [c for c in COLS if c not in ("label", "weight")]
     path = io.scratch_path(spark, "train")
-    io.write_table(train, path, "csv", feats + ["label", "weight"])
-    return io.read_table(spark, path, "csv")
+    io.write_table(train, path, "csv", _S5_ORDER)
+    ddl = ", ".join(f"`{c}` {OUT_TYPES[c]}" for c in _S5_ORDER)
+    return io.read_table(spark, path, "csv", ddl)
 
 
-@register("s6_write_matrix_csv")
+@register("s6_write_matrix_csv", sql_with(
+    ("corr", corr_sql("persons", NUM)),
+    select="SELECT feature1 AS feature, " + ", ".join(
+        f"MAX(CASE WHEN feature2 = '{c}' THEN r END) AS {c}" for c in NUM)
+    + " FROM corr GROUP BY feature1"))
 def q_s6(spark, sf_dir):
     corr = co.correlation_matrix(persons_input(spark, sf_dir), NUM)
     path = io.scratch_path(spark, "corr")
     io.write_matrix_csv(co.correlation_wide(corr, NUM), path)
-    return io.read_table(spark, path, "csv")
+    ddl = ", ".join(["feature string"] + [f"`{c}` double" for c in NUM])
+    return io.read_table(spark, path, "csv", ddl)
 
 
 @register("s7_write_report_json")
