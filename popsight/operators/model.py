@@ -78,7 +78,7 @@ def gbt_estimator(params: dict, seed: int = 42, total_weight: float | None = Non
     min_child_weight becomes a fraction of the total weight, gamma the
     minimum gain."""
     p = {**DEFAULT_GBT, **params}
-    frac = min(0.5, p["min_child_weight"] / total_weight) if total_weight else 0.0
+    frac = min(0.49, p["min_child_weight"] / total_weight) if total_weight else 0.0
     return GBTClassifier(
         labelCol=label, featuresCol=features, weightCol=weight, seed=seed,
         maxDepth=int(min(p["max_depth"], 30)), stepSize=float(p["learning_rate"]),
