@@ -37,10 +37,7 @@ def label_encode_fit(df: DataFrame, cols: list[str], partitions: int | None = No
     reliable checkpoint, ranked inside each partition, and shifted by the
     number of the column's values in earlier partitions (a bounded table of
     counts per partition and column)."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(q(c)).cast("string").alias("value"))
-        for c in cols])).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
-    distinct = long.groupBy("column_name", "value").agg(F.lit(1).alias("_one")).drop("_one")
+    distinct = _distinct_pairs(df, cols)
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ensure_checkpoint_dir(spark)
@@ -67,21 +64,30 @@ class LabelCodes:
     table: DataFrame | None = None
 
 
+def _distinct_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(q(c)).cast("string").alias("value"))
+        for c in cols])).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
+    return long.groupBy("column_name", "value").agg(F.lit(1).alias("_one")).drop("_one")
+
+
 def fit_label_codes(df: DataFrame, cols: list[str], max_map_entries: int = 10_000
                     ) -> LabelCodes:
-    """Run E1 and keep the codes inline when the table is small enough
-    (size checked with a count before anything is collected)."""
-    codes = label_encode_fit(df, cols)
+    """E1 as fitted state. The distinct (column, value) pairs are fetched
+    only up to ``max_map_entries + 1`` rows (one job): when they fit, codes
+    are numbered from that bounded list (UTF-8 byte order = code-point order,
+    the same order Spark sorts strings in) and kept as inline maps; larger
+    category sets keep the distributed code table of :func:`label_encode_fit`."""
     if not cols:
         return LabelCodes(cols, maps={})
-    # size check and fetch in one job: at most max_map_entries + 1 rows move
-    head = codes.limit(max_map_entries + 1).collect()
+    head = _distinct_pairs(df, cols).limit(max_map_entries + 1).collect()
     if len(head) <= max_map_entries:
         maps: dict[str, dict[str, int]] = {c: {} for c in cols}
-        for r in head:
-            maps[r["column_name"]][r["value"]] = r["code"]
+        for c in cols:
+            values = sorted(r["value"] for r in head if r["column_name"] == c)
+            maps[c] = {v: i for i, v in enumerate(values)}
         return LabelCodes(cols, maps=maps)
-    return LabelCodes(cols, table=codes)
+    return LabelCodes(cols, table=label_encode_fit(df, cols))
 
 
 def label_encode_transform(df: DataFrame, codes: LabelCodes, unseen: int = -1) -> DataFrame:
