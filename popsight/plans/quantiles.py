@@ -35,20 +35,24 @@ def _interpolate(pos: float, lo_v: float, hi_v: float) -> float:
 
 def exact_percentiles(long: DataFrame, group_cols: list[str], value: str, probs: list[float],
                       bins: int = 1024, final_rows: int = 1_000_000, max_levels: int = 12,
-                      max_groups: int = 10_000) -> DataFrame:
+                      max_groups: int = 10_000, stats: list[dict] | None = None) -> DataFrame:
     """Rows (*group_cols, p_index, value): the exact percentile ``probs[p_index]``
     of ``value`` within each group (nulls and NaN ignored). The search runs
     for a bounded number of groups (columns, segments, classes); with more
     than ``max_groups`` groups (checked before anything is collected) every
     group is small by construction and a per-group ``percentile`` aggregate
-    is used instead."""
+    is used instead. ``stats`` (one dict per group with the group keys and
+    ``n``, ``mn``, ``mx`` over non-null values) skips the first pass when the
+    caller already has them."""
     spark = long.sparkSession
     keys = list(group_cols)
     data = long.select(*[F.col(g) for g in keys], F.col(value).cast("double").alias("_x")) \
         .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    grouped = data.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_x").alias("mn"),
-                                      F.max("_x").alias("mx"))
-    stats = grouped.limit(max_groups + 1).collect()        # one row per group, size checked
+    if stats is None:
+        grouped = data.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_x").alias("mn"),
+                                          F.max("_x").alias("mx"))
+        stats = grouped.limit(max_groups + 1).collect()    # one row per group, size checked
+    stats = [r for r in stats if r["n"]]
     if len(stats) > max_groups:
         per = data.groupBy(*keys).agg(F.percentile("_x", list(probs)).alias("_p"))
         return per.select(*keys, F.posexplode("_p").alias("p_index", "value")).select(
@@ -149,7 +153,8 @@ def exact_percentiles(long: DataFrame, group_cols: list[str], value: str, probs:
     return spark.createDataFrame(out, schema)
 
 
-def exact_percentile_columns(df: DataFrame, cols: list[str], probs: list[float], **kw
+def exact_percentile_columns(df: DataFrame, cols: list[str], probs: list[float],
+                             stats: dict[str, tuple[int, float, float]] | None = None, **kw
                              ) -> dict[str, list[float | None]]:
     """{column: [percentile per prob]} for several numeric columns at once
     (one unpivot; columns without values map to Nones)."""
@@ -159,6 +164,10 @@ def exact_percentile_columns(df: DataFrame, cols: list[str], probs: list[float],
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v"))
         for c in cols])).alias("kv")).select("kv.*")
     res = {c: [None] * len(probs) for c in cols}
-    for r in exact_percentiles(long, ["column_name"], "v", probs, **kw).collect():
+    given = None
+    if stats is not None:   # {column: (n, min, max)} over non-null values
+        given = [{"column_name": c, "n": n, "mn": mn, "mx": mx}
+                 for c, (n, mn, mx) in stats.items()]
+    for r in exact_percentiles(long, ["column_name"], "v", probs, stats=given, **kw).collect():
         res[r["column_name"]][r["p_index"]] = r["value"]
     return res
