@@ -150,3 +150,26 @@ def test_exact_percentiles_multilevel_match_spark(spark):
         assert np.allclose(mine, exp, rtol=0, atol=1e-12)
     one = exact_percentiles(df, [], "v", probs, bins=8, final_rows=50).sort("p_index").toPandas()
     assert np.allclose(one.value, df.agg(F.percentile("v", probs)).first()[0], atol=1e-12)
+
+
+def test_percentiles_many_groups_fallback_agrees(spark):
+    from popsight.plans.quantiles import exact_percentiles
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in
+                                zip(rng.integers(0, 40, 2000), rng.normal(size=2000))],
+                               "g int, v double")
+    a = exact_percentiles(df, ["g"], "v", [0.1, 0.5]).orderBy("g", "p_index").toPandas()
+    b = exact_percentiles(df, ["g"], "v", [0.1, 0.5], max_groups=5).orderBy("g", "p_index").toPandas()
+    assert len(a) == 80 and np.allclose(a.value, b.value, atol=1e-12)
+
+
+def test_label_code_paths_agree(spark):
+    rng = np.random.default_rng(12)
+    rows = [(f"a{int(x)}", f"b{int(y)}") for x, y in zip(rng.integers(0, 300, 3000),
+                                                          rng.integers(0, 40, 3000))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    inline = en.fit_label_codes(df, ["a", "b"])
+    table = en.fit_label_codes(df, ["a", "b"], max_map_entries=10)
+    assert inline.maps is not None and table.table is not None
+    got = {(r.column_name, r.value): r.code for r in table.table.collect()}
+    assert got == {(c, v): k for c, m in inline.maps.items() for v, k in m.items()}
