@@ -1,22 +1,23 @@
 """N-gram Jaccard self-join with signature trees, exact at any threshold.
 
 1. An Arrow pass turns every text into its set of word shingles (64-bit
-   hashes) and writes the set's size, its 128-bit hash and its prefix: the
-   n - ceil(t n) + 1 first shingles in a global order. Sets at a similarity of t or more
-   share a shingle of their prefixes. The order puts frequent shingles
-   last: a first pass counts prefix shingles in plain hash order, those above
-   a bound (at most MAX_FREQUENT of them) are moved back in the second.
+   hashes) and writes the set's size, its 128-bit hash, a token bitmap and its
+   prefix: the n - ceil(t n) + 1 first shingles in a global order. Sets at a
+   similarity of t or more share a shingle of their prefixes. The order puts
+   frequent shingles last: a first pass counts prefix shingles in plain hash order,
+   those above a bound (at most MAX_FREQUENT of them) are moved back in the second.
 2. Documents with equal sets are one class; its smallest doc_id stands for it.
 3. The classes that share a prefix shingle go to the block of the smallest of
-   them. Shingles of one group of copies lead to the same block, so a set is
-   sent to few blocks, and every similar pair meets in one. Blocks beyond
-   TILE_TOKENS shingles are cut into chunks and all pairs of chunks.
-4. In a block or tile sets are sorted by size into a signature tree: leaves of
-   LEAF sets, inner nodes of FANOUT children, each with its size range, the
+   them. Shingles of one group of copies lead to the same block, so a class is
+   sent to few blocks, and every similar pair meets in one.
+4. Blocks get bitmaps and sizes only, sorted by size into a signature tree:
+   leaves of LEAF sets, inner nodes of FANOUT children, each with its size range, the
    OR-combined token bitmap of its sets and their common bits. A dual
    traversal drops pairs of nodes whose maximum possible overlap can't reach
-   the threshold, and pairs whose members are all connected already. What is left is
-   compared exactly, on integers.
+   the threshold, and pairs whose members are connected already. Classes that may
+   link form groups; only these get their whole sets, are traversed again
+   with wider bitmaps and compared exactly, on integers. Blocks and groups
+   beyond a size are cut into chunks and all pairs of chunks.
 5. Links, at most one less than the sets of a tile, become components.
 
 Losing an executor costs the tasks it ran: every step reads Parquet in the
@@ -37,6 +38,8 @@ from .common import q, ship, stored, table, whole_row
 from .components import connected_components
 
 MAX_FREQUENT = 100_000       # shingles moved to the end of the order; bounds what tasks get sent
+LEAST_FREQUENT = 64          # shingles in no more prefixes than this stay where they are
+TILE_SETS = 4_096            # bitmaps of a chunk
 TILE_TOKENS = 2_000_000      # shingles of a chunk (8 bytes each)
 BROADCAST_REPS = 100_000     # classes in blocks up to which their ids are broadcast
 LEAF, FANOUT = 16, 4
@@ -67,17 +70,49 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bit h mod ``bits`` for every hash (bits: a power of two)."""
+    row = np.zeros(bits, bool)
+    row[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(row).view(np.uint64)
+
+
+def narrowed(row: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits."""
+    while 64 * len(row) > bits:
+        half = len(row) // 2
+        row = row[:half] | row[half:]
+    return row
+
+
+def bits_for(n: int, factor: int) -> int:
+    return max(256, 1 << (factor * n - 1).bit_length())
+
+
+def _prefixes(width: int, percent: int):
+    """Texts -> prefix shingles in hash order, to count them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [np.empty(0, np.uint64)]
+            for text in batch.column(0):
+                s = shingles(text.as_py() or "", width)
+                got.append(s[:prefix_size(len(s), percent)].copy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["x"])
+    return run
+
+
 def _sets(width: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             ids, texts = batch.columns
-            size, key, flat, ends = [], [], [], [0]
+            size, key, maps, flat, ends = [], [], [], [], [0]
             for text in texts:
                 s = shingles(text.as_py() or "", width)
                 size.append(len(s))
                 key.append(xxh3_128_digest(s.tobytes()))
+                maps.append(bitmap(s, bits_for(len(s), 2)).tobytes() if len(s) else b"")
                 if len(frequent) and len(s):
                     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
@@ -85,33 +120,27 @@ def _sets(width: int, percent: int, frequent: np.ndarray):
                 ends.append(ends[-1] + len(flat[-1]))
             values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size, pa.int64()), pa.array(key, pa.binary()),
+                [ids, pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(maps, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
-                ["doc_id", "n", "key", "prefix"])
+                ["doc_id", "n", "key", "map", "prefix"])
     return run
 
 
 def _bytes_of_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, leaders, texts = batch.columns
-            yield pa.RecordBatch.from_arrays(
-                [rep, leaders, pa.array([shingles(x.as_py() or "", width).tobytes() for x in texts], pa.binary())],
-                ["rep", "leaders", "bytes"])
+            sets = [shingles(x.as_py() or "", width) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()),
+                                              pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "bytes"])
     return run
 
 
 class Tree:
-    """Signature tree over sets (sorted by size)."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.size = np.array([len(s) for s in sets], np.int64)
-        self.maps = np.empty((len(sets), bits // 64), np.uint64)
-        for i, s in enumerate(sets):
-            row = np.zeros(bits, bool)
-            row[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-            self.maps[i] = np.packbits(row).view(np.uint64)
-        level = [self._node(range(a, min(a + LEAF, len(sets))), ()) for a in range(0, len(sets), LEAF)]
+    """Signature tree over sets in order of size: their sizes and bitmaps (of one width)."""
+
+    def __init__(self, size: np.ndarray, maps: np.ndarray):
+        self.size, self.maps = size, maps
+        level = [self._node(range(a, min(a + LEAF, len(size))), ()) for a in range(0, len(size), LEAF)]
         while len(level) > 1:
             level = [self._join(level[a:a + FANOUT]) for a in range(0, len(level), FANOUT)]
         self.root = level[0]
@@ -138,36 +167,23 @@ def can_link(x: tuple, y: tuple, percent: int) -> bool:
     return apart * (100 + percent) <= (100 - percent) * (x[3] + y[3])
 
 
-def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links (i, j) that connect what is similar: all pairs of ``left``, or the pairs
-    between ``left`` and ``right``. Links that would join what earlier links joined are left out.
-    Indices into ``left`` (then ``right``)."""
-    if not left or right is not None and not right:
-        return []
-    order = sorted(range(len(left)), key=lambda i: len(left[i]))
-    names, sets = list(order), [left[i] for i in order]
-    widest = max(len(s) for s in left + (right or []))
-    bits = 256
-    while bits < 8 * widest and bits < 1 << 16:
-        bits *= 2
-    tree = other = Tree(sets, bits)
-    shift = 0
-    if right is not None:
-        order = sorted(range(len(right)), key=lambda i: len(right[i]))
-        more = [right[i] for i in order]
-        other, shift = Tree(more, bits), len(sets)
-        names += [len(left) + i for i in order]
-        sets = sets + more
-    group = np.arange(len(sets))
-    out: list[tuple[int, int]] = []
+def traverse(tree: Tree, other: Tree | None, percent: int,
+             check: Callable[[int, int], bool]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links, group of each set): dual traversal of one tree with itself, or of two with
+    each other (the second's sets are numbered on). Pairs that the bitmaps leave are
+    checked; those whose members earlier links connect already are not."""
+    same_tree = other is None
+    other, shift = (tree, 0) if same_tree else (other, len(tree.size))
+    group = np.arange(len(tree.size) if same_tree else shift + len(other.size))
+    links: list[tuple[int, int]] = []
     todo = [(tree.root, other.root)]
     while todo:
         x, y = todo.pop()
         xs, ys = x[0], y[0]
         gx, gy = group[xs.start:xs.stop], group[shift + ys.start:shift + ys.stop]
-        if len(xs) + len(ys) > 2 and (gx == gx[0]).all() and (gy == gx[0]).all():
+        if (gx == gx[0]).all() and (gy == gx[0]).all():
             continue
-        same = shift == 0 and right is None and xs == ys
+        same = same_tree and xs == ys
         if not same and not can_link(x, y, percent):
             continue
         if x[1] or y[1]:
@@ -181,53 +197,136 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
             continue
         apart = np.bitwise_count(tree.maps[xs.start:xs.stop, None] ^ other.maps[None, ys.start:ys.stop]).sum(2, dtype=np.int64)
         sa, sb = tree.size[xs.start:xs.stop, None], other.size[None, ys.start:ys.stop]
-        may = apart * (100 + percent) <= (100 - percent) * (sa + sb)
+        may = (apart * (100 + percent) <= (100 - percent) * (sa + sb)) & (gx[:, None] != gy[None])
+        may &= (sa * 100 >= sb * percent) & (sb * 100 >= sa * percent)
         if same:
             may = np.triu(may, 1)
-        for a, b in np.argwhere(may):
-            i, j = xs.start + int(a), shift + ys.start + int(b)
-            if group[i] == group[j]:
-                continue
-            s, t = sets[i], sets[j]
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * both >= percent * (len(s) + len(t) - both):
-                out.append((names[i], names[j]))
+        for a, b in np.argwhere(may).tolist():
+            i, j = xs.start + a, shift + ys.start + b
+            if group[i] != group[j] and check(i, j):
+                links.append((i, j))
                 group[group == group[j]] = group[i]
+    return links, group
+
+
+def set_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j), indices into ``left`` then ``right``, that connect all similar pairs of
+    ``left``, or all between ``left`` and ``right``."""
+    if not left or right is not None and not right:
+        return []
+    bits = min(bits_for(max(len(s) for s in left + (right or [])), 8), 1 << 16)
+
+    def planted(sets: list[np.ndarray]) -> tuple[list[int], Tree]:
+        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        return order, Tree(np.array([len(sets[i]) for i in order], np.int64), np.array([bitmap(sets[i], bits) for i in order]))
+
+    names, tree = planted(left)
+    sets, other = [left[i] for i in names], None
+    if right is not None:
+        more, other = planted(right)
+        sets += [right[i] for i in more]
+        names = names + [len(left) + i for i in more]
+
+    def check(i: int, j: int) -> bool:
+        s, t = sets[i], sets[j]
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        return 100 * both >= percent * (len(s) + len(t) - both)
+
+    return [(names[i], names[j]) for i, j in traverse(tree, other, percent, check)[0]]
+
+
+def map_groups(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None,
+               percent: int) -> list[int]:
+    """Group number of each (size, bitmap) of ``left`` then ``right``: what may link is in one group."""
+    if not left or right is not None and not right:
+        return list(range(len(left) + len(right or [])))
+    bits = min(64 * len(m) for _, m in left + (right or []))
+
+    def planted(sets: list) -> tuple[list[int], Tree]:
+        order = sorted(range(len(sets)), key=lambda i: sets[i][0])
+        return order, Tree(np.array([sets[i][0] for i in order], np.int64),
+                           np.array([narrowed(sets[i][1], bits) for i in order]))
+
+    names, tree = planted(left)
+    other = None
+    if right is not None:
+        more, other = planted(right)
+        names = names + [len(left) + i for i in more]
+    group = traverse(tree, other, percent, lambda i, j: True)[1]
+    out = [0] * len(names)
+    for i, name in enumerate(names):
+        out[name] = names[group[i]]
     return out
 
 
-def _link(percent: int) -> Callable:
-    """Rows sorted by tile -> links. A tile is held at a time."""
+def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, tuple[list, list], tuple[list, list]]]:
+    """Rows (block, i, j, side, rep, size or null, bytes) sorted by (block, i, j): one tile at a time as
+    (whether it is of one chunk, reps of both sides, their sizes and values)."""
+    here, reps, values = None, ([], []), ([], [])
+    for batch in batches:
+        tiles = zip(*(c.to_pylist() for c in batch.columns[:6]))
+        for (block, i, j, side, rep, n), raw in zip(tiles, batch.column(6)):
+            if (block, i, j) != here:
+                if here is not None:
+                    yield here[1] == here[2], reps, values
+                here, reps, values = (block, i, j), ([], []), ([], [])
+            reps[side].append(rep)
+            values[side].append((n, np.frombuffer(raw.as_py(), np.uint64)))
+    if here is not None:
+        yield here[1] == here[2], reps, values
+
+
+def _pairs(found: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
+    a, b = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+
+
+def _group(percent: int) -> Callable:
+    """Tiles of bitmaps -> (group, rep) of classes that may link; a group is named by its smallest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, reps, sets = None, ([], []), ([], [])
         found: list[tuple[int, int]] = []
-
-        def close() -> None:
-            if here is None:
-                return
+        for one, reps, maps in by_tile(batches):
             names = reps[0] + reps[1]
-            for i, j in tree_links(sets[0], sets[1] if here[1] != here[2] else None, percent):
-                found.append((names[i], names[j]))
+            members: dict[int, list[int]] = {}
+            for name, g in zip(names, map_groups(maps[0], None if one else maps[1], percent)):
+                members.setdefault(g, []).append(name)
+            for group in members.values():
+                if len(group) > 1:
+                    first = min(group)
+                    found += [(first, rep) for rep in group]
+            if len(found) > 10_000:
+                yield _pairs(found, ["block", "rep"])
+                found = []
+        if found:
+            yield _pairs(found, ["block", "rep"])
+    return run
 
-        for batch in batches:
-            tiles = zip(*(c.to_pylist() for c in batch.columns[:5]))
-            for (leader, i, j, side, rep), raw in zip(tiles, batch.column(5)):
-                if (leader, i, j) != here:
-                    close()
-                    here, reps, sets = (leader, i, j), ([], []), ([], [])
-                reps[side].append(rep)
-                sets[side].append(np.frombuffer(raw.as_py(), np.uint64))
-            if found:
-                a, b = zip(*found)
-                found.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        close()
+
+def _link(percent: int) -> Callable:
+    """Tiles of whole sets -> links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for one, reps, sets in by_tile(batches):
+            names = reps[0] + reps[1]
+            left, right = [x[1] for x in sets[0]], None if one else [x[1] for x in sets[1]]
+            found += [(names[i], names[j]) for i, j in set_links(left, right, percent)]
+            if len(found) > 10_000:
+                yield _pairs(found, ["a", "b"])
+                found = []
         if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield _pairs(found, ["a", "b"])
     return run
 
 
+def _tiles(members: DataFrame) -> DataFrame:
+    """Members (block, chunks, rep, n, bytes) dealt to tiles: one per pair of chunks of a block."""
+    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    return (members.withColumn("c", chunk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select("block", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"),
+                    (F.col("c") > F.col("o")).cast("int").alias("side"), "rep", "n", "bytes")
+            .repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "rep"))
+
+
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
                        percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
@@ -241,56 +340,48 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         raise ValueError("percent must be in 1..100, width at least 1")
     spark = docs.sparkSession
     rows = docs.select(F.col(q(doc_id)).cast("long").alias("doc_id"), F.col(q(text)).cast("string").alias("text"))
-    schema = "doc_id bigint, n bigint, key binary, prefix array<bigint>"
-
-    def sets_with(frequent: list[int]) -> DataFrame:
-        late = np.sort(np.array(frequent, np.int64).view(np.uint64))
-        return stored(rows.mapInArrow(_sets(width, percent, late), schema), "shingle-sets")
-
-    def classes(sets: DataFrame) -> DataFrame:
-        return (sets.filter("n > 0 and doc_id is not null").groupBy("key")
-                .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-
-    sets = sets_with([])
-    first = classes(sets).select(F.explode("prefix").alias("x"))
-    total = sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    bound = max(256, -(-total // MAX_FREQUENT))
-    frequent = [r[0] for r in first.groupBy("x").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > bound)
-                .select("x").collect()]                 # more than total / bound of them can't be
-    if frequent:
-        sets = sets_with(frequent)
-    reps = stored(classes(sets).select("rep", "n", "prefix"), "classes")
-
-    tokens = reps.select("rep", "n", F.explode("prefix").alias("x"))
-    late = F.broadcast(spark.createDataFrame([(x,) for x in frequent], "x bigint"))    # at most MAX_FREQUENT
+    counts = rows.select("text").mapInArrow(_prefixes(width, percent), "x bigint").groupBy("x").agg(
+        F.count(F.lit(1)).alias("c")).filter(F.col("c") > LEAST_FREQUENT)
+    counts = stored(counts, "frequent")
+    bound = max(LEAST_FREQUENT, -(-(counts.agg(F.sum("c")).first()[0] or 0) // MAX_FREQUENT))
+    frequent = [r[0] for r in counts.filter(F.col("c") > bound).select("x").collect()]    # at most MAX_FREQUENT
+    late = np.sort(np.array(frequent, np.int64).view(np.uint64))
+    sets = stored(rows.mapInArrow(_sets(width, percent, late),
+                                  "doc_id bigint, n bigint, key binary, map binary, prefix array<bigint>"), "shingle-sets")
+    known = sets.filter("n > 0 and doc_id is not null")
+    smallest = known.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # the prefix and bitmap of the smallest doc_id's row; equal keys have equal ones
+    reps = known.join(smallest.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi").select(
+        F.col("doc_id").alias("rep"), "n", "map", "prefix")
+
+    tokens = reps.select("rep", F.explode("prefix").alias("x"))
+    late = F.broadcast(spark.createDataFrame([(x,) for x in frequent], "x bigint"))       # at most MAX_FREQUENT
     alone = Window.partitionBy("x")
     rare = (tokens.join(late, "x", "left_anti")
-            .select("rep", "n", F.min("rep").over(alone).alias("leader"), F.count(F.lit(1)).over(alone).alias("c"))
-            .filter("c > 1").drop("c"))
+            .select("rep", F.min("rep").over(alone).alias("block"), F.max("rep").over(alone).alias("z"))
+            .filter("block < z").drop("z"))
     common = tokens.join(late, "x")
-    tops = common.groupBy("x").agg(F.min("rep").alias("leader"))                          # one row per frequent shingle
-    common = common.join(F.broadcast(tops), "x").select("rep", "n", "leader")
+    tops = common.groupBy("x").agg(F.min("rep").alias("block"))                           # one row per frequent shingle
+    common = common.join(F.broadcast(tops), "x").select("rep", "block")
     members = stored(rare.unionByName(common).distinct(), "members")
-
-    blocks = members.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")).filter("m > 1")
-    per_rep = stored(members.join(blocks, "leader").groupBy("rep").agg(F.collect_set(F.struct(
-        "leader", F.ceil(F.col("t") / TILE_TOKENS).cast("int").alias("chunks"))).alias("leaders")), "block-members")
-    ids = per_rep.withColumnRenamed("rep", "doc_id")
-    if per_rep.count() <= BROADCAST_REPS:
+    # a block holds more than its first class; large ones are cut into chunks
+    blocks = (members.groupBy("block").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+              .select("block", F.ceil(F.col("m") / TILE_SETS).cast("int").alias("chunks")))
+    maps = (members.join(blocks, "block").join(reps.select("rep", "n", F.col("map").alias("bytes")).distinct(), "rep"))
+    groups = stored(_tiles(maps).mapInArrow(_group(percent), "block bigint, rep bigint").distinct(), "groups")
+
+    ids = groups.select(F.col("rep").alias("doc_id")).distinct()
+    if ids.count() <= BROADCAST_REPS:
         ids = F.broadcast(ids)
-    full = (rows.join(ids, "doc_id").select(F.col("doc_id").alias("rep"), "leaders", "text")
-            .mapInArrow(_bytes_of_sets(width), "rep bigint, leaders array<struct<leader:bigint,chunks:int>>, bytes binary"))
-    chunk = F.pmod(F.xxhash64("rep"), F.col("l.chunks")).cast("int")
-    tiles = (full.select("rep", "bytes", F.explode("leaders").alias("l")).withColumn("c", chunk)
-             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("l.chunks") - 1)))
-             .select(F.col("l.leader").alias("leader"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"),
-                     (F.col("c") > F.col("o")).cast("int").alias("side"), "rep", "bytes"))
-    links = (tiles.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side", "rep")
-             .mapInArrow(_link(percent), "a bigint, b bigint"))
+    full = (rows.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+            .mapInArrow(_bytes_of_sets(width), "rep bigint, n bigint, bytes binary").filter("n > 0"))
+    full = stored(full, "group-sets")
+    sizes = (groups.join(full.groupBy("rep").agg(F.max("n").alias("n")), "rep").groupBy("block")
+             .agg(F.ceil(F.sum("n") / TILE_TOKENS).cast("int").alias("chunks")))
+    links = _tiles(groups.join(sizes, "block").join(full, "rep")).mapInArrow(_link(percent), "a bigint, b bigint")
     roots = connected_components(links)
 
-    by_key = (sets.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    classed = sets.select("doc_id", "n", "key").join(by_key, "key", "left")
+    classed = sets.select("doc_id", "n", "key").join(smallest, "key", "left")
     return (classed.join(roots, F.col("rep") == F.col("node"), "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id"))

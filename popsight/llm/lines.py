@@ -67,10 +67,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place = F.struct("d", "t", "fp")
     twice = (picked.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b"))
              .filter(~F.col("a").eqNullSafe(F.col("b"))).select("f"))
-    runs = (picked.join(twice, "f").select("d", "t", F.explode("runs").alias("x"))
-            .select("d", "t", "x.r", "x.p", "x.last"))
+    runs = stored(picked.join(twice, "f").select("d", "t", F.explode("runs").alias("x"))
+                  .select("d", "t", "x.r", "x.p", "x.last"), "runs")
     first = runs.groupBy("r").agg(F.min(F.struct("d", "t", "p", "last")).alias("o"),
                                   F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = stored(first, "first-runs")       # so that the join below deals out both sides anew and can split a hot run
     same = F.col("d").eqNullSafe(F.col("o.d")) & (F.col("t") == F.col("o.t"))
     later = (runs.join(first, "r").filter(~(same & (F.col("p") == F.col("o.p"))))
              # inside one document the first occurrence itself stays
@@ -90,11 +91,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     column with the deleted line spans."""
     spans = repeated_spans(docs, doc_id, text, run_words, gram_words)
     rows = docs.select(whole_row(docs).alias("_row"), F.col(q(doc_id)).cast("long").alias("_d"),
-                       F.xxhash64(F.col(q(text))).alias("_t"), F.col(q(text)).alias("_text"))
+                       F.xxhash64(F.col(q(text))).alias("_t"))
     joined = rows.join(spans, F.col("_d").eqNullSafe(F.col("d")) & (F.col("_t") == F.col("t")), "left")
-    keep = F.filter(F.split("_text", "\n"), lambda x, i: ~F.exists(
+    before = F.col(f"_row.{q(text)}")
+    keep = F.filter(F.split(before, "\n"), lambda x, i: ~F.exists(
         "spans", lambda y: (y["p"] <= i) & (i <= y["last"])))
-    cut = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(F.array_join(keep, "\n"))
+    cut = F.when(F.col("spans").isNull(), before).otherwise(F.array_join(keep, "\n"))
     out = joined.select(*[cut.alias(c) if c == text else F.col(f"_row.{q(c)}").alias(c) for c in docs.columns],
                         *([F.array_sort("spans").alias(spans_as)] if spans_as else []))
     return out
@@ -102,12 +104,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op3_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after line dedup and what was cut."""
+    text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("text").alias("before"))
-    out = dedup_lines(docs)
-    n = F.size(F.split(F.coalesce("before", F.lit("")), "\n"))
-    chars = F.coalesce(F.length("before"), F.lit(0)) - F.coalesce(F.length("text"), F.lit(0))
-    return out.select("doc_id", "text", n.cast("long").alias("n_lines"), chars.cast("long").alias("cut_chars"))
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.length(text).cast("long").alias("before"),
+        F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
+    return dedup_lines(docs).select("doc_id", "text", "n_lines", (F.col("before") - F.length(text)).alias("cut_chars"))
 
 
 ORACLE = r"""

@@ -82,7 +82,6 @@ def text_stats(text: str) -> tuple[int, ...]:
             len(lines), len(raw) - len(raw.translate(None, UPPER)), len(raw) - len(raw.translate(None, b"!?;:")))
 
 
-@F.pandas_udf(STATS_TYPE)
 def _stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([text_stats(t or "") for t in texts], columns=list(STATS), dtype="int64")
@@ -90,7 +89,7 @@ def _stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def stats_of(text: Column) -> Column:
     """Struct of STATS for a text column (null: no words)."""
-    return _stats(F.coalesce(text.cast("string"), F.lit("")))
+    return F.pandas_udf(_stats, STATS_TYPE)(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
