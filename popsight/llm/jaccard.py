@@ -129,9 +129,10 @@ def _sets(width: int, percent: int, frequent: np.ndarray):
 def _bytes_of_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py() or "", width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "bytes"])
+            sets = [shingles(x.as_py() or "", width) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["rep", "block", "chunks", "n", "bytes"])
     return run
 
 
@@ -368,17 +369,19 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     blocks = (members.groupBy("block").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
               .select("block", F.ceil(F.col("m") / TILE_SETS).cast("int").alias("chunks")))
     maps = (members.join(blocks, "block").join(reps.select("rep", "n", F.col("map").alias("bytes")).distinct(), "rep"))
-    groups = stored(_tiles(maps).mapInArrow(_group(percent), "block bigint, rep bigint").distinct(), "groups")
-
-    ids = groups.select(F.col("rep").alias("doc_id")).distinct()
+    near = stored(_tiles(maps).mapInArrow(_group(percent), "block bigint, rep bigint").distinct(), "groups")
+    # groups that share a class are one, so that every set is sent once
+    up = connected_components(near.select(F.col("block").alias("a"), F.col("rep").alias("b")))
+    groups = (near.select("rep").distinct().join(up, F.col("rep") == F.col("node"), "left")
+              .select("rep", F.coalesce("root", "rep").alias("block")))
+    sized = groups.join(reps.select("rep", "n").distinct(), "rep")
+    chunks = sized.groupBy("block").agg(F.ceil(F.sum("n") / TILE_TOKENS).cast("int").alias("chunks"))
+    ids = stored(groups.join(chunks, "block").withColumnRenamed("rep", "doc_id"), "group-members")
     if ids.count() <= BROADCAST_REPS:
         ids = F.broadcast(ids)
-    full = (rows.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-            .mapInArrow(_bytes_of_sets(width), "rep bigint, n bigint, bytes binary").filter("n > 0"))
-    full = stored(full, "group-sets")
-    sizes = (groups.join(full.groupBy("rep").agg(F.max("n").alias("n")), "rep").groupBy("block")
-             .agg(F.ceil(F.sum("n") / TILE_TOKENS).cast("int").alias("chunks")))
-    links = _tiles(groups.join(sizes, "block").join(full, "rep")).mapInArrow(_link(percent), "a bigint, b bigint")
+    full = (rows.join(ids, "doc_id").select(F.col("doc_id").alias("rep"), "block", "chunks", "text")
+            .mapInArrow(_bytes_of_sets(width), "rep bigint, block bigint, chunks int, n bigint, bytes binary").filter("n > 0"))
+    links = _tiles(full).mapInArrow(_link(percent), "a bigint, b bigint")
     roots = connected_components(links)
 
     classed = sets.select("doc_id", "n", "key").join(smallest, "key", "left")
