@@ -238,26 +238,46 @@ def set_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: i
 
 def map_groups(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None,
                percent: int) -> list[int]:
-    """Group number of each (size, bitmap) of ``left`` then ``right``: what may link is in one group."""
-    if not left or right is not None and not right:
-        return list(range(len(left) + len(right or [])))
-    bits = min(64 * len(m) for _, m in left + (right or []))
-
-    def planted(sets: list) -> tuple[list[int], Tree]:
-        order = sorted(range(len(sets)), key=lambda i: sets[i][0])
-        return order, Tree(np.array([sets[i][0] for i in order], np.int64),
-                           np.array([narrowed(sets[i][1], bits) for i in order]))
-
-    names, tree = planted(left)
-    other = None
-    if right is not None:
-        more, other = planted(right)
-        names = names + [len(left) + i for i in more]
-    group = traverse(tree, other, percent, lambda i, j: True)[1]
-    out = [0] * len(names)
-    for i, name in enumerate(names):
-        out[name] = names[group[i]]
-    return out
+    """Group number of each (size, bitmap) of ``left`` then ``right``: what may link is in one group.
+
+    Bitmaps are as wide as their sets are large. Sets that can link differ little in size, so
+    each width meets itself and the few widths above it, narrowed to it: a small set in a
+    block doesn't blur the large ones."""
+    sets = left + (right or [])
+    group = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    def by_width(numbers: range) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for i in sorted(numbers, key=lambda i: sets[i][0]):
+            out.setdefault(64 * len(sets[i][1]), []).append(i)
+        return out
+
+    def meet(a: list[int], b: list[int] | None, bits: int) -> None:
+        if not a or b is not None and not b:
+            return
+        trees = [Tree(np.array([sets[i][0] for i in x], np.int64), np.array([narrowed(sets[i][1], bits) for i in x]))
+                 for x in ((a,) if b is None else (a, b))]
+        names = a + (b or [])
+        for i, j in traverse(trees[0], trees[1] if b is not None else None, percent, lambda i, j: True)[0]:
+            group[find(names[i])] = find(names[j])
+
+    most = 2
+    while most * percent < 100:
+        most *= 2
+    mine = by_width(range(len(left)))
+    theirs = mine if right is None else by_width(range(len(left), len(sets)))
+    for w, a in mine.items():
+        for v, b in theirs.items():
+            if right is None and v < w or v > w * most or w > v * most:
+                continue
+            meet(a, None if right is None and v == w else b, min(v, w))
+    return [find(i) for i in range(len(sets))]
 
 
 def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, tuple[list, list], tuple[list, list]]]:
