@@ -7,8 +7,8 @@
    frequent shingles last: a first pass counts prefix shingles in plain hash order,
    those above a bound (at most MAX_FREQUENT of them) are moved back in the second.
 2. Documents with equal sets are one class; its smallest doc_id stands for it.
-3. The classes that share a prefix shingle go to the block of the smallest of
-   them. Shingles of one group of copies lead to the same block, so a class is
+3. The classes that share a prefix shingle and have sizes that can link go to
+   the block of the smallest of them. Shingles of one group of copies lead to the same block, so a class is
    sent to few blocks, and every similar pair meets in one.
 4. Blocks get bitmaps and sizes only, sorted by size into a signature tree:
    leaves of LEAF sets, inner nodes of FANOUT children, each with its size range, the
@@ -26,6 +26,7 @@ shared folder or a shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from .common import q, ship, stored, table, whole_row
 from .components import connected_components
 
 MAX_FREQUENT = 100_000       # shingles moved to the end of the order; bounds what tasks get sent
-LEAST_FREQUENT = 64          # shingles in no more prefixes than this stay where they are
+LEAST_FREQUENT = 16          # shingles in no more prefixes than this stay where they are
 TILE_SETS = 4_096            # bitmaps of a chunk
 TILE_TOKENS = 2_000_000      # shingles of a chunk (8 bytes each)
 BROADCAST_REPS = 100_000     # classes in blocks up to which their ids are broadcast
@@ -112,7 +113,7 @@ def _sets(width: int, percent: int, frequent: np.ndarray):
                 s = shingles(text.as_py() or "", width)
                 size.append(len(s))
                 key.append(xxh3_128_digest(s.tobytes()))
-                maps.append(bitmap(s, bits_for(len(s), 2)).tobytes() if len(s) else b"")
+                maps.append(bitmap(s, bits_for(len(s), 1)).tobytes() if len(s) else b"")
                 if len(frequent) and len(s):
                     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
@@ -375,15 +376,21 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     reps = known.join(smallest.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi").select(
         F.col("doc_id").alias("rep"), "n", "map", "prefix")
 
-    tokens = reps.select("rep", F.explode("prefix").alias("x"))
+    tokens = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("x"))
     late = F.broadcast(spark.createDataFrame([(x,) for x in frequent], "x bigint"))       # at most MAX_FREQUENT
-    alone = Window.partitionBy("x")
-    rare = (tokens.join(late, "x", "left_anti")
-            .select("rep", F.min("rep").over(alone).alias("block"), F.max("rep").over(alone).alias("z"))
+    # the classes of a shingle in order of size fall into islands; no two islands hold sizes that can link
+    by_size = Window.partitionBy("x").orderBy("n")
+    gap = F.coalesce((F.lag("n").over(by_size) * 100 < F.col("n") * percent).cast("int"), F.lit(0))
+    island = Window.partitionBy("x", "island")
+    rare = (tokens.join(late, "x", "left_anti").withColumn("gap", gap).withColumn("island", F.sum("gap").over(by_size))
+            .select("rep", F.min("rep").over(island).alias("block"), F.max("rep").over(island).alias("z"))
             .filter("block < z").drop("z"))
-    common = tokens.join(late, "x")
-    tops = common.groupBy("x").agg(F.min("rep").alias("block"))                           # one row per frequent shingle
-    common = common.join(F.broadcast(tops), "x").select("rep", "block")
+    # frequent shingles: levels of size instead, each class in its own and the next; sizes that can link share one
+    step = -math.log(percent / 100) + 1e-9
+    level = F.floor(F.log(F.col("n").cast("double")) / step).cast("bigint")
+    common = tokens.join(late, "x").select("rep", "x", F.explode(F.array(level, level + 1)).alias("level"))
+    tops = common.groupBy("x", "level").agg(F.min("rep").alias("block"))
+    common = common.join(tops, ["x", "level"]).select("rep", "block")
     members = stored(rare.unionByName(common).distinct(), "members")
     # a block holds more than its first class; large ones are cut into chunks
     blocks = (members.groupBy("block").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
