@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import tempfile
-import types
 import uuid
 
 from pyspark import cloudpickle
@@ -60,11 +59,4 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker, for caches that its
-    later tasks use again (shipped functions are new in every task)."""
-    held = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
-    return held.__dict__.setdefault("held", {})
-
-
 ship(__name__)

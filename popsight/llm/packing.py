@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import q, ship, table, worker_state
+from .common import q, ship, table
 
 TIERS = (256, 512, 1024, 2048)
 BLOCK_TOKENS = 2_000_000
 GROUP_TOKENS = 1 << 17            # tokens of a step group
-CACHE = 1_000_000                 # words whose ids a worker remembers (about 200 MB)
+CACHE = 200_000                   # words whose ids a task remembers (about 40 MB)
+SLICE = 256                       # rows of an Arrow batch that are Python objects at a time
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 #: White space next to other white space, where cutting at single spaces could change the ids.
 _RUN = re.compile(r"\s\s")
@@ -154,8 +155,7 @@ def _task(ranks_path: str, pattern: str, end_id: int, tiers: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = worker_state()
-        encode = held.get(ranks_path) or held.setdefault(ranks_path, encoder(ranks_path, pattern))
+        encode = encoder(ranks_path, pattern)
         base = TaskContext.get().partitionId() << 40
         tail = end_id.to_bytes(4, "little")
         docs: list[tuple[object, bytes]] = []
@@ -186,12 +186,13 @@ def _task(ranks_path: str, pattern: str, end_id: int, tiers: tuple[int, ...]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i:i + 20_000])], list(PIECES))
 
         for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                b = encode(text or "") + tail
-                docs.append((doc_id, b))
-                tokens_held += len(b) // 4
-                if tokens_held >= BLOCK_TOKENS:
-                    yield from flush(False)
+            for at in range(0, batch.num_rows, SLICE):
+                for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns)):
+                    b = encode(text or "") + tail
+                    docs.append((doc_id, b))
+                    tokens_held += len(b) // 4
+                    if tokens_held >= BLOCK_TOKENS:
+                        yield from flush(False)
         yield from flush(True)
 
     return run
