@@ -67,6 +67,13 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(x)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that what a task holds besides the texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
@@ -93,7 +100,7 @@ def bits_for(n: int, factor: int) -> int:
 def _prefixes(width: int, percent: int):
     """Texts -> prefix shingles in hash order, to count them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [np.empty(0, np.uint64)]
             for text in batch.column(0):
                 s = shingles(text.as_py() or "", width)
@@ -106,7 +113,7 @@ def _sets(width: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.columns
             size, key, maps, flat, ends = [], [], [], [], [0]
             for text in texts:
@@ -129,7 +136,7 @@ def _sets(width: int, percent: int, frequent: np.ndarray):
 
 def _bytes_of_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(x.as_py() or "", width) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
