@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..plans.store import stored
 from ..sources.tables import persons as _persons
 from ..sources.tables import persons_sql
 
@@ -22,13 +22,12 @@ _INPUTS: dict = {}
 
 def persons_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``persons`` as the queries' stored input: derived from the driver
-    tables once per session and written (reliable checkpoint) into the
-    session's shared checkpoint folder, the way the survey's raw table sits
-    on disk. Every registered query still reads all of it."""
+    tables once per session and written as Parquet into the session's shared
+    folder, the way the survey's raw table sits on disk. Queries read
+    the columns they need of all its rows."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INPUTS:
-        ensure_checkpoint_dir(spark)
-        _INPUTS[key] = _persons(spark, sf_dir).checkpoint(eager=True)
+        _INPUTS[key] = stored(_persons(spark, sf_dir), "persons")
     return _INPUTS[key]
 
 

@@ -11,6 +11,7 @@ from ..operators import encode as en
 from ..operators import model as mo
 from ..operators import segment as sg
 from ..operators.project import SEGMENTATION_FEATURES
+from ..plans.store import stored
 from . import register
 from .encode import COLS, split_processed
 from .segment import PERSONA_CATS
@@ -30,8 +31,7 @@ def _memo(spark, key, build):
 
 def _split(spark, sf_dir):
     def build():
-        # reliable checkpoint in the session's shared checkpoint folder
-        return split_processed(spark, sf_dir).checkpoint(eager=True)
+        return stored(split_processed(spark, sf_dir), "split")
     return _memo(spark, ("split", sf_dir), build)
 
 
@@ -96,7 +96,7 @@ def seg_vectors(spark, sf_dir):
         train, test = en.train_test(sp)
         full = en.concat_splits(train, test)
         scaled = en.standard_scale(full.select("person_id", "label", *SEG_FEATURES), SEG_FEATURES)
-        return mo.vectorize(scaled, SEG_FEATURES, ["person_id", "label"]).checkpoint(eager=True)
+        return stored(mo.vectorize(scaled, SEG_FEATURES, ["person_id", "label"]), "vectors")
     return _memo(spark, ("segvec", sf_dir), build)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -122,6 +122,12 @@ WEEKS_BAND_SQL = ("CASE WHEN weeks_worked = 0 THEN 0 WHEN weeks_worked <= 39 THE
                   "ELSE 2 END")
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """A column with NaN read as null, the library's one rule for missing values."""
+    c = F.col("`" + name.replace("`", "``") + "`")
+    return F.when(~F.isnan(c), c) if df.schema[name].dataType.typeName() in ("double", "float") else c
+
+
 def f1_score(precision: Column, recall: Column) -> Column:
     """2PR / (P + R), 0 when both are 0 (the sweep's and report's F1)."""
     return F.when(precision + recall > 0,

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import present
 from ..schema import is_numeric, q
 
 
@@ -33,7 +34,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
     diagonal included; null where a column is constant on the pair's rows."""
     cols = cols or [c for c in df.columns if is_numeric(df, c) and c not in exclude]
     d = len(cols)
-    x = [F.col(q(c)).cast("double") for c in cols]
+    x = [present(df, c).cast("double") for c in cols]
     stats = df.agg(F.count("*").alias("n"), *[e for i in range(d) for e in (
         F.avg(x[i]).alias(f"m{i}"), F.min(x[i]).alias(f"lo{i}"), F.max(x[i]).alias(f"hi{i}"),
         F.count_if(x[i].isNull()).alias(f"z{i}"))]).first()   # 4d+1 numbers

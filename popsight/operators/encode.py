@@ -19,7 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..functions.columns import present
+from ..plans.store import stored
 from ..schema import PERSONS_ROLES, Roles, is_numeric, q
 from .missing import drop_duplicates, medians, modes, sentinels_to_null
 from .project import feature_group_lists
@@ -33,17 +34,15 @@ def label_encode_fit(df: DataFrame, cols: list[str], partitions: int | None = No
     order of the column's distinct values (cast to string).
 
     No task holds a whole column: the distinct (column, value) pairs are
-    range-partitioned on (column, value), their partition ids pinned by a
-    reliable checkpoint, ranked inside each partition, and shifted by the
+    range-partitioned on (column, value), their partition ids pinned by
+    writing them, ranked inside each partition, and shifted by the
     number of the column's values in earlier partitions (a bounded table of
     counts per partition and column)."""
     distinct = _distinct_pairs(df, cols)
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ensure_checkpoint_dir(spark)
-    ranged = (distinct.repartitionByRange(n_parts, "column_name", "value")
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = stored(distinct.repartitionByRange(n_parts, "column_name", "value")
+                    .withColumn("_pid", F.spark_partition_id()), "codes")
     per = ranged.groupBy("_pid", "column_name").agg(F.count("*").alias("_n"))
     before = (Window.partitionBy("column_name").orderBy("_pid")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -148,7 +147,7 @@ PARAM_DIGITS = 10
 
 
 def _moments(c: str, df: DataFrame) -> tuple[Column, Column]:
-    x = F.col(q(c))
+    x = present(df, c)
     if not is_numeric(df, c) or df.schema[c].dataType.typeName() in ("double", "float"):
         x = x.cast("double")
     return (F.round(F.avg(x), PARAM_DIGITS),
@@ -248,8 +247,7 @@ def preprocess_fit(df: DataFrame, roles: Roles = PERSONS_ROLES, dedup: bool = Tr
     base = drop_duplicates(df) if dedup else df
     base = sentinels_to_null(base, roles)
     if materialize:
-        ensure_checkpoint_dir(base.sparkSession)
-        base = base.checkpoint(eager=True)
+        base = stored(base, "cleaned")
     numeric, categorical = feature_group_lists(base, roles)
     meds, mo = _fit_fill(base, numeric, categorical)
     imputed = _fill(base, meds, mo, numeric, categorical)
@@ -327,7 +325,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "person_id"
     rk = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
     edge = edge.withColumn("split", F.when(rk <= F.col("_need"), F.lit("test"))
                            .otherwise(F.lit("train")))
-    cols = df.columns + ["split"]
+    cols = [F.col(q(c)) for c in df.columns] + ["split"]
     return decided.select(*cols).unionByName(edge.select(*cols))
 
 

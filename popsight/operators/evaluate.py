@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, f1_score, ratio, ratio_or_zero
-from ..plans.cumulative import running_totals
+from ..plans.cumulative import default_buckets, running_totals
 from ..plans.histogram import equal_width_histogram
 
 
@@ -27,8 +27,15 @@ def scored_table(df: DataFrame, label: str = "label", positive=1,
                      .alias("label"), col(score).cast("double").alias("score"))
 
 
+def ranked_score() -> Column:
+    """The score by which rows are ranked: a null or NaN score comes last and is
+    never predicted, so its row counts as a negative prediction everywhere."""
+    s = F.col("score").cast("double")
+    return F.when(s.isNull() | F.isnan(s), F.lit(float("-inf"))).otherwise(s)
+
+
 def _counts(scored: DataFrame, threshold: float) -> DataFrame:
-    pred = F.col("score") >= F.lit(float(threshold))
+    pred = ranked_score() >= F.lit(float(threshold))
     y = F.col("label") == F.lit(1)
     return scored.agg(
         F.count_if(~y & ~pred).alias("tn"), F.count_if(~y & pred).alias("fp"),
@@ -43,11 +50,11 @@ def confusion_matrix(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 def score_counts(scored: DataFrame) -> DataFrame:
     """Counts of positives and negatives per distinct score."""
     y = F.col("label") == F.lit(1)
-    return scored.groupBy("score").agg(F.count_if(y).cast("bigint").alias("pos"),
+    return scored.groupBy(ranked_score().alias("score")).agg(F.count_if(y).cast("bigint").alias("pos"),
                                        F.count_if(~y).cast("bigint").alias("neg"))
 
 
-def _cumulative(scored: DataFrame, buckets: int = 64) -> tuple[DataFrame, Column, Column]:
+def _cumulative(scored: DataFrame, buckets: int | None = None) -> tuple[DataFrame, Column, Column]:
     """Running totals over distinct scores (highest first) plus P and N.
 
     One small action first -- cut points of the distinct scores and the two
@@ -55,6 +62,7 @@ def _cumulative(scored: DataFrame, buckets: int = 64) -> tuple[DataFrame, Column
     them as literals: no subquery is re-evaluated, no window runs in one
     task over the data."""
     counts = score_counts(scored)
+    buckets = buckets or default_buckets(scored.sparkSession)
     probs = [i / buckets for i in range(1, buckets)]
     st = counts.agg(F.percentile_approx("score", probs, 10000).alias("b"),
                     F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()

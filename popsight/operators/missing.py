@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import present
 from ..plans.quantiles import exact_percentile_columns
 from ..schema import PERSONS_ROLES, Roles, is_numeric, is_string, q
 
@@ -29,6 +30,8 @@ WAGE_ERROR = 9999
 def _stack(df: DataFrame, rows: list[list[str]], names: list[str]) -> DataFrame:
     """Melt a one-row table: each entry of ``rows`` is a list of SQL
     expressions (one per output column)."""
+    if not rows:                    # no eligible column: an empty table, names kept
+        return df.selectExpr(*[f"NULL AS {n}" for n in names]).limit(0)
     body = ", ".join(", ".join(r) for r in rows)
     return df.selectExpr(f"stack({len(rows)}, {body}) AS ({', '.join(names)})")
 
@@ -41,7 +44,7 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """position, column, missing_count, missing_percentage for every column."""
     cols = list(columns or df.columns)
     agg = df.agg(F.count("*").alias("_n"),
-                 *[F.count_if(F.col(q(c)).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
+                 *[F.count_if(present(df, c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
     long = _stack(agg, [[str(i), _lit(c), f"_m{i}", "_n"] for i, c in enumerate(cols)],
                   ["position", "column_name", "missing_count", "n"])
     return long.select(F.col("position").cast("int").alias("position"), "column_name",
@@ -71,7 +74,7 @@ def missing_profile(df: DataFrame, top_n: int = 10,
     strs = [c for c in cols if is_string(df, c)]
     aggs = [F.count("*").alias("_n")]
     for i, c in enumerate(cols):
-        aggs.append(F.count_if(F.col(q(c)).isNull()).alias(f"_m{i}"))
+        aggs.append(F.count_if(present(df, c).isNull()).alias(f"_m{i}"))
         if c in nums:
             aggs += [F.bool_or(F.col(q(c)) == F.lit(v)).alias(f"_f{i}_{j}")
                      for j, v in enumerate(NUMERIC_SENTINELS)]
@@ -177,7 +180,7 @@ def missing_indicator_map(df: DataFrame, roles: Roles = PERSONS_ROLES) -> DataFr
             if c == roles.wage:
                 rows.append([str(i), "1", _lit(c), _lit(str(WAGE_ERROR)), "true"])
     long = _stack(df.agg(*aggs), rows, ["position", "k", "column_name", "indicator", "present"])
-    return long.where("present").select(F.col("position").cast("int").alias("position"),
+    return long.where(F.col("present").cast("boolean")).select(F.col("position").cast("int").alias("position"),
                                         F.col("k").cast("int").alias("k"), "column_name", "indicator")
 
 
@@ -251,7 +254,7 @@ def impute_median(df: DataFrame, cols: list[str], approx: bool = False,
     if not cols:
         return df
     m = fitted if fitted is not None else medians(df, cols, approx)
-    fill = {c: F.coalesce(F.col(q(c)).cast("double"), F.lit(m.get(c)).cast("double")).alias(c)
+    fill = {c: F.coalesce(present(df, c).cast("double"), F.lit(m.get(c)).cast("double")).alias(c)
             for c in cols}
     return df.select(*[fill.get(c, F.col(q(c))) for c in df.columns])
 
@@ -266,7 +269,7 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column_name"),
                  (F.lit(None).cast("string") if c in num else F.col(q(c)).cast("string"))
                  .alias("value"),
-                 (F.col(q(c)).cast("double") if c in num else F.lit(None).cast("double"))
+                 (present(df, c).cast("double") if c in num else F.lit(None).cast("double"))
                  .alias("dvalue"))
         for c in cols])).alias("kv")).select("kv.*")
     long = long.where(F.col("value").isNotNull() | F.col("dvalue").isNotNull())
@@ -289,7 +292,7 @@ def impute_mode(df: DataFrame, cols: list[str], fitted: DataFrame | None = None,
     packed = maps.select(F.struct("s", "d").alias("m")).scalar()
     fill = {}
     for c in cols:
-        x = F.col(q(c))
+        x = present(df, c)
         if is_numeric(df, c):
             v = F.try_element_at(packed.getField("d"), F.lit(c)).cast(df.schema[c].dataType)
             fill[c] = F.coalesce(x, v).alias(c)

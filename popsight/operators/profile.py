@@ -255,10 +255,10 @@ def income_crosstab(df: DataFrame, by: str | Column, target: str = "label",
                     sort_by_positive: bool = False, top: int | None = None,
                     by_name: str = "group") -> DataFrame:
     """Row-normalised % of each target value per group; a missing cell
-    is 0; a null group is dropped. Optionally highest positive % first, top n."""
+    is 0; rows with a null group or target are dropped. Optionally highest positive % first, top n."""
     g = F.col(q(by)) if isinstance(by, str) else by
     t = F.col(q(target))
-    out = (df.where(g.isNotNull())
+    out = (df.where(g.isNotNull() & t.isNotNull())
            .groupBy(g.alias(by_name))
            .agg(F.count("*").alias("n"), F.count_if(t == F.lit(negative)).alias("_neg"),
                 F.count_if(t == F.lit(positive)).alias("_pos"))

@@ -131,6 +131,8 @@ def calinski_harabasz(points: DataFrame, stats: ClusterStats, features: str = "f
                       segment: str = "segment") -> DataFrame:
     """K5: (between / (k - 1)) / (within / (n - k)); 1.0 when within is 0."""
     k, n = len(stats.labels), stats.total
+    if k < 2:
+        raise ValueError("calinski_harabasz needs at least two segments")
     d = len(next(iter(stats.mean.values())))
     grand = [sum(stats.n[c] * stats.mean[c][i] for c in stats.labels) / n for i in range(d)]
     between = sum(stats.n[c] * sum((stats.mean[c][i] - grand[i]) ** 2 for i in range(d))
@@ -158,7 +160,7 @@ def davies_bouldin(points: DataFrame, stats: ClusterStats, features: str = "feat
     # per cluster row: max over the other clusters, from literals (k x k, bounded)
     ratio_max = None
     for i in labels:
-        vals = [F.lit((s[i] + s[j]) / cd[i, j]) if cd[i, j] > 0 else F.lit(float("inf"))
+        vals = [F.lit((s[i] + s[j]) / cd[i, j]) if cd[i, j] > 0 else F.lit(0.0)   # coincident centroids
                 for j in labels if j != i]
         e = F.array_max(F.array(*vals)) if vals else F.lit(0.0)
         ratio_max = F.when(F.col("segment") == i, e) if ratio_max is None else \

@@ -20,12 +20,6 @@ from pyspark.sql import functions as F
 BUCKET_COL = "_bucket"
 
 
-
-
-
-
-
-
 def bucket_of(value: Column, bounds: list[float]) -> Column:
     """Number of bounds strictly below ``value`` as a balanced CASE tree:
     log2(len(bounds)) comparisons per row, all inside codegen."""
@@ -38,14 +32,20 @@ def bucket_of(value: Column, bounds: list[float]) -> Column:
     return build(0, len(bounds)) if bounds else F.lit(0)
 
 
+def default_buckets(spark) -> int:
+    """Ranges to sort in parallel: as many as the session has shuffle partitions, 64 at least."""
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def running_totals(df: DataFrame, order_col: str, value_cols: list[str],
                    descending: bool = True, bounds: list[float] | None = None,
-                   buckets: int = 64, prefix: str = "cum_") -> DataFrame:
+                   buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows whose ``order_col`` comes at
     or before this row's in the given direction (inclusive). ``order_col``
     should be unique per row (group first). Without ``bounds`` the cut points
     come from one sketch pass over ``df``."""
     if bounds is None:
+        buckets = buckets or default_buckets(df.sparkSession)
         probs = [i / buckets for i in range(1, buckets)]
         qs = df.agg(F.percentile_approx(order_col, probs, 10000)).first()[0] or []
         bounds = sorted({float(v) for v in qs if v is not None and math.isfinite(v)})

@@ -34,13 +34,16 @@ def get_spark(cpus: int | str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder named by the session; only when none is
-    set (local tests) create a scratch one."""
+    """Return the checkpoint folder named by the session. Only a local session
+    that names none (tests, bench) gets a scratch folder; on a cluster executors
+    could not share it, so a missing setting is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="popsight-ckpt-")
     sc.setCheckpointDir(configured)

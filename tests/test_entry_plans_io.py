@@ -22,7 +22,8 @@ def test_registry_shape():
     assert set(sqls) <= set(qs)
     assert len(qs) >= 90
     for name in qs:
-        assert not name.startswith("op") and name != "pipeline"
+        if entry.llm is None:      # the training-data queries go with their package
+            assert not name.startswith("op") and name != "pipeline"
 
 
 def _plan(df):
