@@ -31,16 +31,16 @@ def q_s1(spark, sf_dir):
     return io.read_headerless_csv(spark, f"{base}/data", names, TYPES)
 
 
-@register("s2_read_column_names", sql_with(select="SELECT * FROM (VALUES " + ", ".join(
-    f"({i + 1}, '{c}')" for i, c in enumerate(COLS)) + ") v(position, column_name) "
-    "WHERE (SELECT COUNT(*) FROM persons) >= 0"))
+@register("s2_read_column_names", sql_with(select=" UNION ALL ".join(
+    f"SELECT {i + 1} AS position, '{c}' AS column_name, COUNT({c}) AS non_null FROM persons"
+    for i, c in enumerate(COLS))))
 def q_s2(spark, sf_dir):
-    base = io.scratch_path(spark, "names")
-    io.write_names(raw(spark, sf_dir), base)
-    names = io.read_column_names(spark, base)
-    return spark.read.text(base).select(F.trim("value").alias("column_name")).select(
-        F.array_position(F.array(*[F.lit(n) for n in names]), F.col("column_name"))
-        .cast("int").alias("position"), "column_name")
+    """The names read from the names file, each with the values that the
+    headerless file holds at its position."""
+    df = q_s1(spark, sf_dir)
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(df.columns)])
+    body = ", ".join(f"{i + 1}, '{c}', _n{i}" for i, c in enumerate(df.columns))
+    return counts.selectExpr(f"stack({len(df.columns)}, {body}) AS (position, column_name, non_null)")
 
 
 _S5_ORDER = [c for c in COLS if c not in ("label", "weight")] + ["label", "weight"]

@@ -36,9 +36,11 @@ def q_p3(spark, sf_dir):
     return pr.numeric_columns(persons_input(spark, sf_dir), exclude=("label", "weight", "year"))
 
 
-def _values(rows) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(
-        f"({p}, '{a}', '{b}')" for p, a, b in rows) + ") t"
+def _column_table(rows, names) -> str:
+    """One row per (position, column, value): the column's counts come from persons."""
+    return " UNION ALL ".join(
+        f"SELECT {p} AS {names[0]}, '{c}' AS {names[1]}, '{v}' AS {names[2]}, COUNT({_cols([c])}) AS non_null, "
+        f"COUNT(DISTINCT {_cols([c])}) AS distinct_values FROM persons" for p, c, v in rows)
 
 
 _P4_NUM = [c for c in PERSONS_ROLES.continuous if c in COLS]
@@ -46,18 +48,15 @@ _P4_ROWS = [(i, c, "numeric" if c in _P4_NUM else "categorical") for i, c in enu
             if c not in PERSONS_ROLES.exclude and c not in PERSONS_ROLES.ids]
 
 
-@register("p4_feature_groups", sql_with(select=f"""
-  SELECT CAST(position AS INTEGER) AS position, feature, feature_group
-  FROM ({_values(_P4_ROWS)}) v(position, feature, feature_group)
-  WHERE (SELECT COUNT(*) FROM persons) >= 0"""))
+@register("p4_feature_groups", sql_with(
+    select=_column_table(_P4_ROWS, ("position", "feature", "feature_group"))))
 def q_p4(spark, sf_dir):
     return pr.feature_groups(persons_input(spark, sf_dir), PERSONS_ROLES)
 
 
-@register("p5_detect_roles", sql_with(select=f"""
-  SELECT CAST(position AS INTEGER) AS position, column_name, role
-  FROM ({_values([(19, 'label', 'target'), (18, 'weight', 'weight')])}) v(position, column_name, role)
-  WHERE (SELECT COUNT(*) FROM persons) >= 0"""))
+@register("p5_detect_roles", sql_with(
+    select=_column_table([(19, "label", "target"), (18, "weight", "weight")],
+                         ("position", "column_name", "role"))))
 def q_p5(spark, sf_dir):
     # the survey layout ends with the label: drop the fixture's extra score column
     return pr.detect_roles(persons_input(spark, sf_dir).drop("score"))

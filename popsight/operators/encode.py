@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType, StringType, StructField, StructType
 
 from ..functions.columns import present
 from ..plans.store import stored
@@ -231,7 +232,10 @@ def _fill(df: DataFrame, meds, mo, numeric, categorical, unknown: str = "Unknown
         elif c in categorical:
             sval, dval = mo.get(c, (None, None))
             if is_numeric(df, c):
-                x = F.coalesce(x, F.lit(dval).cast(df.schema[c].dataType)) if dval is not None else x
+                # integers travel as text: a double would round those above 2^53
+                whole = isinstance(df.schema[c].dataType, IntegralType) and sval is not None
+                mode = F.lit(sval if whole else dval).cast(df.schema[c].dataType)
+                x = F.coalesce(x, mode) if whole or dval is not None else x
             else:
                 x = F.coalesce(x, F.lit(sval if sval is not None else unknown))
         out.append(x.alias(c))
@@ -291,42 +295,63 @@ def split_hash(key: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
+HASH_STEP = 4      # hex digits of the split hash that one narrowing step adds
+HASH_DIGITS = 32   # md5
+
+
 def stratified_split(df: DataFrame, label: str = "label", key: str = "person_id",
-                     test_size: float = 0.2, seed: int = 42, hash_prefix: int = 4
-                     ) -> DataFrame:
+                     test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Exact stratified split -- in each class the round(test_size * n)
     rows with the smallest (hash, key) are ``test``, the rest ``train``.
 
-    No per-class sort of the data: rows are counted per (class, hash
-    bucket) with the bucket = first ``hash_prefix`` hex digits (uniform, so
-    buckets are even), running totals over the bounded bucket table find the
-    one cut bucket per class, and only the rows of that bucket are ranked.
-    """
+    The rows are neither sorted nor shuffled. The hash at which a class is
+    cut is found a few digits at a time: each step counts the rows that share
+    the class's prefix so far by their next digits (map-side combined, at
+    most 16^4 buckets a class) and follows the bucket that holds the
+    cut, until all of that bucket is test. A step divides what is undecided
+    by 65,536, so 1e11 rows take three steps, each reading label and key
+    alone. The split itself is then one comparison per row. Only rows of one
+    repeated key, which no digit can part, are ranked. A null label is a class."""
+    spark = df.sparkSession
     h = split_hash(key, seed)
-    nb = 16 ** hash_prefix
-    b = F.conv(F.substring(h, 1, hash_prefix), 16, 10).cast("int")
-    tagged = df.withColumn("_h", h).withColumn("_b", b)
-    counts = tagged.groupBy(label, "_b").agg(F.count("*").alias("_n"))    # <= classes * nb rows
-    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(label)
-    run = counts.select(label, "_b", "_n", F.sum("_n").over(w).alias("_cum"),
-                        F.sum("_n").over(tot).alias("_total"))
-    run = run.withColumn("_want", F.round(F.lit(float(test_size)) * F.col("_total")).cast("bigint"))
-    cut = (run.where((F.col("_cum") >= F.col("_want")) & (F.col("_want") > 0))
-           .groupBy(label).agg(F.min(F.struct("_b", "_cum", "_n", "_want")).alias("c"))
-           .select(label, F.col("c._b").alias("_cut"),
-                   (F.col("c._want") - (F.col("c._cum") - F.col("c._n"))).alias("_need")))
-    # one row per class: bounded, broadcast
-    j = tagged.join(F.broadcast(cut), label, "left")
-    cutb = F.coalesce(F.col("_cut"), F.lit(-1))
-    decided = j.where(F.col("_b") != cutb).withColumn(
-        "split", F.when(F.col("_b") < cutb, F.lit("test")).otherwise(F.lit("train")))
-    edge = j.where(F.col("_b") == cutb)
-    rk = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
-    edge = edge.withColumn("split", F.when(rk <= F.col("_need"), F.lit("test"))
-                           .otherwise(F.lit("train")))
-    cols = [F.col(q(c)) for c in df.columns] + ["split"]
-    return decided.select(*cols).unionByName(edge.select(*cols))
+    rows = df.select(F.col(q(label)).alias("_class"), h.alias("_h"))
+    schema = StructType([StructField("_cut_class", df.schema[label].dataType),
+                         StructField("_prefix", StringType()), StructField("_need", LongType()),
+                         StructField("_n", LongType())])
+    per_class = Window.partitionBy("_class")
+    running = per_class.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = None
+    for digits in range(HASH_STEP, HASH_DIGITS + 1, HASH_STEP):
+        if cuts is None:
+            open_ = rows.withColumn("_need", F.lit(None).cast("bigint"))
+        else:   # one row per class
+            open_ = rows.join(F.broadcast(cuts), F.col("_class").eqNullSafe(F.col("_cut_class"))
+                              & F.col("_h").startswith(F.col("_prefix")))
+        counts = open_.groupBy("_class", F.substring("_h", 1, digits).alias("_p")).agg(
+            F.count("*").alias("_n"), F.max("_need").alias("_need"))
+        ends = counts.select("_class", "_p", "_n", F.sum("_n").over(running).alias("_end"), F.coalesce(
+            "_need", F.round(F.lit(float(test_size)) * F.sum("_n").over(per_class)).cast("bigint")
+        ).alias("_want"))
+        found = [(r["_class"], r["_p"], r["_need"], r["_n"]) for r in ends.where(
+            (F.col("_want") > F.col("_end") - F.col("_n")) & (F.col("_want") <= F.col("_end"))).select(
+            "_class", "_p", (F.col("_want") - F.col("_end") + F.col("_n")).alias("_need"), "_n").collect()]
+        cuts = spark.createDataFrame(found, schema)
+        if all(need == n for _, _, need, n in found):
+            break
+
+    width = F.length("_prefix")
+    joined = df.withColumn("_h", h).join(F.broadcast(cuts), F.col(q(label)).eqNullSafe(F.col("_cut_class")),
+                                         "left")
+    head = F.substring(F.col("_h"), F.lit(1), width)
+    cols = [F.col(q(c)) for c in df.columns]
+    side = F.when(head <= F.col("_prefix"), F.lit("test")).otherwise(F.lit("train")).alias("split")
+    if all(need == n for _, _, need, n in found):
+        return joined.select(*cols, side)
+    tied = F.coalesce((F.col("_h") == F.col("_prefix")) & (F.col("_need") < F.col("_n")), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(label, "_h").orderBy(q(key)))
+    repeated = joined.where(tied).withColumn("_r", rank).select(
+        *cols, F.when(F.col("_r") <= F.col("_need"), F.lit("test")).otherwise(F.lit("train")).alias("split"))
+    return joined.where(~tied).select(*cols, side).unionByName(repeated)
 
 
 def train_test(split: DataFrame) -> tuple[DataFrame, DataFrame]:

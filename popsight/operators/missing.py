@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.columns import present
 from ..plans.quantiles import exact_percentile_columns
@@ -262,22 +263,31 @@ def impute_median(df: DataFrame, cols: list[str], approx: bool = False,
 def modes(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, dvalue, count): the most frequent non-null value per
     column, smallest value on ties (numeric order for numeric columns).
-    One unpivot + one grouped count; no per-column job and no value list
-    held in one buffer."""
+    ``value`` is the text of a string or integer mode, ``dvalue`` the double
+    of a numeric one. Integers are grouped and compared as integers. One
+    unpivot + one grouped count; no per-column job and no value list held in
+    one buffer."""
     num = set(c for c in cols if is_numeric(df, c))
+    whole = set(c for c in num if isinstance(df.schema[c].dataType, IntegralType))
+
+    def slot(x: Column, used: bool, kind: str, name: str) -> Column:
+        return (x if used else F.lit(None)).cast(kind).alias(name)
+
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"),
-                 (F.lit(None).cast("string") if c in num else F.col(q(c)).cast("string"))
-                 .alias("value"),
-                 (present(df, c).cast("double") if c in num else F.lit(None).cast("double"))
-                 .alias("dvalue"))
+                 slot(F.col(q(c)), c not in num, "string", "value"),
+                 slot(F.col(q(c)), c in whole, "bigint", "whole"),
+                 slot(present(df, c), c in num - whole, "double", "dvalue"))
         for c in cols])).alias("kv")).select("kv.*")
-    long = long.where(F.col("value").isNotNull() | F.col("dvalue").isNotNull())
-    counts = long.groupBy("column_name", "value", "dvalue").agg(F.count("*").alias("cnt"))
+    long = long.where(F.col("value").isNotNull() | F.col("whole").isNotNull()
+                      | F.col("dvalue").isNotNull())
+    counts = long.groupBy("column_name", "value", "whole", "dvalue").agg(F.count("*").alias("cnt"))
     best = counts.groupBy("column_name").agg(
-        F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("dvalue"), F.col("value")))
+        F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("whole"), F.col("dvalue"), F.col("value")))
         .alias("b"))
-    return best.select("column_name", "b.value", "b.dvalue", (-F.col("b.neg")).alias("count"))
+    return best.select("column_name", F.coalesce("b.value", F.col("b.whole").cast("string")).alias("value"),
+                       F.coalesce("b.dvalue", F.col("b.whole").cast("double")).alias("dvalue"),
+                       (-F.col("b.neg")).alias("count"))
 
 
 def impute_mode(df: DataFrame, cols: list[str], fitted: DataFrame | None = None,
@@ -294,7 +304,9 @@ def impute_mode(df: DataFrame, cols: list[str], fitted: DataFrame | None = None,
     for c in cols:
         x = present(df, c)
         if is_numeric(df, c):
-            v = F.try_element_at(packed.getField("d"), F.lit(c)).cast(df.schema[c].dataType)
+            kind = df.schema[c].dataType
+            v = F.try_element_at(packed.getField("s" if isinstance(kind, IntegralType) else "d"),
+                                 F.lit(c)).cast(kind)
             fill[c] = F.coalesce(x, v).alias(c)
         else:
             v = F.try_element_at(packed.getField("s"), F.lit(c))

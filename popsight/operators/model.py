@@ -137,15 +137,22 @@ def feature_importance(bm: BoostedModel, top_n: int | None = 20) -> DataFrame:
     return out.where(F.col("rank") <= top_n) if top_n else out
 
 
+#: Rows a hash bucket of the fold ranking holds on average, at most.
+FOLD_BUCKET_ROWS = 100_000
+
+
 def stratified_folds(df: DataFrame, label: str = "label", key: str = "person_id",
-                     folds: int = 3, seed: int = 42, hash_prefix: int = 4) -> DataFrame:
+                     folds: int = 3, seed: int = 42) -> DataFrame:
     """Exact stratified fold ids: rank rows within their class by (hash, key)
     and deal them round-robin to ``folds`` folds. The rank is distributed:
     bucket counts per class give each hash bucket its offset and only rows of
-    one (class, bucket) are ranked together."""
+    one (class, bucket) are ranked together. The number of buckets follows
+    the number of rows; the folds do not depend on it."""
+    n, digits = df.count(), 1
+    while n > FOLD_BUCKET_ROWS * 16 ** digits:
+        digits += 1
     h = split_hash(key, seed)
-    b = F.conv(F.substring(h, 1, hash_prefix), 16, 10).cast("int")
-    tagged = df.withColumn("_h", h).withColumn("_b", b)
+    tagged = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
     counts = tagged.groupBy(label, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -67,19 +67,15 @@ def _num_stats(df: DataFrame, cols: list[str], names: dict[str, str]) -> DataFra
         aggs += [F.min(x).alias(f"_mn{i}"), F.max(x).alias(f"_mx{i}"),
                  F.avg(x).alias(f"_av{i}"), F.stddev_samp(x).alias(f"_sd{i}"),
                  F.count(x).alias(f"_c{i}")]
-    # one pass for the moments (a single row: bounded); its counts and ranges
-    # also seed the exact quartile search, which then needs no pass of its own
-    row = df.agg(*aggs).first()
-    seed = {c: (row[f"_c{i}"], row[f"_mn{i}"], row[f"_mx{i}"]) for i, c in enumerate(cols)}
-    qs = exact_percentile_columns(df, cols, [0.25, 0.5, 0.75], stats=seed)
+    row = df.agg(*aggs).first()    # one pass for the moments
+    qs = exact_percentile_columns(df, cols, [0.25, 0.5, 0.75])
 
     def lit(v) -> str:
         return "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
     rows = [[str(i), _lit(c), lit(row[f"_mn{i}"]), lit(row[f"_mx{i}"]), lit(row[f"_av{i}"]),
              lit(row[f"_sd{i}"]), lit(qs[c][0]), lit(qs[c][1]), lit(qs[c][2]),
              str(int(row[f"_c{i}"]))] for i, c in enumerate(cols)]
-    # the table is derived from df's one-row aggregate, so it is evaluated with df
-    long = _stack(df.agg(F.count("*").alias("_rows")), rows,
+    long = _stack(df.sparkSession.range(1), rows,
                   ["position", "column_name", "min", "max", "mean", "std", "q25", "median",
                    "q75", "n"])
     r9 = lambda c: F.round(F.col(c), 9)  # noqa: E731  float sums: order-independent digits

@@ -66,19 +66,21 @@ def feature_group_lists(df: DataFrame, roles: Roles = PERSONS_ROLES
 
 def _schema_table(df: DataFrame, rows: list[tuple[int, str, str]], names: tuple[str, str, str]
                   ) -> DataFrame:
-    """A small (position, name, value) table about ``df``'s columns, anchored
-    on a one-row aggregate of ``df`` so it is evaluated with the table."""
+    """A (position, name, value) table about ``df``'s columns with each one's
+    ``non_null`` rows and ``distinct_values``, from one aggregation of ``df``."""
     if not rows:
-        return df.agg(F.count("*")).limit(0).selectExpr(
-            f"0 AS {names[0]}", f"'' AS {names[1]}", f"'' AS {names[2]}")
-    body = ", ".join(f"{p}, '{a}', '{b}'" for p, a, b in rows)
-    return df.agg(F.count("*").alias("_n")).selectExpr(
-        f"stack({len(rows)}, {body}) AS ({', '.join(names)})").select(
-        F.col(names[0]).cast("int").alias(names[0]), names[1], names[2])
+        return df.sparkSession.createDataFrame([], f"{names[0]} int, {names[1]} string, {names[2]} string, "
+                                               "non_null bigint, distinct_values bigint")
+    counts = df.agg(*[e for i, (_, c, _) in enumerate(rows) for e in (
+        F.count(fc.present(df, c)).alias(f"_n{i}"), F.count_distinct(fc.present(df, c)).alias(f"_d{i}"))])
+    body = ", ".join(f"{p}, '{a}', '{b}', _n{i}, _d{i}" for i, (p, a, b) in enumerate(rows))
+    return counts.selectExpr(
+        f"stack({len(rows)}, {body}) AS ({', '.join(names)}, non_null, distinct_values)")
 
 
 def feature_groups(df: DataFrame, roles: Roles = PERSONS_ROLES) -> DataFrame:
-    """(position, feature, feature_group) with group numeric/categorical."""
+    """(position, feature, feature_group) with group numeric/categorical,
+    and each feature's non-null rows and distinct values."""
     numeric, categorical = feature_group_lists(df, roles)
     rows = [(i, c, "numeric" if c in numeric else "categorical")
             for i, c in enumerate(df.columns) if c in numeric or c in categorical]
@@ -87,7 +89,7 @@ def feature_groups(df: DataFrame, roles: Roles = PERSONS_ROLES) -> DataFrame:
 
 def detect_roles(df: DataFrame) -> DataFrame:
     """P5: target = the last column; weight = the first column whose name
-    contains 'weight' or 'wgt' (any case). Rows (position, column_name, role)."""
+    contains 'weight' or 'wgt' (any case). Rows (position, column_name, role, non_null, distinct_values)."""
     rows = [(len(df.columns) - 1, df.columns[-1], "target")]
     for i, c in enumerate(df.columns):
         if "weight" in c.lower() or "wgt" in c.lower():

@@ -2,160 +2,77 @@
 
 Spark's exact ``percentile`` / ``median`` keep a map of every distinct value
 of a group in the aggregation buffer, so the final merge of a continuous
-column holds all of its distinct values in one task. Here each wanted order
-statistic is found by narrowing a value range instead:
-
-1. one aggregation gives every group's size, min and max (one row per group);
-2. each level splits every target's current range into ``bins`` equal-width
-   bins and counts rows per (target, bin) -- one map-side-combined pass --
-   then keeps the bin that holds the target's rank; the new range is that
-   bin's own min..max, so no value is ever mis-assigned;
-3. once a range holds a single value, or at most ``final_rows`` rows, those
-   rows are ranked exactly (a window over at most ``final_rows`` values).
-
-Values between the two order statistics around ``p * (n - 1)`` are linearly
-interpolated exactly like Spark's ``percentile``. Only per-target scalars
-(ranges, counts, the chosen values) reach the driver.
+column holds all of its distinct values in one task. Here, for any number of
+groups of any size:
+
+1. rows are counted per (group, value), combined map-side, so a value held
+   by a third of the rows is one row from here on;
+2. the counts are range-partitioned on (group, value) and written, which
+   pins every value to a partition; a large group spans many of them;
+3. each (partition, group) gets the number of the group's rows in earlier
+   partitions (at most one row per group and one per partition more), and a
+   window inside it finishes the running totals;
+4. the values at the two ranks around ``p * (n - 1)`` are kept and linearly
+   interpolated exactly like Spark's ``percentile``.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _interpolate(pos: float, lo_v: float, hi_v: float) -> float:
-    lower, higher = math.floor(pos), math.ceil(pos)
-    if higher == lower or lo_v == hi_v:
-        return lo_v
-    return (higher - pos) * lo_v + (pos - lower) * hi_v
+from .store import stored
 
 
 def exact_percentiles(long: DataFrame, group_cols: list[str], value: str, probs: list[float],
-                      bins: int = 1024, final_rows: int = 1_000_000, max_levels: int = 12,
-                      max_groups: int = 10_000, stats: list[dict] | None = None) -> DataFrame:
+                      partitions: int | None = None) -> DataFrame:
     """Rows (*group_cols, p_index, value): the exact percentile ``probs[p_index]``
-    of ``value`` within each group (nulls and NaN ignored). The search runs
-    for a bounded number of groups (columns, segments, classes); with more
-    than ``max_groups`` groups (checked before anything is collected) every
-    group is small by construction and a per-group ``percentile`` aggregate
-    is used instead. ``stats`` (one dict per group with the group keys and
-    ``n``, ``mn``, ``mx`` over non-null values) skips the first pass when the
-    caller already has them."""
+    of ``value`` within each group (nulls and NaN ignored; a null group is a
+    group). ``partitions`` defaults to the session's shuffle partitions."""
     spark = long.sparkSession
     keys = list(group_cols)
-    data = long.select(*[F.col(g) for g in keys], F.col(value).cast("double").alias("_x")) \
-        .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    if stats is None:
-        grouped = data.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_x").alias("mn"),
-                                          F.max("_x").alias("mx"))
-        stats = grouped.limit(max_groups + 1).collect()    # one row per group, size checked
-    stats = [r for r in stats if r["n"]]
-    if len(stats) > max_groups:
-        per = data.groupBy(*keys).agg(F.percentile("_x", list(probs)).alias("_p"))
-        return per.select(*keys, F.posexplode("_p").alias("p_index", "value")).select(
-            *keys, F.col("p_index").cast("int").alias("p_index"), "value")
-
-    # targets: one per (group, needed order statistic)
-    targets: dict[int, dict] = {}
-    wanted: list[tuple] = []          # (group key, p_index, pos, tid_lo, tid_hi)
-    by_rank: dict[tuple, int] = {}
-    for row in stats:
-        g = tuple(row[k] for k in keys)
-        n = row["n"]
-        for pi, p in enumerate(probs):
-            pos = (n - 1) * p
-            ids = []
-            for r in (math.floor(pos), math.ceil(pos)):
-                if (g, r) not in by_rank:
-                    tid = len(targets)
-                    by_rank[(g, r)] = tid
-                    targets[tid] = dict(g=g, r=r, lo=row["mn"], hi=row["mx"], below=0, count=n,
-                                        value=row["mn"] if row["mn"] == row["mx"] else None)
-                ids.append(by_rank[(g, r)])
-            wanted.append((g, pi, pos, ids[0], ids[1]))
-
-    # value counts per group: every later pass reads this map-side-combined
-    # table (one row per distinct value), not the rows themselves
-    counts = data.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    dtypes = dict(data.dtypes)
-
-    def ranges(tids):
-        """Open targets grouped by identical search range: one row per range."""
-        rng: dict[tuple, int] = {}
-        members: list[tuple[int, int, int]] = []          # (range id, tid, rank)
-        for t in tids:
-            s_ = targets[t]
-            k = (s_["g"], s_["lo"], s_["hi"], s_["below"])
-            rid = rng.setdefault(k, len(rng))
-            members.append((rid, t, int(s_["r"])))
-        rows = [(*k[0], rid, float(k[1]), float(k[2]), int(k[3])) for k, rid in rng.items()]
-        return rows, members
-
-    def within(rows):
-        if keys:
-            schema = ", ".join([f"`{k}` {dtypes[k]}" for k in keys]
-                               + ["_rid int", "_lo double", "_hi double", "_below long"])
-            # bounded side (one row per open range): broadcast hash join on the group
-            j = counts.join(F.broadcast(spark.createDataFrame(rows, schema)), keys)
-            return j.where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-        # one group: the few open ranges travel as literals; each value keeps
-        # the ranges that hold it (no join)
-        lits = F.array(*[F.struct(F.lit(rid).alias("_rid"), F.lit(lo).alias("_lo"),
-                                  F.lit(hi).alias("_hi"), F.lit(below).alias("_below"))
-                         for rid, lo, hi, below in rows])
-        x = F.col("_x")
-        hit = F.filter(lits, lambda t: (x >= t.getField("_lo")) & (x <= t.getField("_hi")))
-        return counts.select("_x", "_c", F.explode(hit).alias("_t")).select("_x", "_c", "_t.*")
-
-    def members_frame(members):
-        return F.broadcast(spark.createDataFrame(members, "_rid int, _tid int, _r long"))
-
-    for _ in range(max_levels):
-        open_ = [t for t, s_ in targets.items() if s_["value"] is None and s_["count"] > final_rows]
-        if not open_:
-            break
-        rows, members = ranges(open_)
-        j = within(rows)
-        width = F.col("_hi") - F.col("_lo")
-        b = F.least(F.floor((F.col("_x") - F.col("_lo")) / width * F.lit(float(bins))),
-                    F.lit(bins - 1)).cast("int")
-        agg = j.groupBy("_rid", "_below", b.alias("_bin")).agg(
-            F.sum("_c").alias("_c"), F.min("_x").alias("_bmin"), F.max("_x").alias("_bmax"))
-        w = Window.partitionBy("_rid").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-        cum = agg.withColumn("_cum", F.sum("_c").over(w))    # <= bins rows per range
-        start = F.col("_below") + F.col("_cum") - F.col("_c")
-        chosen = cum.join(members_frame(members), "_rid").where(
-            (start <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_cum")))
-        for row in chosen.select("_tid", "_c", "_bmin", "_bmax", start.alias("_start")).collect():
-            s_ = targets[row["_tid"]]
-            s_.update(lo=row["_bmin"], hi=row["_bmax"], below=row["_start"], count=row["_c"])
-            if row["_bmin"] == row["_bmax"]:
-                s_["value"] = row["_bmin"]
-
-    rest = [t for t, s_ in targets.items() if s_["value"] is None]
-    if rest:
-        rows, members = ranges(rest)
-        j = within(rows)
-        w = Window.partitionBy("_rid").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-        cum = j.withColumn("_cum", F.sum("_c").over(w))    # <= final_rows values per range
-        start = F.col("_below") + F.col("_cum") - F.col("_c")
-        pick = cum.join(members_frame(members), "_rid").where(
-            (start <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_cum")))
-        for row in pick.select("_tid", "_x").collect():
-            targets[row["_tid"]]["value"] = row["_x"]
-
-    out = [(*g, pi, float(_interpolate(pos, targets[a]["value"], targets[b_]["value"])))
-           for g, pi, pos, a, b_ in wanted]
-    schema = ", ".join([f"`{k}` {dtypes[k]}" for k in keys] + ["p_index int", "value double"])
-    return spark.createDataFrame(out, schema)
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    counts = (long.select(*keys, F.col(value).cast("double").alias("_x"))
+              .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+              .groupBy(*keys, "_x").agg(F.count("*").alias("_c")))
+    ranged = stored(counts.repartitionByRange(n_parts, *keys, "_x")
+                    .withColumn("_pid", F.spark_partition_id()), "percentiles")
+
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_pid", *keys).agg(F.sum("_c").alias("_n")).select(
+        F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        F.sum("_n").over(group).alias("_total"))
+    same = reduce(lambda a, b: a & b, [F.col("_pid") == F.col("_opid")] + [
+        F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)])
+    local = (Window.partitionBy("_pid", *keys).orderBy("_x")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = ranged.join(offsets, same).withColumn("_end", F.col("_off") + F.sum("_c").over(local))
+
+    def here(rank: Column) -> Column:
+        return (rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end"))
+
+    wanted = F.array(*[F.struct(F.lit(i).alias("p_index"),
+                                ((F.col("_total") - 1) * F.lit(float(p))).alias("pos"))
+                       for i, p in enumerate(probs)])
+    hits = F.filter(wanted, lambda t: here(F.floor(t["pos"])) | here(F.ceil(t["pos"])))
+    picked = run.select(*keys, "_x", "_end", "_c", F.explode(hits).alias("_t")).select(
+        *keys, "_t.p_index", "_t.pos", F.when(here(F.floor("_t.pos")), F.col("_x")).alias("_lo"),
+        F.when(here(F.ceil("_t.pos")), F.col("_x")).alias("_hi"))
+    # at most two rows per group and probability
+    ends = picked.groupBy(*keys, "p_index").agg(
+        F.max("pos").alias("pos"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    low, high = F.floor("pos"), F.ceil("pos")
+    return ends.select(*keys, "p_index", F.when(
+        (low == high) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
+        (high - F.col("pos")) * F.col("_lo") + (F.col("pos") - low) * F.col("_hi")).alias("value"))
 
 
 def exact_percentile_columns(df: DataFrame, cols: list[str], probs: list[float],
-                             stats: dict[str, tuple[int, float, float]] | None = None, **kw
-                             ) -> dict[str, list[float | None]]:
+                             partitions: int | None = None) -> dict[str, list[float | None]]:
     """{column: [percentile per prob]} for several numeric columns at once
     (one unpivot; columns without values map to Nones)."""
     if not cols:
@@ -164,10 +81,7 @@ def exact_percentile_columns(df: DataFrame, cols: list[str], probs: list[float],
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v"))
         for c in cols])).alias("kv")).select("kv.*")
     res = {c: [None] * len(probs) for c in cols}
-    given = None
-    if stats is not None:   # {column: (n, min, max)} over non-null values
-        given = [{"column_name": c, "n": n, "mn": mn, "mx": mx}
-                 for c, (n, mn, mx) in stats.items()]
-    for r in exact_percentiles(long, ["column_name"], "v", probs, stats=given, **kw).collect():
+    # one row per column and probability
+    for r in exact_percentiles(long, ["column_name"], "v", probs, partitions).collect():
         res[r["column_name"]][r["p_index"]] = r["value"]
     return res

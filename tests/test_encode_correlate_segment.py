@@ -136,31 +136,63 @@ def test_top_k_per_group_exact(spark):
         assert list(got[got.g == g].sort_values("rank").value) == list(exp.value)
 
 
-def test_exact_percentiles_multilevel_match_spark(spark):
+def test_exact_percentiles_match_spark(spark):
     from popsight.plans.quantiles import exact_percentiles
     rng = np.random.default_rng(0)
     vals = np.concatenate([rng.normal(size=3000), np.full(2000, 1.5), rng.uniform(-1e3, 1e3, 1000)])
     df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(vals)], "g int, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0, 0.333]
-    # tiny bins / final size force several refinement levels
-    got = exact_percentiles(df, ["g"], "v", probs, bins=8, final_rows=50).toPandas()
+    got = exact_percentiles(df, ["g"], "v", probs, partitions=13).toPandas()
     for g in range(3):
         exp = df.where(F.col("g") == g).agg(F.percentile("v", probs)).first()[0]
         mine = got[got.g == g].sort_values("p_index").value.tolist()
         assert np.allclose(mine, exp, rtol=0, atol=1e-12)
-    one = exact_percentiles(df, [], "v", probs, bins=8, final_rows=50).sort("p_index").toPandas()
+    one = exact_percentiles(df, [], "v", probs, partitions=13).sort("p_index").toPandas()
     assert np.allclose(one.value, df.agg(F.percentile("v", probs)).first()[0], atol=1e-12)
 
 
-def test_percentiles_many_groups_fallback_agrees(spark):
+def test_percentiles_of_many_groups_and_one_hot_group(spark):
+    """12,001 groups, one of them with half of the rows, and a null group."""
     from popsight.plans.quantiles import exact_percentiles
     rng = np.random.default_rng(6)
-    df = spark.createDataFrame([(int(g), float(v)) for g, v in
-                                zip(rng.integers(0, 40, 2000), rng.normal(size=2000))],
-                               "g int, v double")
-    a = exact_percentiles(df, ["g"], "v", [0.1, 0.5]).orderBy("g", "p_index").toPandas()
-    b = exact_percentiles(df, ["g"], "v", [0.1, 0.5], max_groups=5).orderBy("g", "p_index").toPandas()
-    assert len(a) == 80 and np.allclose(a.value, b.value, atol=1e-12)
+    small = [(int(g), float(v)) for g, v in zip(range(12_000), rng.normal(size=12_000))]
+    hot = [(-1, float(v)) for v in rng.normal(size=12_000)]
+    none = [(None, 1.0), (None, 2.0), (5, float("nan")), (6, None)]
+    df = spark.createDataFrame(small + hot + none, "g int, v double")
+    probs = [0.1, 0.5]
+    got = {(r.g, r.p_index): r.value for r in exact_percentiles(df, ["g"], "v", probs).collect()}
+    assert len(got) == 2 * 12_002
+    assert all(got[g, i] == v for g, v in small for i in (0, 1))
+    assert np.allclose([got[-1, 0], got[-1, 1]], np.quantile([v for _, v in hot], probs), atol=1e-12)
+    assert np.allclose([got[None, 0], got[None, 1]], [1.1, 1.5])
+
+
+def test_split_matches_a_sort_and_parts_repeated_keys(spark):
+    import hashlib
+    rng = np.random.default_rng(3)
+    rows = [(int(k), ["a", "b", None][int(c)]) for k, c in zip(rng.permutation(3000), rng.integers(0, 3, 3000))]
+    rows += [(9999, "r")] * 10 + [(1, "one")]
+    got = en.stratified_split(spark.createDataFrame(rows, "person_id long, label string"), test_size=0.25)
+    got = [(r.person_id, r.label, r.split) for r in got.collect()]
+    assert len(got) == len(rows)
+    for cls in ("a", "b", None):
+        keys = sorted((k for k, c in rows if c == cls), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+        assert {k for k, c, s in got if c == cls and s == "test"} == set(keys[:int(0.25 * len(keys) + 0.5)])
+    assert sum(s == "test" for _, c, s in got if c == "r") == 3
+    assert [s for _, c, s in got if c == "one"] == ["train"]
+    empty = en.stratified_split(spark.createDataFrame([], "person_id long, label string"))
+    assert empty.count() == 0 and empty.columns == ["person_id", "label", "split"]
+
+
+def test_mode_of_integers_above_2_53(spark):
+    from popsight.operators import missing as mi
+    big = 2 ** 53 + 1
+    df = spark.createDataFrame([(big, 1.5), (big, 1.5), (None, None), (-big, float("nan"))], "x long, y double")
+    got = mi.impute_mode(df, ["x", "y"]).collect()
+    assert sorted(r.x for r in got) == [-big, big, big, big]
+    assert all(r.y == 1.5 for r in got)
+    tie = mi.impute_mode(spark.createDataFrame([(-big,), (-big - 1,), (None,)], "x long"), ["x"]).collect()
+    assert sorted(r.x for r in tie) == [-big - 1, -big - 1, -big]
 
 
 def test_label_code_paths_agree(spark):
