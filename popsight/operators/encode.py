@@ -3,17 +3,16 @@ A11, A13).
 
 Fit steps are eager, like Spark ML estimators: each is one aggregation whose
 result is bounded by the number of columns (medians, modes, means, standard
-deviations) or by the number of distinct categories (label codes, size
-checked). Transform steps are projections with those values as literals, so
-applying a fitted pipeline is a single map-only stage; only a category table
-larger than ``max_map_entries`` is applied with a join instead of an inline
-map. The cleaned table a fit reads several times is checkpointed once into
-the session's checkpoint folder, so the dedup shuffle is not redone per
+deviations), or a code table in the shared folder. Transform steps are
+projections with the bounded values as literals, and one join per categorical
+column with its codes. The cleaned table a fit reads several times is written
+once to the shared folder, so the dedup shuffle is not redone per
 parameter and executor loss cannot force a full recompute.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,9 +57,8 @@ def label_encode_fit(df: DataFrame, cols: list[str], partitions: int | None = No
 
 @dataclass
 class LabelCodes:
-    """Fitted label codes: inline maps when small, else the code table."""
+    """Fitted label codes: (column_name, value, code) of ``cols``."""
     cols: list[str]
-    maps: dict[str, dict[str, int]] | None = None
     table: DataFrame | None = None
 
 
@@ -71,61 +69,40 @@ def _distinct_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("column_name", "value").agg(F.lit(1).alias("_one")).drop("_one")
 
 
-def fit_label_codes(df: DataFrame, cols: list[str], max_map_entries: int = 10_000
-                    ) -> LabelCodes:
-    """E1 as fitted state. The distinct (column, value) pairs are fetched
-    only up to ``max_map_entries + 1`` rows (one job): when they fit, codes
-    are numbered from that bounded list (UTF-8 byte order = code-point order,
-    the same order Spark sorts strings in) and kept as inline maps; larger
-    category sets keep the distributed code table of :func:`label_encode_fit`."""
-    if not cols:
-        return LabelCodes(cols, maps={})
-    head = _distinct_pairs(df, cols).limit(max_map_entries + 1).collect()
-    if len(head) <= max_map_entries:
-        maps: dict[str, dict[str, int]] = {c: {} for c in cols}
-        for c in cols:
-            values = sorted(r["value"] for r in head if r["column_name"] == c)
-            maps[c] = {v: i for i, v in enumerate(values)}
-        return LabelCodes(cols, maps=maps)
-    return LabelCodes(cols, table=label_encode_fit(df, cols))
+def fit_label_codes(df: DataFrame, cols: list[str]) -> LabelCodes:
+    """E1 as fitted state: the code table, written once to the shared folder
+    so that every transform reads it with its size known."""
+    return LabelCodes(cols, stored(label_encode_fit(df, cols), "label-codes") if cols else None)
 
 
 def label_encode_transform(df: DataFrame, codes: LabelCodes, unseen: int = -1) -> DataFrame:
-    """Replace each categorical value by its code; unseen values -> -1."""
-    if codes.maps is not None:
-        out = []
-        for c in df.columns:
-            if c in codes.maps:
-                m = codes.maps[c]
-                lookup = F.create_map(*[x for k, v in sorted(m.items())
-                                        for x in (F.lit(k), F.lit(v))]) if m else None
-                v = F.col(q(c)).cast("string")
-                code = (F.coalesce(F.try_element_at(lookup, v), F.lit(unseen)) if lookup is not None
-                        else F.lit(unseen))
-                out.append(code.cast("int").alias(c))
-            else:
-                out.append(F.col(q(c)))
-        return df.select(*out)
-    # Large category tables: one equi-join per column on the value; AQE
-    # broadcasts the small ones at run time and shuffles the rest.
-    out = df
-    for c in codes.cols:
-        t = (codes.table.where(F.col("column_name") == c)
-             .select(F.col("value").alias("_v"), F.col("code").alias("_code")))
-        out = (out.withColumn("_v", F.col(q(c)).cast("string"))
-               .join(t, "_v", "left")
-               .withColumn(c, F.coalesce("_code", F.lit(unseen)).cast("int"))
-               .drop("_v", "_code"))
-    return out.select(*df.columns)
+    """Replace each categorical value by its code; unseen and missing
+    values -> -1. One equi-join per column with that column's codes: Spark
+    broadcasts a code table below its broadcast threshold (the map-only case)
+    and shuffles for a larger one, where AQE splits the rows of a hot value."""
+    out, new = df, {}
+    for i, c in enumerate(codes.cols):
+        t = codes.table.where(F.col("column_name") == c).select(
+            F.col("value").alias(f"_value_{i}"), F.col("code").alias(f"_code_{i}"))
+        out = out.join(t, F.col(q(c)).cast("string") == F.col(f"_value_{i}"), "left")
+        new[c] = F.coalesce(f"_code_{i}", F.lit(unseen)).cast("int").alias(c)
+    return out.select(*[new.get(c, F.col(q(c))) for c in df.columns])
 
 
 # ---------------------------------------------------------------- E3
 
 
+MAX_CLASSES = 10_000
+
+
 def target_classes(df: DataFrame, label: str = "label") -> list[str]:
-    """Distinct target values in ascending order (bounded: the classes)."""
+    """Distinct target values in ascending order. More than ``MAX_CLASSES``
+    of them are no class label: an error, not a list on the driver."""
     v = df.select(F.col(q(label)).cast("string").alias("v")).where(F.col("v").isNotNull())
-    return [r[0] for r in v.distinct().orderBy("v").collect()]
+    found = [r[0] for r in v.distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} distinct values: not a class label")
+    return sorted(found)
 
 
 def encode_target(df: DataFrame, classes: list[str], label: str = "label") -> DataFrame:
@@ -141,30 +118,31 @@ def encode_target(df: DataFrame, classes: list[str], label: str = "label") -> Da
 # ---------------------------------------------------------------- E4
 
 
-# Fitted means and standard deviations are rounded to this many decimals: a
-# float sum's last bits depend on the order partitions are merged in, and the
-# rounding makes every transform see the same parameters on every run.
+# A float sum's last bits depend on the order partitions are merged in; fitted
+# means and standard deviations are rounded to this many decimals, and to as
+# many more as a deviation below 1 needs to keep its digits, so that every
+# run sees the same parameters.
 PARAM_DIGITS = 10
 
-
-def _moments(c: str, df: DataFrame) -> tuple[Column, Column]:
-    x = present(df, c)
-    if not is_numeric(df, c) or df.schema[c].dataType.typeName() in ("double", "float"):
-        x = x.cast("double")
-    return (F.round(F.avg(x), PARAM_DIGITS),
-            F.round(F.stddev_pop(x.cast("double")), PARAM_DIGITS))
+# A standard deviation below this share of the mean is what float sums leave
+# of a constant column.
+CONSTANT_SHARE = 1e-14
 
 
 def standard_scale_fit(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
-    """E4 fit: (mean, population std) per column; std 0 (or none) -> 1."""
+    """E4 fit: (mean, population std) per column over present values, from
+    one aggregation; std 0 (or none) -> 1."""
     if not cols:
         return {}
-    row = df.agg(*[e for c in cols for e in (
-        _moments(c, df)[0].alias(f"m_{c}"), _moments(c, df)[1].alias(f"s_{c}"))]).first()
+    row = df.agg(*[e for i, c in enumerate(cols) for x in [present(df, c).cast("double")]
+                   for e in (F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"))]).first()
     out = {}
-    for c in cols:
-        s = row[f"s_{c}"]
-        out[c] = (row[f"m_{c}"] or 0.0, s if s else 1.0)
+    for i, c in enumerate(cols):
+        mean, std = row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0
+        if not std > abs(mean) * CONSTANT_SHARE:
+            std = 0.0
+        digits = PARAM_DIGITS + (max(0, -math.floor(math.log10(std))) if std else 0)
+        out[c] = (round(mean, digits), round(std, digits) or 1.0)
     return out
 
 
@@ -176,22 +154,8 @@ def standard_scale_transform(df: DataFrame, params: dict[str, tuple[float, float
 
 
 def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
-    """E4 lazily: parameters as one scalar subquery (no action)."""
-    fields = []
-    for i, c in enumerate(cols):
-        m, sd = _moments(c, df)
-        fields += [m.alias(f"m{i}"), sd.alias(f"s{i}")]
-    p = df.agg(F.struct(*fields).alias("p")).scalar()
-    out = []
-    for c in df.columns:
-        if c in cols:
-            i = cols.index(c)
-            sd = p.getField(f"s{i}")
-            sd = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
-            out.append(((F.col(q(c)).cast("double") - p.getField(f"m{i}")) / sd).alias(c))
-        else:
-            out.append(F.col(q(c)))
-    return df.select(*out)
+    """Fit and transform of the same table."""
+    return standard_scale_transform(df, standard_scale_fit(df, cols))
 
 
 # ---------------------------------------------------------------- E5 / E6
@@ -199,7 +163,7 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 @dataclass
 class Preprocessor:
-    """Fitted preprocessing state (all of it bounded and driver-side)."""
+    """Fitted preprocessing state: bounded and driver-side but for the code table."""
     roles: Roles
     numeric: list[str]
     categorical: list[str]
@@ -243,8 +207,7 @@ def _fill(df: DataFrame, meds, mo, numeric, categorical, unknown: str = "Unknown
 
 
 def preprocess_fit(df: DataFrame, roles: Roles = PERSONS_ROLES, dedup: bool = True,
-                   materialize: bool = True, max_map_entries: int = 10_000
-                   ) -> tuple[Preprocessor, DataFrame]:
+                   materialize: bool = True) -> tuple[Preprocessor, DataFrame]:
     """E5: dedup -> sentinels to null -> feature groups -> impute (median /
     mode) -> encode target -> label-encode categoricals -> scale numeric.
     Returns the fitted state and the transformed table."""
@@ -255,16 +218,8 @@ def preprocess_fit(df: DataFrame, roles: Roles = PERSONS_ROLES, dedup: bool = Tr
     numeric, categorical = feature_group_lists(base, roles)
     meds, mo = _fit_fill(base, numeric, categorical)
     imputed = _fill(base, meds, mo, numeric, categorical)
-    # target classes are the label's codes: fitted in the same job as the rest
-    both = fit_label_codes(imputed, categorical + [roles.label], max_map_entries)
-    if both.maps is not None:
-        label_codes = both.maps.pop(roles.label)
-        classes = [v for v, _ in sorted(label_codes.items(), key=lambda kv: kv[1])]
-        codes = LabelCodes(categorical, maps=both.maps)
-    else:
-        classes = target_classes(imputed, roles.label)
-        codes = LabelCodes(categorical, table=both.table.where(
-            F.col("column_name") != roles.label))
+    classes = target_classes(imputed, roles.label)
+    codes = fit_label_codes(imputed, categorical)
     scaler = standard_scale_fit(imputed, numeric)
     fitted = Preprocessor(roles, numeric, categorical, meds, mo, classes, codes, scaler)
     return fitted, _encode_scale(imputed, fitted)

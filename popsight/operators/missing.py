@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegralType
 
 from ..functions.columns import present
 from ..plans.quantiles import exact_percentile_columns
+from ..plans.topk import top_k_per_group
 from ..schema import PERSONS_ROLES, Roles, is_numeric, is_string, q
 
 # Sentinel spellings.
@@ -69,7 +70,8 @@ def missing_profile(df: DataFrame, top_n: int = 10,
     string columns those of the ``top_n`` most frequent values (ties: smaller
     value first) whose stripped text is ``?``, ``Unknown`` or
     ``Not in universe``, in frequency order, joined with ', '.
-    Null counts and numeric sentinel flags come from one aggregation."""
+    Null counts and numeric sentinel flags come from one aggregation; string
+    values are counted once and ranked by the sharded top-k."""
     cols = list(columns or df.columns)
     nums = [c for c in cols if is_numeric(df, c)]
     strs = [c for c in cols if is_string(df, c)]
@@ -91,32 +93,19 @@ def missing_profile(df: DataFrame, top_n: int = 10,
                        F.col("missing_count").cast("bigint").alias("missing_count"),
                        (F.col("missing_count") / F.col("n") * F.lit(100.0))
                        .alias("missing_percentage"), "indicators")
-    num_ind = None
-    ind = num_ind
+    ind = None
     if strs:
         counts = unpivot_values(df, strs).groupBy("column_name", "value").agg(
             F.count("*").alias("cnt"))
-        cands = counts.where(F.trim("value").isin(list(STRING_SENTINELS)))
-        a, c = counts.alias("a"), cands.alias("c")
-        # rank of each candidate = number of values ahead of it (more frequent,
-        # or as frequent and smaller) -- no sort of the whole value table
-        ahead = (a.join(c, F.col("a.column_name") == F.col("c.column_name"))
-                 .where((F.col("a.cnt") > F.col("c.cnt"))
-                        | ((F.col("a.cnt") == F.col("c.cnt")) & (F.col("a.value") < F.col("c.value"))))
-                 .groupBy(F.col("c.column_name").alias("column_name"), F.col("c.value").alias("value"))
-                 .agg(F.count("*").alias("ahead")))
-        ranked = (cands.join(ahead, ["column_name", "value"], "left")
-                  .select("column_name", "value", "cnt",
-                          F.coalesce("ahead", F.lit(0)).alias("ahead"))
-                  .where(F.col("ahead") < F.lit(top_n)))
+        ranked = top_k_per_group(counts, ["column_name"], [F.desc("cnt"), F.asc("value")], top_n) \
+            .where(F.trim("value").isin(list(STRING_SENTINELS)))
         str_ind = ranked.groupBy("column_name").agg(F.concat_ws(", ", F.transform(
-            F.sort_array(F.collect_list(F.struct("ahead", "value"))),
+            F.sort_array(F.collect_list(F.struct("rank", "value"))),
             lambda x: x.getField("value"))).alias("indicators"))
         pos = F.create_map(*[x for i, c in enumerate(cols) if c in strs
                              for x in (F.lit(c), F.lit(i))])
-        str_ind = str_ind.select(F.try_element_at(pos, F.col("column_name")).cast("int").alias("position"),
-                                 "indicators")
-        ind = str_ind if ind is None else ind.unionByName(str_ind)
+        ind = str_ind.select(F.try_element_at(pos, F.col("column_name")).cast("int").alias("position"),
+                             "indicators")
     out = base
     if ind is not None:
         # one row per string column: a bounded side

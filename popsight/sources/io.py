@@ -110,12 +110,10 @@ def write_report_json(df: DataFrame, path: str) -> None:
 
 def save_preprocessor(p, path: str, spark: SparkSession) -> None:
     """Fitted preprocessing state as JSON (small parameters) plus the
-    label-code table as Parquet when it was kept as a table."""
-    from ..operators.encode import LabelCodes  # noqa: F401
+    label-code table as Parquet."""
     state = dict(roles=p.roles.__dict__, numeric=p.numeric, categorical=p.categorical,
                  medians=p.medians, modes={k: list(v) for k, v in p.modes.items()},
                  classes=p.classes, scaler={k: list(v) for k, v in p.scaler.items()},
-                 code_maps=p.codes.maps if p.codes is not None else None,
                  code_cols=p.codes.cols if p.codes is not None else [])
     spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/state")
@@ -130,10 +128,8 @@ def load_preprocessor(spark: SparkSession, path: str):
     state = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/state").collect()))
     roles_d = state["roles"]
     roles = Roles(**{k: tuple(v) if isinstance(v, list) else v for k, v in roles_d.items()})
-    if state["code_maps"] is not None:
-        codes = LabelCodes(state["code_cols"], maps=state["code_maps"])
-    else:
-        codes = LabelCodes(state["code_cols"], table=spark.read.parquet(f"{path}/codes"))
+    codes = LabelCodes(state["code_cols"],
+                       spark.read.parquet(f"{path}/codes") if state["code_cols"] else None)
     return Preprocessor(roles, state["numeric"], state["categorical"], state["medians"],
                         {k: tuple(v) for k, v in state["modes"].items()}, state["classes"],
                         codes, {k: tuple(v) for k, v in state["scaler"].items()})

@@ -13,13 +13,17 @@ from popsight.plans.topk import top_k_per_group
 def test_label_codes_and_unseen(spark):
     fit = spark.createDataFrame([("10",), ("2",), ("1",)], "x string")
     codes = en.fit_label_codes(fit, ["x"])
-    assert codes.maps["x"] == {"1": 0, "10": 1, "2": 2}
-    new = spark.createDataFrame([("2",), ("9",)], "x string")
-    assert [r.x for r in en.label_encode_transform(new, codes).collect()] == [2, -1]
-    # the join path for large code tables gives the same answer
-    big = en.fit_label_codes(fit, ["x"], max_map_entries=0)
-    assert big.table is not None
-    assert [r.x for r in en.label_encode_transform(new, big).orderBy(F.desc("x")).collect()] == [2, -1]
+    assert {r.value: r.code for r in codes.table.collect()} == {"1": 0, "10": 1, "2": 2}
+    new = spark.createDataFrame([("2",), ("9",), (None,)], "x string")
+    assert sorted(r.x for r in en.label_encode_transform(new, codes).collect()) == [-1, -1, 2]
+    # a code table above the broadcast threshold is joined by shuffle: same answer
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = en.label_encode_transform(new, codes)
+        assert sorted(r.x for r in shuffled.collect()) == [-1, -1, 2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_constant_column_scales_to_zero(spark):
@@ -195,13 +199,23 @@ def test_mode_of_integers_above_2_53(spark):
     assert sorted(r.x for r in tie) == [-big - 1, -big - 1, -big]
 
 
-def test_label_code_paths_agree(spark):
-    rng = np.random.default_rng(12)
-    rows = [(f"a{int(x)}", f"b{int(y)}") for x, y in zip(rng.integers(0, 300, 3000),
-                                                          rng.integers(0, 40, 3000))]
-    df = spark.createDataFrame(rows, "a string, b string")
-    inline = en.fit_label_codes(df, ["a", "b"])
-    table = en.fit_label_codes(df, ["a", "b"], max_map_entries=10)
-    assert inline.maps is not None and table.table is not None
-    got = {(r.column_name, r.value): r.code for r in table.table.collect()}
-    assert got == {(c, v): k for c, m in inline.maps.items() for v, k in m.items()}
+def test_label_codes_of_many_categories(spark):
+    """12,000 categories, one of them half of all rows."""
+    df = spark.range(48_000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("v"), (F.col("id") % 24_000).cast("string"))).alias("a"), "id")
+    codes = en.fit_label_codes(df, ["a"])
+    values = [r.value for r in codes.table.orderBy("code").collect()]
+    assert len(values) == 12_001 and values == sorted(values)
+    out = en.label_encode_transform(df, codes)
+    assert out.columns == ["a", "id"]
+    place = {v: i for i, v in enumerate(values)}
+    for r in out.where("id % 997 = 0").collect():
+        assert r.a == place["hot" if r.id % 2 == 0 else f"v{r.id % 24_000}"]
+    assert out.where(F.col("a") == place["hot"]).count() == 24_000
+
+
+def test_small_deviation_is_not_constant(spark):
+    df = spark.createDataFrame([(i * 1e-12, 0.1) for i in range(10)], "x double, k double")
+    p = en.standard_scale_fit(df, ["x", "k"])
+    xs = np.arange(10) * 1e-12
+    assert p["x"] == pytest.approx((xs.mean(), xs.std()), rel=1e-9) and p["k"][1] == 1.0

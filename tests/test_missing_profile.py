@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from popsight.functions import columns as fc
 from popsight.operators import missing as mi
@@ -86,3 +87,19 @@ def test_boxplot_whiskers(spark):
     q1, q3 = np.percentile(vals, [25, 75])
     assert (r.q1, r.q3) == (q1, q3)
     assert r.whisker_high == 8 and r.whisker_low == 1 and r.outliers == 1
+
+
+def test_distinct_values_are_counted_in_their_own_type(spark):
+    df = spark.createDataFrame([(0.0, 0.1, 2**53), (-0.0, 0.1, 2**53 + 1), (float("nan"), None, None)],
+                               "z double, f float, w long")
+    got = {r.column_name: r.n_distinct for r in pf.infer_column_types(df).collect()}
+    assert got == {"z": 1, "f": 1, "w": 2}
+    assert [(r.value, r["count"]) for r in pf.value_distribution(df, "f").collect()] == [("0.1", 2)]
+
+
+def test_low_cardinality_bound_keeps_the_edge(spark):
+    """49 values stay, 50 go, whatever the hashed bits of the first pass prove."""
+    df = spark.range(1000).select((F.col("id") % 49).alias("few"), (F.col("id") % 50).alias("many"),
+                                  (F.col("id") * 0.5).alias("most"))
+    assert {r.column_name for r in pf.low_cardinality_distributions(df).collect()} == {"few"}
+    assert pf.low_cardinality_distributions(df.select("most")).count() == 0
