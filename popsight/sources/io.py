@@ -12,11 +12,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from ..schema import q
+from ..functions.columns import DEFAULT_NA_TOKENS, null_tokens, present
+from ..schema import is_string, q
 from ..session import ensure_checkpoint_dir
 
 
@@ -43,14 +44,20 @@ def schema_of(names: list[str], types: dict[str, str] | None) -> StructType | No
 
 
 def read_headerless_csv(spark: SparkSession, path: str, names: list[str],
-                        types: dict[str, str] | None = None) -> DataFrame:
+                        types: dict[str, str] | None = None, na_tokens=DEFAULT_NA_TOKENS) -> DataFrame:
     """Headerless comma file with blanks after the commas skipped; names
-    given; types declared (or inferred with one extra pass when omitted)."""
-    reader = spark.read.option("header", "false").option("ignoreLeadingWhiteSpace", "true")
+    given; types declared (or inferred with one extra pass when omitted).
+    A text among ``na_tokens`` is null, in a column of declared numbers as any
+    text that is no number; a NaN is null. Values may be quoted."""
+    reader = (spark.read.option("header", "false").option("ignoreLeadingWhiteSpace", "true")
+              .option("escape", '"'))
     schema = schema_of(names, types)
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", "true").csv(path).toDF(*names)
+        df = reader.schema(schema).csv(path)
+    else:
+        df = reader.option("inferSchema", "true").csv(path).toDF(*names)
+    return df.select(*[(null_tokens(F.col(q(c)), na_tokens) if is_string(df, c) else present(df, c)).alias(c)
+                       for c in df.columns])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv",
@@ -66,9 +73,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
 # ------------------------------------------------------------- S5 / S6 / S7
 
 
-def write_headerless(df: DataFrame, path: str, sep: str = ", ") -> None:
-    """Write rows in the survey's raw layout: no header, ``sep`` between values."""
-    line = F.concat_ws(sep, *[F.coalesce(F.col(q(c)).cast("string"), F.lit("")) for c in df.columns])
+def write_headerless(df: DataFrame, path: str, sep: str = ", ", na: str = "") -> None:
+    """Write rows in the survey's raw layout: no header, ``sep`` between
+    values, ``na`` for a missing one; a value that holds a comma or a quote is quoted."""
+    def cell(c: str) -> Column:
+        v = F.col(q(c)).cast("string")
+        quoted = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.coalesce(F.when(v.rlike('[,"]'), quoted).otherwise(v), F.lit(na))
+
+    line = F.concat_ws(sep, *[cell(c) for c in df.columns])
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 

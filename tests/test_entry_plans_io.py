@@ -113,3 +113,16 @@ def test_small_gbt_scores_are_probabilities(spark):
     assert s.score.between(0, 1).all()
     imp = mo.feature_importance(bm).toPandas()
     assert imp.importance.sum() == pytest.approx(1) and imp.feature.iloc[0] == "f1"
+
+
+def test_headerless_file_quotes_and_na_tokens(spark):
+    from popsight.sources import io
+    df = spark.createDataFrame([('a, "b"', "NA", 1, 0.5), ("plain", "x", None, float("nan")), (None, " N/A", 3, None)],
+                               "`first name` string, s string, n int, v double")
+    base = io.scratch_path(spark, "quotes")
+    io.write_headerless(df, f"{base}/data", na="NA")
+    io.write_names(df, f"{base}/columns")
+    back = io.read_headerless_csv(spark, f"{base}/data", io.read_column_names(spark, f"{base}/columns"),
+                                  {"first name": "string", "s": "string", "n": "int", "v": "double"})
+    assert {tuple(r) for r in back.collect()} == {
+        ('a, "b"', None, 1, 0.5), ("plain", "x", None, None), (None, None, 3, None)}
