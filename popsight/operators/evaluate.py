@@ -187,4 +187,4 @@ def classification_report(scored: DataFrame, threshold: float = 0.5) -> DataFram
 def score_histogram(scored: DataFrame, bins: int = 50) -> DataFrame:
     """V8: per class, ``bins`` equal-width bins over that class's own score
     range, with density = count / (n * width)."""
-    return equal_width_histogram(scored, "score", bins, by=["label"], small_groups=True)
+    return equal_width_histogram(scored, "score", bins, by=["label"])

@@ -15,6 +15,7 @@ from pyspark.sql.types import DecimalType, FloatType, FractionalType, IntegralTy
 from ..functions.columns import present, ratio
 from ..plans.histogram import equal_width_histogram
 from ..plans.quantiles import exact_percentile_columns, exact_percentiles
+from ..plans.store import stored
 from ..plans.topk import top_k_per_group
 from ..schema import is_numeric, q
 from .missing import _lit, _stack, duplicate_report
@@ -271,7 +272,7 @@ def numeric_histogram(df: DataFrame, rules=HISTOGRAM_RULES, bins: int = 50) -> D
         parts.append(F.when(cond, F.struct(F.lit(c).alias("feature"), x.alias("value"))))
     long = df.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("kv")
                      ).select("kv.feature", "kv.value")
-    hist = equal_width_histogram(long, "value", bins, by=["feature"], small_groups=True)
+    hist = equal_width_histogram(long, "value", bins, by=["feature"])
     med = exact_percentiles(long, ["feature"], "value", [0.5]).select(
         "feature", F.round("value", 9).alias("median"))              # one row per feature
     stats = long.groupBy("feature").agg(F.round(F.avg("value"), 9).alias("mean")) \
@@ -302,10 +303,11 @@ def income_crosstab(df: DataFrame, by: str | Column, target: str = "label",
     return out
 
 
-def boxplot_stats(df: DataFrame, value: str, by: str, whis: float = 1.5,
-                  small_groups: bool = True) -> DataFrame:
+def boxplot_stats(df: DataFrame, value: str, by: str, whis: float = 1.5) -> DataFrame:
     """Per group q1, median, q3 (linear), whiskers = the furthest data
-    points within 1.5 IQR of the box, and the count of points outside."""
+    points within 1.5 IQR of the box, and the count of points outside. The
+    boxes are written first: a table of known size, which Spark broadcasts
+    only below its threshold."""
     x = F.col(q(value)).cast("double")
     data = df.select(F.col(q(by)).alias("group"), x.alias("x")).where(F.col("x").isNotNull())
     qs = (exact_percentiles(data, ["group"], "x", [0.25, 0.5, 0.75])
@@ -314,8 +316,7 @@ def boxplot_stats(df: DataFrame, value: str, by: str, whis: float = 1.5,
                   F.col("2").alias("q3")))
     qs = qs.withColumn("lo_fence", F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))) \
            .withColumn("hi_fence", F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1")))
-    side = F.broadcast(qs) if small_groups else qs
-    j = data.join(side, "group")
+    j = data.join(stored(qs, "boxes"), "group")
     inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
     out = j.groupBy("group", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),

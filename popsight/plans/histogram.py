@@ -16,19 +16,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
+
 
 def _edge(lo: Column, hi: Column, step: Column, i: Column, bins: int) -> Column:
     return F.when(i >= F.lit(bins), hi).otherwise(lo + i.cast("double") * step)
 
 
 def equal_width_histogram(df: DataFrame, value: str, bins: int = 50,
-                          by: list[str] | None = None,
-                          small_groups: bool = True) -> DataFrame:
+                          by: list[str] | None = None) -> DataFrame:
     """Rows: *by, bin (0-based), bin_lower, bin_upper, count, density, n.
 
-    ``small_groups`` says the number of groups is bounded (a handful of
-    classes or features), which makes the per-group parameter table safe to
-    broadcast."""
+    The groups' parameters are written first, so their size is known when the
+    join is planned: Spark broadcasts them below its threshold and joins by
+    shuffle above it, where AQE splits a hot group."""
     keys = list(by or [])
     x = F.col(value).cast("double")
     if not keys:
@@ -41,8 +42,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 50,
         *keys, "n",
         F.when(same, F.col("mn") - F.lit(0.5)).otherwise(F.col("mn")).alias("lo"),
         F.when(same, F.col("mx") + F.lit(0.5)).otherwise(F.col("mx")).alias("hi"))
-    stats = stats.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
-    params = F.broadcast(stats) if small_groups else stats
+    stats = stored(stats.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(bins))), "bins")
 
     lo, hi, step = F.col("lo"), F.col("hi"), F.col("step")
     guess = F.floor((F.col("x") - lo) / (hi - lo) * F.lit(float(bins)))
@@ -50,7 +50,7 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 50,
     below = F.col("x") < _edge(lo, hi, step, c, bins)
     above = (c != F.lit(bins - 1)) & (F.col("x") >= _edge(lo, hi, step, c + 1, bins))
     b = F.when(below, c - 1).when(above, c + 1).otherwise(c).cast("int")
-    joined = data.join(params, keys)
+    joined = data.join(stats, keys)
     counts = joined.select(*keys, b.alias("bin")).groupBy(*keys, "bin").agg(
         F.count("*").alias("count"))
 
