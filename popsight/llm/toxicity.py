@@ -3,9 +3,9 @@
 Features of a text: densities of a fixed and of a learned lexicon (also after
 undoing common letter substitutions), distinct hits, hits near a second-person
 word, capitals, shouted words, punctuation, exclamation and obfuscation
-rates, and length. The learned lexicon is the words whose document frequency differs
-most between the labels of the fitting rows. Trees are fitted on one part of
-those rows, the isotonic curve on another.
+rates, and length. The learned lexicon is every word that is significantly more frequent in
+the toxic fitting rows. Features the trees see are made with words learned from other
+rows, and the isotonic curve is fitted on scores of trees that saw other rows.
 
 Fitting uses a bounded sample of labelled rows (``MAX_FIT``, a parameter; taken in
 hash order). Features and scores cover every row: features are
@@ -17,19 +17,22 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship, stored, table
 
 MAX_FIT = 20_000            # labelled rows used to learn lexicon, trees and curve
-MAX_LEXICON = 150
+#: A learned word: toxic texts it is in, and the G statistic against chance (10.83: p < 0.001).
+MIN_TOXIC, MIN_G = 3, 10.83
+FOLDS = 3                   # parts of the fitting rows, each scored by what the others teach
 #: Plain insults and threats; the learned lexicon adds what the labels show.
 LEXICON = ("idiot moron stupid dumb loser scum trash worthless pathetic clown filth vermin hate disgusting "
            "shut die kill fool imbecile dumbass bastard bitch asshole freak creep pig rat whiner threat").split()
@@ -84,22 +87,31 @@ def fold(doc_id: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def learn_lexicon(fit: DataFrame) -> dict[bytes, float]:
-    """Word -> log odds, from (text, label) of the fitting rows: at most
-    MAX_LEXICON words that occur in several toxic texts and are at least four times as common there."""
-    words = (fit.select("label", F.monotonically_increasing_id().alias("i"), F.explode(F.array_distinct(F.split(F.regexp_replace(
+def learn_lexicons(fit: DataFrame) -> list[dict[bytes, float]]:
+    """Word -> log odds, from (text, label, part) of the fitting rows: first learned from all
+    of them, then for each of FOLDS parts from the rows outside it. A word enters when it occurs
+    in MIN_TOXIC toxic texts, is at least four times as common there, and its G statistic
+    passes MIN_G. None of these grows with the rows, so a word of a small language enters once its own few texts show it."""
+    words = (fit.select("label", "part", F.explode(F.array_distinct(F.split(F.regexp_replace(
                  F.lower(F.coalesce("text", F.lit(""))), r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", ""),
                  r"[\x20\x09-\x0D]+"))).alias("w")).filter("w != ''"))
-    total = {r[0]: r[1] for r in fit.groupBy("label").count().collect()}
-    bad, good = total.get(1, 0), total.get(0, 0)
-    if not bad or not good:
-        return {}
-    a, b = F.sum(F.col("label")), F.sum(1 - F.col("label"))
-    odds = F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("b") + 0.5) / (good + 1))
-    found = (words.groupBy("w").agg(a.alias("a"), b.alias("b")).filter(F.col("a") >= max(3, 0.02 * bad))
-             .withColumn("odds", odds).filter(F.col("odds") >= math.log(4))
-             .orderBy((F.col("odds") * F.sqrt("a")).desc(), "w").limit(MAX_LEXICON).collect())
-    return {r["w"].encode(): float(r["odds"]) for r in found}
+    rows = {(r["part"], r["label"]): r["count"] for r in fit.groupBy("part", "label").count().collect()}
+    sums = [F.sum(F.when((F.col("part") == k) & (F.col("label") == y), 1).otherwise(0)).alias(f"n{y}_{k}")
+            for k in range(FOLDS) for y in (0, 1)]
+    counted = words.groupBy("w").agg(*sums)
+    odds = []
+    for left_out in (None, *range(FOLDS)):
+        parts = [k for k in range(FOLDS) if k != left_out]
+        good, bad = (sum(rows.get((k, y), 0) for k in parts) for y in (0, 1))
+        b, a = (sum((F.col(f"n{y}_{k}") for k in parts), F.lit(0)) for y in (0, 1))
+        log_odds = F.log((a + 0.5) / (bad + 1)) - F.log((b + 0.5) / (good + 1))
+        g = F.lit(0.0)
+        for seen, among in ((a, bad), (b, good)):       # texts with the word and without, against one rate for both labels
+            for n, every in ((seen, a + b), (among - seen, bad + good - a - b)):
+                g = g + F.when(n > 0, 2 * n * F.log(n * (bad + good) / (every * among))).otherwise(0.0)
+        odds.append(F.when((a >= MIN_TOXIC) & (log_odds >= math.log(4)) & (g >= MIN_G), log_odds).alias(f"o{len(odds)}"))
+    found = counted.select("w", *odds).filter(F.coalesce(*[F.col(f"o{i}") for i in range(len(odds))]).isNotNull()).collect()
+    return [{r["w"].encode("utf-8", "surrogatepass"): float(r[i + 1]) for r in found if r[i + 1] is not None} for i in range(len(odds))]
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
@@ -113,34 +125,38 @@ def fit_rows(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Data
 def score(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``. Null and
     empty texts have all features 0 and are scored like any other. Where
-    the fitting rows hold only one label, the score is that label's rate; without any, 0."""
+    fewer than two fitting rows hold a label, the score is the rate of toxic rows; without any, 0."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = stored(fit_rows(docs, labels, max_fit), "toxic-fit")
     # at most max_fit rows: a bounded broadcast, so texts aren't shuffled
     sample = stored(docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
-    learned = learn_lexicon(sample)
     held = (fold("doc_id") == 0).alias("held_out")
-    rates = sample.agg(F.avg("label"), F.min("label"), F.max("label")).first()
-    if rates[0] is None or rates[1] == rates[2]:
-        p = F.lit(float(rates[0] or 0.0))
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if min(counts.get(0, 0), counts.get(1, 0)) < 2:
+        p = F.lit(float(counts.get(1, 0) / max(1, sum(counts.values()))))
         return docs.select("doc_id", held, p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
+    # dealt in turn within a label, so that the rows outside any part hold both
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")) % FOLDS
+    parts = stored(sample.select("doc_id", turn.alias("part"), "label"), "toxic-parts").drop("label")
+    sample = sample.join(F.broadcast(parts), "doc_id")
+    learned, *without = learn_lexicons(sample)
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
-    train = stored(sample.select("doc_id", "label", feature_columns(F.col("text"), learned).alias("f"))
-                   .select("label", part.alias("part"), "f.*"), "toxic-train")
+    train = stored(reduce(DataFrame.unionByName, [
+        sample.filter(F.col("part") == k).select("label", "part", feature_columns(F.col("text"), x).alias("f"))
+        for k, x in enumerate(without)]).select("label", "part", "f.*"), "toxic-train")
     vectors = assemble.transform(train).select("label", "part", "features").cache()
-    few = vectors.count() < 2_000       # too few rows for two parts: both fits see all of them
-    trees = GBTClassifier(labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, seed=5, subsamplingRate=0.8).fit(
-        vectors if few else vectors.filter("part > 0"))
+    trees = GBTClassifier(labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, seed=5, subsamplingRate=0.8)
 
-    def raw(df: DataFrame) -> DataFrame:
-        return trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
+    def raw(fitted: GBTClassificationModel, df: DataFrame) -> DataFrame:
+        return fitted.transform(df).withColumn("raw", vector_to_array("probability")[1])
 
-    curve = IsotonicRegression(labelCol="label", featuresCol="raw", predictionCol="score").fit(
-        raw(vectors if few else vectors.filter("part = 0")).select("label", "raw"))
+    apart = reduce(DataFrame.unionByName, [raw(trees.fit(vectors.filter(F.col("part") != k)), vectors.filter(F.col("part") == k))
+                                           .select("label", "raw") for k in range(FOLDS)])
+    curve = IsotonicRegression(labelCol="label", featuresCol="raw", predictionCol="score").fit(apart)
+    fitted = trees.fit(vectors)
     vectors.unpersist()
     every = assemble.transform(docs.select("doc_id", feature_columns(F.col("text"), learned).alias("f")).select("doc_id", "f.*"))
-    out = curve.transform(raw(every)).withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
+    out = curve.transform(raw(fitted, every)).withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
     return out.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

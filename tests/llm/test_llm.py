@@ -264,6 +264,23 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.score(empty.select("doc_id", "text"), lab).count() == 0
 
 
+def test_toxicity_small_language(spark):
+    """Insults on under 2% of the toxic rows each, all in a small language, enter the lexicon."""
+    rows, labels = [], []
+    for i in range(3000):
+        bad, small = i % 5 == 0, i % 100 < 5
+        words = [f"v{w}" if small else w for w in prose(i, 30).split()]
+        if bad:
+            words[i % 30] = f"blarg{i // 100 % 3}" if small else "idiot"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = [x for x in toxicity.score(docs, lab).collect() if x.held_out and x.doc_id % 100 < 5]
+    assert sum(x.doc_id % 5 == 0 for x in got) >= 3
+    assert all(x.predicted == (x.doc_id % 5 == 0) for x in got)
+
+
 def brute_components(docs, width, percent):
     sets = {}
     for d, t in docs.items():
