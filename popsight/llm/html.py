@@ -2,23 +2,25 @@
 
 A page is read once as a stream of tags and text. Every element gets a hash of
 its subtree (tag, texts, children, bottom-up, so in linear time). Spark counts
-per host on how many pages each subtree occurs, and keeps those on at least
-``min_pages`` pages and a share of ``min_share`` of the host's pages: the
-site's template. A second pass deletes these subtrees, and elements that say
+per host beside how many different main texts each subtree occurs (copies of a page
+count once), and keeps those on at least ``min_pages`` pages that are a share of
+``min_share`` of the host's pages or MANY_PAGES: the site's template. A second pass deletes these subtrees, and elements that say
 themselves that they are menus, headers, footers, side bars, notices, adverts, forms or reader
 comments, and writes the remaining blocks of the article.
 
-A host with a third of all pages adds up in map-side counts. Its template is
-bounded by the size of a page (at most 1 / min_share subtrees for each element
-of an average page). Templates are broadcast when they are few (counted); beyond that pages are
-joined by host and a salt, so that a hot host is split.
+A host with a third of all pages is counted by subtree and main text, so it is spread. Its template has
+at most 1 / min_share subtrees for each element of an average page, and one for each
+MANY_PAGES elements of all its pages. Templates are sent with the task when they are few
+(counted); beyond that pages are joined by host and a salt, so that a hot host is split.
 """
 
 from __future__ import annotations
 
 import html as _html
+import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import q, ship, stored, table
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
+MANY_PAGES = 100            # recurring on as many pages is enough, whatever the share
+FEW_PAGES = 3               # the least a host has for a template: what is on all of them
+DRAWS = 2                   # independent ones, as a block that many pages share may be drawn often; the larger count holds
 BROADCAST_SUBTREES = 200_000
 SALTS = 32
 
@@ -85,6 +90,25 @@ class _Node:
         self.seen, self.words, self.holds = [], False, False
 
 
+def rests(blocks: list[tuple[str, bool, bool]], elements: list[tuple[int, int, int]], draw: int) -> tuple[int, list[int | None]]:
+    """What stands for the main text of a page, and for the main text beside each element
+    (None where there is none): the hash of one block, drawn by hash and in proportion to the
+    square of its length. Copies of an article draw the same block even when something short beside it differs."""
+    from xxhash import xxh64_intdigest
+
+    in_article = any(b[2] for b in blocks)
+    nothing = (math.inf, 0)
+    drawn = [nothing] * len(blocks)
+    for i, (text, dropped, article) in enumerate(blocks):
+        if not dropped and (article or not in_article):
+            h = xxh64_intdigest(text, draw)
+            drawn[i] = (-math.log((h + 1) / (1 << 64)) / len(text) ** 2, h - (1 << 63))
+    before = list(accumulate(drawn, min, initial=nothing))
+    after = list(accumulate(reversed(drawn), min, initial=nothing))[::-1]
+    found = [min(before[a], after[b]) for _, a, b in elements]
+    return before[-1][1], [None if x == nothing else x[1] for x in found]
+
+
 def read(page: str) -> tuple[list[tuple[str, bool, bool]], list[tuple[int, int, int]]]:
     """(blocks, elements) of a page. Blocks are (text, dropped, in an article)
     in page order; elements are (subtree hash, first block, one past the last) of those
@@ -189,25 +213,35 @@ def host_of(url: str):
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, hashes = [], []
+        hosts, hashes, draws, others = [], [], [], []
         for host, page in zip(*(c.to_pylist() for c in batch.columns)):
-            found = {h for h, _, _ in read(page or "")[1]}
-            hosts += [host] * (len(found) + 1)
-            hashes += [None, *found]                    # the page itself, to count pages
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "h"])
+            blocks, elements = read(page or "")
+            for draw in range(DRAWS):
+                whole, beside = rests(blocks, elements, draw)
+                found = {(e[0], x) for e, x in zip(elements, beside) if x is not None}
+                hosts += [host] * (len(found) + 1)
+                hashes += [None, *(h for h, _ in found)]    # the page itself, to count pages
+                draws += [draw] * (len(found) + 1)
+                others += [whole, *(x for _, x in found)]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(draws, pa.int32()),
+                                          pa.array(others, pa.int64())], ["host", "h", "draw", "rest"])
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html",
               min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): hashes of the subtrees that recur on a host. Hosts of
-    fewer than ``min_pages`` pages have none. Urls without a host count as one."""
+    """(host, template): hashes of the subtrees that recur on a host beside different main
+    texts, so that copies of a page count once: on ``min_pages`` of them and either a share of ``min_share``
+    or MANY_PAGES. A host of fewer than ``min_pages``, but FEW_PAGES, has those that are on
+    all; below that nothing recurs often enough. Urls without a host count as one."""
     seen = (pages.select(host_of(url).alias("host"), F.col(q(html)).cast("string").alias("html"))
-            .mapInArrow(_subtrees, "host string, h bigint")
-            .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages))
+            .mapInArrow(_subtrees, "host string, h bigint, draw int, rest bigint").distinct()
+            .groupBy("host", "h", "draw").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("host", "h").agg(F.max("n").alias("n")).filter(F.col("n") >= min(min_pages, FEW_PAGES)))
     seen = stored(seen, "subtrees")
     total = seen.filter("h is null").select("host", F.col("n").alias("all"))
-    return (seen.filter("h is not null").join(total, "host").filter(F.col("n") >= min_share * F.col("all"))
-            .groupBy("host").agg(F.collect_list("h").alias("template")))
+    n, every = F.col("n"), F.col("all")
+    recurs = (n >= min_pages) & ((n >= min_share * every) | (n >= MANY_PAGES)) | (every < min_pages) & (n >= every)
+    return seen.filter("h is not null").join(total, "host").filter(recurs).groupBy("host").agg(F.collect_list("h").alias("template"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,23 +258,33 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([page, url, pa.array(got, pa.string())], ["page_id", "url", "text"])
 
 
+def _texts_of(known: dict[str, set[int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, url, html, host = batch.columns
+            got = [main_text(x or "", known.get(y, set())) for x, y in zip(html.to_pylist(), host.to_pylist())]
+            yield pa.RecordBatch.from_arrays([page, url, pa.array(got, pa.string())], ["page_id", "url", "text"])
+
+    return run
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
             min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text) of every row of ``pages``. Null and empty html give
-    an empty text; repeated rows are extracted one by one (and count as pages
-    of their host); unclosed and truncated markup is read to the end."""
+    an empty text; repeated rows are extracted one by one (and count once as
+    pages of their host); unclosed and truncated markup is read to the end."""
     found = stored(templates(pages, url, html, min_pages, min_share), "templates")
     size = found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
     rows = pages.select(F.col(q(page_id)).cast("long").alias("page_id"), F.col(q(url)).cast("string").alias("url"),
                         F.col(q(html)).cast("string").alias("html"), host_of(url).alias("host"))
+    out = "page_id bigint, url string, text string"
     if size <= BROADCAST_SUBTREES:
-        joined = rows.join(F.broadcast(found), "host", "left")
-    else:
-        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = (rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-                  .join(salted, ["host", "_salt"], "left"))
-    return (joined.select("page_id", "url", "html", "template")
-            .mapInArrow(_texts, "page_id bigint, url string, text string"))
+        known = {r["host"]: set(r["template"]) for r in found.collect()}
+        return rows.select("page_id", "url", "html", "host").mapInArrow(_texts_of(known), out)
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = (rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+              .join(salted, ["host", "_salt"], "left"))
+    return joined.select("page_id", "url", "html", "template").mapInArrow(_texts, out)
 
 
 def op10_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

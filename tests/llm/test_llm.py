@@ -416,6 +416,23 @@ def test_html(spark):
         h.BROADCAST_SUBTREES = salted
 
 
+def test_html_copies_and_large_hosts(spark):
+    """Copies keep their text (with and without <article>); a side bar on 150 of 2,000 pages goes, and what three pages share."""
+    page = "<body><div>Frame</div>{0}<div class=x>{1}</div></body>".format
+    body = "<div class=body>" + "".join(f"<p>{prose(f'copy{i}', 30)}</p>" for i in range(3)) + "</div>"
+    rows = [("copies", page("", body))] * 40 + [("marked", f"<article>{body}<p>end</p></article>")] * 40
+    rows += [("ads", page(f"<div>ad {i}</div>", body)) for i in range(40)]
+    rows += [("large", page("<div>Side bar</div>" if i < 150 else "", f"<p>text of {prose(i, 9)}</p>")) for i in range(2000)]
+    rows += [("small", page("", f"<p>text of {prose(i, 9)}</p>")) for i in range(3)]
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(rows)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    for i, (host, _) in enumerate(rows):
+        if host in ("copies", "marked", "ads"):
+            assert all(prose(f"copy{k}", 30) in got[i] for k in range(3)), host
+        else:
+            assert got[i].startswith("text of") and "\n" not in got[i], (host, got[i])
+
+
 def test_pipeline(spark, edge, empty, tmp_path):
     import corpus_pipeline as cp
     edge.write.parquet(f"{tmp_path}/documents.parquet")
