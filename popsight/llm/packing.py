@@ -21,6 +21,8 @@ from __future__ import annotations
 import base64
 import bisect
 import heapq
+import json
+import os
 import re
 import zlib
 from array import array
@@ -55,13 +57,27 @@ class _Words(dict):
         return got
 
 
-def encoder(ranks_path: str, pattern: str) -> Callable[[str], bytes]:
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Added tokens of the JSON file beside a rank file (none without one). The tokenizer
+    finds them in texts before anything else."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    for x in found:
+        if x.get("single_word") or x.get("lstrip") or x.get("rstrip"):
+            raise ValueError(f"added token {x['content']!r} takes more than its own text")
+    return {x["content"]: x["id"] for x in found}
+
+
+def encoder(ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> Callable[[str], bytes]:
     """Text -> ids of the byte-level BPE as little-endian 32-bit words.
 
     The vocabulary's rank file gives the same ids as its JSON file (tested),
     several times faster. The pre-tokenizer never joins what stands before and
     after a single space, so texts without runs of white space are encoded
-    word by word through a bounded cache."""
+    word by word through a bounded cache. Texts are split at ``added`` tokens first."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
@@ -75,7 +91,17 @@ def encoder(ranks_path: str, pattern: str) -> Callable[[str], bytes]:
         first, *rest = text.split(" ")
         return array("I", plain(first)).tobytes() + b"".join(map(get, rest))
 
-    return encode
+    if not added:
+        return encode
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+    ids = {x: i.to_bytes(4, "little") for x, i in added.items()}
+
+    def encode_added(text: str) -> bytes:
+        if not any(x in text for x in ids):
+            return encode(text)
+        return b"".join(ids.get(x) or encode(x) for x in split(text) if x)
+
+    return encode_added
 
 
 def pack_block(items: list[tuple[int, int]], tiers: tuple[int, ...] = TIERS,
@@ -151,11 +177,11 @@ def step_groups(sizes: list[int], group_tokens: int = GROUP_TOKENS) -> list[int]
     return out
 
 
-def _task(ranks_path: str, pattern: str, end_id: int, tiers: tuple[int, ...]):
+def _task(ranks_path: str, pattern: str, added: dict[str, int], end_id: int, tiers: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(ranks_path, pattern)
+        encode = encoder(ranks_path, pattern, added)
         base = TaskContext.get().partitionId() << 40
         tail = end_id.to_bytes(4, "little")
         docs: list[tuple[object, bytes]] = []
@@ -203,12 +229,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     """Pieces (PIECES) of all rows of ``docs``; every id of every row lies in
     exactly one piece. A null or empty text is its end id alone; a null doc_id
     stays null; repeated rows are packed one by one. ``tokenizer``: path of a
-    rank file, by default the public 50k byte-level BPE."""
+    rank file, by default the public 50k byte-level BPE; its added tokens are those of the JSON file beside it."""
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return (docs.select(F.col(q(doc_id)).cast("long").alias("doc_id"), F.col(q(text)).cast("string").alias("text"))
-            .mapInArrow(_task(path, public_tokenizers.PATTERN, end_id, tuple(tiers)),
+            .mapInArrow(_task(path, public_tokenizers.PATTERN, added_tokens(path), end_id, tuple(tiers)),
                         ", ".join(f"`{c}` bigint" for c in PIECES)))
 
 

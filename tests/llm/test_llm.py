@@ -192,6 +192,25 @@ def test_packing(edge, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    """Ids, lengths and offsets are those of the JSON tokenizer with its default flags, added tokens included."""
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>\n b", " <|endoftext|> ", "<|endoftext|",
+             "it's  <|ENDOFTEXT|> é", "a <|endoftext|>b c " * 300, prose(4)]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4") for x in texts]
+    assert want[0].tolist() == [64, 220, 50256, 275, 1]
+    seen = [0] * len(texts)
+    for p in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect():
+        assert p.doc_tokens == len(want[p.doc_id])
+        assert p.ids_crc32 == zlib.crc32(want[p.doc_id][p.start:p.start + p.length].tobytes())
+        seen[p.doc_id] += p.length
+    assert seen == [len(w) for w in want]
+
+
 def test_pack_block_carries():
     r = random.Random(1)
     items = [(i, r.randint(1, 5000)) for i in range(300)]
