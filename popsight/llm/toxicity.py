@@ -41,7 +41,8 @@ SECOND_PERSON = frozenset(b"you your yours yourself u ur du dein deine dich dir
 _LEET = bytes.maketrans(b"0134578@$!ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"oieastbasiabcdefghijklmnopqrstuvwxyz")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MARKS = b"\"#%&'()*+,-./:;<=>?[\\]^_`{|}~"
-_OBFUSCATED = re.compile(rb"[A-Za-z][0-9@$*!]+[A-Za-z]")
+#: Substitutions between letters or at an edge of a word ("!" at its end is punctuation).
+_OBFUSCATED = re.compile(rb"[A-Za-z][0-9@$*!]+[A-Za-z]|(?<![0-9A-Za-z@$*!])[0-9@$*!]+[A-Za-z]|[A-Za-z][0-9@$*]+(?![0-9A-Za-z@$*])")
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = ("log_words", "fixed", "learned", "n_learned", "distinct", "weight", "undone", "second", "near", "capitals", "shouted",
             "marks", "exclaimed", "obfuscated")
@@ -56,14 +57,20 @@ def features(text: str, fixed: frozenset, learned: dict[bytes, float]) -> tuple[
     hits = [i for i, w in enumerate(plain) if w in learned]
     old = sum(1 for w in plain if w in fixed)
     odd = len(_OBFUSCATED.findall(raw))
-    undone = sum(1 for w in raw.translate(_LEET, _MARKS).split() if w in fixed or w in learned) - len(hits) if odd else 0
+    undone = 0
+    for w, u in zip(raw.translate(_LOWER, _MARKS).split(), raw.translate(_LEET, _MARKS).split()):
+        if w != u:
+            p = w.replace(b"!", b"")
+            if p not in fixed and p not in learned:
+                v = w.rstrip(b"!").translate(_LEET)
+                undone += u in fixed or u in learned or v in fixed or v in learned
     you = [i for i, w in enumerate(plain) if w in SECOND_PERSON]
     near = 0
     if hits and you:
         close = {j for i in you for j in range(i - 3, i + 4)}
         near = sum(1 for i in hits if i in close)
     upper = len(raw) - len(raw.translate(None, _UPPER))
-    shouted = sum(1 for w in raw.split() if len(w) > 2 and w.isupper()) if upper > 2 * n else 0
+    shouted = sum(1 for w in raw.split() if len(w) > 2 and w.isupper()) if upper else 0
     return (math.log1p(n), old / n, len(hits) / n, float(len(hits)), float(len({plain[i] for i in hits})),
             sum(learned[plain[i]] for i in hits), undone / n, len(you) / n, float(near),
             upper / len(raw), shouted / n, (len(raw) - len(raw.translate(None, _MARKS))) / len(raw),

@@ -283,6 +283,19 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.score(empty.select("doc_id", "text"), lab).count() == 0
 
 
+def test_toxicity_features_without_gates():
+    """Substitutions at the edge of a word are undone, and shouted words count in a long text of small letters."""
+    def of(text):
+        got = dict(zip(toxicity.FEATURES, toxicity.features(text, frozenset([b"idiot", b"stupid"]), {b"asshole": 2.0, b"ass": 2.0})))
+        n = len(text.replace("!", " ").split())
+        return round(got["undone"] * n), round(got["obfuscated"] * n), round(got["shouted"] * n)
+
+    for word in ("1diot", "$tupid", "@sshole", "a$$", "a$$!", "1D10T", "!diot"):
+        assert of(f"you are {word} here")[:2] == (1, 1) if word != "!diot" else of(f"you are {word} here")[0] == 1, word
+    assert of("you idiot! an idiot, stupid!! and asshole") == (0, 0, 0)
+    assert of("GO AWAY NOW " + "quiet " * 500) == (0, 0, 2)
+
+
 def test_toxicity_small_language(spark):
     """Insults on under 2% of the toxic rows each, all in a small language, enter the lexicon."""
     rows, labels = [], []
