@@ -1,19 +1,27 @@
-"""Exact percentiles without holding a group's values in one task.
+"""Exact percentiles by radix selection, without moving the values.
 
 Spark's exact ``percentile`` / ``median`` keep a map of every distinct value
 of a group in the aggregation buffer, so the final merge of a continuous
 column holds all of its distinct values in one task. Here, for any number of
-groups of any size:
-
-1. rows are counted per (group, value), combined map-side, so a value held
-   by a third of the rows is one row from here on;
-2. the counts are range-partitioned on (group, value) and written, which
-   pins every value to a partition; a large group spans many of them;
-3. each (partition, group) gets the number of the group's rows in earlier
-   partitions (at most one row per group and one per partition more), and a
-   window inside it finishes the running totals;
-4. the values at the two ranks around ``p * (n - 1)`` are kept and linearly
-   interpolated exactly like Spark's ``percentile``.
+columns and groups of any size:
+
+1. every value gets an order-preserving 64-bit integer (an integer is its own; a
+   double's sign, exponent and fraction put together);
+2. one scan counts rows, smallest and largest value per group and top 16 bits.
+   The counts are combined map-side: what is shuffled is bounded by 65,536 rows
+   a group and task, whatever the number of rows and distinct values;
+3. running totals over a group's buckets (65,536 at most) show which buckets
+   hold the two ranks around ``p * (n - 1)``. A bucket whose smallest and
+   largest value agree is done; any other is cut into 65,536 equal steps between them,
+   and the next scan counts the rows inside. A bucket spans 2**48, 2**32, 2**16,
+   1 integers at most after one, two, three, four scans, so there are four scans at most;
+   small integers take two;
+4. the values at the two ranks are linearly interpolated exactly like Spark's
+   ``percentile``.
+
+Open buckets (two per group and probability at most) travel to the next scan through
+the driver while there are at most ``MAX_LOCAL`` of them, else as a stored table, joined by
+group; Spark broadcasts either only if it is small.
 """
 
 from __future__ import annotations
@@ -22,66 +30,123 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..schema import q
 from .store import stored
 
+BITS = 16
+MAX_LOCAL = 10_000
 
-def exact_percentiles(long: DataFrame, group_cols: list[str], value: str, probs: list[float],
-                      partitions: int | None = None) -> DataFrame:
-    """Rows (*group_cols, p_index, value): the exact percentile ``probs[p_index]``
-    of ``value`` within each group (nulls and NaN ignored; a null group is a
-    group). ``partitions`` defaults to the session's shuffle partitions."""
-    spark = long.sparkSession
-    keys = list(group_cols)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    counts = (long.select(*keys, F.col(value).cast("double").alias("_x"))
-              .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-              .groupBy(*keys, "_x").agg(F.count("*").alias("_c")))
-    ranged = stored(counts.repartitionByRange(n_parts, *keys, "_x")
-                    .withColumn("_pid", F.spark_partition_id()), "percentiles")
 
+def order_key(x: Column) -> Column:
+    """Order-preserving 64-bit integer of a double (not NaN): its IEEE-754 magnitude
+    bits with its sign, worked out with exact powers of two."""
+    a = F.abs(x)
+    guess = F.floor(F.log2(a))
+    power = F.pow(F.lit(2.0), guess)
+    # the logarithm may be off by one next to a power of two
+    e = F.when(power > a, guess - 1).when(power * F.lit(2.0) <= a, guess + 1).otherwise(guess)
+    normal = ((e + F.lit(1022)) * F.lit(1 << 52) + (a / F.pow(F.lit(2.0), e) * F.lit(float(1 << 52))).cast("bigint"))
+    tiny = (a * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")
+    bits = (F.when(a < F.lit(2.0 ** -1022), tiny)
+            .when(a == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(normal))
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def _cell(x: Column, integral: bool) -> list[Column]:
+    """A value as (_x double, _v order key); NaN is null, -0.0 is 0.0."""
+    if integral:
+        return [x.cast("double").alias("_x"), x.cast("bigint").alias("_v")]
+    d = x.cast("double") + F.lit(0.0)
+    d = F.when(~F.isnan(d), d)
+    return [d.alias("_x"), order_key(d).alias("_v")]
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def _kept(nodes: DataFrame) -> DataFrame:
+    """A small table through the driver, a large one in the shared folder."""
+    spark = nodes.sparkSession
+    local = nodes.limit(MAX_LOCAL + 1).collect()
+    return spark.createDataFrame(local, nodes.schema) if len(local) <= MAX_LOCAL else stored(nodes, "percentiles")
+
+
+def _select(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Percentiles of ``rows`` (*keys, _x, _v) without missing values; keys has one column at least."""
     group = Window.partitionBy(*keys)
-    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_pid", *keys).agg(F.sum("_c").alias("_n")).select(
-        F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(group).alias("_total"))
-    same = reduce(lambda a, b: a & b, [F.col("_pid") == F.col("_opid")] + [
-        F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)])
-    local = (Window.partitionBy("_pid", *keys).orderBy("_x")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = ranged.join(offsets, same).withColumn("_end", F.col("_off") + F.sum("_c").over(local))
-
-    def here(rank: Column) -> Column:
-        return (rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end"))
-
-    wanted = F.array(*[F.struct(F.lit(i).alias("p_index"),
-                                ((F.col("_total") - 1) * F.lit(float(p))).alias("pos"))
-                       for i, p in enumerate(probs)])
-    hits = F.filter(wanted, lambda t: here(F.floor(t["pos"])) | here(F.ceil(t["pos"])))
-    picked = run.select(*keys, "_x", "_end", "_c", F.explode(hits).alias("_t")).select(
-        *keys, "_t.p_index", "_t.pos", F.when(here(F.floor("_t.pos")), F.col("_x")).alias("_lo"),
-        F.when(here(F.ceil("_t.pos")), F.col("_x")).alias("_hi"))
-    # at most two rows per group and probability
-    ends = picked.groupBy(*keys, "p_index").agg(
-        F.max("pos").alias("pos"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    names = [f"_o{i}" for i in range(len(keys))]
+    hit = "array<struct<p_index:int,pos:double,side:int,rank:bigint>>"
+    counted = [F.count("*").alias("_c"), F.min("_x").alias("_a"), F.max("_x").alias("_b"),
+               F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+
+    counts = rows.groupBy(*keys, F.shiftright("_v", 64 - BITS).alias("_d")).agg(*counted)
+    end = F.sum("_c").over(group.orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("_c").over(group)
+    wanted = F.flatten(F.array(*[F.array(*[F.struct(
+        F.lit(i).alias("p_index"), ((total - 1) * F.lit(float(p))).alias("pos"), F.lit(s).alias("side"),
+        f((total - 1) * F.lit(float(p))).cast("bigint").alias("rank"))
+        for s, f in ((0, F.floor), (1, F.ceil))]) for i, p in enumerate(probs)])).cast(hit)
+    counts = counts.withColumn("_end", end).withColumn("_hits", wanted)
+    done = []
+    for level in range(1, 64 // BITS + 1):
+        first = F.col("_end") - F.col("_c")
+        inside = F.filter("_hits", lambda h: (h["rank"] >= first) & (h["rank"] < F.col("_end")))
+        nodes = _kept(counts.select(*keys, "_a", "_b", "_lo", "_hi", F.transform(inside, lambda h: h.withField(
+            "rank", h["rank"] - first)).alias("_hits")).where(F.size("_hits") > 0))
+        closed = F.col("_a") == F.col("_b")
+        done.append(nodes.where(closed).select(*keys, F.col("_a").alias("_x"), F.inline("_hits")))
+        step = (F.floor((F.col("_hi") - F.col("_lo")) / F.lit(float(1 << BITS))) + 1).alias("step")
+        open_ = nodes.where(~closed).groupBy(*[F.col(k).alias(o) for k, o in zip(keys, names)]).agg(
+            F.collect_list(F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), step, F.col("_hits").alias("hits")))
+            .alias("_open"))                                     # two per probability at most
+        if level == 64 // BITS or open_.isEmpty():
+            break
+        # a row lies in one open bucket at most; its place is the bucket's number in the group
+        near = rows.join(open_.select(*names, F.transform("_open", lambda o: o.dropFields("hits")).alias("_open")), _same(keys, names))
+        at = F.array_position(F.transform("_open", lambda o: (o["lo"] <= F.col("_v")) & (F.col("_v") <= o["hi"])), True).cast("int")
+        near = near.withColumn("_j", at).where("_j > 0").withColumn("_n", F.element_at("_open", F.col("_j")))
+        counts = (near.groupBy(*keys, "_j", F.floor((F.col("_v") - F.col("_n.lo")) / F.col("_n.step")).alias("_d")).agg(*counted)
+                  .join(open_, _same(keys, names))
+                  .withColumn("_hits", F.element_at("_open", F.col("_j"))["hits"]).drop("_open", *names)
+                  .withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys, "_j").orderBy("_d")
+                                                       .rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    found = reduce(DataFrame.unionByName, done).groupBy(*keys, "p_index").agg(
+        F.max("pos").alias("pos"), F.max(F.when(F.col("side") == 0, F.col("_x"))).alias("_l"),
+        F.max(F.when(F.col("side") == 1, F.col("_x"))).alias("_h"))
     low, high = F.floor("pos"), F.ceil("pos")
-    return ends.select(*keys, "p_index", F.when(
-        (low == high) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).otherwise(
-        (high - F.col("pos")) * F.col("_lo") + (F.col("pos") - low) * F.col("_hi")).alias("value"))
+    return found.select(*keys, "p_index", F.when(
+        (low == high) | (F.col("_l") == F.col("_h")), F.col("_l")).otherwise(
+        (high - F.col("pos")) * F.col("_l") + (F.col("pos") - low) * F.col("_h")).alias("value"))
+
+
+def exact_percentiles(long: DataFrame, group_cols: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Rows (*group_cols, p_index, value): the exact percentile ``probs[p_index]``
+    of ``value`` within each group (nulls and NaN ignored; a null group is a
+    group; a group without values has no row)."""
+    keys = [f"_k{i}" for i in range(len(group_cols))]
+    integral = isinstance(long.schema[value].dataType, IntegralType)
+    rows = long.select(*[F.col(q(g)).alias(k) for g, k in zip(group_cols, keys)], *_cell(F.col(q(value)), integral)
+                       ).where(F.col("_x").isNotNull())
+    if keys:
+        out = _select(rows, keys, probs)
+    else:                      # one group: a key that is no constant for the optimizer, so that joins stay equi-joins
+        out = _select(rows.withColumn("_k0", F.isnull("_x")), ["_k0"], probs)
+    return out.select(*[F.col(k).alias(g) for k, g in zip(keys, group_cols)], "p_index", "value")
 
 
-def exact_percentile_columns(df: DataFrame, cols: list[str], probs: list[float],
-                             partitions: int | None = None) -> dict[str, list[float | None]]:
+def exact_percentile_columns(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """{column: [percentile per prob]} for several numeric columns at once
     (one unpivot; columns without values map to Nones)."""
     if not cols:
         return {}
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v"))
-        for c in cols])).alias("kv")).select("kv.*")
+        F.struct(F.lit(c).alias("_k0"), *_cell(F.col(q(c)), isinstance(df.schema[c].dataType, IntegralType)))
+        for c in cols])).alias("kv")).select("kv.*").where(F.col("_x").isNotNull())
     res = {c: [None] * len(probs) for c in cols}
     # one row per column and probability
-    for r in exact_percentiles(long, ["column_name"], "v", probs, partitions).collect():
-        res[r["column_name"]][r["p_index"]] = r["value"]
+    for r in _select(long, ["_k0"], probs).collect():
+        res[r["_k0"]][r["p_index"]] = r["value"]
     return res

@@ -146,12 +146,12 @@ def test_exact_percentiles_match_spark(spark):
     vals = np.concatenate([rng.normal(size=3000), np.full(2000, 1.5), rng.uniform(-1e3, 1e3, 1000)])
     df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(vals)], "g int, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0, 0.333]
-    got = exact_percentiles(df, ["g"], "v", probs, partitions=13).toPandas()
+    got = exact_percentiles(df, ["g"], "v", probs).toPandas()
     for g in range(3):
         exp = df.where(F.col("g") == g).agg(F.percentile("v", probs)).first()[0]
         mine = got[got.g == g].sort_values("p_index").value.tolist()
         assert np.allclose(mine, exp, rtol=0, atol=1e-12)
-    one = exact_percentiles(df, [], "v", probs, partitions=13).sort("p_index").toPandas()
+    one = exact_percentiles(df, [], "v", probs).sort("p_index").toPandas()
     assert np.allclose(one.value, df.agg(F.percentile("v", probs)).first()[0], atol=1e-12)
 
 

@@ -43,7 +43,7 @@ def test_hot_score_rank_metrics(spark, hot):
 
 def test_hot_value_percentiles(spark, hot):
     df, (_, p, _) = hot
-    got = exact_percentiles(df, [], "score", [0.25, 0.5, 0.75], partitions=16)
+    got = exact_percentiles(df, [], "score", [0.25, 0.5, 0.75])
     vals = [r.value for r in got.orderBy("p_index").collect()]
     assert np.allclose(vals, np.quantile(p, [0.25, 0.5, 0.75]), atol=1e-12)
 
