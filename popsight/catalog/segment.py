@@ -45,7 +45,7 @@ def q_k2(spark, sf_dir):
 @register("k3_inertia", _ctes(PTS, CENT, INERTIA) + "SELECT ROUND(inertia, 6) AS inertia FROM w")
 def q_k3(spark, sf_dir):
     p = points(spark, sf_dir)
-    return sg.inertia(p, sg.cluster_stats(p)).select(F.round("inertia", 6).alias("inertia"))
+    return sg.inertia(sg.cluster_stats(p)).select(F.round("inertia", 6).alias("inertia"))
 
 
 @register("k4_silhouette_sq", _ctes(
@@ -78,7 +78,7 @@ def q_k4(spark, sf_dir):
   FROM w, bt""")
 def q_k5(spark, sf_dir):
     p = points(spark, sf_dir)
-    return sg.calinski_harabasz(p, sg.cluster_stats(p)).select(
+    return sg.calinski_harabasz(sg.cluster_stats(p)).select(
         F.round("calinski_harabasz", 6).alias("calinski_harabasz"))
 
 

@@ -147,9 +147,9 @@ def standard_scale_fit(df: DataFrame, cols: list[str]) -> dict[str, tuple[float,
 
 
 def standard_scale_transform(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
-    """E4 transform: (x - mean) / std."""
+    """E4 transform: (x - mean) / std; NaN, like null, gives null."""
     return df.select(*[
-        ((F.col(q(c)).cast("double") - F.lit(params[c][0])) / F.lit(params[c][1])).alias(c)
+        ((present(df, c).cast("double") - F.lit(params[c][0])) / F.lit(params[c][1])).alias(c)
         if c in params else F.col(q(c)) for c in df.columns])
 
 
@@ -188,7 +188,7 @@ def _fit_fill(df: DataFrame, numeric: list[str], categorical: list[str]):
 def _fill(df: DataFrame, meds, mo, numeric, categorical, unknown: str = "Unknown") -> DataFrame:
     out = []
     for c in df.columns:
-        x = F.col(q(c))
+        x = present(df, c) if c in numeric or c in categorical else F.col(q(c))
         if c in numeric:
             m = meds.get(c)
             x = F.coalesce(x.cast("double"), F.lit(m).cast("double")) if m is not None \

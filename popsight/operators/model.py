@@ -275,7 +275,7 @@ def k_sweep(vectors: DataFrame, ks=(3,), restarts: int = 10, seed: int = 42,
             vector_to_array(features).alias("x"), F.col("segment").cast("int").alias("segment"))
         stats = sg.cluster_stats(labelled, "x", "segment")
         sil = sg.silhouette_sq(labelled, stats, "x", "segment").first()[0]
-        ch = sg.calinski_harabasz(labelled, stats, "x", "segment").first()[0]
+        ch = sg.calinski_harabasz(stats).first()[0]
         db = sg.davies_bouldin(labelled, stats, "x", "segment").first()[0]
         rows.append((int(k), seg.inertia, float(sil), float(ch), float(db)))
     df = _session().createDataFrame(rows, "n_clusters int, inertia double, silhouette double, "

@@ -218,8 +218,8 @@ def imbalance_ratio(df: DataFrame, target: str = "label") -> DataFrame:
 
 def weight_summary(df: DataFrame, weight: str = "weight") -> DataFrame:
     """Min, max, mean, median, sample std, zero and negative counts over
-    non-null weights."""
-    w = F.col(q(weight)).cast("double")
+    present weights (not null, not NaN)."""
+    w = present(df, weight).cast("double")
     med = exact_percentile_columns(df, [weight], [0.5])[weight][0]
     return df.where(w.isNotNull()).agg(
         F.min(w).alias("min"), F.max(w).alias("max"), F.round(F.avg(w), 9).alias("mean"),
@@ -229,8 +229,9 @@ def weight_summary(df: DataFrame, weight: str = "weight") -> DataFrame:
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
-    """A10: rows, columns, total null cells, duplicate rows (one row)."""
-    nulls = sum((F.count_if(F.col(q(c)).isNull()) for c in df.columns), F.lit(0))
+    """A10: rows, columns, total missing cells (null or NaN, as M7 counts them),
+    duplicate rows (one row)."""
+    nulls = sum((F.count_if(present(df, c).isNull()) for c in df.columns), F.lit(0))
     dups = duplicate_report(df).select("duplicate_rows").scalar()
     return df.agg(F.count("*").alias("total_records"), nulls.alias("total_missing_cells")).select(
         "total_records", F.lit(len(df.columns)).alias("total_features"),
@@ -263,7 +264,7 @@ def numeric_histogram(df: DataFrame, rules=HISTOGRAM_RULES, bins: int = 50) -> D
     its [min, max] (last bin closed), plus the subset's mean and median."""
     parts = []
     for c, lower, upper in rules:
-        x = F.col(q(c)).cast("double")
+        x = present(df, c).cast("double")
         cond = x.isNotNull()
         if lower is not None:
             cond = cond & (x > F.lit(lower))
@@ -308,7 +309,7 @@ def boxplot_stats(df: DataFrame, value: str, by: str, whis: float = 1.5) -> Data
     points within 1.5 IQR of the box, and the count of points outside. The
     boxes are written first: a table of known size, which Spark broadcasts
     only below its threshold."""
-    x = F.col(q(value)).cast("double")
+    x = present(df, value).cast("double")
     data = df.select(F.col(q(by)).alias("group"), x.alias("x")).where(F.col("x").isNotNull())
     qs = (exact_percentiles(data, ["group"], "x", [0.25, 0.5, 0.75])
           .groupBy("group").pivot("p_index", [0, 1, 2]).agg(F.first("value"))

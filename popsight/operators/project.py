@@ -99,8 +99,11 @@ def detect_roles(df: DataFrame) -> DataFrame:
 
 
 def positive_subset(df: DataFrame, column: str, upper: float | None = None) -> DataFrame:
-    """Rows with ``column > 0`` (and ``< upper`` when given)."""
+    """Rows with ``column > 0`` (and ``< upper`` when given); NaN, which
+    Spark orders above all numbers, is missing and not positive."""
     cond = F.col(q(column)) > 0
+    if df.schema[column].dataType.typeName() in ("double", "float"):
+        cond = cond & ~F.isnan(F.col(q(column)))
     if upper is not None:
         cond = cond & (F.col(q(column)) < F.lit(upper))
     return df.where(cond)

@@ -1,106 +1,122 @@
 """Segmentation metrics, profiles, personas and rules.
 
 Points are rows with an array<double>-castable feature column and a segment
-id. Cluster statistics (count, mean vector, sum of squared norms) come from
-one grouped aggregation whose result is bounded by k x d; they travel to the
-executors as literals, so distances to every centroid are computed inside the
-projection -- no join of points against centroids and no pairs of points.
-Silhouette therefore uses squared Euclidean distance (closed form, linear in
-rows); the plain-Euclidean silhouette needs every pair of points and is not
-built (see README).
+id. Cluster statistics (count, mean, variance and squared norm per dimension) come
+from ONE scan: one mergeable moment aggregate per cluster (Spark ML's
+``Summarizer``), combined map-side to k rows a task, whatever the number of dimensions. Inertia and
+Calinski-Harabasz follow from these alone; metrics that need every point's
+distance read the points once more, with the centroids as one packed value
+(a scalar subquery, not literals in the plan): no join of points against centroids
+and no pairs of points. The silhouette comes in two forms: squared Euclidean (closed
+form, here) and Euclidean (:mod:`popsight.operators.silhouette`).
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from functools import cached_property
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.columns import persona_age_group
+from ..plans.store import stored
 from ..schema import q
 from .encode import standard_scale
 from .profile import income_crosstab
 
+#: Numbers of centroids (k x d) that one packed value or the driver may hold: 32 MB.
+MAX_CENTROID_NUMBERS = 4_000_000
+
 
 def _x(features: str) -> Column:
     return F.col(q(features)).cast("array<double>")
 
 
-def _sqdist(x: Column, c: list[float]) -> Column:
-    diff = F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b))
-    return F.aggregate(diff, F.lit(0.0), lambda acc, y: acc + y)
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, y: acc + y)
 
 
-def _dot(x: Column, c: list[float]) -> Column:
-    prod = F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: a * b)
-    return F.aggregate(prod, F.lit(0.0), lambda acc, y: acc + y)
+def _sqdist(x: Column, c: Column) -> Column:
+    return _sum(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)))
 
 
 def _norm2(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y * y)
+    return _sum(F.transform(x, lambda y: y * y))
 
 
 @dataclass
 class ClusterStats:
-    """Per cluster: size, mean vector and sum of squared norms (k x d, bounded)."""
-    labels: list[int]
-    n: dict[int, int]
-    mean: dict[int, list[float]]
-    sqnorm: dict[int, float]
-
-    @property
-    def total(self) -> int:
-        return sum(self.n.values())
+    """Per cluster one stored row: segment, n, mean, sq (sum of squared norms), within
+    (sum of squared distances to the mean). ``k``, ``d`` and ``total`` are
+    counted; whatever holds k x d numbers elsewhere checks them first."""
+    table: DataFrame
+    k: int
+    d: int
+    total: int
+
+    def check(self) -> None:
+        if self.k * self.d > MAX_CENTROID_NUMBERS:
+            raise ValueError(f"{self.k} centroids of {self.d} dimensions are more than {MAX_CENTROID_NUMBERS} numbers; "
+                             "inertia() and calinski_harabasz() work from the table")
+
+    @cached_property
+    def mean(self) -> dict[int, list[float]]:
+        """Mean vector per segment on the driver."""
+        self.check()
+        return {r["segment"]: list(r["mean"]) for r in self.table.select("segment", "mean").collect()}
+
+    def packed(self) -> Column:
+        """All centroids as one array value: (segment, mean, n, sq), by segment."""
+        self.check()
+        return self.table.agg(F.array_sort(F.collect_list(F.struct("segment", "mean", "n", "sq")))).scalar()
+
+    def own(self, points: DataFrame, features: str, segment: str) -> DataFrame:
+        """(segment, squared distance to the own centroid) of every point. The centroids
+        are joined by segment: Spark broadcasts the stored table below its threshold."""
+        c = self.table.select(F.col("segment").alias("_s"), F.col("mean").alias("_m"))
+        return points.select(F.col(q(segment)).alias("segment"), _x(features).alias("_x")).join(
+            c, F.col("segment") == F.col("_s")).select("segment", _sqdist(F.col("_x"), F.col("_m")).alias("d"))
 
 
 def cluster_stats(points: DataFrame, features: str = "features", segment: str = "segment"
                   ) -> ClusterStats:
-    """One grouped pass: per-dimension means per cluster (map-side combined)
-    and per-cluster size and sum of squared norms."""
+    """One grouped scan with one mergeable aggregate; points without features or segment
+    are left out."""
     x = _x(features)
-    per_dim = (points.select(F.col(q(segment)).alias("seg"), F.posexplode(x).alias("pos", "v"))
-               .groupBy("seg", "pos").agg(F.avg("v").alias("mu")))
-    sizes = points.groupBy(F.col(q(segment)).alias("seg")).agg(
-        F.count("*").alias("n"), F.sum(_norm2(x)).alias("sq"))
-    means: dict[int, list[float]] = {}
-    for r in per_dim.collect():                       # k x d values
-        means.setdefault(r["seg"], []).append((r["pos"], r["mu"]))
-    mean = {k: [v for _, v in sorted(vals)] for k, vals in means.items()}
-    n, sq = {}, {}
-    for r in sizes.collect():                         # k rows
-        n[r["seg"]], sq[r["seg"]] = r["n"], r["sq"]
-    return ClusterStats(sorted(n), n, mean, sq)
-
-
+    moments = Summarizer.metrics("mean", "variance", "normL2").summary(array_to_vector(x))
+    raw = (points.where(x.isNotNull() & F.col(q(segment)).isNotNull()).groupBy(F.col(q(segment)).alias("segment"))
+           .agg(F.count("*").alias("n"), moments.alias("m")))
+    table = stored(raw.select(
+        "segment", "n", vector_to_array("m.mean").alias("mean"), _norm2(vector_to_array("m.normL2")).alias("sq"),
+        (_sum(vector_to_array("m.variance")) * (F.col("n") - 1)).alias("within")), "clusters")
+    r = table.agg(F.count("*").alias("k"), F.max(F.size("mean")).alias("d"), F.sum("n").alias("n")).first()
+    return ClusterStats(table, r["k"], r["d"] or 0, r["n"] or 0)
 
 
 def assign_nearest(points: DataFrame, centroids: dict[int, list[float]],
                    features: str = "features", out: str = "segment") -> DataFrame:
     """K2: nearest centroid (squared Euclidean, smallest id on ties) and the
     squared distance to it."""
-    x = _x(features)
-    best = F.array_min(F.array(*[F.struct(_sqdist(x, c).alias("d"), F.lit(k).alias("c"))
-                                 for k, c in sorted(centroids.items())]))
-    return points.withColumn("_best", best).withColumn(out, F.col("_best.c")).withColumn(
-        "distance", F.col("_best.d")).drop("_best")
-
-
-def _own_centroid(stats: ClusterStats, segment: str) -> Column:
-    m = F.create_map(*[v for k in stats.labels
-                       for v in (F.lit(k), F.array(*[F.lit(float(z)) for z in stats.mean[k]]))])
-    return F.element_at(m, F.col(q(segment)))
+    if sum(map(len, centroids.values())) > MAX_CENTROID_NUMBERS:
+        raise ValueError(f"more than {MAX_CENTROID_NUMBERS} numbers of centroids")
+    ids = sorted(centroids)
+    packed = points.sparkSession.createDataFrame([(ids, [[float(v) for v in centroids[k]] for k in ids])],
+                                                 "ids array<int>, means array<array<double>>")
+    best = F.array_min(F.transform("_centroids", lambda c: F.struct(
+        _sqdist(_x(features), c["means"]).alias("d"), c["ids"].alias("c"))))
+    return (points.withColumn("_centroids", packed.select(F.arrays_zip("ids", "means")).scalar())
+            .withColumn("_best", best).withColumn(out, F.col("_best.c"))
+            .withColumn("distance", F.col("_best.d")).drop("_best", "_centroids"))
 
 
-def inertia(points: DataFrame, stats: ClusterStats, features: str = "features",
-            segment: str = "segment") -> DataFrame:
-    """K3: sum over points of the squared distance to their own centroid."""
-    c = _own_centroid(stats, segment)
-    d = F.aggregate(F.zip_with(_x(features), c, lambda a, b: (a - b) * (a - b)),
-                    F.lit(0.0), lambda acc, y: acc + y)
-    return points.agg(F.sum(d).alias("inertia"))
+def inertia(stats: ClusterStats) -> DataFrame:
+    """K3: sum over points of the squared distance to their own centroid, from the
+    clusters' variances: no further scan."""
+    return stats.table.agg(F.sum("within").alias("inertia"))
 
 
 def silhouette_sq(points: DataFrame, stats: ClusterStats, features: str = "features",
@@ -109,63 +125,57 @@ def silhouette_sq(points: DataFrame, stats: ClusterStats, features: str = "featu
     the mean squared distance from x to cluster C is
     ||x||^2 + Y_C / n_C - 2 x . mean_C; the own cluster is rescaled by
     n / (n - 1) to leave x itself out; singleton clusters score 0."""
-    x = _x(features)
-    nx = _norm2(x)
-    own = F.col(q(segment))
-    dists = {k: nx + F.lit(stats.sqnorm[k] / stats.n[k]) - F.lit(2.0) * _dot(x, stats.mean[k])
-             for k in stats.labels}
-    a_expr = None
-    for k in stats.labels:
-        nk = stats.n[k]
-        a_k = dists[k] * F.lit(nk / (nk - 1)) if nk > 1 else F.lit(None).cast("double")
-        a_expr = F.when(own == k, a_k) if a_expr is None else a_expr.when(own == k, a_k)
-    b_expr = F.array_min(F.array(*[F.when(own != k, dists[k]) for k in stats.labels]))
-    a, b = F.col("_a"), F.col("_b")
-    s = (F.when(a.isNull() | b.isNull(), F.lit(0.0))
-         .when(a < b, F.lit(1.0) - a / b).when(a > b, b / a - F.lit(1.0)).otherwise(F.lit(0.0)))
-    return (points.select(a_expr.alias("_a"), b_expr.alias("_b"))
-            .agg(F.avg(s).alias("silhouette")))
-
-
-def calinski_harabasz(points: DataFrame, stats: ClusterStats, features: str = "features",
-                      segment: str = "segment") -> DataFrame:
-    """K5: (between / (k - 1)) / (within / (n - k)); 1.0 when within is 0."""
-    k, n = len(stats.labels), stats.total
+    row = points.select(F.col(q(segment)).alias("_own"), _x(features).alias("_x"), _norm2(_x(features)).alias("_nx"),
+                        stats.packed().alias("_clusters"))
+
+    def mean_distance(c: Column) -> Column:
+        dot = _sum(F.zip_with("_x", c["mean"], lambda a, b: a * b))
+        return F.col("_nx") + c["sq"] / c["n"] - F.lit(2.0) * dot
+
+    each = F.transform("_clusters", lambda c: F.struct(
+        (c["segment"] == F.col("_own")).alias("own"), c["n"].alias("n"), mean_distance(c).alias("d")))
+    mine = F.filter("_each", lambda c: c["own"] & (c["n"] > 1))[0]
+    s = silhouette_of(F.col("_a"), F.col("_b"))
+    return (row.withColumn("_each", each).select(
+        (mine["d"] * mine["n"] / (mine["n"] - 1)).alias("_a"),
+        F.array_min(F.transform(F.filter("_each", lambda c: ~c["own"]), lambda c: c["d"])).alias("_b"))
+        .agg(F.avg(s).alias("silhouette")))
+
+
+def silhouette_of(a: Column, b: Column) -> Column:
+    """One point's silhouette from its mean distance to its own and to the nearest other cluster."""
+    return (F.when(a.isNull() | b.isNull(), F.lit(0.0))
+            .when(a < b, F.lit(1.0) - a / b).when(a > b, b / a - F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+def calinski_harabasz(stats: ClusterStats) -> DataFrame:
+    """K5: (between / (k - 1)) / (within / (n - k)); 1.0 when within is 0. From the
+    cluster table alone: no further scan."""
+    k, n = stats.k, stats.total
     if k < 2:
         raise ValueError("calinski_harabasz needs at least two segments")
-    d = len(next(iter(stats.mean.values())))
-    grand = [sum(stats.n[c] * stats.mean[c][i] for c in stats.labels) / n for i in range(d)]
-    between = sum(stats.n[c] * sum((stats.mean[c][i] - grand[i]) ** 2 for i in range(d))
-                  for c in stats.labels)
-    w = inertia(points, stats, features, segment)
-    return w.select(F.when(F.col("inertia") == 0, F.lit(1.0)).otherwise(
-        F.lit(between) * F.lit(float(n - k)) / (F.col("inertia") * F.lit(float(k - 1))))
-        .alias("calinski_harabasz"))
+    t = stats.table
+    grand = t.agg(Summarizer.metrics("mean").summary(array_to_vector("mean"), F.col("n").cast("double")).alias("g")).select(
+        vector_to_array("g.mean")).scalar()
+    between = F.sum(F.col("n") * _sqdist(F.col("mean"), F.col("_grand"))).alias("b")
+    return t.withColumn("_grand", grand).agg(between, F.sum("within").alias("w")).select(
+        F.when(F.col("w") == 0, F.lit(1.0)).otherwise(
+            F.col("b") * F.lit(float(n - k)) / (F.col("w") * F.lit(float(k - 1)))).alias("calinski_harabasz"))
 
 
 def davies_bouldin(points: DataFrame, stats: ClusterStats, features: str = "features",
                    segment: str = "segment") -> DataFrame:
     """K6: mean over clusters of max_j (s_i + s_j) / d_ij, with s the mean
-    Euclidean distance of a cluster's points to its centroid."""
-    c = _own_centroid(stats, segment)
-    dist = F.sqrt(F.aggregate(F.zip_with(_x(features), c, lambda a, b: (a - b) * (a - b)),
-                              F.lit(0.0), lambda acc, y: acc + y))
-    spreads = points.groupBy(F.col(q(segment)).alias("segment")).agg(F.avg(dist).alias("s"))
-    s = {r["segment"]: r["s"] for r in spreads.collect()}   # k values
-    labels = stats.labels
-    cd = {(i, j): math.sqrt(sum((a - b) ** 2 for a, b in zip(stats.mean[i], stats.mean[j])))
-          for i in labels for j in labels}
-    if all(v == 0 for v in s.values()) or all(cd[i, j] == 0 for i in labels for j in labels):
-        return spreads.agg(F.lit(0.0).alias("davies_bouldin"))
-    # per cluster row: max over the other clusters, from literals (k x k, bounded)
-    ratio_max = None
-    for i in labels:
-        vals = [F.lit((s[i] + s[j]) / cd[i, j]) if cd[i, j] > 0 else F.lit(0.0)   # coincident centroids
-                for j in labels if j != i]
-        e = F.array_max(F.array(*vals)) if vals else F.lit(0.0)
-        ratio_max = F.when(F.col("segment") == i, e) if ratio_max is None else \
-            ratio_max.when(F.col("segment") == i, e)
-    return spreads.agg(F.avg(ratio_max).alias("davies_bouldin"))
+    Euclidean distance of a cluster's points to its centroid; coincident centroids count 0.
+    The points are read once; then k rows meet the packed centroids."""
+    spread = stats.own(points, features, segment).groupBy("segment").agg(F.avg(F.sqrt("d")).alias("s"))
+    rows = stored(spread.join(stats.table.select("segment", "mean"), "segment"), "spreads")      # k rows
+    stats.check()
+    others = rows.agg(F.collect_list(F.struct("segment", "mean", "s"))).scalar()
+    ratio = F.transform("_others", lambda o: F.when(o["segment"] == F.col("segment"), F.lit(None)).otherwise(F.coalesce(
+        F.try_divide(F.col("s") + o["s"], F.sqrt(_sqdist(F.col("mean"), o["mean"]))), F.lit(0.0))))
+    return rows.withColumn("_others", others).agg(
+        F.avg(F.coalesce(F.array_max(ratio), F.lit(0.0))).alias("davies_bouldin"))
 
 
 # ------------------------------------------------------------- K8 / K9 / K10

@@ -105,9 +105,9 @@ def test_cluster_metrics_match_brute_force(spark):
     assert -1 <= sil <= 1
     cent = np.array([X[lab == k].mean(0) for k in range(3)])
     w = sum(((X[lab == k] - cent[k]) ** 2).sum() for k in range(3))
-    assert sg.inertia(df, st).first()[0] == pytest.approx(w)
+    assert sg.inertia(st).first()[0] == pytest.approx(w)
     bt = sum((lab == k).sum() * ((cent[k] - X.mean(0)) ** 2).sum() for k in range(3))
-    assert sg.calinski_harabasz(df, st).first()[0] == pytest.approx(bt * (120 - 3) / (w * 2))
+    assert sg.calinski_harabasz(st).first()[0] == pytest.approx(bt * (120 - 3) / (w * 2))
     s = [np.linalg.norm(X[lab == k] - cent[k], axis=1).mean() for k in range(3)]
     db = np.mean([max((s[i] + s[j]) / np.linalg.norm(cent[i] - cent[j])
                       for j in range(3) if j != i) for i in range(3)])
