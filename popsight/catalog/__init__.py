@@ -43,6 +43,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def oracles_so_far() -> dict[str, str]:
+    """Oracle texts of the catalog modules imported up to now."""
+    return _ORACLES
+
+
 def sql_with(*ctes: tuple[str, str], select: str) -> str:
     """``WITH persons AS (...), <ctes> <select>`` for the DuckDB oracle."""
     parts = [f"persons AS ({persons_sql()})"] + [f"{n} AS ({q})" for n, q in ctes]
@@ -61,7 +66,7 @@ def sql_chain(query: str) -> str:
 def _load():
     # Import for side effects (registration), in inventory order.
     from . import (threshold, missing, project, profile, correlate,  # noqa: F401
-                   encode, evaluate, segment, model, io, raw_layout)
+                   encode, evaluate, segment, model, io, raw_layout, gaps)
 
 
 def queries() -> dict[str, Query]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import WEEKS_BAND_SQL, weeks_band_segment
 from ..operators import segment as sg
+from ..operators.silhouette import silhouette
 from ..sources.tables import table
 from . import persons_input, register, sql_with
 from .project import PERSONA_CASE
@@ -67,6 +68,22 @@ def q_k4(spark, sf_dir):
         F.round("silhouette", 6).alias("silhouette"))
 
 
+@register("k4_silhouette", """
+  WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+  st AS (SELECT label, COUNT(*) AS n FROM e GROUP BY label),
+  m AS (SELECT a.vec_id, a.label AS own, b.label AS cl, SUM(list_distance(a.x, b.x)) AS s
+        FROM e a CROSS JOIN e b GROUP BY a.vec_id, a.label, b.label),
+  ab AS (SELECT vec_id, MAX(CASE WHEN cl = own AND n > 1 THEN s / (n - 1) END) AS a,
+                MIN(CASE WHEN cl <> own THEN s / n END) AS b
+         FROM m JOIN st ON st.label = m.cl GROUP BY vec_id)
+  SELECT ROUND(AVG(CASE WHEN a IS NULL OR b IS NULL THEN 0 WHEN a < b THEN 1 - a / b
+                        WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette, COUNT(*) AS points FROM ab""")
+def q_k4_euclidean(spark, sf_dir):
+    """All points of ``embeddings``; clusters of more than 1,024 points are sampled."""
+    return silhouette(points(spark, sf_dir), key="vec_id", sample=1024).select(
+        F.round("silhouette", 6).alias("silhouette"), "points")
+
+
 @register("k5_calinski_harabasz", _ctes(
     PTS, CENT, ST, INERTIA,
     ("g", "SELECT pos, SUM(x) / (SELECT COUNT(*) FROM embeddings) AS gm FROM pts GROUP BY pos"),

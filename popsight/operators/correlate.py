@@ -1,107 +1,100 @@
 """Correlation.
 
-Pearson r per column pair over pairwise-complete rows. Two passes over the
+Pearson r per column pair over pairwise-complete rows. Two scans of the
 table, whatever the number of columns:
 
-1. per column: mean, min, max, null count (4 numbers per column, collected);
-2. one ``agg`` of plain sums of *shifted* values (x - mean): per column sum
-   and sum of squares, per pair the sum of products. Pairs that touch a
-   column with nulls get masked sums over their common rows instead.
+1. per column: count, sum, smallest and largest value;
+2. the block Gram matrix of (z, z * z, m), where m marks the present values and
+   z is the value less the column's mean, 0 where it is missing: m'm counts the common
+   rows of a pair, z'm and (z * z)'m sum a column over them, z'z holds the products.
 
-Shifting by the mean keeps the sum-of-products formula numerically stable;
-plain sums keep the generated aggregation code small and fast to compile
-(hundreds of covariance aggregates are not). A column that is constant on
+Every task adds up its own blocks with matrix products (Arrow batches; hundreds of columns would
+otherwise be tens of thousands of aggregate functions) and hands over one row per column;
+Spark sums these cell by cell, d * d cells a task with partial sums before the exchange.
+
+Shifting by the mean keeps the sums numerically stable. A column that is constant on
 the data (min = max) gives null, never a divide-by-zero error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import present
-from ..schema import is_numeric, q
-
-
-def _r(cov: str, vx: str, vy: str) -> str:
-    return f"CASE WHEN {vx} > 0 AND {vy} > 0 THEN {cov} / sqrt({vx} * {vy}) END"
+from ..schema import is_numeric
+
+
+def _column_moments(values: DataFrame, d: int) -> list[tuple]:
+    """(count, sum, min, max) per column: d rows on the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, lo, hi = np.zeros(d, np.int64), np.zeros(d), np.full(d, np.inf), np.full(d, -np.inf)
+        for batch in batches:
+            for i in range(d):
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                if len(x):
+                    n[i] += len(x)
+                    total[i] += x.sum()
+                    lo[i], hi[i] = min(lo[i], x.min()), max(hi[i], x.max())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(n), pa.array(total), pa.array(lo), pa.array(hi)],
+                                         ["i", "n", "s", "lo", "hi"])
+
+    got = {r["i"]: r for r in values.mapInArrow(run, "i int, n long, s double, lo double, hi double").groupBy("i").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+    return [(got[i]["n"], got[i]["s"], got[i]["lo"], got[i]["hi"]) if i in got else (0, 0.0, 0.0, 0.0) for i in range(d)]
+
+
+def _gram(values: DataFrame, shift: np.ndarray) -> DataFrame:
+    """One row per pair (i, j): k common rows; over these a = sum z_i, b = sum z_j,
+    aa = sum z_i^2, bb = sum z_j^2, ab = sum z_i z_j."""
+    d = len(shift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zz, zm, qm, mm = (np.zeros((d, d)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            here = ~np.isnan(x)
+            z, m = np.where(here, x - shift, 0.0), here.astype(float)
+            zz += z.T @ z
+            zm += z.T @ m
+            qm += (z * z).T @ m
+            mm += m.T @ m
+        blocks = [mm, zm, zm.T, qm, qm.T, zz]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32))] + [pa.array(b.tolist(), pa.list_(pa.float64())) for b in blocks],
+                                         ["i", "k", "a", "b", "aa", "bb", "ab"])
+
+    names = ["k", "a", "b", "aa", "bb", "ab"]
+    rows = values.mapInArrow(run, "i int, " + ", ".join(f"{c} array<double>" for c in names))
+    cells = rows.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "c")).where("i <= j")
+    return cells.groupBy("i", "j").agg(*[F.sum(f"c.{c}").alias(c) for c in names])
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None,
-                       exclude=("weight", "year"), digits: int | None = 9,
-                       sums_per_pass: int = 400) -> DataFrame:
+                       exclude=("weight", "year"), digits: int | None = 9) -> DataFrame:
     """Long matrix (i, j, feature1, feature2, r) for every ordered pair,
     diagonal included; null where a column is constant on the pair's rows."""
     cols = cols or [c for c in df.columns if is_numeric(df, c) and c not in exclude]
     d = len(cols)
-    x = [present(df, c).cast("double") for c in cols]
-    stats = df.agg(F.count("*").alias("n"), *[e for i in range(d) for e in (
-        F.avg(x[i]).alias(f"m{i}"), F.min(x[i]).alias(f"lo{i}"), F.max(x[i]).alias(f"hi{i}"),
-        F.count_if(x[i].isNull()).alias(f"z{i}"))]).first()   # 4d+1 numbers
-    shift = [stats[f"m{i}"] or 0.0 for i in range(d)]
-    const = [stats[f"lo{i}"] is None or stats[f"lo{i}"] == stats[f"hi{i}"] for i in range(d)]
-    full = [stats[f"z{i}"] == 0 for i in range(d)]
-    s = [x[i] - F.lit(shift[i]) for i in range(d)]
-
-    col_sums = {i: [(f"s{i}", F.sum(s[i])), (f"ss{i}", F.sum(s[i] * s[i]))] for i in range(d)}
-    pairs = []  # (i, j, needed aggregates, r expression)
-    for i in range(d):
-        for j in range(i, d):
-            if full[i] and full[j]:
-                need = col_sums[i] + col_sums[j] + [(f"p{i}_{j}", F.sum(s[i] * s[j]))]
-                mx, my = f"s{i} / n", f"s{j} / n"
-                cov = f"(p{i}_{j} / n - ({mx}) * ({my}))"
-                vx = f"(ss{i} / n - ({mx}) * ({mx}))"
-                vy = f"(ss{j} / n - ({my}) * ({my}))"
-            else:
-                both = x[i].isNotNull() & x[j].isNotNull()
-                a, b = F.when(both, s[i]), F.when(both, s[j])
-                k = f"k{i}_{j}"
-                need = [(k, F.count_if(both)), (f"a{i}_{j}", F.sum(a)), (f"b{i}_{j}", F.sum(b)),
-                        (f"aa{i}_{j}", F.sum(a * a)), (f"bb{i}_{j}", F.sum(b * b)),
-                        (f"ab{i}_{j}", F.sum(a * b))]
-                mx, my = f"a{i}_{j} / {k}", f"b{i}_{j} / {k}"
-                cov = f"(ab{i}_{j} / {k} - ({mx}) * ({my}))"
-                vx = f"(aa{i}_{j} / {k} - ({mx}) * ({mx}))"
-                vy = f"(bb{i}_{j} / {k} - ({my}) * ({my}))"
-            if const[i] or const[j]:
-                r = "CAST(NULL AS DOUBLE)"
-            else:
-                r = _r(cov, vx, vy)
-                if i == j:
-                    r = f"CASE WHEN ({r}) IS NOT NULL THEN CAST(1.0 AS DOUBLE) END"
-            if digits is not None:
-                r = f"round({r}, {digits})"
-            pairs.append((i, j, need, r))
-
-    # Plain sums compile fast; a very wide table is split into a few passes,
-    # each carrying the column sums its pairs need (no join between passes).
-    parts, chunk, names = [], [], {}
-    def flush():
-        if chunk:
-            row = df.agg(F.count("*").alias("n"), *[c.alias(a) for a, c in names.items()])
-            body = ", ".join(f"{i}, {j}, {r}" for i, j, r in chunk)
-            parts.append(row.selectExpr(f"stack({len(chunk)}, {body}) AS (i, j, r)"))
-    for i, j, need, r in pairs:
-        new = {a: c for a, c in need if a not in names}
-        if chunk and len(names) + len(new) > sums_per_pass:
-            flush()
-            chunk, names = [], {}
-            new = dict(need)
-        names.update(new)
-        chunk.append((i, j, r))
-    flush()
-    half = parts[0]
-    for p in parts[1:]:
-        half = half.unionByName(p)
-    names = F.create_map(*[v for n, c in enumerate(cols) for v in (F.lit(n), F.lit(c))])
-    mirrored = half.unionByName(
-        half.where(F.col("i") != F.col("j")).select(F.col("j").alias("i"), F.col("i").alias("j"),
-                                                   "r"))
-    return mirrored.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
-                           F.element_at(names, F.col("i").cast("int")).alias("feature1"),
-                           F.element_at(names, F.col("j").cast("int")).alias("feature2"),
-                           F.col("r").cast("double").alias("r"))
+    values = df.select(*[present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    moments = _column_moments(values, d)
+    shift = np.array([s / n if n else 0.0 for n, s, _, _ in moments])
+    constant = F.array(*[F.lit(not n or lo == hi) for n, _, lo, hi in moments])      # one flag per column
+    cov, vx, vy = (f"({p} / k - ({x} / k) * ({y} / k))" for p, x, y in (("ab", "a", "b"), ("aa", "a", "a"), ("bb", "b", "b")))
+    r = F.expr(f"CASE WHEN k > 0 THEN CASE WHEN {vx} > 0 AND {vy} > 0 THEN CASE WHEN i = j THEN 1.0D ELSE {cov} / sqrt({vx} * {vy}) END END END")
+    r = F.when(~F.get(constant, F.col("i")) & ~F.get(constant, F.col("j")), F.round(r, digits) if digits is not None else r)
+    if any(n for n, *_ in moments):
+        half = _gram(values, shift).select("i", "j", r.alias("r"))
+    else:                                                        # no value at all
+        half = df.sparkSession.createDataFrame([(i, j, None) for i in range(d) for j in range(i, d)], "i int, j int, r double")
+    both = half.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(
+        F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("at"), "r")
+    names = F.array(*[F.lit(c) for c in cols])
+    return both.select("at.i", F.col("at.j").cast("int").alias("j"), F.get(names, F.col("at.i")).alias("feature1"),
+                       F.get(names, F.col("at.j")).alias("feature2"), F.col("r").cast("double").alias("r"))
 
 
 def correlation_lower_triangle(corr: DataFrame) -> DataFrame:

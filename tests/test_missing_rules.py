@@ -60,3 +60,24 @@ def test_registered_input_is_pruned(spark):
     assert "FileScan parquet" in plan and "ExistingRDD" not in plan
     assert "PushedFilters: [IsNotNull(wage_per_hour)" in plan
     assert len(persons_input(spark, SF_SMALL).columns) > 10
+
+
+def test_nan_in_profiles(spark):
+    w = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (NAN, "a"), (4.0, "a"), (None, "a")], "w double, g string")
+    r = profile.weight_summary(w, "w").first()
+    assert (r["min"], r["max"], r["median"], r["mean"]) == (1.0, 4.0, 2.0, pytest.approx(7 / 3))
+    assert profile.dataset_summary(w).first().total_missing_cells == 2
+    b = profile.boxplot_stats(w, "w", "g").first()
+    assert (b.n, b.outliers, b.median) == (3, 0, 2.0)
+    h = profile.numeric_histogram(w, rules=(("w", None, None),), bins=3).collect()
+    assert sum(x["count"] for x in h) == 3 and h[0].mean == pytest.approx(7 / 3, abs=1e-9) and h[0].median == 2.0
+
+
+def test_nan_in_preprocessing(spark):
+    df = spark.createDataFrame([(1.0, "x", "n"), (NAN, "y", "p"), (3.0, "x", "n"), (None, "x", "p")], "v double, c string, label string")
+    roles = Roles(label="label", continuous=("v",))
+    fitted, out = encode.preprocess_fit(df, roles)
+    got = sorted(r.v for r in out.collect())
+    assert got == pytest.approx([-2 ** 0.5, 0.0, 0.0, 2 ** 0.5])          # both gaps filled with the median 2
+    again = encode.preprocess_transform(df, fitted).collect()
+    assert sorted(r.v for r in again) == pytest.approx(got)
