@@ -39,28 +39,35 @@ BITS = 16
 MAX_LOCAL = 10_000
 
 
-def order_key(x: Column) -> Column:
-    """Order-preserving 64-bit integer of a double (not NaN): its IEEE-754 magnitude
-    bits with its sign, worked out with exact powers of two."""
-    a = F.abs(x)
-    guess = F.floor(F.log2(a))
-    power = F.pow(F.lit(2.0), guess)
+def with_order_key(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """``rows`` with ``key`` = the order-preserving 64-bit integer of the double ``value`` (not NaN)
+    wherever ``key`` is null: the IEEE-754 magnitude bits with the value's sign, worked out with
+    exact powers of two. One projection a step, so that no step is computed twice."""
+    x, todo, keep = F.col(value), F.col(key).isNull(), rows.columns
+    out = rows.select("*", F.when(todo, F.abs(x)).alias("_m"))
+    out = out.select("*", F.when(todo, F.floor(F.log2("_m"))).alias("_g"))
+    out = out.select("*", F.when(todo, F.pow(F.lit(2.0), F.col("_g"))).alias("_p"))
     # the logarithm may be off by one next to a power of two
-    e = F.when(power > a, guess - 1).when(power * F.lit(2.0) <= a, guess + 1).otherwise(guess)
-    normal = ((e + F.lit(1022)) * F.lit(1 << 52) + (a / F.pow(F.lit(2.0), e) * F.lit(float(1 << 52))).cast("bigint"))
-    tiny = (a * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")
-    bits = (F.when(a < F.lit(2.0 ** -1022), tiny)
-            .when(a == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(normal))
-    return F.when(x < 0, -bits).otherwise(bits)
+    off = F.when(F.col("_p") > F.col("_m"), -1).when(F.col("_p") * F.lit(2.0) <= F.col("_m"), 1).otherwise(0)
+    out = out.select("*", F.when(todo, off).alias("_off"))
+    # a power of two beyond the largest double: its half fits
+    power = F.when(F.col("_off") == 0, F.col("_p")).otherwise(F.pow(F.lit(2.0), F.col("_g") + F.col("_off")))
+    normal = ((F.col("_g") + F.col("_off") + F.lit(1022)) * F.lit(1 << 52)
+              + (F.col("_m") / power * F.lit(float(1 << 52))).cast("bigint"))
+    tiny = (F.col("_m") * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")
+    bits = (F.when(F.col("_m") < F.lit(2.0 ** -1022), tiny)
+            .when(F.col("_m") == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(normal))
+    out = out.select("*", F.when(todo, bits).alias("_bits"))
+    made = F.when(F.col(key).isNotNull(), F.col(key)).when(x < 0, -F.col("_bits")).otherwise(F.col("_bits")).alias(key)
+    return out.select(*[made if c == key else F.col(q(c)) for c in keep])
 
 
 def _cell(x: Column, integral: bool) -> list[Column]:
-    """A value as (_x double, _v order key); NaN is null, -0.0 is 0.0."""
+    """A value as (_x double, _v its order key if it is an integer); NaN is null, -0.0 is 0.0."""
     if integral:
         return [x.cast("double").alias("_x"), x.cast("bigint").alias("_v")]
     d = x.cast("double") + F.lit(0.0)
-    d = F.when(~F.isnan(d), d)
-    return [d.alias("_x"), order_key(d).alias("_v")]
+    return [F.when(~F.isnan(d), d).alias("_x"), F.lit(None).cast("bigint").alias("_v")]
 
 
 def _same(left: list[str], right: list[str]) -> Column:
@@ -68,54 +75,60 @@ def _same(left: list[str], right: list[str]) -> Column:
 
 
 def _kept(nodes: DataFrame) -> DataFrame:
-    """A small table through the driver, a large one in the shared folder."""
+    """A small table through the driver (a local relation: its size is known and what filters
+    it needs no job), a large one in the shared folder."""
     spark = nodes.sparkSession
-    local = nodes.limit(MAX_LOCAL + 1).collect()
-    return spark.createDataFrame(local, nodes.schema) if len(local) <= MAX_LOCAL else stored(nodes, "percentiles")
+    local = nodes.limit(MAX_LOCAL + 1).toArrow()
+    return spark.createDataFrame(local, nodes.schema) if local.num_rows <= MAX_LOCAL else stored(nodes, "percentiles")
 
 
 def _select(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Percentiles of ``rows`` (*keys, _x, _v) without missing values; keys has one column at least."""
-    group = Window.partitionBy(*keys)
+    """Percentiles of ``rows`` (*keys, _x, _v) without missing values; keys has one column at least.
+
+    A node is a wanted rank (p_index, pos, side, _rank: its number in the bucket) with the bucket that
+    holds it (smallest and largest value _a, _b and key _lo, _hi)."""
+    rows = with_order_key(rows, "_x", "_v")
     names = [f"_o{i}" for i in range(len(keys))]
-    hit = "array<struct<p_index:int,pos:double,side:int,rank:bigint>>"
     counted = [F.count("*").alias("_c"), F.min("_x").alias("_a"), F.max("_x").alias("_b"),
                F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    wanted = ["p_index", "pos", "side", "_rank"]
+
+    def chosen(ranks: DataFrame) -> DataFrame:
+        """The wanted ranks that lie in their row's bucket, counted from its start."""
+        return ranks.where((F.col("_rank") >= F.col("_end") - F.col("_c")) & (F.col("_rank") < F.col("_end"))).select(
+            *keys, "_a", "_b", "_lo", "_hi", "p_index", "pos", "side", (F.col("_rank") - F.col("_end") + F.col("_c")).alias("_rank"))
+
+    def running(*by: str) -> Column:
+        return F.sum("_c").over(Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_end")
 
     counts = rows.groupBy(*keys, F.shiftright("_v", 64 - BITS).alias("_d")).agg(*counted)
-    end = F.sum("_c").over(group.orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("_c").over(group)
-    wanted = F.flatten(F.array(*[F.array(*[F.struct(
-        F.lit(i).alias("p_index"), ((total - 1) * F.lit(float(p))).alias("pos"), F.lit(s).alias("side"),
-        f((total - 1) * F.lit(float(p))).cast("bigint").alias("rank"))
-        for s, f in ((0, F.floor), (1, F.ceil))]) for i, p in enumerate(probs)])).cast(hit)
-    counts = counts.withColumn("_end", end).withColumn("_hits", wanted)
+    total = F.sum("_c").over(Window.partitionBy(*keys))
+    place = [(i, s, (total - 1) * F.lit(float(p)), f) for i, p in enumerate(probs) for s, f in ((0, F.floor), (1, F.ceil))]
+    ranks = F.array(*[F.struct(F.lit(i).alias("p_index"), pos.alias("pos"), F.lit(s).alias("side"), f(pos).cast("bigint").alias("_rank"))
+                      for i, s, pos, f in place])
+    level = chosen(counts.select("*", running(*keys), ranks.alias("_r")).select("*", F.inline("_r")))
     done = []
-    for level in range(1, 64 // BITS + 1):
-        first = F.col("_end") - F.col("_c")
-        inside = F.filter("_hits", lambda h: (h["rank"] >= first) & (h["rank"] < F.col("_end")))
-        nodes = _kept(counts.select(*keys, "_a", "_b", "_lo", "_hi", F.transform(inside, lambda h: h.withField(
-            "rank", h["rank"] - first)).alias("_hits")).where(F.size("_hits") > 0))
+    while True:
+        nodes = _kept(level)
         closed = F.col("_a") == F.col("_b")
-        done.append(nodes.where(closed).select(*keys, F.col("_a").alias("_x"), F.inline("_hits")))
-        step = (F.floor((F.col("_hi") - F.col("_lo")) / F.lit(float(1 << BITS))) + 1).alias("step")
-        open_ = nodes.where(~closed).groupBy(*[F.col(k).alias(o) for k, o in zip(keys, names)]).agg(
-            F.collect_list(F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), step, F.col("_hits").alias("hits")))
-            .alias("_open"))                                     # two per probability at most
-        if level == 64 // BITS or open_.isEmpty():
+        done.append(nodes.where(closed).select(*keys, "p_index", "pos", "side", "_a"))
+        open_ = nodes.where(~closed)
+        if len(done) == 64 // BITS or open_.isEmpty():
             break
-        # a row lies in one open bucket at most; its place is the bucket's number in the group
-        near = rows.join(open_.select(*names, F.transform("_open", lambda o: o.dropFields("hits")).alias("_open")), _same(keys, names))
-        at = F.array_position(F.transform("_open", lambda o: (o["lo"] <= F.col("_v")) & (F.col("_v") <= o["hi"])), True).cast("int")
-        near = near.withColumn("_j", at).where("_j > 0").withColumn("_n", F.element_at("_open", F.col("_j")))
-        counts = (near.groupBy(*keys, "_j", F.floor((F.col("_v") - F.col("_n.lo")) / F.col("_n.step")).alias("_d")).agg(*counted)
-                  .join(open_, _same(keys, names))
-                  .withColumn("_hits", F.element_at("_open", F.col("_j"))["hits"]).drop("_open", *names)
-                  .withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys, "_j").orderBy("_d")
-                                                       .rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+        buckets = open_.select(*[F.col(k).alias(o) for k, o in zip(keys, names)], "_lo", "_hi").distinct().select(
+            *names, F.col("_lo").alias("_l"), F.col("_hi").alias("_h"),
+            (F.floor((F.col("_hi") - F.col("_lo")) / F.lit(float(1 << BITS))) + 1).alias("_step"))     # two per group and probability at most
+        # a key is never null; said this way, no test for it is pushed below the steps that make it and repeats them
+        v = F.coalesce("_v", F.lit(0))
+        inside = _same(keys, names) & (v >= F.col("_l")) & (v <= F.col("_h"))
+        near = rows.join(buckets, inside).drop(*names)
+        counts = (near.groupBy(*keys, "_l", F.floor((F.col("_v") - F.col("_l")) / F.col("_step")).alias("_d")).agg(*counted)
+                  .select("*", running(*keys, "_l")))
+        again = open_.select(*[F.col(k).alias(o) for k, o in zip(keys, names)], F.col("_lo").alias("_from"), *wanted)
+        level = chosen(counts.join(again, _same(keys, names) & (F.col("_l") == F.col("_from"))))
     found = reduce(DataFrame.unionByName, done).groupBy(*keys, "p_index").agg(
-        F.max("pos").alias("pos"), F.max(F.when(F.col("side") == 0, F.col("_x"))).alias("_l"),
-        F.max(F.when(F.col("side") == 1, F.col("_x"))).alias("_h"))
+        F.max("pos").alias("pos"), F.max(F.when(F.col("side") == 0, F.col("_a"))).alias("_l"),
+        F.max(F.when(F.col("side") == 1, F.col("_a"))).alias("_h"))
     low, high = F.floor("pos"), F.ceil("pos")
     return found.select(*keys, "p_index", F.when(
         (low == high) | (F.col("_l") == F.col("_h")), F.col("_l")).otherwise(
@@ -143,10 +156,10 @@ def exact_percentile_columns(df: DataFrame, cols: list[str], probs: list[float])
     if not cols:
         return {}
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_k0"), *_cell(F.col(q(c)), isinstance(df.schema[c].dataType, IntegralType)))
-        for c in cols])).alias("kv")).select("kv.*").where(F.col("_x").isNotNull())
+        F.struct(F.lit(i).alias("_k0"), *_cell(F.col(q(c)), isinstance(df.schema[c].dataType, IntegralType)))
+        for i, c in enumerate(cols)])).alias("kv")).select("kv.*").where(F.col("_x").isNotNull())
     res = {c: [None] * len(probs) for c in cols}
     # one row per column and probability
     for r in _select(long, ["_k0"], probs).collect():
-        res[r["_k0"]][r["p_index"]] = r["value"]
+        res[cols[r["_k0"]]][r["p_index"]] = r["value"]
     return res
