@@ -66,7 +66,7 @@ def sql_chain(query: str) -> str:
 def _load():
     # Import for side effects (registration), in inventory order.
     from . import (threshold, missing, project, profile, correlate,  # noqa: F401
-                   encode, evaluate, segment, model, io, raw_layout, gaps)
+                   encode, evaluate, segment, model, io, raw_layout, gaps, trees)
 
 
 def queries() -> dict[str, Query]:

@@ -115,6 +115,39 @@ def q_k6(spark, sf_dir):
         F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
+LLOYD_START, LLOYD_STEPS = (0, 1, 2), 3      # vectors that are the first centroids; updates
+
+
+def _lloyd_ctes():
+    ctes = [("pts", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings"),
+            ("c0", f"SELECT CAST(vec_id AS INTEGER) AS seg, pos, x AS mu FROM pts WHERE vec_id IN {LLOYD_START}")]
+    for i in range(LLOYD_STEPS + 1):
+        ctes += [(f"d{i}", f"SELECT p.vec_id, c.seg, SUM((p.x - c.mu) * (p.x - c.mu)) AS d FROM pts p "
+                           f"JOIN c{i} c ON p.pos = c.pos GROUP BY p.vec_id, c.seg"),
+                 (f"s{i}", f"SELECT * FROM d{i} QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY d, seg) = 1"),
+                 (f"c{i + 1}", f"SELECT s.seg, p.pos, AVG(p.x) AS mu FROM s{i} s JOIN pts p ON s.vec_id = p.vec_id GROUP BY s.seg, p.pos")]
+    return _ctes(*ctes)
+
+
+def _lloyd(spark, sf_dir):
+    p = points(spark, sf_dir).drop("segment")
+    first = p.where(F.col("vec_id").isin(list(LLOYD_START))).collect()
+    return sg.lloyd(p, {r["vec_id"]: list(r["features"]) for r in first}, LLOYD_STEPS)[0]
+
+
+@register("k1_lloyd_steps", _lloyd_ctes() + f"""
+  SELECT seg AS segment, COUNT(*) AS size, ROUND(SUM(d), 6) AS inertia FROM s{LLOYD_STEPS} GROUP BY seg""")
+def q_k1_lloyd(spark, sf_dir):
+    """Three Lloyd steps over all embeddings from three given vectors."""
+    return _lloyd(spark, sf_dir).groupBy(F.col("segment").cast("int").alias("segment")).agg(
+        F.count("*").alias("size"), F.round(F.sum("distance"), 6).alias("inertia"))
+
+
+@register("k13_lloyd_assignments", _lloyd_ctes() + f"SELECT vec_id, seg AS segment FROM s{LLOYD_STEPS}")
+def q_k13_lloyd(spark, sf_dir):
+    return _lloyd(spark, sf_dir).select("vec_id", F.col("segment").cast("int").alias("segment"))
+
+
 # ------------------------------------------------------------- persons
 
 

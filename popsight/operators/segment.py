@@ -113,6 +113,19 @@ def assign_nearest(points: DataFrame, centroids: dict[int, list[float]],
             .withColumn("distance", F.col("_best.d")).drop("_best", "_centroids"))
 
 
+def lloyd(points: DataFrame, start: dict[int, list[float]], steps: int, features: str = "features",
+          out: str = "segment") -> tuple[DataFrame, dict[int, list[float]]]:
+    """K1 from given centroids: ``steps`` times assign every point to the nearest centroid
+    (smallest id on ties) and move each centroid to the mean of its points; one that has lost
+    all its points stays. Returns the points with their segment under the last centroids
+    and the squared distance, and these centroids. Each step is one scan with one mergeable aggregate."""
+    points = points.where(F.col(q(features)).isNotNull())
+    centroids = dict(start)
+    for _ in range(steps):
+        centroids |= cluster_stats(assign_nearest(points, centroids, features, "_seg"), features, "_seg").mean
+    return assign_nearest(points, centroids, features, out), centroids
+
+
 def inertia(stats: ClusterStats) -> DataFrame:
     """K3: sum over points of the squared distance to their own centroid, from the
     clusters' variances: no further scan."""
