@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.frequencies import Frequencies, frequencies
 from ..plans.store import stored
 from ..sources.tables import persons as _persons
 from ..sources.tables import persons_sql
@@ -31,6 +32,15 @@ def persons_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _INPUTS[key]
 
 
+def persons_frequencies(spark: SparkSession, sf_dir: str) -> Frequencies:
+    """The frequency table of ``persons_input``, made once per session and shared by
+    the queries that ask for values (A1, A6, M1, P4)."""
+    key = (spark.sparkContext.applicationId, sf_dir, "frequencies")
+    if key not in _INPUTS:
+        _INPUTS[key] = frequencies(persons_input(spark, sf_dir))
+    return _INPUTS[key]
+
+
 def register(name: str, sql: str | None = None):
     """Decorator: register a query under ``name`` with an optional oracle."""
     def deco(fn: Query) -> Query:

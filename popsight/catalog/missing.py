@@ -8,7 +8,7 @@ from ..functions.columns import null_tokens
 from ..operators import missing as mi
 from ..schema import PERSONS_ROLES
 from ..sources.tables import PERSONS_COLUMNS, table
-from . import persons_input, register, sql_with
+from . import persons_frequencies, persons_input, register, sql_with
 
 COLS = [c for c, _ in PERSONS_COLUMNS]
 NUM = [c for c, t in PERSONS_COLUMNS if t != "string"]
@@ -68,7 +68,7 @@ _M1_VALS = _union("SELECT {i} AS position, CAST({c} AS VARCHAR) AS value FROM pe
   FROM nc LEFT JOIN (SELECT * FROM num_ind UNION ALL SELECT * FROM str_ind) i
     ON nc.position = i.position"""))
 def q_m1(spark, sf_dir):
-    return mi.missing_profile(persons_input(spark, sf_dir), top_n=10)
+    return mi.missing_profile(persons_input(spark, sf_dir), top_n=10, freq=persons_frequencies(spark, sf_dir))
 
 
 _M2_ROWS = "\nUNION ALL ".join(

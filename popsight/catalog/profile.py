@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import WEEKS_BAND_SQL, age_bucket, weeks_band_segment
 from ..operators import profile as pf
 from ..sources.tables import PERSONS_COLUMNS
-from . import persons_input, register, sql_chain, sql_with
+from . import persons_frequencies, persons_input, register, sql_chain, sql_with
 from .evaluate import histogram_sql
 from .missing import NULLED_CTE, nulled
 
@@ -36,7 +36,7 @@ def _types_sql(source: str, columns=None) -> str:
 
 @register("a1_infer_column_types", sql_with(select=_types_sql("persons")))
 def q_a1(spark, sf_dir):
-    return pf.infer_column_types(persons_input(spark, sf_dir))
+    return pf.infer_column_types(persons_input(spark, sf_dir), freq=persons_frequencies(spark, sf_dir))
 
 
 def _stats_sql(source: str, cols: list[str], names=("column_name", "q25", "q75")) -> str:
@@ -111,7 +111,7 @@ def q_a5(spark, sf_dir):
         f"(SELECT column_name FROM ({_types_sql('persons')}) "
         "WHERE inferred_type <> 'continuous_numeric' OR n_distinct < 50)")))
 def q_a6(spark, sf_dir):
-    return pf.low_cardinality_distributions(persons_input(spark, sf_dir))
+    return pf.low_cardinality_distributions(persons_input(spark, sf_dir), freq=persons_frequencies(spark, sf_dir))
 
 
 @register("a7_target_distribution", sql_with(select="""

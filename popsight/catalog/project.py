@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import project as pr
 from ..schema import PERSONS_ROLES
 from ..sources.tables import PERSONS_COLUMNS
-from . import persons_input, register, sql_with
+from . import persons_frequencies, persons_input, register, sql_with
 
 COLS = [c for c, _ in PERSONS_COLUMNS]
 NUM = [c for c, t in PERSONS_COLUMNS if t != "string"]
@@ -51,7 +51,7 @@ _P4_ROWS = [(i, c, "numeric" if c in _P4_NUM else "categorical") for i, c in enu
 @register("p4_feature_groups", sql_with(
     select=_column_table(_P4_ROWS, ("position", "feature", "feature_group"))))
 def q_p4(spark, sf_dir):
-    return pr.feature_groups(persons_input(spark, sf_dir), PERSONS_ROLES)
+    return pr.feature_groups(persons_input(spark, sf_dir), PERSONS_ROLES, persons_frequencies(spark, sf_dir))
 
 
 @register("p5_detect_roles", sql_with(

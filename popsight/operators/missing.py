@@ -13,12 +13,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import DecimalType, IntegralType
 
 from ..functions.columns import present
 from ..plans.quantiles import exact_percentile_columns
+from ..plans.store import stored
 from ..plans.topk import top_k_per_group
 from ..schema import PERSONS_ROLES, Roles, is_numeric, is_string, q
+from .frequencies import HAS_VALUE, Frequencies, column_value_counts
 
 # Sentinel spellings.
 STRING_SENTINELS = ("?", "Unknown", "Not in universe")   # profile, after strip()
@@ -64,17 +66,20 @@ def unpivot_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def missing_profile(df: DataFrame, top_n: int = 10,
-                    columns: list[str] | None = None) -> DataFrame:
+                    columns: list[str] | None = None, freq: Frequencies | None = None) -> DataFrame:
     """M1: per column missing_count, missing_percentage and the potential
     missing indicators: for numeric columns which of -1, 99, 999 occur; for
     string columns those of the ``top_n`` most frequent values (ties: smaller
     value first) whose stripped text is ``?``, ``Unknown`` or
     ``Not in universe``, in frequency order, joined with ', '.
     Null counts and numeric sentinel flags come from one aggregation; string
-    values are counted once and ranked by the sharded top-k."""
+    values are counted once and ranked by the sharded top-k. With a shared frequency
+    table all of it comes from there."""
     cols = list(columns or df.columns)
     nums = [c for c in cols if is_numeric(df, c)]
     strs = [c for c in cols if is_string(df, c)]
+    if freq:
+        return _missing_from(freq, cols, nums, strs, top_n)
     aggs = [F.count("*").alias("_n")]
     for i, c in enumerate(cols):
         aggs.append(F.count_if(present(df, c).isNull()).alias(f"_m{i}"))
@@ -118,6 +123,31 @@ def missing_profile(df: DataFrame, top_n: int = 10,
                       F.coalesce("indicators", "_s", F.lit("")).alias("potential_missing_indicators"))
 
 
+def _missing_from(freq: Frequencies, cols: list[str], nums: list[str], strs: list[str], top_n: int) -> DataFrame:
+    """M1 from a frequency table."""
+    counts, spark = freq.of(cols), freq.table.sparkSession
+    has = F.expr(HAS_VALUE)
+    number = F.coalesce(F.col("whole").cast("double"), F.col("real"), F.col("text").cast("double") if any(
+        isinstance(freq.schema[c].dataType, DecimalType) for c in nums) else F.lit(None).cast("double"))
+    found = F.filter(F.array(*[F.when(F.max((number == F.lit(float(v))).cast("int")) == 1, F.lit(str(v))) for v in NUMERIC_SENTINELS]),
+                     lambda x: x.isNotNull())
+    names = spark.createDataFrame([(i, c, c in nums) for i, c in enumerate(cols)], "position int, _name string, _number boolean")
+    per = counts.groupBy("column_name").agg(F.sum("count").alias("n"), F.coalesce(F.sum(F.when(~has, F.col("count"))), F.lit(0)).alias("m"))
+    flags = freq.of(nums).groupBy("column_name").agg(F.concat_ws(", ", found).alias("f")) if nums else None
+    out = names.join(F.broadcast(per), F.col("_name") == F.col("column_name"), "left").drop("column_name")       # rows per column on all sides
+    if nums:
+        out = out.join(F.broadcast(flags), F.col("_name") == F.col("column_name"), "left").drop("column_name")
+    texts = freq.of(strs).where("text IS NOT NULL").select("column_name", F.col("text").alias("value"), F.col("count").alias("cnt"))
+    ranked = top_k_per_group(texts, ["column_name"], [F.desc("cnt"), F.asc("value")], top_n).where(
+        F.trim("value").isin(list(STRING_SENTINELS)))
+    marks = ranked.groupBy("column_name").agg(F.concat_ws(", ", F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"])).alias("s"))
+    out = out.join(F.broadcast(marks), F.col("_name") == F.col("column_name"), "left")
+    return out.select("position", F.col("_name").alias("column_name"), F.coalesce("m", F.lit(0)).cast("bigint").alias("missing_count"),
+                      (F.col("m") / F.col("n") * F.lit(100.0)).alias("missing_percentage"),
+                      F.coalesce(F.when(F.col("_number"), F.col("f")) if nums else F.lit(None), "s", F.lit("")).alias("potential_missing_indicators"))
+
+
 def implicit_missing_patterns(df: DataFrame, roles: Roles = PERSONS_ROLES,
                               top: int = 15) -> DataFrame:
     """M2: implicit missingness per column. Strings: rows containing
@@ -202,15 +232,34 @@ def drop_duplicates(df: DataFrame, exclude: list[str] | tuple[str, ...] = ()) ->
     return df.dropDuplicates(subset) if exclude else df.dropDuplicates()
 
 
+def _row_hashes(df: DataFrame) -> list[Column]:
+    """128 bits of a row as two hashes; rows that are equal in a grouping (nulls, NaN, zeros of either
+    sign) have equal ones. Where nulls sit is hashed, too, since a hash passes over them."""
+    cells = [F.col(q(c)) + F.lit(0.0).cast(f.dataType) if f.dataType.typeName() in ("double", "float") else F.col(q(c))
+             for c, f in zip(df.columns, df.schema.fields)]
+    gaps = [F.isnull(F.col(q(c))) for c, f in zip(df.columns, df.schema.fields) if f.nullable]
+    return [F.xxhash64(F.lit(s), *cells, *gaps).alias(f"_h{s}") for s in (1, 2)]
+
+
 def duplicate_report(df: DataFrame) -> DataFrame:
-    """M5 report / M6: rows, distinct rows, duplicates removed and their %."""
-    g = df.groupBy(*[F.col(q(c)) for c in df.columns]).count()
-    return g.agg(F.sum("count").cast("bigint").alias("rows"),
-                 F.count("*").alias("distinct_rows")).select(
-        "rows", "distinct_rows",
-        (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"),
-        ((F.col("rows") - F.col("distinct_rows")) / F.col("rows") * F.lit(100.0))
-        .alias("duplicate_percentage"))
+    """M5 report / M6: rows, distinct rows, duplicates removed and their %.
+
+    Rows are counted by a 128-bit hash first; what is shuffled are hashes. Whole rows are
+    compared only where a hash repeats: these hashes are written, so that Spark knows
+    their size and broadcasts them below its threshold; rows of unique hashes are then dropped
+    before any exchange. Different rows that share a hash are told apart by that comparison."""
+    names = ["_h1", "_h2"]
+    hashed = df.select(*_row_hashes(df)).groupBy(*names).agg(F.count("*").alias("n"))
+    again = stored(hashed.where("n > 1"), "repeated-hashes")
+    cells = [f"_c{i}" for i in range(len(df.columns))]
+    rows = df.select(*[F.col(q(c)).alias(x) for c, x in zip(df.columns, cells)], *_row_hashes(df))
+    different = rows.join(again, names, "left_semi").groupBy(*cells).agg(F.lit(1)).agg(F.count("*").alias("d"))
+    total = df.agg(F.count("*").alias("rows"))
+    repeats = again.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
+    distinct = F.col("rows") - repeats.scalar() + different.scalar()
+    return total.select("rows", distinct.alias("distinct_rows")).select(
+        "rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows"),
+        (F.try_divide(F.col("rows") - F.col("distinct_rows"), F.col("rows")) * F.lit(100.0)).alias("duplicate_percentage"))
 
 
 def count_duplicates(df: DataFrame) -> DataFrame:
@@ -249,33 +298,21 @@ def impute_median(df: DataFrame, cols: list[str], approx: bool = False,
     return df.select(*[fill.get(c, F.col(q(c))) for c in df.columns])
 
 
-def modes(df: DataFrame, cols: list[str]) -> DataFrame:
+def modes(df: DataFrame, cols: list[str], freq: Frequencies | None = None) -> DataFrame:
     """(column, value, dvalue, count): the most frequent non-null value per
     column, smallest value on ties (numeric order for numeric columns).
     ``value`` is the text of a string or integer mode, ``dvalue`` the double
-    of a numeric one. Integers are grouped and compared as integers. One
-    unpivot + one grouped count; no per-column job and no value list held in
-    one buffer."""
-    num = set(c for c in cols if is_numeric(df, c))
-    whole = set(c for c in num if isinstance(df.schema[c].dataType, IntegralType))
-
-    def slot(x: Column, used: bool, kind: str, name: str) -> Column:
-        return (x if used else F.lit(None)).cast(kind).alias(name)
-
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"),
-                 slot(F.col(q(c)), c not in num, "string", "value"),
-                 slot(F.col(q(c)), c in whole, "bigint", "whole"),
-                 slot(present(df, c), c in num - whole, "double", "dvalue"))
-        for c in cols])).alias("kv")).select("kv.*")
-    long = long.where(F.col("value").isNotNull() | F.col("whole").isNotNull()
-                      | F.col("dvalue").isNotNull())
-    counts = long.groupBy("column_name", "value", "whole", "dvalue").agg(F.count("*").alias("cnt"))
+    of a numeric one. Integers are grouped and compared as integers. From the frequency
+    table: no per-column job and no value list held in one buffer."""
+    counts = (freq.of(cols) if freq else column_value_counts(df, cols)).where(HAS_VALUE)
+    decimals = [c for c in cols if isinstance(df.schema[c].dataType, DecimalType)]
+    if decimals:                                              # counted as text, compared as numbers
+        number = F.when(F.col("column_name").isin(decimals), F.col("text").cast("double"))
+        counts = counts.withColumn("real", F.coalesce("real", number)).withColumn("text", F.when(number.isNull(), F.col("text")))
     best = counts.groupBy("column_name").agg(
-        F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("whole"), F.col("dvalue"), F.col("value")))
-        .alias("b"))
-    return best.select("column_name", F.coalesce("b.value", F.col("b.whole").cast("string")).alias("value"),
-                       F.coalesce("b.dvalue", F.col("b.whole").cast("double")).alias("dvalue"),
+        F.min(F.struct((-F.col("count")).alias("neg"), F.col("whole"), F.col("real"), F.col("text"))).alias("b"))
+    return best.select("column_name", F.coalesce("b.text", F.col("b.whole").cast("string")).alias("value"),
+                       F.coalesce("b.real", F.col("b.whole").cast("double")).alias("dvalue"),
                        (-F.col("b.neg")).alias("count"))
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, FloatType, FractionalType, IntegralType
 
 from ..functions.columns import present, ratio
 from ..plans.histogram import equal_width_histogram
@@ -18,54 +17,18 @@ from ..plans.quantiles import exact_percentile_columns, exact_percentiles
 from ..plans.store import stored
 from ..plans.topk import top_k_per_group
 from ..schema import is_numeric, q
+from .frequencies import HAS_VALUE, Frequencies, as_text, column_value_counts, frequencies
 from .missing import _lit, _stack, duplicate_report
 
-def column_value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column_name, text, whole, real, count), one row per distinct value,
-    missing values (null, NaN) counted as one: one unpivot and one
-    map-side-combined grouped count for every column at once. Integers and
-    floats are grouped and shuffled in their own type (-0.0 is 0.0), anything
-    else as text."""
-    cols = list(cols or df.columns)
 
-    def cell(c: str) -> Column:
-        kind = df.schema[c].dataType
-        used = ("whole" if isinstance(kind, IntegralType)
-                else "real" if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType)
-                else "text")
-        return F.struct(F.lit(c).alias("column_name"), *[
-            (present(df, c) if slot == used else F.lit(None)).cast(to).alias(slot)
-            for slot, to in (("text", "string"), ("whole", "bigint"), ("real", "double"))])
-
-    long = df.select(F.explode(F.array(*[cell(c) for c in cols])).alias("kv")).select("kv.*")
-    return long.groupBy("column_name", "text", "whole", "real").agg(F.count("*").alias("count"))
-
-
-HAS_VALUE = "text IS NOT NULL OR whole IS NOT NULL OR real IS NOT NULL"
-
-
-def _as_text(df: DataFrame, counts: DataFrame) -> DataFrame:
-    """(column_name, value, count) of typed counts, missing values left out;
-    every value's text is what its own column's type prints."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, FloatType)]
-    real = F.col("real").cast("string")
-    if floats:
-        real = F.when(F.col("column_name").isin(floats),
-                      F.col("real").cast("float").cast("string")).otherwise(real)
-    return counts.where(HAS_VALUE).select(
-        "column_name", F.coalesce("text", F.col("whole").cast("string"), real).alias("value"), "count")
-
-
-def infer_column_types(df: DataFrame, ratio_limit: float = 0.05, distinct_limit: int = 50
-                       ) -> DataFrame:
+def infer_column_types(df: DataFrame, ratio_limit: float = 0.05, distinct_limit: int = 50,
+                       freq: Frequencies | None = None) -> DataFrame:
     """A1: numeric with distinct/rows < 0.05 and distinct < 50 ->
     categorical_numeric; other numeric -> continuous_numeric; otherwise
     categorical_string. Nulls count in rows, not in distinct. Rows and
     distinct values come from the same grouped count (one pass)."""
     cols = df.columns
-    per_col = column_value_counts(df, cols).groupBy("column_name").agg(
-        F.sum("count").cast("bigint").alias("n_rows"),
-        F.count_if(F.expr(HAS_VALUE)).cast("bigint").alias("n_distinct"))
+    per_col = (freq or frequencies(df, cols, keep=False)).per_column(cols)
 
     def lookup(values):
         return F.element_at(F.create_map(*[x for c, v in zip(cols, values)
@@ -132,7 +95,7 @@ def describe_numeric(df: DataFrame, cols: list[str] = SUMMARY_COLUMNS) -> DataFr
 
 def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value, count) over non-null values."""
-    return _as_text(df, column_value_counts(df, cols))
+    return as_text(df.schema, column_value_counts(df, cols))
 
 
 def top_values(counts: DataFrame, top_n: int = 10, other_label: str = "other",
@@ -169,26 +132,27 @@ def categorical_top(df: DataFrame, cols: list[str], top_n: int = 10) -> DataFram
     return top_values(value_counts_long(df, cols), top_n, "Other", other_if_positive=True)
 
 
-def low_cardinality_distributions(df: DataFrame, top_n: int = 10,
-                                  distinct_limit: int = 50) -> DataFrame:
+def low_cardinality_distributions(df: DataFrame, top_n: int = 10, distinct_limit: int = 50,
+                                  freq: Frequencies | None = None) -> DataFrame:
     """A4 for every column that A1 calls categorical or that has fewer
     than 50 distinct values. A first pass sets a bit per hashed value of each
     numeric column (4 KB a column): as many bits as the limit prove that many
     distinct values, and such a column's cells are never unpivoted or
-    shuffled. The exact counts decide on all others."""
+    shuffled. The exact counts decide on all others. A shared frequency table
+    has all counts: then there is no first pass."""
     numeric = [c for c in df.columns if is_numeric(df, c)]
-    many = _surely_many(df, numeric, distinct_limit)
+    many = set() if freq else _surely_many(df, numeric, distinct_limit)
     cols = [c for c in df.columns if c not in many]
     if not cols:
         return top_values(value_counts_long(df, df.columns).limit(0), top_n, "other")
-    all_counts = column_value_counts(df, cols)
+    all_counts = freq.of(cols) if freq else column_value_counts(df, cols)
     per_col = all_counts.groupBy("column_name").agg(
         F.sum("count").alias("n_rows"), F.count_if(F.expr(HAS_VALUE)).alias("n_distinct"))
     is_num = F.col("column_name").isin(numeric) if numeric else F.lit(False)
     chosen = per_col.where(~is_num | (F.col("n_distinct") < distinct_limit)).select("column_name")
     # one row per column of the table: a bounded side, safe to broadcast
     counts = all_counts.join(F.broadcast(chosen), "column_name", "left_semi")
-    return top_values(_as_text(df, counts), top_n, "other")
+    return top_values(as_text(df.schema, counts), top_n, "other")
 
 
 def _surely_many(df: DataFrame, numeric: list[str], limit: int) -> set[str]:

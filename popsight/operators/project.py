@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from ..schema import PERSONS_ROLES, Roles, is_numeric, q
+from .frequencies import Frequencies, frequencies
 
 
 def split_features_target(df: DataFrame, roles: Roles = PERSONS_ROLES
@@ -64,27 +65,28 @@ def feature_group_lists(df: DataFrame, roles: Roles = PERSONS_ROLES
     return numeric, categorical
 
 
-def _schema_table(df: DataFrame, rows: list[tuple[int, str, str]], names: tuple[str, str, str]
-                  ) -> DataFrame:
+def _schema_table(df: DataFrame, rows: list[tuple[int, str, str]], names: tuple[str, str, str],
+                  freq: Frequencies | None = None) -> DataFrame:
     """A (position, name, value) table about ``df``'s columns with each one's
-    ``non_null`` rows and ``distinct_values``, from one aggregation of ``df``."""
+    ``non_null`` rows and ``distinct_values``, from the frequency table."""
     if not rows:
         return df.sparkSession.createDataFrame([], f"{names[0]} int, {names[1]} string, {names[2]} string, "
                                                "non_null bigint, distinct_values bigint")
-    counts = df.agg(*[e for i, (_, c, _) in enumerate(rows) for e in (
-        F.count(fc.present(df, c)).alias(f"_n{i}"), F.count_distinct(fc.present(df, c)).alias(f"_d{i}"))])
-    body = ", ".join(f"{p}, '{a}', '{b}', _n{i}, _d{i}" for i, (p, a, b) in enumerate(rows))
-    return counts.selectExpr(
-        f"stack({len(rows)}, {body}) AS ({', '.join(names)}, non_null, distinct_values)")
+    listed = df.sparkSession.createDataFrame(rows, f"{names[0]} int, {names[1]} string, {names[2]} string")
+    per = (freq or frequencies(df, [c for _, c, _ in rows], keep=False)).per_column([c for _, c, _ in rows]).select(
+        F.col("column_name").alias("_c"), "non_null", F.col("n_distinct").alias("distinct_values"))
+    # one row per column of the table on either side
+    return listed.join(F.broadcast(per), F.col(names[1]) == F.col("_c"), "left").select(
+        *names, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("non_null", "distinct_values")])
 
 
-def feature_groups(df: DataFrame, roles: Roles = PERSONS_ROLES) -> DataFrame:
+def feature_groups(df: DataFrame, roles: Roles = PERSONS_ROLES, freq: Frequencies | None = None) -> DataFrame:
     """(position, feature, feature_group) with group numeric/categorical,
     and each feature's non-null rows and distinct values."""
     numeric, categorical = feature_group_lists(df, roles)
     rows = [(i, c, "numeric" if c in numeric else "categorical")
             for i, c in enumerate(df.columns) if c in numeric or c in categorical]
-    return _schema_table(df, rows, ("position", "feature", "feature_group"))
+    return _schema_table(df, rows, ("position", "feature", "feature_group"), freq)
 
 
 def detect_roles(df: DataFrame) -> DataFrame:
