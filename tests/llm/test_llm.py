@@ -401,6 +401,64 @@ def test_mixing(spark, edge, empty):
     assert mixing.mixed_rows(empty).count() == 0
 
 
+def test_mixing_exponents():
+    """The entropy equals the target, on either side of the natural one, or the repetition limit binds."""
+    r = random.Random(8)
+    for trial in range(200):
+        sizes = {i: r.randint(1, r.choice([3, 100, 10 ** 6])) for i in range(r.randint(1, 30))}
+        target, most = r.choice([0.3, 0.6, 0.9, 0.97, 1.0]), r.choice([1.0, 1.5, 2.0, 50.0, 1e9])
+        alpha = mixing.find_alpha(sizes, target, most)
+        m = mixing.mixture(sizes, target, most)
+        assert m.repeats <= most * (1 + 1e-6) and m.alpha == alpha
+        total = sum(sizes.values())
+        w = mixing.weights({s: n / total for s, n in sizes.items()}, alpha)
+        assert all(abs(m.plan[n][0] - w[s]) < 1e-12 for s, n in sizes.items())
+        if len(sizes) > 1 and len(set(sizes.values())) > 1:
+            assert abs(m.entropy - mixing.entropy(w)) < 1e-9
+            binds = abs(m.repeats - most) < 1e-6 * most
+            assert abs(m.entropy - target) < 1e-6 or binds or (alpha == 0 and m.entropy <= target)
+    near = {f"s{i}": 1000 + i for i in range(8)}                 # natural entropy above the target
+    m = mixing.mixture(near, 0.97, 1e9)
+    assert m.alpha > 1 and abs(m.entropy - 0.97) < 1e-6
+    assert abs(mixing.mixture(near, 0.97, 2.0).repeats - 2.0) < 1e-6 or abs(mixing.mixture(near, 0.97, 2.0).entropy - 0.97) < 1e-6
+
+
+def test_op8_row_by_row(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, None if i % 50 == 0 else prose(i, r.randint(1, 30)), None if i % 9 == 0 else "hot" if i % 3 else f"s{i % 4}", i, "x") for i in range(2500)]
+    rows += [rows[10]] * 3
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, `_key` bigint, epoch string").write.parquet(f"{tmp_path}/documents.parquet")
+    from popsight import llm
+    df = llm.queries()["op8_temperature_mix"](spark, str(tmp_path))
+    assert dict(df.dtypes)["doc_id"] == "bigint" and dict(df.dtypes)["epoch"] == "bigint"
+    got = df.collect()
+    tokens = {d: len((t or "").split()) + 1 for d, t, *_ in rows}
+    sizes = collections.Counter()
+    for d, _, s, *_ in rows:
+        sizes[s] += tokens[d]
+    m = mixing.mixture(dict(sizes))
+    assert abs(m.entropy - 0.97) < 1e-6 or abs(m.repeats - 2) < 1e-6
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.source, x.epoch].append(x)
+        assert x.weight == round(m.plan[sizes[x.source]][0], 12)
+    for s, n in sizes.items():
+        _, whole, part = m.plan[n]
+        mine = [(d, tokens[d]) for d, _, z, *_ in rows if z == s]
+        for e in range(whole):
+            assert sorted(x.doc_id for x in by[s, e]) == sorted(d for d, _ in mine)
+        # the cut epoch is the beginning of its permutation, up to the row that reaches the part
+        cut = sorted(by[s, whole], key=lambda x: (x.block_key, x.block, x.row_key))
+        if not part:
+            assert not cut
+            continue
+        total = sum(x.n_tokens for x in cut)
+        assert total >= part
+        lastkey = (cut[-1].block_key, cut[-1].block, cut[-1].row_key)
+        assert sum(x.n_tokens for x in cut if (x.block_key, x.block, x.row_key) != lastkey) < part
+    assert {x.epoch for x in got} <= {0, 1, 2} and {d for d, *_ in rows} == {x.doc_id for x in got}
+
+
 def test_chat(spark):
     for x in ("", "\\", "\\.", "\\\\.<|end|>", "<|turn|>x", "</s>[INST] ok [/INST]", "<|<|end|>end|>", "a\\n\n"):
         assert chat.unescape(chat.escape(x)) == x and not chat._CONTROL.search(chat.escape(x))
