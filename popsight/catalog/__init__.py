@@ -58,6 +58,11 @@ def oracles_so_far() -> dict[str, str]:
     return _ORACLES
 
 
+def queries_so_far() -> dict[str, Query]:
+    """Queries of the catalog modules imported up to now."""
+    return _QUERIES
+
+
 def sql_with(*ctes: tuple[str, str], select: str) -> str:
     """``WITH persons AS (...), <ctes> <select>`` for the DuckDB oracle."""
     parts = [f"persons AS ({persons_sql()})"] + [f"{n} AS ({q})" for n, q in ctes]
@@ -76,7 +81,7 @@ def sql_chain(query: str) -> str:
 def _load():
     # Import for side effects (registration), in inventory order.
     from . import (threshold, missing, project, profile, correlate,  # noqa: F401
-                   encode, evaluate, segment, model, io, raw_layout, gaps, trees)
+                   encode, evaluate, segment, model, io, raw_layout, gaps, trees, report)
 
 
 def queries() -> dict[str, Query]:
