@@ -4,8 +4,7 @@ A11, A13).
 Fit steps are eager, like Spark ML estimators: each is one aggregation whose
 result is bounded by the number of columns (medians, modes, means, standard
 deviations), or a code table in the shared folder. Transform steps are
-projections with the bounded values as literals, and one join per categorical
-column with its codes. The cleaned table a fit reads several times is written
+projections with the bounded values as literals, and lookups of codes. The cleaned table a fit reads several times is written
 once to the shared folder, so the dedup shuffle is not redone per
 parameter and executor loss cannot force a full recompute.
 """
@@ -60,6 +59,19 @@ class LabelCodes:
     """Fitted label codes: (column_name, value, code) of ``cols``."""
     cols: list[str]
     table: DataFrame | None = None
+    n: int | None = None
+
+    def size(self) -> int:
+        """Number of codes of all columns, counted once."""
+        if self.n is None:
+            self.n = self.table.count() if self.table is not None else 0
+        return self.n
+
+
+#: Codes that are broadcast column by column at most (about 20 MB).
+MAX_BROADCAST_CODES = 200_000
+#: Copies of a code in the shared lookup, over which the rows of a hot value are spread.
+LOOKUP_SALTS = 8
 
 
 def _distinct_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -77,18 +89,46 @@ def fit_label_codes(df: DataFrame, cols: list[str]) -> LabelCodes:
 
 def label_encode_transform(df: DataFrame, codes: LabelCodes, unseen: int = -1) -> DataFrame:
     """Replace each categorical value by its code; unseen and missing
-    values -> -1. One equi-join per column with that column's codes: Spark
-    broadcasts a code table below its broadcast threshold (the map-only case)
-    and shuffles for a larger one, where AQE splits the rows of a hot value."""
+    values -> -1. Up to ``MAX_BROADCAST_CODES`` codes (counted) each column meets its
+    broadcast codes in place: no exchange at all. Beyond that one shared lookup serves all columns."""
+    if not codes.cols:
+        return df
+    if codes.size() > MAX_BROADCAST_CODES:
+        return _shared_lookup(df, codes, unseen)
     out, new = df, {}
     for i, c in enumerate(codes.cols):
         t = codes.table.where(F.col("column_name") == c).select(
             F.col("value").alias(f"_value_{i}"), F.col("code").alias(f"_code_{i}"))
-        out = out.join(t, F.col(q(c)).cast("string") == F.col(f"_value_{i}"), "left")
+        out = out.join(F.broadcast(t), F.col(q(c)).cast("string") == F.col(f"_value_{i}"), "left")
         new[c] = F.coalesce(f"_code_{i}", F.lit(unseen)).cast("int").alias(c)
     return out.select(*[new.get(c, F.col(q(c))) for c in df.columns])
 
 
+def _shared_lookup(df: DataFrame, codes: LabelCodes, unseen: int) -> DataFrame:
+    """Codes of all columns by one join of (column, value) cells, put together by row.
+
+    The rows are written with a number each, so that the cells and the rows agree on it whatever
+    is recomputed. A cell is a number, a column's position and a value; those of a value that many rows
+    hold are spread over ``LOOKUP_SALTS`` copies of its code. The rows themselves are exchanged once, by
+    number, however many columns there are."""
+    cols = {c: i for i, c in enumerate(codes.cols)}
+    rows = stored(df.select(F.struct(*[F.col(q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"),
+                            F.monotonically_increasing_id().alias("id")), "to-encode")
+    at = {c: i for i, c in enumerate(df.columns)}
+    cells = rows.select("id", F.explode(F.array(*[F.struct(
+        F.lit(i).alias("p"), F.col(f"row.c{at[c]}").cast("string").alias("v")) for c, i in cols.items()])).alias("c")).select(
+        "id", "c.*", F.pmod(F.xxhash64("id"), F.lit(LOOKUP_SALTS)).alias("salt")).where("v is not null")
+    position = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("column_name")).cast("int") - 1
+    table = codes.table.select(position.alias("p"), F.col("value").alias("v"), "code",
+                               F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(LOOKUP_SALTS - 1).cast("bigint"))).alias("salt"))
+    found = cells.join(table, ["p", "v", "salt"]).groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("p", "code"))).alias("codes"))       # one entry a column
+    joined = rows.join(found, "id", "left")
+    return joined.select(*[
+        F.coalesce(F.try_element_at("codes", F.lit(cols[c])), F.lit(unseen)).cast("int").alias(c) if c in cols
+        else F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
 # ---------------------------------------------------------------- E3
 
 

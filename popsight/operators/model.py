@@ -10,6 +10,8 @@ parameters (trees, centers, components) and metric scalars.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
@@ -20,6 +22,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,13 +182,40 @@ def sample_candidates(n: int, seed: int = 42) -> list[dict]:
     return out
 
 
+LEDGER = "run string, candidate int, fold int, f1 double"
+
+
+def search_run(data: DataFrame, label: str, key: str, feature_cols: list[str], cands: list[dict], folds: int, seed: int) -> str:
+    """Name of a search: what its scores follow from (rows, candidates, folds, seed)."""
+    r = data.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.col(q(key)), label, "features", "_w", "fold").cast("decimal(38,0)"))
+                 .alias("h")).first()
+    said = json.dumps([r["n"], str(r["h"]), feature_cols, cands, folds, seed])
+    return hashlib.sha256(said.encode()).hexdigest()
+
+
+def read_ledger(spark: SparkSession, path: str, run: str) -> dict[tuple[int, int], float]:
+    """Scores of a search that the ledger has: (candidate, fold) -> F1. A folder that isn't there is an empty ledger."""
+    try:
+        rows = spark.read.schema(LEDGER).parquet(path).where(F.col("run") == run).collect()     # candidates x folds
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = []
+    return {(r["candidate"], r["fold"]): r["f1"] for r in rows}
+
+
 def search_params(train: DataFrame, feature_cols: list[str], label: str = "label",
                   weight: str | None = "weight", key: str = "person_id", n_iter: int = 20,
-                  folds: int = 3, seed: int = 42, parallelism: int = 4
+                  folds: int = 3, seed: int = 42, parallelism: int = 4, ledger: str | None = None
                   ) -> tuple[BoostedModel, DataFrame]:
     """Score ``n_iter`` seeded candidates by mean positive-class F1 over
     stratified folds, refit the best on the whole training table. Returns
-    the refit model and the candidate table."""
+    the refit model and the candidate table.
+
+    ``ledger``: a folder (shared, Parquet) that gets a row per finished fit, so that a search whose driver is
+    lost goes on where it was: fits that it holds for the same rows, candidates, folds and seed
+    are read, not run. Other searches may share the folder."""
+    spark = train.sparkSession
     spw = positive_weight(train, label)
     keep = [label, key] + ([weight] if weight else [])
     data = stratified_folds(training_weights(train, label, weight, spw), label, key, folds, seed)
@@ -194,24 +224,27 @@ def search_params(train: DataFrame, feature_cols: list[str], label: str = "label
     evaluator = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction",
                                                   metricName="fMeasureByLabel", metricLabel=1.0)
     cands = sample_candidates(n_iter, seed)
+    run = search_run(data, label, key, feature_cols, cands, folds, seed) if ledger else ""
+    known = read_ledger(spark, ledger, run) if ledger else {}
 
-    def run(idx_fold):
+    def fit(idx_fold):
         idx, f = idx_fold
         tr = data.where(F.col("fold") != f)
         te = data.where(F.col("fold") == f)
         m = gbt_estimator(cands[idx], seed, total * (folds - 1) / folds, label).fit(tr)
-        return idx, f, evaluator.evaluate(m.transform(te))
+        f1 = float(evaluator.evaluate(m.transform(te)))
+        if ledger:
+            spark.createDataFrame([(run, idx, f, f1)], LEDGER).coalesce(1).write.mode("append").parquet(ledger)
+        return (idx, f), f1
 
-    jobs = [(i, f) for i in range(len(cands)) for f in range(folds)]
+    jobs = [(i, f) for i in range(len(cands)) for f in range(folds) if (i, f) not in known]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(run, jobs))
+        known |= dict(pool.map(fit, jobs))
     data.unpersist()
-    scores = {}
-    for i, _, s in results:
-        scores.setdefault(i, []).append(s)
+    scores = {i: [known[i, f] for f in range(folds)] for i in range(len(cands))}
     rows = [(i, *[float(cands[i][k]) for k in SEARCH_SPACE], float(sum(v) / len(v)))
             for i, v in sorted(scores.items())]
-    table = _session().createDataFrame(rows, "candidate int, " + ", ".join(
+    table = spark.createDataFrame(rows, "candidate int, " + ", ".join(
         f"{k} double" for k in SEARCH_SPACE) + ", mean_f1 double")
     best = max(scores, key=lambda i: (sum(scores[i]) / len(scores[i]), -i))
     bm = fit_boosted_trees(train, feature_cols, label, weight, cands[best], seed)
