@@ -523,6 +523,38 @@ def test_html_copies_and_large_hosts(spark):
             assert got[i].startswith("text of") and "\n" not in got[i], (host, got[i])
 
 
+def test_html_names_keep_the_article():
+    body = "<p>" + "main text of the page " * 20 + "</p>"
+    words = " ".join(("main text of the page " * 20).split())
+    for page in (f'<article class="post no-comments">{body}</article>', f'<div class="site no-sidebar"><article>{body}</article></div>',
+                 f'<div id="page" class="hfeed has-footer-widget">{body}</div>', f'<div class="sidebar-layout"><article>{body}</article></div>',
+                 f'<div class="widget"><article>{body}</article></div>', f'<div class="widget">{body}<div class="ad">x y</div></div><div class="footer">f</div>',
+                 f'<div class="related-work">{body}</div>', f'{body}<div class="comment-list"><article class="comment"><p>{"c " * 900}</p></article></div>'):
+        assert html.main_text(page, set()) == words, page
+    kept = html.main_text(f'<article><p class="share-price">Price words</p>{body}<div class="share-buttons">s</div></article>', set())
+    assert kept == "Price words\n" + words
+    for name in ("ad", "ads", "site-footer", "cookie-notice", "sidebar", "comments-area", "social-share", "menu-item", "newsletter-box", "page-header"):
+        assert html.main_text(f'<div class="x {name}">gone</div><p>stays here</p>', set()) == "stays here", name
+    assert html.main_text(f'<div class="cookie-notice"><p>{"we use cookies " * 50}</p></div><p>stays</p>', set()) == "stays"
+
+
+def test_html_long_shared_block_and_nesting(spark):
+    """A long text that all pages share is template, whatever its length; 100,000 nested tags take linear time."""
+    legal = "<div>" + "terms and conditions apply to all use of this site " * 40 + "</div>"
+    page = "<body><div>Site strap line</div><div class=x><p>{0}</p></div><ul><li>Top stories today</li></ul>{1}</body>".format
+    rows = [(i, f"http://legal.example/{i}", page(f"Own words number {i} of this page", legal)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {i: f"Own words number {i} of this page" for i in range(40)}
+    import time
+    took = []
+    for n in (20_000, 100_000):
+        began = time.process_time()
+        assert html.main_text("<x>" * n + "deep" + "</y>" * n, set()) == "deep"
+        took.append(time.process_time() - began)
+    assert took[1] < 15 * took[0] + 0.5
+
+
 def test_pipeline(spark, edge, empty, tmp_path):
     import corpus_pipeline as cp
     edge.write.parquet(f"{tmp_path}/documents.parquet")
