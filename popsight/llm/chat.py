@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table
@@ -170,29 +170,40 @@ def read_back(chunks: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """The event log of a table (conv_id, turn, role, text): every row opens its
-    message; assistant texts arrive as deltas of ``delta_chars`` code points. Rows with
-    equal conv_id and turn are messages of their own, in the order of role and text
-    (its first 128 code points, then its hash); identical rows stay as many messages as they are."""
+    """An event log of a table (conv_id, turn, role, text), as a service would have kept it: every row opens its
+    message; assistant texts arrive as deltas of ``delta_chars`` code points. By a hash of the row
+    an assistant's message was streamed otherwise first and regenerated, another
+    one was opened with other words and edited, and before some stood a message that was deleted; what
+    is left in the end are the table's rows. Rows with equal conv_id and turn are messages of their own, in the order of
+    role and text (its first 128 code points, then its hash); identical rows stay as many messages as they are."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = (conversations.select(F.col("conv_id").cast("long").alias("conv"), "turn", "role", text.alias("text"))
             .groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))))
+            .withColumn("_h", F.pmod(F.xxhash64("conv", "turn", "text"), F.lit(8))))
+    # copy 0 is the message that was deleted
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.when(F.col("_h") == 0, 0).otherwise(1).cast("bigint"), F.col("_n"))))
     message = F.struct("turn", "role", F.substring("text", 1, 128).alias("start"), F.xxhash64("text").alias("hash"), "copy")
-    n = F.ceil(F.length("text") / delta_chars).cast("int")
     streamed = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    parts = F.when(streamed & (n > 0), F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.substring("text", (i - 1) * delta_chars + 1, F.lit(delta_chars))))
-    first = F.array(F.struct(F.lit(0).alias("seq"), F.lit("message").alias("kind"),
-                             F.when(streamed, "").otherwise(F.col("text")).alias("text")))
-    rest = F.coalesce(F.transform(parts, lambda x, i: F.struct((i + 1).alias("seq"), F.lit("delta").alias("kind"), x.alias("text"))),
-                      F.array())
-    return (rows.select("conv", message.alias("message"), "role", F.explode(F.concat(first, rest)).alias("e"))
-            .select("conv", "message", "e.seq", "e.kind", "role", "e.text"))
+    draft = F.reverse(F.substring("text", 1, 128))
+
+    def event(kind: str, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), said.cast("string").alias("text"))
+
+    # cut in one pass over the text
+    deltas = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), 0), lambda x: event("delta", x))
+    opened = F.array(event("message", F.lit("")))
+    events = (F.when(F.col("copy") == 0, F.array(event("message", draft), event("delete", F.lit(None))))
+              .when(streamed & (F.col("_h") % 2 == 1), F.concat(opened, F.array(event("delta", draft), event("regenerate", F.lit(None))), deltas))
+              .when(streamed, F.concat(opened, deltas))
+              .when(F.col("_h") % 2 == 1, F.array(event("message", draft), event("edit", F.col("text"))))
+              .otherwise(F.array(event("message", F.col("text")))))
+    return (rows.select("conv", message.alias("message"), "role", F.posexplode(events).alias("seq", "e"))
+            .select("conv", "message", "seq", "e.kind", "role", "e.text"))
 
 
 def op9_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, formatted and read back."""
+    """All conversations and conversation -1, formatted and read back. Nulls, empty texts, repeated rows
+    and an empty table: see ``events_of`` and ``reconstruct``; of an empty table conversation -1 is left."""
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
                                 "conv_id bigint, turn bigint, role string, text string")
     given = table(spark, sf_dir, "conversations").select(

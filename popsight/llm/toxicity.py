@@ -39,7 +39,6 @@ LEXICON = ("idiot moron stupid dumb loser scum trash worthless pathetic clown fi
 SECOND_PERSON = frozenset(b"you your yours yourself u ur du dein deine dich dir sie ihr tu toi ton ta te vous votre "
                           b"usted ti tus".split())
 _LEET = bytes.maketrans(b"0134578@$!ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"oieastbasiabcdefghijklmnopqrstuvwxyz")
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MARKS = b"\"#%&'()*+,-./:;<=>?[\\]^_`{|}~"
 #: Substitutions between letters or at an edge of a word ("!" at its end is punctuation).
 _OBFUSCATED = re.compile(rb"[A-Za-z][0-9@$*!]+[A-Za-z]|(?<![0-9A-Za-z@$*!])[0-9@$*!]+[A-Za-z]|[A-Za-z][0-9@$*]+(?![0-9A-Za-z@$*])")
@@ -48,9 +47,16 @@ FEATURES = ("log_words", "fixed", "learned", "n_learned", "distinct", "weight",
             "marks", "exclaimed", "obfuscated")
 
 
+def tokens_of(text: str) -> list[bytes]:
+    """The words of a text, in lower case, without punctuation marks; ``@`` and ``$`` stay, as they stand
+    for letters. Words are learned and looked up in this form."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, _MARKS + b"!").split()
+
+
 def features(text: str, fixed: frozenset, learned: dict[bytes, float]) -> tuple[float, ...]:
     raw = text.encode("utf-8", "surrogatepass")
-    plain = raw.translate(_LOWER, _MARKS + b"!").split()
+    low = text.lower().encode("utf-8", "surrogatepass")
+    plain = tokens_of(text)
     n = len(plain)
     if not n:
         return (0.0,) * len(FEATURES)
@@ -58,7 +64,7 @@ def features(text: str, fixed: frozenset, learned: dict[bytes, float]) -> tuple[
     old = sum(1 for w in plain if w in fixed)
     odd = len(_OBFUSCATED.findall(raw))
     undone = 0
-    for w, u in zip(raw.translate(_LOWER, _MARKS).split(), raw.translate(_LEET, _MARKS).split()):
+    for w, u in zip(low.translate(None, _MARKS).split(), low.translate(_LEET, _MARKS).split()):
         if w != u:
             p = w.replace(b"!", b"")
             if p not in fixed and p not in learned:
@@ -99,9 +105,12 @@ def learn_lexicons(fit: DataFrame) -> list[dict[bytes, float]]:
     of them, then for each of FOLDS parts from the rows outside it. A word enters when it occurs
     in MIN_TOXIC toxic texts, is at least four times as common there, and its G statistic
     passes MIN_G. None of these grows with the rows, so a word of a small language enters once its own few texts show it."""
-    words = (fit.select("label", "part", F.explode(F.array_distinct(F.split(F.regexp_replace(
-                 F.lower(F.coalesce("text", F.lit(""))), r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", ""),
-                 r"[\x20\x09-\x0D]+"))).alias("w")).filter("w != ''"))
+    @F.pandas_udf("array<binary>")
+    def distinct_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sorted(set(tokens_of(t))) for t in texts])
+
+    words = fit.select("label", "part", F.explode(distinct_tokens(F.coalesce("text", F.lit("")))).alias("w"))
     rows = {(r["part"], r["label"]): r["count"] for r in fit.groupBy("part", "label").count().collect()}
     sums = [F.sum(F.when((F.col("part") == k) & (F.col("label") == y), 1).otherwise(0)).alias(f"n{y}_{k}")
             for k in range(FOLDS) for y in (0, 1)]
@@ -118,7 +127,7 @@ def learn_lexicons(fit: DataFrame) -> list[dict[bytes, float]]:
                 g = g + F.when(n > 0, 2 * n * F.log(n * (bad + good) / (every * among))).otherwise(0.0)
         odds.append(F.when((a >= MIN_TOXIC) & (log_odds >= math.log(4)) & (g >= MIN_G), log_odds).alias(f"o{len(odds)}"))
     found = counted.select("w", *odds).filter(F.coalesce(*[F.col(f"o{i}") for i in range(len(odds))]).isNotNull()).collect()
-    return [{r["w"].encode("utf-8", "surrogatepass"): float(r[i + 1]) for r in found if r[i + 1] is not None} for i in range(len(odds))]
+    return [{bytes(r["w"]): float(r[i + 1]) for r in found if r[i + 1] is not None} for i in range(len(odds))]
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
@@ -136,7 +145,8 @@ def score(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = stored(fit_rows(docs, labels, max_fit), "toxic-fit")
     # at most max_fit rows: a bounded broadcast, so texts aren't shuffled
-    sample = stored(docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
+    sample = stored(docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(      # of rows of one id the smallest text
+        F.min("text").alias("text"), F.first("label").alias("label")), "toxic-sample")
     held = (fold("doc_id") == 0).alias("held_out")
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < 2:

@@ -555,6 +555,63 @@ def test_html_long_shared_block_and_nesting(spark):
     assert took[1] < 15 * took[0] + 0.5
 
 
+def test_op9_as_registered(spark, tmp_path):
+    """Its log holds edits, regenerations and deletions; what is read back are the table's rows. Cutting is linear."""
+    import hashlib
+    from popsight import llm
+    r = random.Random(12)
+    rows = [(c, t, ["user", "assistant", "system", None][r.randint(0, 3)], None if r.random() < 0.1 else r.choice(["<|end|>", "é\n😀", "</s>\\ "]) * r.randint(0, 700))
+            for c in range(40) for t in range(5)]
+    rows += [rows[3]] * 2 + [(None, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    given = spark.read.parquet(f"{tmp_path}/conversations.parquet")
+    log = chat.events_of(given)
+    kinds = {x.kind: x["count"] for x in log.groupBy("kind").count().collect()}
+    assert set(kinds) == set(chat.KINDS) and log.agg(F.max(F.length("text"))).first()[0] <= 128 + 700 * 7
+    got = {x.conv_id: x for x in llm.queries()["op9_event_sourced_chat"](spark, str(tmp_path)).collect()}
+    by = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t, role or "", text or ""))
+    assert set(got) == set(by) | {-1}
+    for c, own in by.items():
+        assert got[c].n_turns == len(own)
+        if len({(t, role) for t, role, _ in own}) == len(own):
+            own.sort()
+            assert got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in own).encode()).hexdigest()
+            said = "".join(b for _, a, b in own if a == "assistant")
+            assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    import time
+    took = []
+    for n in (500_000, 4_000_000):
+        one = spark.createDataFrame([(1, 0, "assistant", "x")], "conv_id bigint, turn bigint, role string, text string").withColumn("text", F.repeat("text", F.lit(n)))
+        began = time.time()
+        assert chat.events_of(one).where("kind = 'delta'").agg(F.sum(F.length("text"))).first()[0] >= n
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 5
+
+
+def test_toxic_words_are_learned_as_they_are_looked_up(spark):
+    """One tokeniser: substituted letters and capitals beyond A-Z hit; edge rows go through the features and trees."""
+    r = random.Random(3)
+    bad = ["b$dling", "@zzoff", "ärgling"]
+    rows = [(i, prose(f"t{i}", 20) + (f" {bad[i % 3].upper() if i % 6 == 0 else bad[i % 3]}!" if i % 4 == 0 else ""), "en", "s", 0, 0, 0, "") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    fixed = frozenset()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    fit = docs.join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").withColumn("part", (F.col("doc_id") % toxicity.FOLDS).cast("int"))
+    learned = toxicity.learn_lexicons(fit)[0]
+    assert {w.encode() for w in bad} <= set(learned)
+    for text in ("b$dling", "B$DLING!", "@zzoff,", "Ärgling", "ÄRGLING."):
+        assert toxicity.features(text, fixed, learned)[toxicity.FEATURES.index("n_learned")] == 1.0, text
+    edges = spark.createDataFrame([(1000, None), (1001, ""), (1002, " \n"), (None, "b$dling"), (1003, "b$dling " * 20000), (1003, "x"), (1003, "x")],
+                                  "doc_id bigint, text string").select("doc_id", "text", F.lit(1).alias("label"), F.lit("x").alias("features"))
+    got = toxicity.score(docs.select("doc_id", "text", F.lit(1).alias("label"), F.lit("x").alias("features")).unionByName(edges), labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == 407
+    found = {x.doc_id: x.predicted for x in got.where("doc_id < 400").collect()}
+    assert sum(found[i] == int(i % 4 == 0) for i in range(400)) > 380
+    assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
 def test_pipeline(spark, edge, empty, tmp_path):
     import corpus_pipeline as cp
     edge.write.parquet(f"{tmp_path}/documents.parquet")
