@@ -111,8 +111,10 @@ def assign_shards(df: DataFrame, keys: list[str], n_shards: int, vnodes: int = 6
             .groupBy("_r", "_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
             .withColumn("_cell", F.pmod(F.col("_h"), F.lit(cells)).cast("int")))
     rows = stored(rows, "ring-rows")
-    buckets = max(1, rows.count() // (cells * ROWS_PER_BUCKET))
-    rows = rows.withColumn("_b", F.pmod(F.col("_g"), F.lit(buckets)).cast("int")).join(arcs, "_cell")
+    # buckets follow each cell's own rows, so that a key which many rows share is split; one row per cell at most: bounded broadcast
+    buckets = F.broadcast(rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BUCKET).alias("_buckets")))
+    rows = (rows.join(arcs, "_cell").join(buckets, "_cell")
+            .withColumn("_b", F.pmod(F.col("_g"), F.col("_buckets")).cast("int")).drop("_buckets"))
 
     sizes = rows.groupBy("_arc", "_cell", "_b").agg(F.sum("_n").alias("_m"))
     before = Window.partitionBy("_arc").orderBy("_cell", "_b").rowsBetween(Window.unboundedPreceding, -1)

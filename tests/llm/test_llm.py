@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 pytest.importorskip("popsight.llm")
@@ -62,6 +63,40 @@ def test_sharding(spark, edge, empty):
     assert sum(sizes) == 3000 and max(sizes) - min(sizes) <= 1
 
 
+def test_sharding_splits_a_hot_key(spark, monkeypatch):
+    """A null id on a third of the rows lies in one cell; its rows are ranked in buckets of their own."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 50)
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    seen = []
+    real = Window.partitionBy
+    monkeypatch.setattr(sharding.Window, "partitionBy", staticmethod(lambda *c: (seen.append(c), real(*c))[1]))
+    got = sharding.assign_shards(df, ["k"], 6, identity=["k", "v"])
+    assert ("_arc", "_cell", "_b") in seen
+    rows = got.collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert len(rows) == 6000 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and len({r.v for r in rows}) == 6000
+
+
+def test_op1_as_registered(spark, tmp_path):
+    from popsight import llm
+    rows = [(i, None if i % 40 == 0 else "ü" * (i % 30)) for i in range(400)] + [(None, "x"), (None, None), (7, "same"), (7, "same")]
+    spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id bigint, text string, shard int, slot int").write.parquet(f"{tmp_path}/documents.parquet")
+    df = llm.queries()["op1_bounded_ring_shards"](spark, str(tmp_path))
+    assert dict(df.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    got = df.collect()
+    want = [(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows]
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=str) == sorted(want, key=str)
+    by = collections.defaultdict(list)
+    for r in got:
+        assert r.law == "rows" and 0 <= r.shard < 40 and r.grown_shard is None
+        by[r.shard].append(r.slot)
+    assert len(by) == 40 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
 def test_ring_moves_little():
     counts = {}
     for n in (20, 21):
