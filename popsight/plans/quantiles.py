@@ -7,15 +7,16 @@ columns and groups of any size:
 
 1. every value gets an order-preserving 64-bit integer (an integer is its own; a
    double's sign, exponent and fraction put together);
-2. one scan counts rows, smallest and largest value per group and top 16 bits.
-   The counts are combined map-side: what is shuffled is bounded by 65,536 rows
+2. one scan counts rows, smallest and largest value per group and top 16 bits (integers of up to
+   16 bits are buckets of their own, so such columns are done here).
+   The counts are combined map-side: what is shuffled is bounded by 131,072 rows
    a group and task, whatever the number of rows and distinct values;
-3. running totals over a group's buckets (65,536 at most) show which buckets
+3. running totals over a group's buckets show which buckets
    hold the two ranks around ``p * (n - 1)``. A bucket whose smallest and
    largest value agree is done; any other is cut into 65,536 equal steps between them,
    and the next scan counts the rows inside. A bucket spans 2**48, 2**32, 2**16,
    1 integers at most after one, two, three, four scans, so there are four scans at most;
-   small integers take two;
+   later scans read only columns that have an open bucket;
 4. the values at the two ranks are linearly interpolated exactly like Spark's
    ``percentile``.
 
@@ -26,6 +27,7 @@ group; Spark broadcasts either only if it is small.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,12 +84,21 @@ def _kept(nodes: DataFrame) -> DataFrame:
     return spark.createDataFrame(local, nodes.schema) if local.num_rows <= MAX_LOCAL else stored(nodes, "percentiles")
 
 
-def _select(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with their order key _v and first bucket _d."""
+    v, small = F.col("_v"), F.lit(1 << (BITS - 1))
+    own = (F.when((v >= -small) & (v < small), v).when(v >= small, small + F.shiftright("_v", 64 - BITS))
+           .when(v < -small, F.shiftright("_v", 64 - BITS) - small))
+    return with_order_key(rows.select("*", own.alias("_d")), "_x", "_v")
+
+
+def _select(rows: DataFrame, keys: list[str], probs: list[float], narrow: Callable[[list], DataFrame] | None = None) -> DataFrame:
     """Percentiles of ``rows`` (*keys, _x, _v) without missing values; keys has one column at least.
+    ``narrow``: gives the rows of some values of the first key, for later scans.
 
     A node is a wanted rank (p_index, pos, side, _rank: its number in the bucket) with the bucket that
     holds it (smallest and largest value _a, _b and key _lo, _hi)."""
-    rows = with_order_key(rows, "_x", "_v")
+    rows = _keyed(rows)
     names = [f"_o{i}" for i in range(len(keys))]
     counted = [F.count("*").alias("_c"), F.min("_x").alias("_a"), F.max("_x").alias("_b"),
                F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
@@ -101,7 +112,7 @@ def _select(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     def running(*by: str) -> Column:
         return F.sum("_c").over(Window.partitionBy(*by).orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_end")
 
-    counts = rows.groupBy(*keys, F.shiftright("_v", 64 - BITS).alias("_d")).agg(*counted)
+    counts = rows.groupBy(*keys, F.coalesce("_d", F.shiftright("_v", 64 - BITS)).alias("_d")).agg(*counted)
     total = F.sum("_c").over(Window.partitionBy(*keys))
     place = [(i, s, (total - 1) * F.lit(float(p)), f) for i, p in enumerate(probs) for s, f in ((0, F.floor), (1, F.ceil))]
     ranks = F.array(*[F.struct(F.lit(i).alias("p_index"), pos.alias("pos"), F.lit(s).alias("side"), f(pos).cast("bigint").alias("_rank"))
@@ -121,7 +132,9 @@ def _select(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
         # a key is never null; said this way, no test for it is pushed below the steps that make it and repeats them
         v = F.coalesce("_v", F.lit(0))
         inside = _same(keys, names) & (v >= F.col("_l")) & (v <= F.col("_h"))
-        near = rows.join(buckets, inside).drop(*names)
+        if narrow:
+            rows = _keyed(narrow(sorted({r[0] for r in open_.select(keys[0]).collect()})))      # two per probability and key at most
+        near = rows.drop("_d").join(buckets, inside).drop(*names)
         counts = (near.groupBy(*keys, "_l", F.floor((F.col("_v") - F.col("_l")) / F.col("_step")).alias("_d")).agg(*counted)
                   .select("*", running(*keys, "_l")))
         again = open_.select(*[F.col(k).alias(o) for k, o in zip(keys, names)], F.col("_lo").alias("_from"), *wanted)
@@ -155,11 +168,13 @@ def exact_percentile_columns(df: DataFrame, cols: list[str], probs: list[float])
     (one unpivot; columns without values map to Nones)."""
     if not cols:
         return {}
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_k0"), *_cell(F.col(q(c)), isinstance(df.schema[c].dataType, IntegralType)))
-        for i, c in enumerate(cols)])).alias("kv")).select("kv.*").where(F.col("_x").isNotNull())
+    def long(some: list[int]) -> DataFrame:
+        return df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("_k0"), *_cell(F.col(q(cols[i])), isinstance(df.schema[cols[i]].dataType, IntegralType)))
+            for i in some])).alias("kv")).select("kv.*").where(F.col("_x").isNotNull())
+
     res = {c: [None] * len(probs) for c in cols}
     # one row per column and probability
-    for r in _select(long, ["_k0"], probs).collect():
+    for r in _select(long(list(range(len(cols)))), ["_k0"], probs, long).collect():
         res[cols[r["_k0"]]][r["p_index"]] = r["value"]
     return res

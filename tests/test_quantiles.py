@@ -60,7 +60,7 @@ def test_all_kinds_of_groups(spark):
 
 def test_integers_and_columns(spark):
     r = random.Random(3)
-    rows = [(r.randint(-10**12, 10**12), r.randint(0, 90), None if i % 3 else r.random(), float("nan") if i % 7 else 2.5, None) for i in range(3000)]
+    rows = [(r.choice([r.randint(-10**12, 10**12), r.randint(-40000, 40000), -(1 << 63), (1 << 63) - 1]), r.randint(0, 90), None if i % 3 else r.random(), float("nan") if i % 7 else 2.5, None) for i in range(3000)]
     df = spark.createDataFrame(rows, "a bigint, `b c` int, d double, e float, f double").repartition(5)
     got = exact_percentile_columns(df, df.columns, PROBS)
     for j, c in enumerate(["a", "b c", "d", "e"]):
@@ -93,6 +93,16 @@ def test_nothing_of_the_size_of_the_data_is_exchanged(spark, monkeypatch):
         assert p.count("log2") + p.count("LOG2") <= 1                                       # the key is worked out once a row
 
 
+def test_later_scans_read_open_columns_only(spark, monkeypatch):
+    seen = []
+    kept = quantiles._kept
+    monkeypatch.setattr(quantiles, "_kept", lambda nodes: (seen.append(nodes._jdf.queryExecution().executedPlan().toString()), kept(nodes))[1])
+    df = spark.range(20_000).select((F.col("id") % 90).cast("int").alias("age"), (F.col("id") % 7).alias("n"), F.randn(3).alias("x"))
+    got = exact_percentile_columns(df, df.columns, [0.5])
+    assert got["age"] == [44.0] and got["n"] == [3.0]
+    assert "% 90" in seen[0] and len(seen) > 1 and all("% 90" not in p and "% 7" not in p for p in seen[1:])
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty(spark, n):
     df = spark.createDataFrame([(None,)] * n, "v double")
