@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +58,20 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(q(c)) for c in df.columns])
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; when the task ends, what it has freed goes back to the system, as
+    the worker lives on for later tasks of its executor."""
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):       # not every libc has it
+                ctypes.CDLL(None).malloc_trim(0)
+    return task
+
+
 def ship(module: str) -> None:
     """Send the functions of a module to Python workers by value, so that
     executors need no copy of this package."""

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import q, ship, stored, table, whole_row
+from .common import lean, q, ship, stored, table, whole_row
 from .components import connected_components
 
 MAX_FREQUENT = 100_000       # shingles moved to the end of the order; bounds what tasks get sent
@@ -106,7 +106,7 @@ def _prefixes(width: int, percent: int):
                 s = shingles(text.as_py() or "", width)
                 got.append(s[:prefix_size(len(s), percent)].copy())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["x"])
-    return run
+    return lean(run)
 
 
 def _sets(width: int, percent: int, frequent: np.ndarray):
@@ -131,7 +131,7 @@ def _sets(width: int, percent: int, frequent: np.ndarray):
                 [ids, pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(maps, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
                 ["doc_id", "n", "key", "map", "prefix"])
-    return run
+    return lean(run)
 
 
 def _bytes_of_sets(width: int):
@@ -141,7 +141,7 @@ def _bytes_of_sets(width: int):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["rep", "block", "chunks", "n", "bytes"])
-    return run
+    return lean(run)
 
 
 class Tree:
@@ -328,7 +328,7 @@ def _group(percent: int) -> Callable:
                 found = []
         if found:
             yield _pairs(found, ["block", "rep"])
-    return run
+    return lean(run)
 
 
 def _link(percent: int) -> Callable:
@@ -344,7 +344,7 @@ def _link(percent: int) -> Callable:
                 found = []
         if found:
             yield _pairs(found, ["a", "b"])
-    return run
+    return lean(run)
 
 
 def _tiles(members: DataFrame) -> DataFrame:

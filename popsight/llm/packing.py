@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import q, ship, table
+from .common import lean, q, ship, table
 
 TIERS = (256, 512, 1024, 2048)
 BLOCK_TOKENS = 2_000_000
@@ -221,7 +221,7 @@ def _task(ranks_path: str, pattern: str, added: dict[str, int], end_id: int, tie
                         yield from flush(False)
         yield from flush(True)
 
-    return run
+    return lean(run)
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None,

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import q, ship, stored, table
+from .common import lean, q, ship, stored, table
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -82,6 +82,7 @@ def text_stats(text: str) -> tuple[int, ...]:
             len(lines), len(raw) - len(raw.translate(None, UPPER)), len(raw) - len(raw.translate(None, b"!?;:")))
 
 
+@lean
 def _stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([text_stats(t or "") for t in texts], columns=list(STATS), dtype="int64")
