@@ -10,7 +10,6 @@ the like with ``cols``, or with the operators' own paths.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, FloatType, FractionalType, IntegralType, StructType
 
 from ..functions.columns import present
-from ..session import ensure_checkpoint_dir
+from ..plans.store import store_path
 
 HAS_VALUE = "text IS NOT NULL OR whole IS NOT NULL OR real IS NOT NULL"
 
@@ -85,7 +84,7 @@ def frequencies(df: DataFrame, cols: list[str] | None = None, keep: bool = True)
     table = column_value_counts(df, cols)
     if keep:
         spark = df.sparkSession
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/popsight-store/frequencies-{uuid.uuid4().hex}"
+        path = store_path(spark, "frequencies")
         table.write.partitionBy("column_name").parquet(path)
         table = spark.read.schema(table.schema).parquet(path)
     return Frequencies(table, df.schema, cols)

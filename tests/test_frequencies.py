@@ -98,3 +98,15 @@ def test_unique_rows_are_not_exchanged(spark, monkeypatch, tmp_path):
     assert len(shuffled) == 1 and "_h1" in shuffled[0] and "s#" not in shuffled[0]             # hashes only
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_clean_up(spark, monkeypatch):
+    import os
+
+    from popsight.plans import store
+    monkeypatch.setattr(store, "_WRITTEN", {})
+    df = store.stored(spark.range(5), "gone")
+    (path,) = store._WRITTEN[spark.sparkContext.applicationId]
+    local = path.removeprefix("file:")
+    assert df.count() == 5 and os.path.isdir(local)
+    assert store.clean_up(spark) == 1 and not os.path.exists(local) and store.clean_up(spark) == 0
