@@ -116,15 +116,16 @@ def with_next(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Windo
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(
         F.lit(len(cuts)) - _below(F.col("doc_id"), cuts))
     rows = one.withColumn("_b", bucket.cast("int")).withColumn("_k", F.xxhash64("text"))
-    # one row per range: the largest id and, for ties, the smallest text hash
-    tops = rows.groupBy("_b").agg(F.min(F.struct(-F.col("doc_id"), F.col("_k"))).alias("top")).orderBy("_b").collect()
+    # one row per range: the largest id (~x falls as x rises, also for the smallest long) and, for ties, the smallest text hash
+    falling = F.bitwise_not(F.col("doc_id"))
+    tops = rows.groupBy("_b").agg(F.min(F.struct(falling.alias("d"), F.col("_k"))).alias("top")).orderBy("_b").collect()
     after = {r[0]: tops[i - 1][0] for i, r in enumerate(tops)}       # range -> the range before it, round the end
     tip = F.create_map(*[F.lit(x) for r in tops for x in (r[0], r[1][1])]) if tops else None
     big = F.create_map(*[F.lit(x) for r in tops for x in (r[0], r[1][0])]) if tops else None
     if not tops:
-        return rows.select("doc_id", "text", "_b", "_k", F.lit(True).alias("_own"), F.lit("").alias("_next")), Window.partitionBy("_b")
+        return rows.select("doc_id", "text", "_b", "_k", F.lit(True).alias("_own"), F.lit("").alias("_next")), Window.partitionBy("_b").orderBy("_k")
     before = F.create_map(*[F.lit(x) for k, v in after.items() for x in (k, v)])
-    first = (F.col("_k") == tip[F.col("_b")]) & (-F.col("doc_id")).eqNullSafe(big[F.col("_b")])
+    first = (F.col("_k") == tip[F.col("_b")]) & falling.eqNullSafe(big[F.col("_b")])
     to = F.when(first, F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")),
                                F.struct(before[F.col("_b")].alias("b"), F.lit(False).alias("own")))).otherwise(
         F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own"))))
@@ -145,7 +146,9 @@ def _below(x: Column, cuts: list[int]) -> Column:
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and its edited text, with their likeness."""
+    """Fingerprints of every document and its edited text, with their likeness. Null texts
+    count as empty; documents of equal id follow each other by the hash of their text, null ids come last; repeated rows
+    each have a row, and follow each other; a single document is followed by itself; an empty table gives an empty result."""
     rows, w = with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")

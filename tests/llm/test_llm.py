@@ -97,6 +97,43 @@ def test_op1_as_registered(spark, tmp_path):
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
 
 
+@pytest.mark.parametrize("n", [0, 1, 150])
+def test_op5_as_registered(spark, tmp_path, n):
+    """Edited texts, digests and both likeness columns against brute force, from the fingerprints' own sets."""
+    import hashlib
+    from popsight import llm
+    r = random.Random(n)
+    rows = [(i * 7, None if i % 13 == 5 else "" if i % 13 == 6 else prose(i // 2, r.randint(1, 80)) + " ü😀" * (i % 3)) for i in range(n)]
+    rows += [(-(1 << 63), "the smallest id of all")] * (n > 1)
+    spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id bigint, text string, _next string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    df = llm.queries()["op5_spotsigs"](spark, str(tmp_path))
+    assert df.dtypes == [("doc_id", "bigint"), ("n_chars", "bigint"), ("edited_sha256", "string"), ("fingerprint", "string"),
+                         ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")]
+    got = {x.doc_id: x for x in df.collect()}
+    order = sorted(rows, key=lambda x: -x[0])
+    assert len(got) == len(rows)
+
+    def as_set(f):
+        return {f[i:i + 16] for i in range(0, len(f), 16)}
+
+    def near(a, b):
+        return len(as_set(a) & as_set(b)) / len(as_set(a) | as_set(b))
+
+    for k, (d, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)]
+        third = len(t) // 3
+        edited = t[:len(t) - third] + (after[1] or "")[:third]
+        x = got[d]
+        assert x.n_chars == len(t) and x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert x.near_edited == pytest.approx(near(x.fingerprint, x.edited_fingerprint))
+        assert x.near_next == pytest.approx(near(x.fingerprint, got[after[0]].fingerprint))
+        assert (edited == t) <= (x.fingerprint == x.edited_fingerprint)
+    same = collections.defaultdict(set)
+    for d, t in rows:
+        same[t or ""].add(got[d].fingerprint)
+    assert all(len(v) == 1 for v in same.values())
+
+
 def test_ring_moves_little():
     counts = {}
     for n in (20, 21):
