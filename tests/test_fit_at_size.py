@@ -33,6 +33,11 @@ def test_training_reads_as_many_tasks_as_its_rows_need(spark, rows, monkeypatch)
 
     monkeypatch.setattr(mo, "gbt_estimator", lambda *a, **k: Fit(real(*a, **k)))
     monkeypatch.setattr(mo, "TASK_ROWS", 200)
+    monkeypatch.setattr(mo, "sample_candidates", lambda n, seed: [dict(mo.DEFAULT_GBT, n_estimators=2, max_depth=2)])
     assert [mo.fit_tasks(n) for n in (0, 1, 200, 201, 900)] == [1, 1, 1, 2, 5]
     bm = mo.fit_boosted_trees(rows, ["a", "b"], params=dict(n_estimators=3, max_depth=2))
     assert seen == [(5, 900, False)] and len(bm.model.trees) == 3
+    seen.clear()
+    monkeypatch.setattr(mo, "TASK_ROWS", 10_000)
+    mo.search_params(rows, ["a", "b"], n_iter=1, folds=3, parallelism=1)
+    assert [p for p, _, _ in seen[:3]] == [1, 1, 1] and sum(n for _, n, _ in seen[:3]) == 1800
