@@ -280,11 +280,28 @@ class Segmenter:
     seed: int
 
 
+#: Bytes of vectors that the k-means fits running side by side hold in memory, together.
+FIT_BYTES = 8_000_000_000
+#: Bytes of the objects around a vector's numbers in a fit's copy, about.
+VECTOR_BYTES = 100
+
+
+def fits_at_once(vectors: DataFrame, features: str, parallelism: int) -> int:
+    """How many fits may run side by side: each keeps its own copy of all vectors in
+    memory, and copies that do not fit are read from disk in every pass."""
+    first = vectors.select(features).first()
+    numbers = len(first[0]) if first and first[0] is not None else 1
+    copy = max(1, vectors.count()) * (8 * numbers + VECTOR_BYTES)
+    return max(1, min(parallelism, FIT_BYTES // copy))
+
+
 def fit_kmeans(vectors: DataFrame, k: int = 3, restarts: int = 20, max_iter: int = 300,
                seed: int = 42, parallelism: int = 4, features: str = "features",
                tol: float = 1e-4) -> Segmenter:
     """K1: k-means (k-means|| init) from ``restarts`` seeds, keeping the
-    lowest inertia. The vector table should be cached by the caller."""
+    lowest inertia. The vector table should be stored by the caller; up to
+    ``parallelism`` fits run side by side, fewer on a table of which so many copies
+    would not fit in memory. The fits do not depend on it."""
     def run(s):
         km = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol=features,
                     predictionCol="segment", initMode="k-means||")
@@ -292,7 +309,7 @@ def fit_kmeans(vectors: DataFrame, k: int = 3, restarts: int = 20, max_iter: int
         return m.summary.trainingCost, s, m
 
     seeds = [seed + i for i in range(restarts)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    with ThreadPoolExecutor(max_workers=fits_at_once(vectors, features, parallelism)) as pool:
         fits = list(pool.map(run, seeds))
     cost, s, m = min(fits, key=lambda t: (t[0], t[1]))
     return Segmenter(m, k, float(cost), int(m.summary.numIter), s)

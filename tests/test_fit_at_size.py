@@ -1,6 +1,10 @@
 """Fits at size: tasks follow the rows, nothing is cached twice, few k-means fits hold a large table at once."""
 
+import threading
+import time
+
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from popsight.operators import model as mo
@@ -41,3 +45,28 @@ def test_training_reads_as_many_tasks_as_its_rows_need(spark, rows, monkeypatch)
     monkeypatch.setattr(mo, "TASK_ROWS", 10_000)
     mo.search_params(rows, ["a", "b"], n_iter=1, folds=3, parallelism=1)
     assert [p for p, _, _ in seen[:3]] == [1, 1, 1] and sum(n for _, n, _ in seen[:3]) == 1800
+
+
+def test_restarts_share_the_memory(spark, rows, monkeypatch):
+    vectors = mo.vectorize(rows, ["a", "b"], ["person_id"])
+    busy, most, lock, real = [0], [0], threading.Lock(), KMeans.fit
+
+    def counted(self, data):
+        with lock:
+            busy[0] += 1
+            most[0] = max(most[0], busy[0])
+        time.sleep(0.3)
+        try:
+            return real(self, data)
+        finally:
+            with lock:
+                busy[0] -= 1
+
+    monkeypatch.setattr(KMeans, "fit", counted)
+    wide = mo.fit_kmeans(vectors, 3, restarts=4, parallelism=3)
+    assert most[0] == 3
+    most[0] = 0
+    monkeypatch.setattr(mo, "FIT_BYTES", 900 * 116 * 2 - 1)             # not two copies
+    narrow = mo.fit_kmeans(vectors, 3, restarts=4, parallelism=3)
+    assert most[0] == 1 and (narrow.seed, narrow.iterations) == (wide.seed, wide.iterations)
+    assert narrow.inertia == pytest.approx(wide.inertia, rel=1e-12)
