@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import q
+from . import kmeans as km
 from . import segment as sg
 from .encode import split_hash
 
@@ -334,17 +335,21 @@ def kmeans_summary(seg: Segmenter, vectors: DataFrame) -> DataFrame:
 def k_sweep(vectors: DataFrame, ks=(3,), restarts: int = 10, seed: int = 42,
             features: str = "features") -> DataFrame:
     """K7: per k -- inertia, silhouette (squared Euclidean), Calinski-Harabasz,
-    Davies-Bouldin; ``selected`` marks the highest silhouette."""
+    Davies-Bouldin; ``selected`` marks the highest silhouette. All fits of all k share their
+    passes over the vectors."""
+    ks = [int(k) for k in ks]
+    points = km.packed(vectors, features)
+    fits = km.fits(points, list(dict.fromkeys(ks)), [seed + i for i in range(restarts)])
     rows = []
     for k in ks:
-        seg = fit_kmeans(vectors, k, restarts, seed=seed, features=features)
-        labelled = seg.model.transform(vectors).select(
-            vector_to_array(features).alias("x"), F.col("segment").cast("int").alias("segment"))
+        fit = min((f for f in fits if f.k == k), key=lambda f: (f.inertia, f.seed))
+        labelled = km.labelled(points, fit)
         stats = sg.cluster_stats(labelled, "x", "segment")
         sil = sg.silhouette_sq(labelled, stats, "x", "segment").first()[0]
         ch = sg.calinski_harabasz(stats).first()[0]
         db = sg.davies_bouldin(labelled, stats, "x", "segment").first()[0]
-        rows.append((int(k), seg.inertia, float(sil), float(ch), float(db)))
+        rows.append((k, fit.inertia, float(sil), float(ch), float(db)))
+    points.blocks.unpersist()
     df = _session().createDataFrame(rows, "n_clusters int, inertia double, silhouette double, "
                                  "calinski_harabasz double, davies_bouldin double")
     best = max(rows, key=lambda r: (r[2], -r[0]))[0]

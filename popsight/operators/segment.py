@@ -6,16 +6,19 @@ from ONE scan: one mergeable moment aggregate per cluster (Spark ML's
 ``Summarizer``), combined map-side to k rows a task, whatever the number of dimensions. Inertia and
 Calinski-Harabasz follow from these alone; metrics that need every point's
 distance read the points once more, with the centroids as one packed value
-(a scalar subquery, not literals in the plan): no join of points against centroids
-and no pairs of points. The silhouette comes in two forms: squared Euclidean (closed
+(a scalar subquery, not literals in the plan; the silhouette takes them to Arrow batches): no join of points against
+centroids and no pairs of points. The silhouette comes in two forms: squared Euclidean (closed
 form, here) and Euclidean (:mod:`popsight.operators.silhouette`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -137,22 +140,42 @@ def silhouette_sq(points: DataFrame, stats: ClusterStats, features: str = "featu
     """K4: mean silhouette with squared Euclidean distance, exact and linear:
     the mean squared distance from x to cluster C is
     ||x||^2 + Y_C / n_C - 2 x . mean_C; the own cluster is rescaled by
-    n / (n - 1) to leave x itself out; singleton clusters score 0."""
-    row = points.select(F.col(q(segment)).alias("_own"), _x(features).alias("_x"), _norm2(_x(features)).alias("_nx"),
-                        stats.packed().alias("_clusters"))
-
-    def mean_distance(c: Column) -> Column:
-        dot = _sum(F.zip_with("_x", c["mean"], lambda a, b: a * b))
-        return F.col("_nx") + c["sq"] / c["n"] - F.lit(2.0) * dot
-
-    each = F.transform("_clusters", lambda c: F.struct(
-        (c["segment"] == F.col("_own")).alias("own"), c["n"].alias("n"), mean_distance(c).alias("d")))
-    mine = F.filter("_each", lambda c: c["own"] & (c["n"] > 1))[0]
-    s = silhouette_of(F.col("_a"), F.col("_b"))
-    return (row.withColumn("_each", each).select(
-        (mine["d"] * mine["n"] / (mine["n"] - 1)).alias("_a"),
-        F.array_min(F.transform(F.filter("_each", lambda c: ~c["own"]), lambda c: c["d"])).alias("_b"))
-        .agg(F.avg(s).alias("silhouette")))
+    n / (n - 1) to leave x itself out; singleton clusters score 0. A batch of points meets all
+    centroids in one matrix product."""
+    stats.check()
+    clusters = stats.table.select("segment", "mean", "n", "sq").orderBy("segment").collect()         # k rows
+    n = np.array([r["n"] for r in clusters], float)
+    mean, spread = np.array([r["mean"] for r in clusters], float).reshape(len(n), stats.d), np.array([r["sq"] for r in clusters], float) / n
+    known = stats.table.agg(F.array_sort(F.collect_list("segment"))).scalar()
+    own = F.array_position(known, F.col(q(segment)).cast(stats.table.schema["segment"].dataType))
+    rows = points.select(F.coalesce(own.cast("int") - 1, F.lit(-1)).alias("_own"), _x(features).alias("_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, step = mean.shape[1], max(1, 1_000_000 // max(1, len(n)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                own, vectors, m = part.column("_own").to_numpy(), part.column("_x"), part.num_rows
+                whole, flat = np.ones(m, bool), vectors.flatten()
+                if vectors.null_count or flat.null_count or len(flat) != m * width or len({*vectors.value_lengths().to_pylist()}) > 1:
+                    values = [v if v is not None and len(v) == width and None not in v else None for v in vectors.to_pylist()]
+                    whole = np.array([v is not None for v in values], bool)
+                    x = np.array([v if v is not None else [0.0] * width for v in values], float).reshape(m, width)
+                else:
+                    x = flat.to_numpy(zero_copy_only=False).reshape(m, width)
+                to = (x ** 2).sum(1)[:, None] + spread - 2.0 * (x @ mean.T)
+                a, b = np.zeros(m), np.zeros(m)
+                has, rest = whole & (own >= 0), whole & (len(n) - (own >= 0) > 0)
+                mine = own[has]
+                a[has] = to[has, mine] * n[mine] / np.maximum(n[mine] - 1, 1)
+                alone = ~has
+                alone[has] = n[mine] <= 1
+                to[has, mine] = np.nan
+                if rest.any():
+                    b[rest] = np.fmin.reduce(to[rest], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a, mask=alone), pa.array(b, mask=~rest)], ["_a", "_b"])
+
+    return rows.mapInArrow(run, "_a double, _b double").agg(F.avg(silhouette_of(F.col("_a"), F.col("_b"))).alias("silhouette"))
 
 
 def silhouette_of(a: Column, b: Column) -> Column:
