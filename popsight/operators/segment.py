@@ -156,6 +156,8 @@ def silhouette_sq(points: DataFrame, stats: ClusterStats, features: str = "featu
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 own, vectors, m = part.column("_own").to_numpy(), part.column("_x"), part.num_rows
+                if (own < 0).any():
+                    raise ValueError("a point has no segment")
                 whole, flat = np.ones(m, bool), vectors.flatten()
                 if vectors.null_count or flat.null_count or len(flat) != m * width or len({*vectors.value_lengths().to_pylist()}) > 1:
                     values = [v if v is not None and len(v) == width and None not in v else None for v in vectors.to_pylist()]
@@ -164,16 +166,12 @@ def silhouette_sq(points: DataFrame, stats: ClusterStats, features: str = "featu
                 else:
                     x = flat.to_numpy(zero_copy_only=False).reshape(m, width)
                 to = (x ** 2).sum(1)[:, None] + spread - 2.0 * (x @ mean.T)
-                a, b = np.zeros(m), np.zeros(m)
-                has, rest = whole & (own >= 0), whole & (len(n) - (own >= 0) > 0)
-                mine = own[has]
-                a[has] = to[has, mine] * n[mine] / np.maximum(n[mine] - 1, 1)
-                alone = ~has
-                alone[has] = n[mine] <= 1
-                to[has, mine] = np.nan
-                if rest.any():
-                    b[rest] = np.fmin.reduce(to[rest], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a, mask=alone), pa.array(b, mask=~rest)], ["_a", "_b"])
+                a, b, each = np.zeros(m), np.zeros(m), np.arange(m)
+                a[:] = to[each, own] * n[own] / np.maximum(n[own] - 1, 1)
+                to[each, own] = np.nan
+                if len(n) > 1:
+                    b[:] = np.fmin.reduce(to, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a, mask=~whole | (n[own] <= 1)), pa.array(b, mask=~whole | (len(n) < 2))], ["_a", "_b"])
 
     return rows.mapInArrow(run, "_a double, _b double").agg(F.avg(silhouette_of(F.col("_a"), F.col("_b"))).alias("silhouette"))
 

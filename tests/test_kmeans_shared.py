@@ -57,3 +57,24 @@ def test_sweep_reads_the_vectors_once(spark, vectors, monkeypatch):
         best = min(_spark_fit(vectors, r["n_clusters"], s)[1] for s in (42, 43, 44))
         assert r["inertia"] == pytest.approx(best, rel=1e-9)
         assert -1 < r["silhouette"] <= 1 and r["calinski_harabasz"] > 0 and r["davies_bouldin"] > 0
+
+
+def test_squared_silhouette_in_batches(spark):
+    from popsight.operators import segment as sg
+    rows = [(0, [0.0, 0.0]), (0, [0.0, 2.0]), (1, [5.0, 0.0]), (1, [5.0, 1.0]), (1, [6.0, 3.0]), (2, [9.0, 9.0])]      # 2: one point, scores 0
+    points = spark.createDataFrame([*rows, (1, None), (0, [1.0, None])], "segment int, x array<double>")
+    seg, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    far = ((x[:, None] - x[None]) ** 2).sum(2)
+    want = []
+    for i, s in enumerate(seg):
+        if (seg == s).sum() > 1:
+            a, b = far[i, seg == s].sum() / ((seg == s).sum() - 1), min(far[i, seg == t].mean() for t in {*seg} - {s})
+            want.append((b - a) / max(a, b))
+    whole = points.where("x is not null and not exists(x, v -> v is null)")
+    stats = sg.cluster_stats(whole, "x", "segment")
+    out = sg.silhouette_sq(whole, stats, "x", "segment")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()          # no lambda per point, cluster and number
+    assert out.first()[0] == pytest.approx(sum(want) / 6, abs=1e-12)
+    assert sg.silhouette_sq(points, stats, "x", "segment").first()[0] == pytest.approx(sum(want) / 8, abs=1e-12)     # a point without numbers scores 0
+    with pytest.raises(Exception, match="no segment"):
+        sg.silhouette_sq(whole.withColumn("segment", F.when(F.col("segment") > 0, F.col("segment"))), stats, "x", "segment").collect()
